@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -42,6 +43,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a string that tells its rows apart, the same whenever and wherever it is read.
+
+    It is the place in the Parquet file that a row comes from; what comes from elsewhere is written first.
+    """
+    place = F.concat_ws("#", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
+    try:
+        found = df.withColumn(name, place)
+        found.schema  # noqa: B018  resolves it
+    except AnalysisException:
+        found = materialize(df, "rows").withColumn(name, place)
+    return found
+
+
+def named(column: str | None) -> Column:
+    """A column that tells rows apart, where a caller has one; null else."""
+    return (F.lit(None) if column is None else F.col(column)).cast("string")
+
+
 def release() -> None:
     """Removes every table that ``materialize`` has written in this process."""
     while _written:

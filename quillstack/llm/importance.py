@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, rows
+from quillstack.llm.common import materialize, named, rows
 
 #: Words and runs of punctuation are tokens; what is not ASCII counts as a letter.
 TOKEN = re.compile(rb"[^\x00-/:-@\[-`{-\x7f]+|[!-/:-@\[-`{-~]+")
@@ -21,13 +21,13 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    buckets: int = 1 << 16
+    buckets: int = 1 << 14
     #: Labelled rows of each class that fit and calibrate the model, at most; those with the lowest hashes are taken.
     most_labelled: int = 20_000
-    #: Added to every bucket's count, in parts of a bucket's mean count.
-    smoothing: float = 0.1
-    #: Weight of the Gumbel noise against the log importance weight; 1 samples in proportion to the weight.
-    temperature: float = 1.0
+    #: The target model starts with so many counts a bucket, dealt as the raw model's.
+    smoothing: float = 1.0
+    #: Weight of the Gumbel noise against the log importance weight, which is a mean over a text's n-grams.
+    temperature: float = 0.005
     seed: int = 42
 
 
@@ -66,33 +66,32 @@ def _counted(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarra
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, both smoothed to the raw model's shape; 0 without a target."""
+    """log p_target - log p_raw of each bucket; the target is drawn to the raw model where it has few counts."""
     if not target.sum() or not raw.sum():
         return np.zeros(len(raw))
-    base = raw + smoothing * raw.mean()
+    base = raw + 0.1 * raw.mean()
     base /= base.sum()
-    mass = target.sum()
-    model = (target + smoothing * mass * base) / (mass * (1 + smoothing))
+    prior = smoothing * len(raw)
+    model = (target + prior * base) / (target.sum() + prior)
     return np.log(model) - np.log(base)
 
 
 def _scored(docs: DataFrame, ratio: np.ndarray, settings: Settings) -> DataFrame:
     ratio = docs.sparkSession.sparkContext.broadcast(ratio)
-    out = pa.schema([("id", pa.int64()), ("n_features", pa.int64()), ("log_weight", pa.float64()), ("gumbel_key", pa.float64()), ("digest", pa.int64())])
+    out = pa.schema([("id", pa.int64()), ("n_features", pa.int64()), ("log_weight", pa.float64()), ("gumbel_key", pa.float64()), ("row", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
-            for i, text in rows([batch], "id", "text"):
+            for i, text, row in rows([batch], "id", "text", "row"):
                 own = features(text, settings.buckets)
-                weight = float(ratio.value[own].sum()) if len(own) else float("-inf")
-                digest = xxhash.xxh3_64_intdigest((text or "").encode(), settings.seed)
-                noise = digest if i is None else xxhash.xxh3_64_intdigest(str(i).encode(), settings.seed)
+                weight = float(ratio.value[own].mean()) if len(own) else float("-inf")
+                noise = xxhash.xxh3_64_intdigest((text or "" if i is None else str(i)).encode(), settings.seed)
                 gumbel = -np.log(-np.log(((noise >> 12) + 0.5) / 2.0**52))
-                held.append((i, len(own), weight, weight + settings.temperature * float(gumbel), digest >> 1))
+                held.append((i, len(own), weight, weight + settings.temperature * float(gumbel), row))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), out, strict=True)] if held else [pa.array([], f.type) for f in out], schema=out)
 
-    return docs.mapInArrow(run, "id long, n_features long, log_weight double, gumbel_key double, digest long")
+    return docs.mapInArrow(run, "id long, n_features long, log_weight double, gumbel_key double, row string")
 
 
 def threshold(weights: np.ndarray, good: np.ndarray) -> float:
@@ -145,15 +144,16 @@ def _labelled(labels: DataFrame, settings: Settings, id_col: str, label_col: str
     return some[0].union(some[1]).select("label_id", "good", (F.col("good") & (F.pmod("h", F.lit(2)) == 0)).alias("fit"), (F.pmod("h", F.lit(2)) == 1).alias("held"))
 
 
-def weigh(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[DataFrame, int]:  # noqa: B008
-    """((id, n_features, log_weight, gumbel_key, digest) of every row, rows to keep).
+def weigh(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> tuple[DataFrame, int]:  # noqa: B008
+    """((id, n_features, log_weight, gumbel_key, row) of every row, rows to keep).
 
+    log_weight is the mean log ratio over a text's n-grams, so that length alone decides nothing.
     The raw model counts the n-grams of all rows; the target model those of labelled good rows, of which half fit
     it. The other half, with labelled bad rows, calibrates the threshold whose count of rows is the k to keep.
     """
     spark = docs.sparkSession
     sample = spark.createDataFrame([tuple(r) for r in _labelled(labels, settings, id_col, label_col).collect()], "label_id long, good boolean, fit boolean, held boolean")
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), named(row_col).alias("row"))
     marked = thin.join(F.broadcast(sample), F.col("id") == F.col("label_id"), "left")
     raw, target = _counted(marked.select("text", F.coalesce("fit", F.lit(False)).alias("fit")), settings)
     scored = materialize(_scored(thin, log_ratio(raw, target, settings.smoothing), settings), "weights")
@@ -162,14 +162,14 @@ def weigh(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     return scored, scored.where(F.col("log_weight") >= at).count()
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:  # noqa: B008
-    """(id_col, n_features, log_weight, gumbel_key, digest) of the k rows that Gumbel top-k keeps.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:  # noqa: B008
+    """(id_col, n_features, log_weight, gumbel_key, row) of the k rows that Gumbel top-k keeps.
 
     Without k, as many as have a log importance weight over the calibrated threshold. Texts without a token (null,
     empty, blank) have weight -inf and are kept only if k asks for them; repeated rows have one key and are kept or
     rejected together, as are other ties with the last row kept; a row with a null id draws its noise by its text.
     Without labelled good rows all weights are 0. An empty table gives an empty result.
     """
-    scored, count = weigh(docs, labels, settings, id_col, text_col, label_col)
+    scored, count = weigh(docs, labels, settings, id_col, text_col, label_col, row_col)
     found = top_k(scored.withColumn("order", sortable(F.col("gumbel_key"))), "order", count if k is None else k)
     return found.drop("order").withColumnRenamed("id", id_col)

@@ -21,15 +21,15 @@ def tokenizer_files() -> dict[str, str]:
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("component_root", "row")
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("row")
 
 
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents")).drop("spans")
+    return mixing.mix(_read(spark, sf_dir, "documents")).drop("spans", "row")
 
 
 def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

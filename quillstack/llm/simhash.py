@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batched, materialize, partitions, rows
+from quillstack.llm.common import batched, materialize, named, partitions, rows
 from quillstack.llm.components import connected_components
 
 BYTES, WIDTH = 8, 64
@@ -49,19 +49,19 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """(id, fp, row) of every row; fp is the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType
-    out = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    out = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("row", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        yield from batched(((i, signed(fingerprint(t, shingle, seed))) for i, t in rows(batches, "id", "text")), out)
+        yield from batched(((i, signed(fingerprint(t, shingle, seed)), row) for i, t, row in rows(batches, "id", "text", "row")), out)
 
     if kind.typeName() not in ("long", "integer", "short", "byte"):
         raise TypeError(f"{id_col} must be an integer column")
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return thin.mapInArrow(run, "id long, fp long")
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), named(row_col).alias("row"))
+    return thin.mapInArrow(run, "id long, fp long, row string")
 
 
 def _terms(fp: Column) -> list[Column]:
@@ -170,23 +170,26 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return spread.mapInArrow(lambda it: _links(it, radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = SEED) -> DataFrame:
-    """(id_col, fingerprint, component_id, component_size) for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """(id_col, fingerprint, component_id, component_size, component_root, row) for every row.
 
     Texts with the same fingerprint meet first, so that copies are one entry of the index. component_id is the
-    smallest id reachable over links, itself included. A null or empty text has fingerprint 0 and is linked like any
+    smallest id reachable over links, itself included; component_root is the same for the rows of a component and for
+    no other. A null or empty text has fingerprint 0 and is linked like any
     other; repeated rows and ids keep their rows; a null id stays null and counts in sizes only; an empty table gives
     an empty result.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed, row_col), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
     roots = connected_components(links(classes.select("fp"), radius))
     placed = materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
     whole = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")), "whole")
-    known = materialize(placed.select("fp", "root").join(whole, "root").drop("root"), "known")
+    known = materialize(placed.select("fp", "root").join(whole, "root"), "known")
     return prints.join(known, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         "component_size",
+        F.col("root").alias("component_root"),
+        "row",
     )
