@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import importance, mixing, packing, simhash
+from quillstack.llm import importance, mixing, orderminhash, packing, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_files() -> dict[str, str]:
     return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("component_root", "row")
 
@@ -37,6 +41,7 @@ def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_order_minhash": op3_order_minhash,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_importance_resampling": op7_importance_resampling,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
