@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import importance, mixing, orderminhash, packing, simhash
+from quillstack.llm import importance, mixing, orderminhash, packing, simhash, topk, urlmodel, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,23 @@ def tokenizer_files() -> dict[str, str]:
     return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
+#: The rules that pages are judged by.
+URL_RULES = (
+    urlmodel.Rule("net", "/", "block"),
+    urlmodel.Rule("example.net", "/en/", "allow"),
+    urlmodel.Rule("example.com", "/de/", "block"),
+    urlmodel.Rule("org", "/fr/", "allow"),
+)
+
+
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(_read(spark, sf_dir, "pages"))
+
+
+def op2_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlmodel.judge(_read(spark, sf_dir, "pages"), URL_RULES).drop("url")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -32,6 +49,10 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("row")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("spans", "row")
 
@@ -41,9 +62,12 @@ def op10_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index_merge": op1_warc_index_merge,
+    "op2_url_language_models": op2_url_language_models,
     "op3_order_minhash": op3_order_minhash,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_importance_resampling": op7_importance_resampling,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
 }
