@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstack.llm import importance, mixing, orderminhash, packing, simhash, topk, urlmodel, warc
+from quillstack.llm import backoff, importance, mixing, orderminhash, packing, simhash, template, topk, urlmodel, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,10 +42,18 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op4_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(_read(spark, sf_dir, "pages"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("component_root", "row")
 
 
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(_read(spark, sf_dir, "documents")).drop("row").withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("row")
 
@@ -65,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op2_url_language_models": op2_url_language_models,
     "op3_order_minhash": op3_order_minhash,
+    "op4_template_deduction": op4_template_deduction,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_stupid_backoff": op6_stupid_backoff,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
