@@ -1,0 +1 @@
+"""Full-text indexing and ranked retrieval of papers, as DataFrame plans."""
