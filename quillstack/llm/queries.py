@@ -31,7 +31,8 @@ URL_RULES = (
 
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_and_index(_read(spark, sf_dir, "pages"))
+    found = warc.archive_and_index(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: What SQL has no means for has no entry: language models of URLs (2), sketches (3), HTML (4), XXH64 (5), hashed
+#: models and Gumbel keys (7), seeded choices (9), tokenizers (10).
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_index_merge": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+        f AS (SELECT digest, min(page_id) AS first FROM p WHERE bytes >= 100 GROUP BY digest)
+        SELECT page_id, bytes AS payload_bytes, p.digest AS payload_digest,
+            CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f ON p.digest = f.digest AND bytes >= 100""",
+    "op6_stupid_backoff": f"""
+        WITH l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+        t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM l),
+        b AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM t),
+        o1 AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL), c1 AS (SELECT w, sum(n) AS n FROM o1 GROUP BY w),
+        o2 AS (SELECT doc_id, v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY ALL), c2 AS (SELECT v, w, sum(n) AS n FROM o2 GROUP BY ALL),
+        d AS (SELECT doc_id, len(l) AS own, sum(len(l)) OVER () - len(l) AS rest FROM l),
+        s AS (SELECT b.doc_id, c1.n - o1.n AS a1, cv.n - ov.n AS context, c2.n - o2.n AS a2, b.v, d.rest FROM b JOIN d USING (doc_id)
+            JOIN o1 ON o1.doc_id = b.doc_id AND o1.w = b.w JOIN c1 ON c1.w = b.w
+            LEFT JOIN o1 ov ON ov.doc_id = b.doc_id AND ov.w = b.v LEFT JOIN c1 cv ON cv.w = b.v
+            LEFT JOIN o2 ON o2.doc_id = b.doc_id AND o2.v = b.v AND o2.w = b.w LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w),
+        u AS (SELECT *, CASE WHEN a1 > 0 THEN ln(a1) - ln(rest) ELSE -ln(rest + 1) END AS one FROM s),
+        r AS (SELECT doc_id, sum(CASE WHEN v IS NULL THEN one WHEN a2 > 0 THEN ln(a2) - ln(context) ELSE ln(0.4) + one END) AS score FROM u GROUP BY doc_id)
+        SELECT doc_id, own AS n_tokens, round(coalesce(score, 0), 6) AS log_score, CASE WHEN own > 0 THEN round(score / own, 6) END AS mean_log_score
+        FROM d LEFT JOIN r USING (doc_id)""",
+    "op8_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
