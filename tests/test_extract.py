@@ -1,0 +1,132 @@
+"""Papers of every shape through the readers, the extractor, the cleaner and the writers."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstack.operators import analyze, extract, index
+from quillstack.sources import readers, writers
+
+PAPERS = {
+    "full.json": {
+        "paper_id": "p1",
+        "metadata": {"title": " A\ttitle ", "authors": [{"first": "Ann", "middle": ["B.", ""], "last": "Cee", "suffix": ""}, "Plain Name", {"first": "", "last": "", "email": "x@y.z"}, {"name": "Group"}], "doi": "10.1/own", "year": 2019},
+        "abstract": [{"text": "First part."}, "second  part"],
+        "body_text": [{"text": "one", "section": "Intro"}, {"text": "two", "section": "Methods"}, {"text": "three", "section": "Intro"}, {"text": "", "section": "Empty"}, {"text": "four", "section": " "}, {"text": "five"}],
+        "bib_entries": {"BIBREF0": {"year": 2001, "other_ids": {"DOI": ["10.1/bib"]}}},
+    },
+    "PMC9.xml.json": {
+        "metadata": {"title": "", "paper_id": "PMC9", "authors": []},
+        "title": "Other title",
+        "body_text": [{"text": "the abstract", "section": "ABSTRACT"}, {"text": "body", "section": "abstract of things"}],
+        "bib_entries": {"BIBREF0": {"year": None, "other_ids": {"DOI": []}}, "BIBREF1": {"year": "1993", "other_ids": {}}, "BIBREF2": {"year": 2000, "other_ids": {"DOI": ["10.2/second"]}}},
+    },
+    "stem.xml.json": {"metadata": {"other_ids": {"DOI": ["10.3/other"]}, "publish_time": "2020-01-02"}, "abstract": []},
+}
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    at = tmp_path_factory.mktemp("papers")
+    for name, paper in PAPERS.items():
+        (at / name).write_text(json.dumps(paper, indent=1))
+    (at / "broken.json").write_text("{not json")
+    (at / "other.txt").write_text("{}")
+    return str(at)
+
+
+@pytest.fixture(scope="module")
+def rows(spark, folder):
+    return {r["orig_file"]: r for r in extract.extract(readers.sound(readers.papers(spark, folder))).collect()}
+
+
+def test_bad_files_are_told_apart(spark, folder):
+    papers = readers.papers(spark, folder).cache()
+    assert [r["orig_file"] for r in readers.bad(papers).collect()] == ["broken.json"]
+    assert readers.sound(papers).count() == 3
+    assert readers.papers(spark, [f"{folder}/full.json"]).count() == 1
+
+
+def test_fields_and_fallbacks(rows):
+    full, pmc, stem = rows["full.json"], rows["PMC9.xml.json"], rows["stem.xml.json"]
+    assert (full["paper_id"], pmc["paper_id"], stem["paper_id"]) == ("p1", "PMC9", "stem.xml")
+    assert (full["title"], pmc["title"], stem["title"]) == ("A title", "Other title", "")
+    assert (full["abstract"], pmc["abstract"], stem["abstract"]) == ("First part. second part", "the abstract", "")
+    assert full["sections"] == ["Intro: one three", "Methods: two", "Body: four five"]
+    assert stem["sections"] == []
+    assert full["authors"] == "Ann B. Cee; Plain Name; x@y.z; Group"
+    assert (full["doi_or_id"], pmc["doi_or_id"], stem["doi_or_id"]) == ("10.1/own", "10.2/second", "10.3/other")
+    assert (full["pub_date"], pmc["pub_date"], stem["pub_date"]) == ("2019", "1993", "2020-01-02")
+    assert (full["source"], pmc["source"]) == ("pdf", "pmc")
+
+
+def test_round_trips(spark, folder, tmp_path):
+    found = extract.extract(readers.sound(readers.papers(spark, folder)))
+    writers.extracted_tsv(found, f"{tmp_path}/tsv")
+    tsv = {r["paper_id"]: r for r in readers.extracted_tsv(spark, f"{tmp_path}/tsv").collect()}
+    assert tsv["p1"]["sections"] == "Intro: one three | Methods: two | Body: four five"
+    assert tsv["stem.xml"]["source"] == "pdf"
+    writers.extracted_jsonl(found, f"{tmp_path}/jsonl")
+    back = {r["paper_id"]: r for r in readers.extracted_jsonl(spark, f"{tmp_path}/jsonl").collect()}
+    assert back["p1"]["sections"] == ["Intro: one three", "Methods: two", "Body: four five"]
+
+    options = analyze.CleanOptions(fields=("title", "sections", "nothing"), keep_original=True)
+    tokens = analyze.clean(found, options)
+    nested = analyze.cleaned(found, tokens)
+    writers.cleaned_jsonl(nested, f"{tmp_path}/cleaned")
+    again = analyze.tokens_of_cleaned(readers.cleaned_jsonl(spark, f"{tmp_path}/cleaned"))
+    columns = ["paper_id", "field", "pos", "term", "orig"]
+    assert {tuple(r) for r in again.select(columns).collect()} == {tuple(r) for r in tokens.select(columns).collect()}
+    assert ("p1", "Intro", 1, "one", "one") in {tuple(r) for r in tokens.select(columns).collect()}
+
+
+def test_repeated_fields_and_tsv_sections(spark):
+    rows = spark.createDataFrame([("a", "Cat", "X: dog | bird")], "paper_id string, title string, sections string")
+    found = analyze.clean(rows, analyze.CleanOptions(fields=("title", "title", "body"))).orderBy("field_idx", "pos").collect()
+    assert [(r["field_idx"], r["field"], r["term"]) for r in found] == [(0, "title", "cat"), (1, "title", "cat"), (2, "X", "dog"), (3, "body", "bird")]
+
+
+def test_small_readers(spark, tmp_path):
+    (tmp_path / "stop.txt").write_text("# words\nThe\n\n of \nthe\n")
+    assert {r["term"] for r in readers.stopwords(spark, str(tmp_path / "stop.txt")).collect()} == {"the", "of"}
+    assert readers.stopwords(spark, str(tmp_path / "none.txt")).count() == 0
+    (tmp_path / "x.tsv").write_text("a\tb\tc\td\te\tf\tg\th\ti\n\nshort\n")
+    found = readers.extracted_tsv(spark, str(tmp_path / "x.tsv")).collect()
+    assert [tuple(r) for r in found] == [("a", "b", "c", "d", "e", "f", "g", "h\ti"), ("short", *[""] * 7)]
+    (tmp_path / "x.jsonl").write_text('{"paper_id":"a","title":"T"}\n\nbad\n{"title":"U"}\n{"docid":7,"title":"V"}\n')
+    found = readers.extracted_jsonl(spark, str(tmp_path / "x.jsonl")).collect()
+    assert {(r["paper_id"], r["title"]) for r in found} == {("a", "T"), ("4", "U"), ("7", "V")}
+    (tmp_path / "b.inv").write_text("the\t1:1,1,4;2:3\nnone\n")
+    found = readers.inverted_block(spark, str(tmp_path / "b.inv")).collect()
+    assert {(r["term"], r["doc_id"], tuple(r["positions"])) for r in found} == {("the", 1, (1, 1, 4)), ("the", 2, (3,))}
+    (tmp_path / "terms.txt").write_text("a\t1\nb\t2\na\t3\n")
+    assert {tuple(r) for r in readers.terms_list(spark, str(tmp_path / "terms.txt")).collect()} == {("a", 3), ("b", 2)}
+    (tmp_path / "map.txt").write_text("x\t1\nbroken row\ny\t2\n")
+    assert readers.docid_map(spark, str(tmp_path / "map.txt")).count() == 2
+    (tmp_path / "barrel_3.bin").write_bytes(b"\x81")
+    (tmp_path / "barrel_x.bin").write_bytes(b"\x81")
+    assert [(r["barrel_id"], bytes(r["content"])) for r in readers.barrel_blobs(spark, str(tmp_path)).collect()] == [(3, b"\x81")]
+    (tmp_path / "meta.txt").write_text("0\ta\tz\t0\t10\t3\n")
+    assert readers.barrel_metadata(spark, str(tmp_path / "meta.txt")).first()["term_count"] == 3
+
+
+def test_index_files(spark, tmp_path):
+    tokens = spark.createDataFrame([(1, 1, "b"), (1, 2, "a"), (2, 1, "b"), (1, 1, "b")], "doc_id int, pos int, term string")
+    found = index.postings(tokens)
+    words = index.lexicon_with_offsets(found).cache()
+    assert [(r["term"], r["word_id"], r["offset"], r["bytes"]) for r in words.orderBy("word_id").collect()] == [("a", 1, 0, 4), ("b", 2, 4, 8)]
+    writers.lexicon(words, f"{tmp_path}/lexicon")
+    assert readers.lexicon(spark, f"{tmp_path}/lexicon").orderBy("word_id").collect()[1]["skip_meta"] == '{"df":2,"skip_interval":128}'
+    writers.inverted_block(index.posting_lists(found), f"{tmp_path}/inv")
+    back = readers.inverted_block(spark, f"{tmp_path}/inv").collect()
+    assert {(r["term"], r["doc_id"], tuple(r["positions"])) for r in back} == {("b", 1, (1, 1)), ("b", 2, (1,)), ("a", 1, (2,))}
+    writers.forward_index(index.forward(found, words), f"{tmp_path}/fwd")
+    rows = {r["docid"]: [tuple(p) for p in r["postings"]] for r in readers.forward_index(spark, f"{tmp_path}/fwd").collect()}
+    assert rows == {"1": [(1, 1, [2]), (2, 2, [1, 1])], "2": [(2, 1, [1])]}
+    writers.terms_list(words, f"{tmp_path}/terms")
+    assert readers.terms_list(spark, f"{tmp_path}/terms").count() == 2
+    data = {r["word_id"]: bytes(r["content"]) for r in index.encoded(found, words).collect()}
+    assert {k: len(v) for k, v in data.items()} == {1: 4, 2: 8}
+    writers.postings_bytes(index.encoded(found, words), f"{tmp_path}/bytes")
+    assert spark.read.parquet(f"{tmp_path}/bytes").agg(F.sum(F.octet_length("content"))).first()[0] == 12
