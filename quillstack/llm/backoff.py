@@ -3,7 +3,7 @@
 Three relations, each dealt by a hash: documents in batches; the n-grams of each batch with their counts, dealt by the
 n-gram's hash; and the count tables, of which each part holds all counts of its hashes. Batches join the tables on
 the hash, and the scores of a document's n-grams are summed. Rows of the relations are packed: an n-gram is eight
-bytes of a sorted array, not a row, which keeps a shuffle of all n-grams of a corpus near the corpus's own size.
+bytes of a sorted array (its gap to the one before, by byte planes), not a row, which keeps a shuffle of all n-grams of a corpus near the corpus's own size.
 
 Every document is scored by all others: its own occurrences are taken off the counts, so that an n-gram that only it
 has backs off.
@@ -88,6 +88,24 @@ def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers by their bytes, lowest first: the planes of high bytes are zeros, which a shuffle compresses away."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """Sorted hashes as their gaps."""
+    return _planes(np.diff(grams, prepend=np.uint64(0)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data), dtype=np.uint64)
+
+
 def log_scores(batch: Batch, totals: list[np.ndarray], tokens: int, alpha: float) -> np.ndarray:
     """The log score of each token, by the counts of all documents but its own."""
     lengths = np.array(batch.lengths, dtype=np.int64)
@@ -127,14 +145,14 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
             cuts = np.searchsorted(part_of(batch.grams[n], parts), np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[p], cuts[p + 1])
-                found.append((p, int(group["batch"].iloc[0]), n, batch.grams[n][own].tobytes(), batch.counts[n][own].astype(np.uint32).tobytes()))
+                found.append((p, int(group["batch"].iloc[0]), n, packed(batch.grams[n][own]), _planes(batch.counts[n][own])))
         return pd.DataFrame(found, columns=["part", "batch", "n", "grams", "counts"])
 
     def tables(group: pd.DataFrame) -> pd.DataFrame:
         found = []
         for n, rows in group.groupby("n"):
-            keys = np.concatenate([np.frombuffer(g, np.uint64) for g in rows["grams"]])
-            counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]]).astype(np.int64)
+            keys = np.concatenate([unpacked(g) for g in rows["grams"]])
+            counts = np.concatenate([_from_planes(c) for c in rows["counts"]]).astype(np.int64)
             order = np.argsort(keys)
             ranked = keys[order]
             first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
@@ -142,7 +160,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
             total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(keys))))
             ends = np.cumsum([len(g) // 8 for g in rows["grams"]])
             for b, t in zip(rows["batch"], np.split(total, ends[:-1]), strict=True):
-                found.append((int(b), int(group["part"].iloc[0]), int(n), t.tobytes()))
+                found.append((int(b), int(group["part"].iloc[0]), int(n), _planes(t)))
         return pd.DataFrame(found, columns=["batch", "part", "n", "totals"])
 
     def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -150,12 +168,12 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         totals = []
         for n in range(settings.order):
             own = right[right["n"] == n].sort_values("part")
-            totals.append(np.concatenate([np.frombuffer(t, np.int64) for t in own["totals"]]) if len(own) else np.zeros(0, np.int64))
+            totals.append(np.concatenate([_from_planes(t) for t in own["totals"]]).astype(np.int64) if len(own) else np.zeros(0, np.int64))
         each = log_scores(batch, totals, tokens, settings.alpha)
         sums = np.bincount(batch.doc, weights=each, minlength=len(left)) if len(each) else np.zeros(len(left))
         return pd.DataFrame({"id": left["id"].astype("Int64"), "n_tokens": np.array(batch.lengths, dtype=np.int64), "log_score": sums, "row": left["row"]})
 
-    packed = dealt.groupBy("batch").applyInPandas(grams, "part int, batch int, n int, grams binary, counts binary")
-    counted = packed.groupBy("part").applyInPandas(tables, "batch int, part int, n int, totals binary")
+    relation = dealt.groupBy("batch").applyInPandas(grams, "part int, batch int, n int, grams binary, counts binary")
+    counted = relation.groupBy("part").applyInPandas(tables, "batch int, part int, n int, totals binary")
     found = dealt.groupBy("batch").cogroup(counted.groupBy("batch")).applyInPandas(summed, "id long, n_tokens long, log_score double, row string")
     return found.select(F.col("id").alias(id_col), "n_tokens", "log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"), "row")
