@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import named, partitions, text_bytes
+from quillstack.llm.common import named, text_bytes
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -29,9 +29,14 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     order: int = 2
     alpha: float = 0.4
-    batch_bytes: int = 16 << 20
+    #: Text of a batch: more where there are so many parts that a batch would have under ``cell_grams`` for each.
+    batch_bytes: int = 8 << 20
+    most_batch_bytes: int = 64 << 20
+    cell_grams: int = 64
     #: n-grams of a part of the count tables, about.
     part_grams: int = 2_000_000
+    #: Batches and parts of a small corpus.
+    least: int = 16
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -131,11 +136,12 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     and a null mean. Repeated rows are documents of their own, and so score high. An empty table gives an empty
     result.
     """
-    spark = docs.sparkSession
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), named(row_col).alias("row"))
     size = text_bytes(thin, "text")
-    batches = 4 * partitions(spark, size, settings.batch_bytes)
-    parts = partitions(spark, settings.order * size / 6, settings.part_grams)
+    # by the corpus alone: a row for each batch and part that meet, however many partitions the session has
+    parts = max(settings.least, int(settings.order * size / 6 / settings.part_grams) + 1)
+    each = min(settings.most_batch_bytes, max(settings.batch_bytes, 6 * settings.cell_grams * parts))
+    batches = max(settings.least, size // each + 1)
     tokens = thin.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))).first()[0] or 0
     dealt = thin.withColumn("batch", F.pmod(F.xxhash64("id", "text", "row"), F.lit(batches)).cast("int"))
 
