@@ -1,0 +1,102 @@
+"""URL rules and language models."""
+
+import math
+import random
+
+import pytest
+
+from quillstack.llm import urlmodel
+from quillstack.llm.queries import URL_RULES
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path"),
+    [
+        ("http://A.Net/x?y#z", "a.net", "/x"),
+        ("https://É.net#/x", "É.net", ""),
+        ("x://a.b?c=/d", "a.b", ""),
+        ("a://b://c/d", "b:", "//c/d"),
+        ("nothing", "", ""),
+        ("", "", ""),
+        (None, "", ""),
+        ("http://", "", ""),
+        ("http://h/p#q?r", "h", "/p"),
+    ],
+)
+def test_split(url, host, path):
+    assert urlmodel.split(url) == (host, path)
+
+
+@pytest.mark.parametrize(
+    ("url", "rule"),
+    [
+        ("http://a.net/", "net/"),
+        ("http://net/x", "net/"),
+        ("http://anet/x", None),
+        ("http://a.net", None),  # no path to start with the rule's
+        ("http://b.example.net/en/1", "example.net/en/"),
+        ("http://example.net/EN/1", "net/"),
+        ("http://badexample.net/en/1", "net/"),
+        ("http://example.com/de/", "example.com/de/"),
+        ("http://example.com/d", None),
+        ("http://x.org/fr/1", "org/fr/"),
+    ],
+)
+def test_rules(url, rule):
+    found = urlmodel.match(*urlmodel.split(url), urlmodel.rules_by_host(URL_RULES))
+    assert (found and found.name) == rule
+
+
+def test_probabilities_add_up():
+    model = urlmodel.Markov(["abab", "abba", "b", ""], 3)
+    for context in ("", "a", "ab", "\x02\x02\x02", "zzz", "bab"):
+        seen = sum(math.exp(model._of(c, context)) for c in "ab\x03")
+        rest = math.exp(model._of("q", context)) * (model.SYMBOLS - 3)
+        assert seen + rest == pytest.approx(1)
+    assert model.mean("abab") > model.mean("baab") > model.mean("zqzq")
+
+
+def test_threshold_is_the_best():
+    rng = random.Random(1)
+    for _ in range(30):
+        scores = [(rng.choice([rng.gauss(0, 1), 0.0]), rng.random() < 0.5) for _ in range(12)]
+        good, bad = [s for s, ok in scores if ok], [s for s, ok in scores if not ok]
+        if good and bad:
+            value = lambda t: sum(s >= t for s in good) / len(good) - sum(s >= t for s in bad) / len(bad)
+            assert value(urlmodel.threshold(scores)) == pytest.approx(max(value(t) for t, _ in scores))
+
+
+def table(spark):
+    rng = random.Random(2)
+    rows = [(i, f"http://good{rng.randrange(9)}.example.org/fr/article-{i}") for i in range(0, 150)]
+    rows += [(i, f"http://ads.spam{rng.randrange(9)}.net/buy?id={i}") for i in range(200, 350)]
+    rows += [(1000, "http://good3.example.com/fr/article-7"), (1001, "http://ads.spam4.info/buy?id=9"), (1002, None), (1003, ""), (1004, "no scheme"), (0, rows[0][1]), (None, "http://x.net/")]
+    return spark.createDataFrame([(u, i, "h", 1) for i, u in rows], "url string, page_id long, host string, score int")
+
+
+def test_judge(spark):
+    found = {r["page_id"]: r for r in urlmodel.judge(table(spark), URL_RULES).collect()}
+    assert (found[1000]["verdict"], found[1000]["rule"]) == ("allow", None)
+    assert (found[1001]["verdict"], found[1001]["host"], found[1001]["path"]) == ("block", "ads.spam4.info", "/buy")
+    assert (found[200]["verdict"], found[200]["rule"]) == ("block", "net/")
+    assert (found[1002]["verdict"], found[1002]["host"], found[1002]["score"]) == ("allow", "", None)
+    assert found[1003]["verdict"] == "allow" and found[1004]["host"] == "" and found[None]["verdict"] == "block"
+    assert urlmodel.judge(table(spark), URL_RULES).count() == table(spark).count()
+
+
+def test_matches_the_models_one_by_one(spark):
+    """Every row against models fitted here on the same sample."""
+    settings = urlmodel.Settings(order=3, most_sampled=40)
+    rows = table(spark)
+    sample = urlmodel._sample(rows.select("url"), urlmodel.rules_by_host(URL_RULES), settings)
+    assert {len(s) for s in sample.values()} == {40}
+    models = [urlmodel.Markov(sample[v][::2], 3) for v in ("allow", "block")]
+    for r in urlmodel.judge(rows, URL_RULES, settings).collect():
+        if r["url"]:
+            seen = urlmodel._normal(r["url"])
+            assert r["score"] == pytest.approx(models[0].mean(seen) - models[1].mean(seen))
+
+
+def test_without_rules_or_rows(spark):
+    assert {r["verdict"] for r in urlmodel.judge(table(spark), []).collect()} == {"allow"}
+    assert urlmodel.judge(table(spark).limit(0), URL_RULES).count() == 0
