@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, named, rows
+from quillstack.llm.common import lowest, materialize, named, rows
 
 #: Words and runs of punctuation are tokens; what is not ASCII counts as a letter.
 TOKEN = re.compile(rb"[^\x00-/:-@\[-`{-\x7f]+|[!-/:-@\[-`{-~]+")
@@ -140,7 +140,8 @@ def _labelled(labels: DataFrame, settings: Settings, id_col: str, label_col: str
     """(label_id, good, fit) of the labelled sample: most_labelled rows of each class at most; half of them fit."""
     thin = labels.select(F.col(id_col).cast("long").alias("label_id"), (F.col(label_col) > 0).alias("good")).where(F.col("label_id").isNotNull() & F.col("good").isNotNull())
     thin = thin.groupBy("label_id").agg(F.min("good").alias("good")).withColumn("h", F.xxhash64("label_id", F.lit(settings.seed)))
-    some = [thin.where(F.col("good") == good).orderBy("h", "label_id").limit(settings.most_labelled) for good in (True, False)]
+    thin = materialize(thin, "labels")
+    some = [lowest(thin.where(F.col("good") == good), "h", settings.most_labelled) for good in (True, False)]
     return some[0].union(some[1]).select("label_id", "good", (F.col("good") & (F.pmod("h", F.lit(2)) == 0)).alias("fit"), (F.pmod("h", F.lit(2)) == 1).alias("held"))
 
 
