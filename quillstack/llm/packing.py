@@ -45,33 +45,40 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def fullest(left: dict[int, int], room: int) -> list[int]:
-    """Lengths, as many of each as ``left`` has at most, with the greatest sum that is no more than ``room``."""
-    reach, steps, mask = 1, [], (1 << (room + 1)) - 1
-    for length in sorted((x for x in left if x <= room), reverse=True):
-        many, part = min(left[length], room // length), 1
+def fullest(left: dict[int, int], room: int, slack: int = 0) -> list[int]:
+    """Lengths, as many of each as ``left`` has at most, with the greatest sum that is no more than ``room``.
+
+    Of combinations within ``slack`` of that sum, the one with the greatest lengths: small ones are easier to place
+    later.
+    """
+    reach, mask = 1, (1 << (room + 1)) - 1
+    steps = []  # (length, how many at most, the sums that smaller lengths reach)
+    for length in sorted(x for x in left if x <= room):
+        most = min(left[length], room // length)
+        steps.append((length, most, reach))
+        many, part = most, 1
         while many > 0:  # multiplicities as powers of two
             part = min(part, many)
-            steps.append((reach, length, part))
             reach |= reach << length * part & mask
             many, part = many - part, part * 2
-        if reach >> room & 1:
-            break
-    at, taken = reach.bit_length() - 1, []
-    for before, length, part in reversed(steps):
-        if not before >> at & 1:
-            taken += [length] * part
-            at -= length * part
+    high = reach.bit_length() - 1
+    low, taken = max(0, high - slack), []
+    for length, most, smaller in reversed(steps):
+        for n in range(min(most, high // length), -1, -1):
+            least = max(0, low - n * length)
+            if smaller >> least & (1 << (high - n * length - least + 1)) - 1:
+                break
+        taken += [length] * n
+        low, high = max(0, low - n * length), high - n * length
     return taken
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(times, lengths) of every bin pattern; each bin opens with the greatest length left."""
+def _plan(histogram: dict[int, int], capacity: int, slack: int) -> list[tuple[int, list[int]]]:
     left, found = {k: n for k, n in histogram.items() if n}, []
     while left:
         head = max(left)
         rest = left | {head: left[head] - 1}
-        pattern = [head, *fullest({k: n for k, n in rest.items() if n}, capacity - head)]
+        pattern = [head, *fullest({k: n for k, n in rest.items() if n}, capacity - head, slack)]
         need = {k: pattern.count(k) for k in set(pattern)}
         times = min(left[k] // n for k, n in need.items())
         for k, n in need.items():
@@ -82,6 +89,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return found
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """(times, lengths) of every bin pattern; each bin opens with the greatest length left.
+
+    Filling early bins to the brim can leave nothing to fill later ones: the plan is made with a few allowances of
+    slack (relaxed minimum bin slack), and the one with the fewest bins is taken.
+    """
+    total = sum(k * n for k, n in histogram.items())
+    least = max(-(-total // capacity), sum(n for k, n in histogram.items() if 2 * k > capacity))
+    best: list[tuple[int, list[int]]] = []
+    for slack in (0, capacity // 64, capacity // 16, capacity // 4, capacity):
+        found = _plan(histogram, capacity, slack)
+        if not best or sum(t for t, _ in found) < sum(t for t, _ in best):
+            best = found
+        if sum(t for t, _ in best) == least:
+            break
+    return best
+
+
 def slots(patterns: list[tuple[int, list[int]]]) -> np.ndarray:
     """Rows (length, first rank, times, first sequence, offset), by length and rank: where pieces of a rank go."""
     found, ranks, sequence = [], {}, 0
