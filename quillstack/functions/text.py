@@ -58,14 +58,21 @@ def _inside(text: Column, mark: str, stand_in: str) -> Column:
     return text
 
 
+def _runs(text: Column, more: str = "") -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{N}}{more}]+"), F.lit(0))
+
+
 def _words(text: Column, stand_ins: str, marks: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{N}}{stand_ins}]+"), F.lit(0))
-    return F.transform(found, lambda t: F.translate(t, stand_ins, marks))
+    return F.transform(_runs(text, stand_ins), lambda t: F.translate(t, stand_ins, marks))
 
 
 def tokens_v1(text: Column, ascii_lower: bool = False) -> Column:
-    """Lower-case runs of letters and digits; a straight apostrophe between two letters is part of its word."""
-    return _words(_inside(lower(text, ascii_lower), "'", STRAIGHT), STRAIGHT, "'")
+    """Lower-case runs of letters and digits; a straight apostrophe between two letters is part of its word.
+
+    Texts without an apostrophe, which most are, take one pass of one expression.
+    """
+    low = lower(text, ascii_lower)
+    return F.when(F.contains(text, F.lit("'")), _words(_inside(low, "'", STRAIGHT), STRAIGHT, "'")).otherwise(_runs(low))
 
 
 def originals_v2(text: Column) -> Column:
@@ -73,7 +80,8 @@ def originals_v2(text: Column) -> Column:
     marked = text
     for _ in range(2):
         marked = lit_regexp_replace(lit_regexp_replace(marked, r"(\p{L})'(\p{L})", f"$1{STRAIGHT}$2"), r"(\p{L})’(\p{L})", f"$1{CURLY}$2")
-    return _words(marked, STRAIGHT + CURLY, "'’")
+    some = F.contains(text, F.lit("'")) | F.contains(text, F.lit("’"))
+    return F.when(some, _words(marked, STRAIGHT + CURLY, "'’")).otherwise(_runs(text))
 
 
 def tokens_v2(text: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstack.functions.codec import encode_postings, posting_size
+from quillstack.functions.codec import encode_postings, vbyte_size
 from quillstack.operators import order
 
 BARRELS = 10
@@ -46,11 +46,22 @@ def posting_lists(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.groupBy("term").agg(F.array_sort(F.collect_list(one)).alias("postings"))
 
 
-def lexicon_with_offsets(found: DataFrame, id_col: str = "doc_id", skip_interval: int = SKIP_INTERVAL) -> DataFrame:
+def posting_bytes(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(term, doc_freq, term_freq, bytes): how long each term's encoded list is, as sums of the sizes of its gaps.
+
+    No list is built for it: sizes of position gaps add up by document, those of document gaps by term.
+    """
+    within = Window.partitionBy("term", id_col).orderBy("pos")
+    gap = F.col("pos") - F.lag("pos", 1, 0).over(within)
+    own = tokens.select("term", id_col, vbyte_size(gap).cast("long").alias("_b")).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sum("_b").alias("_b"))
+    sized = gaps(own, id_col).withColumn("_b", F.col("_b") + vbyte_size(F.col("tf")) + vbyte_size(F.col("doc_gap")))
+    sums = sized.groupBy("term").agg(F.count("*").cast("int").alias("doc_freq"), F.sum("tf").cast("long").alias("term_freq"), F.sum("_b").alias("bytes"))
+    return sums.withColumn("bytes", F.col("bytes") + vbyte_size(F.col("doc_freq")))
+
+
+def lexicon_with_offsets(tokens: DataFrame, id_col: str = "doc_id", skip_interval: int = SKIP_INTERVAL) -> DataFrame:
     """The whole lexicon: ids, frequencies, where a term's encoded list begins, how long it is, and its barrel."""
-    lists = posting_lists(found, id_col)
-    sizes = lists.select("term", F.size("postings").alias("doc_freq"), F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"]).alias("term_freq"), posting_size(F.col("postings")).alias("bytes"))
-    placed = order.running(with_word_ids(sizes), "term", order.by_term(), "bytes", "offset")
+    placed = order.running(with_word_ids(posting_bytes(tokens, id_col)), "term", order.by_term(), "bytes", "offset")
     skip = F.to_json(F.struct(F.col("doc_freq").alias("df"), F.lit(skip_interval).alias("skip_interval")))
     return placed.select("word_id", "term", "doc_freq", "term_freq", "offset", "bytes", skip.alias("skip_meta"), barrel_of(F.col("term")).alias("barrel_id"))
 
@@ -92,10 +103,17 @@ def missing_terms(found: DataFrame, words: DataFrame) -> DataFrame:
     return found.join(words.select("term"), "term", "left_anti").select("term").distinct()
 
 
-def gaps(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_gap: from a term's document before; the first one's is its id."""
-    before = Window.partitionBy("term").orderBy(id_col)
-    return found.withColumn("doc_gap", F.col(id_col) - F.lag(id_col, 1, 0).over(before))
+def gaps(found: DataFrame, id_col: str = "doc_id", bits: int = 20) -> DataFrame:
+    """doc_gap: from a term's document before; the first one's is its id.
+
+    A window holds a term's documents of one range of ids, of 2**bits ids, so that the most frequent term is not one
+    task's; where a range begins, the last document of the ranges before comes from a table of one row for each.
+    """
+    ranged = found.withColumn("_range", F.shiftright(F.col(id_col).cast("long"), bits))
+    last = ranged.groupBy("term", "_range").agg(F.max(id_col).alias("_last"))
+    ahead = last.select("term", "_range", F.lag("_last", 1, 0).over(Window.partitionBy("term").orderBy("_range")).alias("_ahead"))
+    before = F.lag(id_col).over(Window.partitionBy("term", "_range").orderBy(id_col))
+    return ranged.join(ahead, ["term", "_range"]).withColumn("doc_gap", F.col(id_col) - F.coalesce(before, "_ahead")).drop("_range", "_ahead")
 
 
 def position_gaps(positions: Column) -> Column:

@@ -12,6 +12,7 @@ from quillstack.functions import codec
 from quillstack.functions import text as T
 from quillstack.functions.stem import porter_stem, stem_terms
 from quillstack.operators import analyze, barrels, extract, index, metrics, order, search, suggest
+from quillstack.sources.spread import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,7 +32,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,7 +458,7 @@ def _vbyte_sql(x: str) -> str:
     "'{\"df\":' || doc_freq || ',\"skip_interval\":128}' AS skip_meta FROM s"
 )
 def posting_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.lexicon_with_offsets(index.postings(token_rows(documents(spark, sf_dir)))).drop("barrel_id")
+    return index.lexicon_with_offsets(token_rows(documents(spark, sf_dir))).drop("barrel_id")
 
 
 @query(f"SELECT doc_id, {_vbyte_sql('n_chars')} AS size, {_vbyte_sql('doc_id * 1000')} AS wide FROM documents")

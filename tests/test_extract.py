@@ -114,7 +114,7 @@ def test_small_readers(spark, tmp_path):
 def test_index_files(spark, tmp_path):
     tokens = spark.createDataFrame([(1, 1, "b"), (1, 2, "a"), (2, 1, "b"), (1, 1, "b")], "doc_id int, pos int, term string")
     found = index.postings(tokens)
-    words = index.lexicon_with_offsets(found).cache()
+    words = index.lexicon_with_offsets(tokens).cache()
     assert [(r["term"], r["word_id"], r["offset"], r["bytes"]) for r in words.orderBy("word_id").collect()] == [("a", 1, 0, 4), ("b", 2, 4, 8)]
     writers.lexicon(words, f"{tmp_path}/lexicon")
     assert readers.lexicon(spark, f"{tmp_path}/lexicon").orderBy("word_id").collect()[1]["skip_meta"] == '{"df":2,"skip_interval":128}'

@@ -95,6 +95,14 @@ def test_numbering_spans_buckets(spark):
     assert [r["word_id"] for r in words.orderBy("word_id").collect()] == list(range(1, len(terms) + 1))
 
 
+@pytest.mark.parametrize("bits", [0, 2, 20])
+def test_gaps_span_ranges(spark, bits):
+    docs = {"a": [1, 2, 9, 40, 41], "b": [7], "c": [0, 64]}
+    rows = spark.createDataFrame([(t, d) for t, own in docs.items() for d in own], "term string, doc_id long")
+    found = {(r["term"], r["doc_id"]): r["doc_gap"] for r in index.gaps(rows, bits=bits).collect()}
+    assert found == {(t, d): d - (own[k - 1] if k else 0) for t, own in docs.items() for k, d in enumerate(own)}
+
+
 def test_metrics(spark, tmp_path):
     rows = spark.createDataFrame([(i, float(v), 1024 * v) for i, v in enumerate((4, 2, 1, 3))], "query_id long, time_ms double, mem_kb long")
     found = metrics.query_stats(rows).first()
