@@ -61,7 +61,7 @@ def posting_bytes(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def lexicon_with_offsets(tokens: DataFrame, id_col: str = "doc_id", skip_interval: int = SKIP_INTERVAL) -> DataFrame:
     """The whole lexicon: ids, frequencies, where a term's encoded list begins, how long it is, and its barrel."""
-    placed = order.running(with_word_ids(posting_bytes(tokens, id_col)), "term", order.by_term(), "bytes", "offset")
+    placed = order.running(posting_bytes(tokens, id_col), "term", order.by_term(), {"offset": "bytes"}, number="word_id")
     skip = F.to_json(F.struct(F.col("doc_freq").alias("df"), F.lit(skip_interval).alias("skip_interval")))
     return placed.select("word_id", "term", "doc_freq", "term_freq", "offset", "bytes", skip.alias("skip_meta"), barrel_of(F.col("term")).alias("barrel_id"))
 

@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 
 def numbered(rows: DataFrame, by: str, bucket: Column, name: str) -> DataFrame:
     """``name``: 1 for the row with the least ``by``, and so on. ``bucket`` must order rows as ``by`` does, if less finely."""
-    return running(rows.withColumn("_one", F.lit(1).cast("long")), by, bucket, "_one", name, include=True).withColumn(name, F.col(name).cast("int")).drop("_one")
+    return running(rows, by, bucket, {}, number=name)
 
 
-def running(rows: DataFrame, by: str, bucket: Column, value: str, name: str, include: bool = False) -> DataFrame:
-    """``name``: the sum of ``value`` over the rows before in the order of ``by``; with ``include``, the row's own too.
+def running(rows: DataFrame, by: str, bucket: Column, sums: dict[str, str], number: str | None = None) -> DataFrame:
+    """Sums over the rows before in the order of ``by``, of the columns that ``sums`` names by what it adds; and
+    ``number``, which counts the rows up to this one.
 
     Only one row for each bucket meets in a single task.
     """
     rows = rows.withColumn("_bucket", bucket)
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    ahead = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before.orderBy("_bucket")), F.lit(0)).alias("_ahead"))
-    own = Window.partitionBy("_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
-    found = rows.join(ahead, "_bucket").withColumn(name, F.col("_ahead") + F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return found.drop("_bucket", "_ahead")
+    wanted = {name: F.col(value) for name, value in sums.items()} | ({number: F.lit(1).cast("long")} if number else {})
+    upto = {name: 0 if name == number else -1 for name in wanted}
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.groupBy("_bucket").agg(*(F.sum(v).alias(f"_{k}") for k, v in wanted.items()))
+    ahead = each.select("_bucket", *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in wanted))
+    own = {k: Window.partitionBy("_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, upto[k]) for k in wanted}
+    found = rows.join(ahead, "_bucket").withColumns({k: F.col(f"_{k}") + F.coalesce(F.sum(v).over(own[k]), F.lit(0)) for k, v in wanted.items()})
+    if number:
+        found = found.withColumn(number, F.col(number).cast("int"))
+    return found.drop("_bucket", *(f"_{k}" for k in wanted))
 
 
 def by_term(term: str = "term") -> Column:

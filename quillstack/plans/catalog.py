@@ -32,7 +32,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    keys = {"documents": ["doc_id"], "pages": ["page_id"]}.get(name, [])
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *keys)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

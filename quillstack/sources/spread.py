@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame
 SMALL = 32 << 20
 
 
-def spread(rows: DataFrame, small: int = SMALL) -> DataFrame:
+def spread(rows: DataFrame, *keys: str, small: int = SMALL) -> DataFrame:
     """``rows`` dealt over all cores where their files are small, as a single row group is a single task otherwise.
 
+    With ``keys``, by those: what is then grouped by a document and more, as its terms are, is not shuffled again.
+
     The size is the optimizer's estimate, from the files' lengths; an input over ``small`` bytes a core is left as it
     is, so that nothing large is shuffled for it.
     """
     spark = rows.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:  # no JVM here to ask
-        return rows
-    return rows.repartition(cores) if 1 < cores and size <= cores * small else rows
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, *keys) if 1 < cores and size <= cores * small else rows
