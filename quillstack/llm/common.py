@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillstack-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,7 +42,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``materialize`` gave and that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table.written_at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written[:] = [x for x in _written if x[1] != path]
 
 
 def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
@@ -67,9 +83,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session is gone; its folder goes with it
             return
 
