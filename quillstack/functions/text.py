@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Stand-ins for apostrophes inside words while a text is cut at everything else; both are private-use characters.
 STRAIGHT, CURLY = "", ""
@@ -32,6 +36,12 @@ def sanitize(text: Column) -> Column:
     return normalize_whitespace(F.translate(text, "\t\n\r", "   "))
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Canonical composition, which no expression has."""
+    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+
 def controls_out(text: Column, tabs_as_blanks: bool = True) -> Column:
     """Line feeds as blanks, other control characters deleted; tabs as blanks, or deleted too."""
     kept = F.translate(text, "\n\t", "  ") if tabs_as_blanks else F.translate(text, "\n", " ")

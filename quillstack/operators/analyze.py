@@ -26,22 +26,30 @@ class CleanOptions:
     dehyphenate: bool = False
     #: Tabs inside a text: blanks, or deleted as one tokenizer of old did.
     tabs_as_blanks: bool = True
+    #: Canonical composition before all else; an Arrow function, so for corpora that need it only.
+    nfc: bool = False
 
 
-def terms(text: Column, options: CleanOptions = CleanOptions()) -> Column:  # noqa: B008
-    """The terms of a text in order, before any filter."""
+def normalized(text: Column, options: CleanOptions = CleanOptions()) -> Column:  # noqa: B008
+    """A text as one line without control characters."""
     text = F.coalesce(text, F.lit(""))
+    if options.nfc:
+        text = T.nfc(text)
     if options.dehyphenate:
         text = T.dehyphenate(text)
-    text = T.line_ends_as_blanks(T.controls_out(text, options.tabs_as_blanks))
+    return T.line_ends_as_blanks(T.controls_out(text, options.tabs_as_blanks))
+
+
+def terms(text: Column, options: CleanOptions = CleanOptions()) -> Column:  # noqa: B008
+    """The terms of a text in order, before any filter."""
+    text = normalized(text, options)
     return T.tokens_v2(text) if options.tokenizer == "v2" else T.tokens_v1(text, options.ascii_lower)
 
 
 def numbered(text: Column, options: CleanOptions = CleanOptions()) -> Column:  # noqa: B008
     """array<struct<term, orig, pos>>; positions count from 1 before any filter, so that gaps stay."""
     if options.keep_original:
-        whole = T.line_ends_as_blanks(T.controls_out(F.coalesce(text, F.lit("")), options.tabs_as_blanks))
-        return F.transform(T.originals_v2(whole), lambda t, i: F.struct(T.lower(t, options.ascii_lower).alias("term"), t.alias("orig"), (i + 1).alias("pos")))
+        return F.transform(T.originals_v2(normalized(text, options)), lambda t, i: F.struct(T.lower(t, options.ascii_lower).alias("term"), t.alias("orig"), (i + 1).alias("pos")))
     return F.transform(terms(text, options), lambda t, i: F.struct(t.alias("term"), F.lit(None).cast("string").alias("orig"), (i + 1).alias("pos")))
 
 

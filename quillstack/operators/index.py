@@ -83,6 +83,21 @@ def lengths(counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return counted.groupBy(id_col).agg(F.sum("tf").cast("long").alias("dl"))
 
 
+def lengths_of_forward(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, dl) of a forward index by original ids, joined to (doc_id, orig_id); ids that docs lack have no row."""
+    own = rows.select(F.col("docid").cast("string").alias("orig_id"), F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["freq"]).alias("dl"))
+    return own.join(docs.select("doc_id", F.col("orig_id").cast("string").alias("orig_id")), "orig_id").select("doc_id", "dl")
+
+
+def union(**corpora: DataFrame) -> DataFrame:
+    """Several corpora's rows, each with its name; columns that some lack are null there."""
+    found = None
+    for name, rows in corpora.items():
+        rows = rows.withColumn("corpus", F.lit(name))
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found
+
+
 def corpus_stats(docs: DataFrame, doc_stats: DataFrame) -> DataFrame:
     """One row (n, total_len, avgdl): documents without a token count, with length 0."""
     n = docs.agg(F.count("*").alias("n"))

@@ -178,6 +178,12 @@ def control_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT doc_id, nfc_normalize(text) AS text, nfc_normalize(replace(lang, 'e', 'e' || chr(769))) AS composed FROM documents")
+def nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", T.nfc("text").alias("text"), T.nfc(F.replace("lang", F.lit("e"), F.lit("e\u0301"))).alias("composed"))
+
+
 @query(f"SELECT doc_id, translate(text, '{T.UPPER}', '{T.LOWER}') AS ascii_lower, lower(text) AS unicode_lower FROM documents")
 def lowercase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.lower(F.col("text"), True).alias("ascii_lower"), T.lower(F.col("text")).alias("unicode_lower"))
@@ -412,6 +418,21 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lengths(counted(spark, sf_dir))
 
 
+@query(f"WITH {COUNTS} SELECT doc_id AS internal_id, sum(tf)::BIGINT AS dl FROM p WHERE doc_id % 3 > 0 GROUP BY doc_id")
+def forward_doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths from a forward index by original ids, of the documents that an id map has."""
+    found = counted(spark, sf_dir).withColumn("positions", F.array().cast("array<int>"))
+    rows = index.forward(found, index.with_word_ids(index.lexicon(found))).withColumn("docid", F.concat(F.lit("d"), "docid"))
+    docs = documents(spark, sf_dir).where("doc_id % 3 > 0").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("orig_id"))
+    return index.lengths_of_forward(rows, docs).withColumnRenamed("doc_id", "internal_id")
+
+
+@query("SELECT corpus, count(*) AS n, count(url) AS urls FROM (SELECT 'pages' AS corpus, url FROM pages UNION ALL SELECT 'documents', NULL FROM documents) GROUP BY corpus")
+def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = index.union(pages=table(spark, sf_dir, "pages"), documents=documents(spark, sf_dir))
+    return both.groupBy("corpus").agg(F.count("*").alias("n"), F.count("url").alias("urls"))
+
+
 @query(f"WITH {TOKENS}, {LENGTHS} SELECT n, total_len::BIGINT AS total_len, round(avgdl, 6) AS avgdl FROM c")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whole_index(spark, sf_dir)

@@ -39,6 +39,17 @@ def test_single_and_multi(small):
     assert len(scores(search.search_multi(small, "cell", k=2))) == 2
 
 
+def test_published_scores(spark):
+    """A term with postings 1:2, 4:1, 6:1 among documents of known lengths."""
+    lengths = [2308, 989, 3662, 3200, 1042, 4588]
+    docs = spark.createDataFrame([(i, str(i)) for i in range(1, 7)], "doc_id int, orig_id string")
+    postings = spark.createDataFrame([("virus", 1, 2), ("virus", 4, 1), ("virus", 6, 1)], "term string, doc_id int, tf int")
+    own = index.Index(docs, postings, index.lexicon(postings), spark.createDataFrame(list(enumerate(lengths, 1)), "doc_id int, dl long"))
+    assert scores(search.search_multi(own, "virus")) == [(1, 0.733738), (4, 0.631732), (6, 0.519378)]
+    assert scores(search.search_multi(own, "virus", tf_mode="actual")) == [(1, 1.030948), (4, 0.631732), (6, 0.519378)]
+    assert scores(search.search_multi(own, "virus virus")) == [(1, 1.467475), (4, 1.263465), (6, 1.038756)]
+
+
 def test_semantic(spark, small):
     synonyms = spark.createDataFrame([("wall", "virus", 1), ("wall", "cell", 3)], "term string, synonym string, rank int")
     assert [d for d, _ in scores(search.search_semantic(small, "wall", synonyms))] == [3]
