@@ -27,7 +27,8 @@ _MARK = re.compile(
     re.DOTALL,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.DOTALL)
-_PART = re.compile(r"[A-Za-z0-9]+")
+#: Words of a class or id: between other characters, and also at capitals and digits.
+_PART, _INNER = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page, up to their end tag.
@@ -39,7 +40,7 @@ INLINE = frozenset(
 ASIDE = frozenset("nav footer aside form button dialog menu fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter "
     "notice notices notification pager pagination paywall popup promo promotion promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 MAIN = ("article", "main")
@@ -75,8 +76,10 @@ def _is_aside(tag: str, attrs: str, inside: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", *MAIN) and any(w.lower() in WORDS for w in _PART.findall(value)):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", *MAIN):
+            own = {w.lower() for w in (*_PART.findall(value), *_INNER.findall(value))} & WORDS
+            if own - ({"header"} if inside else set()):  # an article's own header holds its title
+                return True
     return False
 
 

@@ -29,6 +29,8 @@ def text(page, known=frozenset()):
         ('<article>a<div class="reader-comments"><p>no</p></div><div id=comments>no</div><section class=cookie-notice>no</section>b</article>', "a b"),
         ('<article>a<form>no</form><div role="navigation">no</div><p hidden>no</p><div aria-hidden="true">no</div><p style="display: none">no</p>b</article>', "a b"),
         ("<body class='has-sidebar'><div class='ad-wrap'><article>in</article></div></body>", "in"),
+        ('<article><header class="entry-header"><h1>T</h1></header>a<div id="sideBar">no</div><div class="AdBox">no</div><ol class=commentlist><li>no</ol>b<p class="loading adder">c</p></article>', "T a b c"),
+        ('<div class="page-header">no</div><p>yes</p><div id="siteFooter2">no</div>', "yes"),
         ("<aside><article>teaser</article></aside><article>real</article>", "real"),
         ("<header>site</header><article><header><h1>Title</h1></header>text</article>", "Title text"),
         ("<article>a &lt;b&gt; &#233; &eacute;&nbsp; c &unknown; &</article>", "a <b> é é c &unknown; &"),
