@@ -52,22 +52,25 @@ def score(index: Index, terms: Sequence[str], mode: str = "and", tf_mode: str =
     if not times:
         return index.spark.createDataFrame([], "doc_id long, score double, term_frequencies map<string,int>")
     known = _lookup(index.lexicon, list(times)).select("term", "doc_freq")  # a row for each of the query's terms at most
-    weight = F.coalesce(*(F.when(F.col("term") == t, F.lit(n)) for t, n in times.items()))
-    stats = corpus_stats(index.docs, index.doc_stats).crossJoin(F.broadcast(known.agg(F.count("*").alias("known"))))
+    stats = corpus_stats(index.docs, index.doc_stats).crossJoin(F.broadcast(known.agg(F.count("*").alias("known"))))  # one row each
     found = _lookup(index.postings, list(times)).select("doc_id", "term", "tf").join(F.broadcast(known), "term")
-    found = found.join(index.doc_stats, "doc_id", "left").crossJoin(F.broadcast(stats))  # one row
-    length = F.coalesce(F.col("dl"), F.floor("avgdl")).cast("double")
-    tf = F.lit(1.0) if tf_mode == "binary" else F.col("tf").cast("double")
-    each = found.withColumn("part", weight * bm25(F.col("n"), F.col("doc_freq"), tf, length, F.col("avgdl")))
-    per = each.groupBy("doc_id").agg(
-        F.sum("part").alias("score"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("term_frequencies"),
-        F.count("*").alias("has"),
-        F.first("known").alias("known"),
-    )
+    # a row for each document, and those that lack a term gone, before lengths are joined
+    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "doc_freq"))).alias("parts"))
+    per = per.crossJoin(F.broadcast(stats))  # one row
     if mode == "and":
-        per = per.where(F.col("has") == F.col("known"))
-    best = per.select("doc_id", "score", "term_frequencies").orderBy(F.desc("score"), "doc_id")
+        per = per.where(F.size("parts") == F.col("known"))
+    per = per.join(index.doc_stats, "doc_id", "left")
+    length = F.coalesce(F.col("dl"), F.floor("avgdl")).cast("double")
+
+    def part(x: Column) -> Column:
+        weight = F.coalesce(*(F.when(x["term"] == t, F.lit(n)) for t, n in times.items()))
+        tf = F.lit(1.0) if tf_mode == "binary" else x["tf"].cast("double")
+        return weight * bm25(F.col("n"), x["doc_freq"], tf, length, F.col("avgdl"))
+
+    total = F.aggregate(F.transform("parts", part), F.lit(0.0), lambda a, b: a + b)
+    frequencies = F.map_from_entries(F.transform("parts", lambda x: F.struct(x["term"], x["tf"])))
+    per = per.select("doc_id", total.alias("score"), frequencies.alias("term_frequencies"))
+    best = per.orderBy(F.desc("score"), "doc_id")
     return best if k is None else best.limit(k)
 
 
