@@ -165,7 +165,8 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: i
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
     width = max(histogram.values(), default=0) + 1
-    ranked = found.join(per.drop("n"), ["length", "part"]).withColumn("rank", F.col("ahead") + F.col("nth"))
+    # not broadcast, however small its file is: runs of numbers are far larger in memory
+    ranked = found.join(per.drop("n").hint("merge"), ["length", "part"]).withColumn("rank", F.col("ahead") + F.col("nth"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):  # noqa: ANN001, ANN202
