@@ -4,7 +4,7 @@ Tokens of the pages of a host, which are tags at their path and texts at theirs,
 vectors: how often each stands on each page. A vector is not kept but summed as a hash over pages, so that a host with
 any number of pages adds up in the map-side combine. Classes that stand on enough of the host's pages, whose spans
 nest, make the host's template; what is between its tokens are slots. Slots within elements that are not the article
-(menus, adverts and so on) go, as do texts that the template itself holds; the others are the page's main text.
+(menus, adverts and so on) go, as do texts that the template itself holds; the others are the page's main text. Pages of a host with equal html are one page to its template.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batched, materialize, rows
+from quillstack.llm.common import batched, materialize, rows, with_rows
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
@@ -43,6 +43,8 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter "
     "notice notices notification pager pagination paywall popup promo promotion promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: What a name inside an article may end in after the word that tells what it is: share-buttons, related-posts.
+HOLDERS = frozenset("area articles bar block box buttons container content form inner items links list outer panel posts slot stories unit widget wrap wrapper".split())
 MAIN = ("article", "main")
 #: What an open element ends when one of these opens directly inside it.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,7 +64,6 @@ class Block:
     path: int
     aside: bool
     within: str
-    linked: float
 
 
 def _is_aside(tag: str, attrs: str, inside: str) -> bool:
@@ -77,12 +78,24 @@ def _is_aside(tag: str, attrs: str, inside: str) -> bool:
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", *MAIN):
-            own = {w.lower() for w in (*_PART.findall(value), *_INNER.findall(value))} & WORDS
-            if own - ({"header"} if inside else set()):  # an article's own header holds its title
+            if any(map(_named_aside, value.split())) if inside else {w.lower() for w in (*_PART.findall(value), *_INNER.findall(value))} & WORDS:
                 return True
     return False
 
 
+def _named_aside(name: str) -> bool:
+    """Whether a class or id inside an article says as a whole, or by its last word, that it is not of the article.
+
+    Words before the last tell of what a section is (related-work, social-history), not that it is an aside.
+    """
+    words = [w.lower() for part in _PART.findall(name) for w in ([part] if part.lower() in WORDS else _INNER.findall(part))]
+    whole = "".join(words)
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    # an article's own header holds its title
+    return bool({whole, *words[-1:]} & (WORDS - {"header"}))
+
+
 def parse(page: str | None) -> tuple[list[tuple[int, int]], list[Block]]:
     """(tokens, blocks): each tag's and text's (token, place) in page order, and the texts between block tags."""
     page = page or ""
@@ -90,10 +103,9 @@ def parse(page: str | None) -> tuple[list[tuple[int, int]], list[Block]]:
     tokens: list[tuple[int, int]] = []
     blocks: list[Block] = []
     held: list[str] = []
-    linked = at = links = 0
+    at = 0
 
     def flush() -> None:
-        nonlocal linked
         text = " ".join("".join(held).split())
         if text:
             top = stack[-1]
@@ -101,18 +113,13 @@ def parse(page: str | None) -> tuple[list[tuple[int, int]], list[Block]]:
                 if e.tag not in INLINE:
                     top = e
                     break
-            blocks.append(Block(text, top.path, stack[-1].aside, top.within, linked / max(1, len(text))))
+            blocks.append(Block(text, top.path, stack[-1].aside, top.within))
             tokens.append((xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), top.path & 0xFFFFFFFF), len(tokens)))
         held.clear()
-        linked = 0
 
     def text_upto(end: int) -> None:
-        nonlocal linked
         if end > at:
-            piece = entities.unescape(page[at:end]) if page.find("&", at, end) >= 0 else page[at:end]
-            held.append(piece)
-            if links:
-                linked += len(piece)
+            held.append(entities.unescape(page[at:end]) if page.find("&", at, end) >= 0 else page[at:end])
 
     while m := _MARK.search(page, at):
         text_upto(m.start())
@@ -124,8 +131,6 @@ def parse(page: str | None) -> tuple[list[tuple[int, int]], list[Block]]:
         if not inline:
             flush()
         if m["end"] or m["end2"]:
-            if inline and tag == "a":
-                links = max(0, links - 1)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -144,7 +149,6 @@ def parse(page: str | None) -> tuple[list[tuple[int, int]], list[Block]]:
             ends = _ENDS.get(tag, ())
             while stack[-1].tag == "p" or stack[-1].tag in INLINE or stack[-1].tag in ends:
                 stack.pop()
-            links = 0
         if tag in VOID:
             continue
         top = stack[-1]
@@ -154,8 +158,6 @@ def parse(page: str | None) -> tuple[list[tuple[int, int]], list[Block]]:
             aside = False  # a wrapper's name does not make an article an advert
         label = tag if inline else tag + re.sub(r"\d+", "", "".join(a or b or c for n, a, b, c in _ATTR.findall(attrs) if n.lower() == "class")) if attrs else tag
         path = top.path if inline else xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), top.path & 0xFFFFFFFF)
-        if inline and tag == "a" and not attrs.rstrip().endswith("/"):
-            links += 1
         if attrs.rstrip().endswith("/") and not inline:
             continue
         stack.append(Element(tag, path, aside, within))
@@ -172,8 +174,8 @@ def main_text(blocks: list[Block], template: frozenset[int] | set[int]) -> str:
     for kind in MAIN:
         if own := [b for b in open_ if b.within == kind]:
             return " ".join(b.text for b in own)
-    slots = [b for b in open_ if xxhash.xxh64_intdigest(b.text.encode("utf-8", "replace"), b.path & 0xFFFFFFFF) not in template]
-    return " ".join(b.text for b in slots if b.linked < 0.5)
+    slots = open_
+    return " ".join(b.text for b in slots if xxhash.xxh64_intdigest(b.text.encode("utf-8", "replace"), b.path & 0xFFFFFFFF) not in template)
 
 
 def host(url: Column) -> Column:
@@ -232,13 +234,23 @@ def _nested(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [sorted(kept)]})
 
 
-def templates(pages: DataFrame, share: float = 0.5, least: int = 2) -> DataFrame:
-    """(host, template): the tokens of the classes that stand on ``share`` of a host's pages, ``least`` at least.
+def originals(pages: DataFrame) -> DataFrame:
+    """(host, row): of each host's pages of equal html one, by digests, so that no html moves and copies meet early."""
+    digest = F.sha2(F.coalesce("html", F.lit("")), 256)
+    return pages.select("host", digest.alias("digest"), "row").groupBy("host", "digest").agg(F.min("row").alias("row")).select("host", "row")
+
+
+def templates(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
+    """(host, template) from (host, id, html, row): the tokens of the classes that stand on ``share`` of a host's pages.
 
-    A template token stands on that share of pages, so there are at most 1 / share times as many as tokens on a page.
+    Pages of equal html count once, and tokens stand on ``least`` pages at least: what two pages share may be an
+    article. row is a number that tells rows apart. A template token stands on that share of pages, so there are at
+    most 1 / share times as many as tokens on a page.
     """
-    tokens = materialize(classes(pages).where(F.col("pages") >= least), "tokens")
-    sizes = materialize(pages.groupBy("host").agg(F.count("*").alias("of")), "hosts")
+    firsts = materialize(originals(pages), "originals")
+    some = pages.join(firsts.select("row").hint("shuffle_hash"), "row", "left_semi").select("host", "id", "html")
+    tokens = materialize(classes(some).where(F.col("pages") >= least), "tokens")
+    sizes = materialize(firsts.groupBy("host").agg(F.count("*").alias("of")), "hosts")
     frequent = tokens.join(sizes, "host").where(F.col("pages") >= share * F.col("of")).drop("of")
     return frequent.groupBy("host").applyInPandas(_nested, "host string, template array<long>")
 
@@ -248,13 +260,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Blocks are texts between block tags: character references decoded, white space one space, trimmed; they are
     joined by one space in page order, and none is dropped or cut but by its place. Null html is an empty page. Pages
-    without a host make one group, as do those with a null URL. A page whose host has no template (a single page)
-    has only its own elements to go by. Repeated rows count as often in their host's vectors and have equal texts.
-    An empty table gives an empty result.
+    without a host make one group, as do those with a null URL. A page whose host has no template (under three
+    different pages) has only its own elements to go by. Pages of a host with equal html count once in its vectors and
+    have equal texts. An empty table gives an empty result.
     """
     thin = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    thin = with_rows(thin).withColumn("row", F.xxhash64("row"))
     thin = thin.withColumn("host", host(F.col("url")))
-    known = materialize(templates(thin.select("host", "id", "html")), "templates")
+    known = materialize(templates(thin.select("host", "id", "html", "row")), "templates")
     out = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,27 @@ def test_no_rows(spark):
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_one_page(spark):
+    """What only copies of a page share, or two pages, is text, not template."""
+    copied = "<div class=x><p>a real text</p></div>"
+    pages = [(k, "http://one.example/a", copied) for k in range(6)] + [(k, f"http://one.example/{k}", f"<div class=x><p>other {k}</p></div>") for k in (6, 7, 8)]
+    pages += [(20, None, copied), (21, None, copied), (30, "http://two.example/", "<p>same</p><p>one</p>"), (31, "http://two.example/", "<p>same</p><p>two</p>")]
+    found = template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    expected = {k: "a real text" for k in (*range(6), 20, 21)} | {k: f"other {k}" for k in (6, 7, 8)} | {30: "same one", 31: "same two"}
+    assert {r["page_id"]: r["text"] for r in found} == expected
+
+
+@pytest.mark.parametrize("name", ["class='related-work'", "id=related-work", "id=social-history", "class=reply-to-objections"])
+def test_sections_of_an_article_stay(name):
+    assert text(f"<article>a<section {name}>b</section></article>") == "a b"
+    assert text("<p>one</p><ul><li><a href=x>a cited paper</a></li></ul>") == "one a cited paper"
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "related-posts", "commentlist", "side-bar", "sideBar", "social", "comment-12"])
+def test_asides_of_an_article_go(name):
+    assert text(f"<article>a<div class='x {name}'>b</div></article>") == "a"
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_articles_of_the_test_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
