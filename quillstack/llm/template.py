@@ -3,8 +3,9 @@
 Tokens of the pages of a host, which are tags at their path and texts at theirs, are grouped by their occurrence
 vectors: how often each stands on each page. A vector is not kept but summed as a hash over pages, so that a host with
 any number of pages adds up in the map-side combine. Classes that stand on enough of the host's pages, whose spans
-nest, make the host's template; what is between its tokens are slots. Slots within elements that are not the article
-(menus, adverts and so on) go, as do texts that the template itself holds; the others are the page's main text. Pages of a host with equal html are one page to its template.
+nest, make the host's template; what is between its tokens are slots. Texts that the template itself holds go, inside
+an article as elsewhere, as do slots within elements that are not the article (menus, adverts and so on); the others
+are the page's main text. Pages of a host with equal html are one page to its template.
 """
 
 from __future__ import annotations
@@ -169,12 +170,10 @@ def parse(page: str | None) -> tuple[list[tuple[int, int]], list[Block]]:
 
 
 def main_text(blocks: list[Block], template: frozenset[int] | set[int]) -> str:
-    """The texts of the slots that remain: of the article, or else of main, or else outside the template's texts."""
+    """The texts of the slots that remain, without the template's: of the article, or else of main, or else of all."""
     open_ = [b for b in blocks if not b.aside]
-    for kind in MAIN:
-        if own := [b for b in open_ if b.within == kind]:
-            return " ".join(b.text for b in own)
-    slots = open_
+    kind = next((k for k in MAIN if any(b.within == k for b in open_)), None)
+    slots = [b for b in open_ if kind in (None, b.within)]
     return " ".join(b.text for b in slots if xxhash.xxh64_intdigest(b.text.encode("utf-8", "replace"), b.path & 0xFFFFFFFF) not in template)
 
 

@@ -98,6 +98,14 @@ def test_no_rows(spark):
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_decides_inside_articles(spark):
+    """Boilerplate under a neutral class goes, though it is inside the article."""
+    page = "<article><p>story {0} begins</p><div class=x><p>Read our app</p></div><p>and ends {0}</p></article>"
+    pages = [(k, f"http://one.example/{k}", page.format(k)) for k in range(4)]
+    found = template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {k: f"story {k} begins and ends {k}" for k in range(4)}
+
+
 def test_copies_are_one_page(spark):
     """What only copies of a page share, or two pages, is text, not template."""
     copied = "<div class=x><p>a real text</p></div>"
