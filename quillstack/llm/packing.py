@@ -25,17 +25,18 @@ CAPACITY, END = 1024, 2
 
 def _encoder(vocabulary: str, ranks: str | None):
     """text -> ids. With ``ranks``, the same vocabulary as ranks of byte strings, ids come from the faster library."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(vocabulary)
     if ranks:
         import public_tokenizers
         import tiktoken
 
+        added = {t.content: i for i, t in found.get_added_tokens_decoder().items()}
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(vocabulary)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
+        encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
+        return lambda text: encoding.encode(text, allowed_special="all")
     return lambda text: found.encode(text, add_special_tokens=False).ids
 
 
@@ -153,8 +154,8 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: i
     """Places every row's tokens: (id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids]).
 
     A null text is an empty one, which is the end token alone. Repeated rows and ids are packed each; a null id
-    stays null. A text of any length is cut into full pieces, the first of which may be shorter. Special tokens'
-    strings in a text are ordinary text. An empty table gives an empty result. ``keep_ids`` adds the tokens, so that
+    stays null. A text of any length is cut into full pieces, the first of which may be shorter. The strings of
+    the vocabulary's added tokens in a text are those tokens. An empty table gives an empty result. ``keep_ids`` adds the tokens, so that
     ``sequences`` can be built.
     """
     spark = docs.sparkSession

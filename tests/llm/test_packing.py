@@ -110,5 +110,20 @@ def test_pack(spark, ranks):
         assert built[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
 
 
+@pytest.mark.parametrize("ranks", [True, False])
+def test_added_tokens(ranks):
+    """The string of an added token is its id, as the plain tokenizer has it."""
+    files = tokenizer_files()
+    encode = packing._encoder(files["vocabulary"], files["ranks"] if ranks else None)
+    plain = Tokenizer.from_file(files["vocabulary"])
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f" {end} ", f"x\n\n{end}\n\ny", f"a{end}b", f"  {end}  {end}'s", "<|endoftext|", "<|endoftext |>", f"{end}\u0301", f"é {end}\u00a0z", end.upper(), f"<{end}>", "<|" + end + "|>"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choices([end, " ", "\n", "ab", "<|", "|>", "1", "!", "é"], k=12)) for _ in range(500)]
+    for text in texts:
+        assert list(encode(text)) == plain.encode(text, add_special_tokens=False).ids
+    assert list(encode(texts[0])) == [64, 220, 50256, 275]
+
+
 def test_no_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), **tokenizer_files()).count() == 0
