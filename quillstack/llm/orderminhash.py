@@ -4,7 +4,8 @@ Every k-mer of a text is numbered by its occurrences before it, so that repeats
 it to one of ``sketches`` groups; of each group the ``tuple_size`` k-mers with the least hashes are selected, kept in
 the order in which they stand in the text, and hashed as a tuple. Two fingerprints agree at a sketch if the same
 k-mers are least and stand in the same order, which edits that move text break even where the set of k-mers stays.
-Dealing k-mers to groups takes one pass over a text for all sketches.
+Dealing k-mers to groups takes one pass over a text for all sketches, but leaves groups of a short text without a
+tuple, and so without order. With ``whole`` each sketch selects from all k-mers of the text by a hash of its own.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from quillstack.llm.common import batched, partitions, rows, text_bytes
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Bits of a k-mer's hash in a sort key; the rest are its place in the text. Longer texts sort by index instead.
 _HASH_BITS, _PLACE_BITS = 44, 20
+#: Hashes of k-mers that are held at once, for some sketches.
+_HELD = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -30,6 +33,7 @@ class Settings:
     k: int = 10
     tuple_size: int = 2
     sketches: int = 64
+    whole: bool = False
 
     def __post_init__(self) -> None:
         if self.k < 1 or self.tuple_size < 1 or self.sketches < 1 or self.sketches & (self.sketches - 1):
@@ -88,6 +92,8 @@ def sketch(text: str | None, settings: Settings = Settings()) -> np.ndarray:  #
     number = at - np.maximum.accumulate(np.where(fresh, at, 0))
     own = np.empty(n, dtype=np.uint64)
     own[place] = _mixed(h * _C + number.astype(np.uint64))
+    if settings.whole:
+        return _whole(own, settings)
     # few k-mers are least: of long texts only those under a bound are sorted, unless a group has too few of them
     group_bits = settings.sketches.bit_length() - 1
     within = own << np.uint64(group_bits)
@@ -114,6 +120,29 @@ def sketch(text: str | None, settings: Settings = Settings()) -> np.ndarray:  #
     return out
 
 
+def _whole(own: np.ndarray, settings: Settings) -> np.ndarray:
+    """A number for each sketch, which selects from all k-mers by their hashes times its own odd number."""
+    n, size = len(own), min(settings.tuple_size, len(own))
+    factors = _mixed(np.arange(1, settings.sketches + 1, dtype=np.uint64) * _C) | np.uint64(1)
+    picked = np.full((settings.sketches, settings.tuple_size), n, dtype=np.int64)  # n: none
+    step = max(1, _HELD // n)
+    for at in range(0, settings.sketches, step):
+        keys = own * factors[at : at + step, None]
+        each = np.arange(len(keys))
+        for j in range(size):
+            least = keys.argmin(axis=1)
+            picked[at : at + step, j] = least
+            keys[each, least] = ~np.uint64(0)
+    picked.sort(axis=1)  # text order
+    value = np.zeros(settings.sketches, dtype=np.uint64)
+    hashes = np.append(own, np.uint64(0))
+    for j in range(settings.tuple_size):
+        value = _mixed(value * _C + hashes[picked[:, j]])
+    out = (value >> np.uint64(32)).astype(np.uint32)
+    out[out == 0] = 1
+    return out
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The share of sketches that agree, of those that either text has; 1 if neither has any."""
     some = (a != 0) | (b != 0)

@@ -40,7 +40,7 @@ def op2_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orderminhash.fingerprints(_read(spark, sf_dir, "documents"))
+    return orderminhash.fingerprints(_read(spark, sf_dir, "documents"), orderminhash.Settings(whole=True))
 
 
 def op4_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,42 @@ def test_next_documents(spark, data):
     assert sorted((tuple(r) for r in found), key=order) == sorted(expected, key=order)
 
 
+def test_whole_texts_of_any_length_have_order():
+    """Every sketch has a tuple, so that blocks that change places show in short texts as in long ones."""
+    whole, rng = omh.Settings(whole=True), random.Random(5)
+    near = lambda a, b: omh.likeness(omh.sketch(a, whole), omh.sketch(b, whole))
+    swapped = {40: [], 140: [], 2000: []}
+    for n, found in swapped.items():
+        for _ in range(60):
+            text = "".join(rng.choices("abcdefghijklmnop ", k=n))
+            assert np.all(omh.sketch(text, whole) != 0)
+            found.append(near(text, text[n // 2 :] + text[: n // 2]))
+    likeness = {n: sum(x) / len(x) for n, x in swapped.items()}
+    # both k-mers of a tuple are in both texts, and half of such tuples keep their order
+    assert all(abs(x - 0.5 * ((n - 18) / n) ** 2) < 0.06 for n, x in likeness.items())
+    assert near("", "") == 1 and near("", "abc") == 0 and near("abc", "abc") == 1
+
+
+@pytest.mark.parametrize("settings", [omh.Settings(whole=True), omh.Settings(3, 3, 8, True), omh.Settings(1, 1, 16, True)])
+def test_whole_sketch_is_the_plain_one(settings):
+    rng = random.Random(6)
+    factors = [int(omh._mixed(np.array([s], dtype=np.uint64) * omh._C)[0]) | 1 for s in range(1, settings.sketches + 1)]
+    for text in ["a", "abc", "é" * 30, "".join(rng.choices("ab", k=300)), "".join(rng.choices("abcdefgh 😀", k=4000))]:
+        k = min(settings.k, len(text))
+        hashes, seen, own = omh._kmers(omh._points(text), settings.k), {}, []
+        for at in range(len(text) - k + 1):
+            number = seen[text[at : at + k]] = seen.get(text[at : at + k], -1) + 1
+            own.append(mixed(((int(hashes[at]) >> 20) * int(omh._C) + number) & MASK))
+        expected = []
+        for f in factors:
+            least = sorted(sorted(range(len(own)), key=lambda i: own[i] * f & MASK)[: settings.tuple_size])
+            value = 0
+            for x in [own[i] for i in least] + [0] * (settings.tuple_size - len(least)):
+                value = mixed((value * int(omh._C) + x) & MASK)
+            expected.append(max(1, value >> 32))
+        assert omh.sketch(text, settings).tolist() == expected
+
+
 def test_no_rows(spark):
     assert omh.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
