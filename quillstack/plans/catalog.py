@@ -132,6 +132,20 @@ def tokenize_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark).select("id", F.array_join(T.originals_v2(F.col("s")), " ").alias("originals"), F.array_join(T.tokens_v2(F.col("s")), " ").alias("tokens"))
 
 
+#: All documents, and the samples under negative ids.
+BOTH_SQL = f"(SELECT doc_id AS id, text AS s FROM documents UNION ALL SELECT -id, s FROM {SAMPLES_SQL}) w"
+
+
+def documents_and_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("s")).union(samples(spark).select((-F.col("id")).cast("long"), "s"))
+
+
+@query(f"SELECT id, array_to_string({_V2}, ' ') AS originals, lower(array_to_string({_V2}, ' ')) AS tokens FROM {BOTH_SQL}")
+def tokenize_v2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = documents_and_samples(spark, sf_dir)
+    return both.select("id", F.array_join(T.originals_v2(F.col("s")), " ").alias("originals"), F.array_join(T.tokens_v2(F.col("s")), " ").alias("tokens"))
+
+
 @query(f"SELECT doc_id, len({_V2.replace('regexp_replace(s,', 'regexp_replace(text,')}) AS n_tokens FROM documents")
 def tokenize_v2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(T.tokens_v2(F.col("text"))).cast("long").alias("n_tokens"))
@@ -142,6 +156,11 @@ def query_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark).select("id", F.array_join(T.query_tokens(F.col("s")), " ").alias("tokens"))
 
 
+@query(f"SELECT id, array_to_string(regexp_extract_all(lower(s), '[a-z0-9'']+'), ' ') AS tokens FROM {BOTH_SQL}")
+def query_tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_and_samples(spark, sf_dir).select("id", F.array_join(T.query_tokens(F.col("s")), " ").alias("tokens"))
+
+
 _NORMAL = "trim(regexp_replace(replace({0}, chr(13), ''), '[ \\t\\n\\x0B\\f]+', ' ', 'g'), ' ')"
 _SANE = _NORMAL.format("translate({0}, chr(9) || chr(10) || chr(13), '   ')")
 
@@ -178,6 +197,23 @@ def control_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"SELECT id, trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS trimmed, {_CONTROLS.format('replace(s, chr(10), chr(32))')} AS tabs_deleted, "
+    f"{_CONTROLS.format('translate(s, chr(10) || chr(9), chr(32) || chr(32))')} AS tabs_blank, regexp_replace(s, '-[\\r\\n]+', '', 'g') AS joined, "
+    f"translate(s, chr(10) || chr(13) || chr(9), '   ') AS one_line FROM {BOTH_SQL}"
+)
+def control_characters_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    return documents_and_samples(spark, sf_dir).select(
+        "id",
+        T.trim_edges(s).alias("trimmed"),
+        T.controls_out(s, tabs_as_blanks=False).alias("tabs_deleted"),
+        T.controls_out(s).alias("tabs_blank"),
+        T.dehyphenate(s).alias("joined"),
+        T.line_ends_as_blanks(s).alias("one_line"),
+    )
+
+
 @query("SELECT doc_id, nfc_normalize(text) AS text, nfc_normalize(replace(lang, 'e', 'e' || chr(769))) AS composed FROM documents")
 def nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -427,6 +463,15 @@ def forward_doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lengths_of_forward(rows, docs).withColumnRenamed("doc_id", "internal_id")
 
 
+@query(f"WITH {COUNTS} SELECT doc_id AS internal_id, sum(tf)::BIGINT AS dl FROM p GROUP BY doc_id")
+def forward_doc_lengths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths from a forward index by original ids, of all documents."""
+    found = counted(spark, sf_dir).withColumn("positions", F.array().cast("array<int>"))
+    rows = index.forward(found, index.with_word_ids(index.lexicon(found))).withColumn("docid", F.concat(F.lit("d"), "docid"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), "doc_id").alias("orig_id"))
+    return index.lengths_of_forward(rows, docs).withColumnRenamed("doc_id", "internal_id")
+
+
 @query("SELECT corpus, count(*) AS n, count(url) AS urls FROM (SELECT 'pages' AS corpus, url FROM pages UNION ALL SELECT 'documents', NULL FROM documents) GROUP BY corpus")
 def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = index.union(pages=table(spark, sf_dir, "pages"), documents=documents(spark, sf_dir))

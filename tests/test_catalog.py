@@ -45,3 +45,11 @@ def test_search_reads_two_columns(spark):
     plan = catalog.QUERIES["search_multi_and"](spark, DATA)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
     assert "lang" not in plan[plan.index("== Physical Plan ==") :]
+
+
+def test_no_document_is_left_out(spark):
+    """Queries over samples or a part of the documents have one over all of them."""
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    for name in ("tokenize_v2_documents", "query_tokenize_documents", "control_characters_documents"):
+        assert {r["id"] for r in catalog.QUERIES[name](spark, DATA).select("id").collect()} == ids | {-i for i, _ in catalog.SAMPLES}
+    assert {r["internal_id"] for r in catalog.QUERIES["forward_doc_lengths_all"](spark, DATA).collect()} == ids
