@@ -97,6 +97,67 @@ def test_matches_the_models_one_by_one(spark):
             assert r["score"] == pytest.approx(models[0].mean(seen) - models[1].mean(seen))
 
 
+def test_long_urls_leave_the_sample_whole(spark):
+    """A ruled URL of any length, the one with the lowest hash too, takes no other's place."""
+    rows = table(spark).select("page_id", "url")
+    settings = urlmodel.Settings(order=3, most_chars=2600, most_url_chars=2000)
+    by_host = urlmodel.rules_by_host(URL_RULES)
+    before = urlmodel._sample(rows, by_host, settings)
+    long = spark.range(40).selectExpr("10000 + id as page_id", "concat('http://x.net/', repeat('z', int(2500 + id))) as url")
+    assert urlmodel._sample(rows.union(long), by_host, settings) == before
+    assert all(2500 < sum(len(u) + 7 for u in own) <= 2600 for own in before.values())
+    # one that no longer fits leaves room for shorter ones
+    middle = spark.range(40).selectExpr("10000 + id as page_id", "concat('http://x.net/', repeat('z', int(1400 + id))) as url")
+    after = urlmodel._sample(rows.union(middle), by_host, settings)["block"]
+    assert sum(len(u) > 1000 for u in after) == 1 and sum(len(u) < 1000 for u in after) > 20
+    found = {r["page_id"]: r["verdict"] for r in urlmodel.judge(rows.union(long), URL_RULES, settings).collect()}
+    assert found[1001] == "block" and found[1000] == "allow" and found[10000] == "block"
+    only = spark.createDataFrame([(1, "http://a.org/fr/" + "a" * 3000), (2, "http://b.net/" + "b" * 3000), (3, "http://c.com/" + "b" * 3000)], "page_id long, url string")
+    assert [r["verdict"] for r in urlmodel.judge(only, URL_RULES).orderBy("page_id").collect()] == ["allow", "block", "block"]
+
+
+class Plain:
+    """Witten-Bell by its formula, with counts looked up anew for each probability."""
+
+    def __init__(self, texts, order):
+        self.order, self.whole = order, ["\x02" * order + t + "\x03" for t in texts]
+
+    def probability(self, c, context):
+        followers = [t[i + len(context)] for t in self.whole for i in range(self.order - len(context), len(t) - len(context)) if t[i : i + len(context)] == context]
+        shorter = self.probability(c, context[1:]) if context else 1 / 65536
+        kinds = len(set(followers))
+        return (followers.count(c) + kinds * shorter) / (len(followers) + kinds) if followers else shorter
+
+    def mean(self, text):
+        whole = "\x02" * self.order + text + "\x03"
+        return sum(math.log(self.probability(whole[i], whole[i - self.order : i])) for i in range(self.order, len(whole))) / (len(text) + 1)
+
+
+def test_every_row_against_a_plain_model(spark):
+    """Rules, sample, models, threshold and verdicts, in other code."""
+    rows = [(i, f"http://good{i % 3}.example.org/fr/a-{i}") for i in range(8)] + [(20 + i, f"http://ads{i % 3}.net/buy?{i}") for i in range(8)]
+    rows += [(40, "http://good1.example.com/fr/a-3"), (41, "https://ADS1.info/buy?4"), (42, "http://x.example.net/en/q"), (43, "ads"), (44, None), (1, rows[1][1])]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    hashed = {r["url"]: r["h"] for r in frame.selectExpr("url", "xxhash64(url, 42) as h").collect()}
+    by = {"allow": [u for u in hashed if u and (".org/fr/" in u or "example.net/en/" in u)], "block": [u for u in hashed if u and ".net/buy" in u]}
+    by = {v: [u.split("://")[1].lower() for u in sorted(own, key=hashed.get)] for v, own in by.items()}
+    models = [Plain(by[v][::2], 3) for v in ("allow", "block")]
+    score = lambda u: models[0].mean(u) - models[1].mean(u)
+    held = [(score(u), v == "allow") for v, own in by.items() for u in own[1::2]]
+    right = lambda t: sum(s >= t for s, ok in held if ok) / sum(ok for _, ok in held) + sum(s < t for s, ok in held if not ok) / sum(not ok for _, ok in held)
+    best = max(right(t) for t in [s for s, _ in held] + [1e9])
+    found = urlmodel.judge(frame, URL_RULES, urlmodel.Settings(order=3)).collect()
+    assert len(found) == len(rows)
+    scores = [(r["score"], r["verdict"]) for r in found if r["rule"] is None and r["url"]]
+    assert len(scores) == 3
+    for r in found:
+        if r["rule"] is None and r["url"]:
+            assert r["score"] == pytest.approx(score(r["url"].split("://")[-1].lower()))
+    cut = urlmodel.threshold(held)
+    assert right(cut) == best
+    assert all((s >= cut) == (v == "allow") for s, v in scores)
+
+
 def test_without_rules_or_rows(spark):
     assert {r["verdict"] for r in urlmodel.judge(table(spark), []).collect()} == {"allow"}
     assert urlmodel.judge(table(spark).limit(0), URL_RULES).count() == 0
