@@ -2,9 +2,10 @@
 
 A vector is cut into segments, few at the coarse level and more at each finer one. With the mean and the deviation
 (the length of what remains without the mean) of two vectors' segments, the product of a segment is at most
-length * mean * mean + deviation * deviation: by Cauchy and Schwarz, the lower bound of a distance. A candidate stays
-in for a query while its bound at each level reaches the query's k-th best score so far; what survives all levels is
-computed exactly.
+length * mean * mean + deviation * deviation: by Cauchy and Schwarz, the lower bound of a distance. Candidates meet
+queries in tiles of alike ones, which the ranges of their means and deviations bound as a whole. A candidate stays in
+for a query while its bounds, the tile's and its own at each level, reach the query's k-th best score so far; what
+survives all levels is computed exactly.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, partitions
+from quillstack.llm.common import materialize, partitions, with_rows
 
 LEVELS = (1, 4, 16)
-#: Rows of a block of queries and of candidates, and candidate blocks that one group holds at most.
-QUERY_BLOCK, BLOCK, GROUP_BLOCKS = 1024, 8192, 16
+#: Rows of a block of queries, and of a tile of candidates that is bounded as a whole.
+QUERY_BLOCK, TILE = 1024, 512
+#: Bytes of a group's queries and of its candidates, about.
+QUERY_BYTES, GROUP_BYTES = 8 << 20, 64 << 20
+#: Where at least this share of a tile survives, one matrix product is cheaper than a product for each query.
+DENSE = 0.05
 #: Integers under this many are exact in float64.
 EXACT = 2.0**53
 MOST = 1 << 62
@@ -33,24 +38,24 @@ def quantized(values: np.ndarray, scale: float) -> np.ndarray:
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, dim, q) of the rows that take part, each id once; of rows that share an id, the one with the least q."""
-    out = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("q", pa.list_(pa.int64()))])
+    """(id, row, dim, q) of the rows that take part; row tells apart those that share an id."""
+    out = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("dim", pa.int32()), ("q", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, qs = [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids, names, qs = [], [], []
+            for i, name, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if i is None or not v.is_valid or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False)
                 if np.isfinite(x).all():
                     ids.append(i)
+                    names.append(name)
                     qs.append(quantized(x, scale))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(q) for q in qs], pa.int32()), pa.array(qs, pa.list_(pa.int64()))], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array([len(q) for q in qs], pa.int32()), pa.array(qs, pa.list_(pa.int64()))], schema=out)
 
-    thin = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    found = thin.mapInArrow(run, "id long, dim int, q array<long>")
-    return found.groupBy("id").agg(F.min(F.struct("dim", "q")).alias("x")).select("id", "x.dim", "x.q")
+    thin = with_rows(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")))
+    return thin.select("id", F.xxhash64("row").alias("row"), "v").mapInArrow(run, "id long, row long, dim int, q array<long>")
 
 
 def _segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,59 +75,110 @@ def _exact(q: np.ndarray, c: np.ndarray, wide: bool) -> np.ndarray:
     return np.clip(found, -(2**63), 2**63 - 1)
 
 
+def _tiles(stats: np.ndarray) -> list[np.ndarray]:
+    """Groups of rows with alike statistics, TILE of them at most: of the rows nearest to each of some rows."""
+    n = len(stats)
+    pivots = stats[np.random.default_rng(0).choice(n, max(1, int(n**0.5)), replace=False)]
+    near = np.concatenate([(part @ pivots.T - 0.5 * (pivots * pivots).sum(1)).argmax(1) for part in np.array_split(stats, -(-n // 8192))])
+    order = np.argsort(near, kind="stable")
+    found, held = [], []
+    for own in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
+        if held and sum(map(len, held)) + len(own) > TILE:
+            found.append(np.concatenate(held))
+            held = []
+        found += [own[x : x + TILE] for x in range(0, len(own) - TILE, TILE)]
+        held.append(own[(len(own) - 1) // TILE * TILE :])
+        if len(held[-1]) * 8 > TILE:  # enough for a tile of its own
+            found.append(np.concatenate(held))
+            held = []
+    return found + ([np.concatenate(held)] if held else [])
+
+
 class Search:
-    """The best candidates of a block of queries, over blocks of candidates in any order."""
+    """The best candidates of a block of queries, over tiles of candidates in any order."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.names, self.q, self.k = ids, rows, q, k
         self.levels = sorted({min(n, q.shape[1]) for n in LEVELS}) if q.shape[1] else []
         self.f = q.astype(np.float64)
+        self.longest = (self.f * self.f).sum(1).max(initial=0)
         self.stats = [_segments(self.f, n) for n in self.levels]
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, object), np.zeros(0, np.int64))] * len(ids)
         self.bar = np.full(len(ids), -np.inf)  # the k-th best score so far
-        self.survived = [0] * (len(self.levels) + 1)
-
-    def add(self, ids: np.ndarray, c: np.ndarray) -> None:
+        #: pairs that are left by tiles' bounds, by each level, and for exact scores; of all
+        self.survived, self.met = [0] * (len(self.levels) + 2), 0
+
+    def tile_bounds(self, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """For each query, a bound on its score with any of a tile's candidates, from the finest means and deviations."""
+        length, mean, deviation = self.stats[-1]
+        at = mean * length
+        return np.maximum(at, 0) @ m.max(0) + np.minimum(at, 0) @ m.min(0) + deviation @ d.max(0)
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray, c: np.ndarray) -> None:
+        """All candidates of a group, in tiles of alike ones: each query first meets the tile with its highest bound."""
+        if not len(ids):
+            return
+        if not self.levels:
+            self.add(ids, rows, c)
+            return
+        _, m, d = _segments(c.astype(np.float64), self.levels[-1])
+        tiles = _tiles(np.hstack([m, d]))
+        bounds = np.stack([self.tile_bounds(m[t], d[t]) for t in tiles])
+        first = bounds.argmax(0)
+        for early in (True, False):
+            for k in np.argsort(-bounds.max(1), kind="stable").tolist():
+                t = tiles[k]
+                self.add(ids[t], rows[t], c[t], bounds[k], np.flatnonzero((first == k) == early))
+
+    def add(self, ids: np.ndarray, rows: np.ndarray, c: np.ndarray, bounds: np.ndarray | None = None, who: np.ndarray | None = None) -> None:
+        """Candidates meet queries ``who``, or all; bounds are what their tile lets each query reach."""
+        who = np.arange(len(self.ids)) if who is None else who
+        if not len(who) or not len(ids):
+            return
         f = c.astype(np.float64)
-        keep = np.ones((len(self.ids), len(ids)), dtype=bool)
-        keep &= ids[None, :] != self.ids[:, None]
-        reach = np.sqrt((self.f * self.f).sum(1).max(initial=0) * (f * f).sum(1).max(initial=0))
+        reach = np.sqrt(self.longest * (f * f).sum(1).max(initial=0))
         slack = 1e-9 * reach + 1e-6  # of rounding in the bounds
+        self.met += len(who) * len(ids)
+        who = who if bounds is None else who[bounds[who] >= self.bar[who] - slack]
+        if not len(who):
+            return
+        self.survived[0] += len(who) * len(ids)
+        keep = (ids[None, :] != self.ids[who, None]) | (rows[None, :] != self.names[who, None])
         for level, n in enumerate(self.levels):
-            if np.isneginf(self.bar).all():
+            if np.isneginf(self.bar[who]).all():
                 break
             length, mean, deviation = self.stats[level]
             _, m, d = _segments(f, n)
-            keep &= (mean * length) @ m.T + deviation @ d.T >= self.bar[:, None] - slack
-            self.survived[level] += int(keep.sum())
-            some = keep.any(axis=0)
-            if not some.all():
-                keep, ids, c, f = keep[:, some], ids[some], c[some], f[some]
+            keep &= (mean[who] * length) @ m.T + deviation[who] @ d.T >= self.bar[who, None] - slack
+            self.survived[level + 1] += int(keep.sum())
+            some, left = keep.any(axis=0), keep.any(axis=1)
+            if not some.all() or not left.all():
+                keep, ids, c, f, who = keep[left][:, some], ids[some], c[some], f[some], who[left]
+            if not len(who):
+                return
         wide = bool(reach >= EXACT)
-        rows_ = np.flatnonzero(keep.any(axis=1))
         self.survived[-1] += int(keep.sum())
-        if not len(rows_):
-            return
-        dense = wide or keep[rows_].mean() > 0.05
-        scores = _exact(self.q[rows_] if wide else self.f[rows_], c if wide else f, wide) if dense else None
-        for j, i in enumerate(rows_):
-            at = np.flatnonzero(keep[i])
-            own = scores[j, at] if dense else f[at] @ self.f[i]
-            above = own >= self.bar[i]
-            at, own = at[above], own[above]
+        if wide or keep.mean() > DENSE:
+            scores = _exact(self.q[who] if wide else self.f[who], c if wide else f, wide)
+            keep &= (scores >= self.bar[who, None]).astype(bool)
+        else:
+            scores = None
+        for j in np.flatnonzero(keep.any(axis=1)).tolist():
+            i, at = int(who[j]), np.flatnonzero(keep[j])
+            own = f[at] @ self.f[i] if scores is None else scores[j, at]
             if len(own) > self.k and not wide:
                 above = own >= np.partition(own, len(own) - self.k)[len(own) - self.k]
                 at, own = at[above], own[above]
             score = np.concatenate([self.best[i][0], own.astype(object) if wide else own.astype(np.int64)])
-            who = np.concatenate([self.best[i][1], ids[at]])
-            first = sorted(range(len(who)), key=lambda x: (-int(score[x]), who[x]))[: self.k]
-            self.best[i] = score[first], who[first]
+            near = np.concatenate([self.best[i][1], ids[at]])
+            first = sorted(range(len(near)), key=lambda x: (-int(score[x]), near[x]))[: self.k]
+            self.best[i] = score[first], near[first]
             if len(first) == self.k:
                 self.bar[i] = float(score[first[-1]]) if not wide else np.nextafter(float(score[first[-1]]), -np.inf)
 
     def rows(self) -> pd.DataFrame:
-        found = [(int(q), int(w), int(s)) for q, (score, who) in zip(self.ids, self.best, strict=True) for s, w in zip(score, who, strict=True)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+        found = [(int(q), int(n), int(w), int(s)) for q, n, (score, who) in zip(self.ids, self.names, self.best, strict=True) for s, w in zip(score, who, strict=True)]
+        return pd.DataFrame(found, columns=["query_id", "query_row", "vec_id", "score"]).astype("int64")
 
 
 def search(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -131,36 +187,34 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own. Vectors that are
     null or hold null or non-finite components, and rows without an id, take no part; vectors meet those of their own
     dimension only; a query alone in its dimension has no row. Scores stop at the ends of a long. Rows that repeat an
-    id are one row. An empty table gives an empty result.
+    id are queries and candidates of their own. An empty table gives an empty result.
 
-    Queries and candidates are dealt to blocks by a hash. A group is a block of queries and GROUP_BLOCKS blocks of
-    candidates at most; what leaves a group is k rows a query at most.
+    Queries and candidates are dealt to blocks by a hash of their rows. A group is a block of queries and candidates
+    of GROUP_BYTES, about, of any dimension; what leaves a group is k rows a query at most.
     """
     spark = table.sparkSession
     found = materialize(vectors(table, id_col, vector_col, scale), "vectors")
-    sizes = found.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("queries"))
-    most = sizes.agg(F.max("n").alias("n"), F.max("queries").alias("queries")).first()
-    query_blocks = max(1, -(-(most["queries"] or 0) // QUERY_BLOCK))
-    blocks = max(1, -(-(most["n"] or 0) // BLOCK))
-    width = partitions(spark, 0, 1) // query_blocks
-    groups = max(-(-blocks // GROUP_BLOCKS), min(blocks, width), 1)
-    h = F.pmod(F.xxhash64("id"), F.lit(2**31))
-    queries = found.where(F.col("id") % every == 0).select("dim", (h % query_blocks).cast("int").alias("block"), "id", "q")
+    query = F.col("id") % every == 0
+    sizes = found.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(query, 1)).alias("queries"))
+    width = 8 * F.greatest("dim", F.lit(1)).cast("long")
+    most = sizes.agg(F.max(F.col("n") * width).alias("bytes"), F.max(F.col("queries") * width).alias("query_bytes"), F.max("n").alias("n"), F.max("queries").alias("queries")).first()
+    query_blocks = max(1, -(-(most["queries"] or 0) // QUERY_BLOCK), -(-(most["query_bytes"] or 0) // QUERY_BYTES))
+    groups = max(1, -(-(most["bytes"] or 0) // GROUP_BYTES), min(-(-(most["n"] or 0) // (8 * TILE)), partitions(spark, 0, 1) // query_blocks))
+    h = F.pmod(F.xxhash64("row"), F.lit(2**31))
+    queries = found.where(query).select("dim", (h % query_blocks).cast("int").alias("block"), "id", "row", "q")
     queries = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    others = found.select("dim", (h % groups).cast("int").alias("group"), "id", "q")
+    others = found.select("dim", (h % groups).cast("int").alias("group"), "id", "row", "q")
     others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "vec_id", "score")})
-        q = np.stack(left["q"].to_numpy()).reshape(len(left), -1)
-        own = Search(left["id"].to_numpy(), q, k)
-        for at in range(0, len(right), 2048):
-            part = right.iloc[at : at + 2048]
-            own.add(part["id"].to_numpy(), np.stack(part["q"].to_numpy()).reshape(len(part), -1))
+            return pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "query_row", "vec_id", "score")})
+        matrix = lambda part: np.stack(part["q"].to_numpy()).reshape(len(part), -1)
+        own = Search(left["id"].to_numpy(), left["row"].to_numpy(), matrix(left), k)
+        own.meet(right["id"].to_numpy(), right["row"].to_numpy(), matrix(right))
         return own.rows()
 
     key = ["dim", "block", "group"]
-    near = queries.groupBy(*key).cogroup(others.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = queries.groupBy(*key).cogroup(others.groupBy(*key)).applyInPandas(run, "query_id long, query_row long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

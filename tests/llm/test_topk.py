@@ -10,16 +10,15 @@ from quillstack.llm import topk
 
 
 def plain(rows, k, every, scale=64.0):
-    ready = {}
+    ready = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        q = [math.floor(scale * x) for x in v]
-        ready[i] = min(ready.get(i, (len(q), q)), (len(q), q))
+        ready.append((i, [math.floor(scale * x) for x in v]))
     found = []
-    for i, (n, q) in ready.items():
+    for a, (i, q) in enumerate(ready):
         if i % every == 0:
-            near = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, (m, c) in ready.items() if j != i and m == n)
+            near = sorted((-sum(x * y for x, y in zip(q, c, strict=True)), j) for b, (j, c) in enumerate(ready) if b != a and len(c) == len(q))
             found += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near[:k])]
     return sorted(found)
 
@@ -32,7 +31,8 @@ def search(spark, rows, **more):
 @pytest.mark.parametrize("seed", range(3))
 def test_search(spark, monkeypatch, seed):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "TILE", 16)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 16000)
     rng = np.random.default_rng(seed)
     centers = rng.normal(size=(5, 24))
     rows = [(int(i), (centers[i % 5] * (i % 3) + rng.normal(size=24) * 0.1).round(seed).tolist()) for i in range(300)]
@@ -41,6 +41,33 @@ def test_search(spark, monkeypatch, seed):
     assert search(spark, rows, k=4) == plain(rows, 4, 20)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(1, [0.5, 0.5]), (1, [0.9, 0.9]), (20, [1.0, 1.0]), (20, [1.0, 1.0]), (20, [-1.0, 0.0])]
+    found = search(spark, rows)
+    assert found == plain(rows, 20, 20)
+    assert max(r[3] for r in found if r[2] == 1) == 7296
+    assert sum(r[0] == 20 for r in found) == 3 * 4
+    hot = [(40, [float(i), 1.0]) for i in range(300)]
+    assert search(spark, hot, k=3) == plain(hot, 3, 20)
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.3, 1.0])
+def test_ways_to_the_exact_scores_agree(monkeypatch, dense):
+    monkeypatch.setattr(topk, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    c = (rng.normal(size=(30, 16))[np.arange(3000) % 30] * 40 + rng.normal(size=(3000, 16)) * 4).astype(np.int64)
+    own = topk.Search(np.arange(40), np.arange(40), c[:40], 7)
+    own.meet(np.arange(3000), np.arange(3000), c)
+    scores = c[:40] @ c.T
+    for i in range(40):
+        near = sorted((-int(s), j) for j, s in enumerate(scores[i]) if j != i)[:7]
+        assert [(-int(s), int(j)) for s, j in zip(*own.best[i], strict=True)] == near
+    assert own.met == 40 * 3000 >= own.survived[0] >= own.survived[1] >= own.survived[-1]
+    assert own.survived[0] < 0.6 * own.met
+    tiles = topk._tiles(c.astype(float))
+    assert sorted(np.concatenate(tiles)) == list(range(3000)) and max(map(len, tiles)) <= topk.TILE
+
+
 def test_ties_and_few(spark):
     rows = [(i, [1.0, -1.0]) for i in range(0, 60)]
     assert search(spark, rows) == plain(rows, 20, 20)
@@ -65,8 +92,8 @@ def test_bounds_hold_and_prune():
         length, mean, deviation = topk._segments(q.astype(float), n)
         _, m, d = topk._segments(c.astype(float), n)
         assert ((mean * length) @ m.T + deviation @ d.T >= q @ c.T - 1e-6).all()
-    own = topk.Search(np.arange(20) - 100, q, 10)
+    own = topk.Search(np.arange(20) - 100, np.arange(20), q, 10)
     for at in range(0, 4000, 500):
-        own.add(np.arange(at, at + 500), c[at : at + 500])
+        own.add(np.arange(at, at + 500), np.arange(at, at + 500), c[at : at + 500])
     assert own.survived[-1] < 0.6 * 20 * 4000
     assert own.survived[0] >= own.survived[1] >= own.survived[2]
