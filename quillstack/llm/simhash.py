@@ -1,13 +1,14 @@
 """SimHash near-duplicates, found through a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight bytes at fixed positions. Two fingerprints that differ in at most three bits agree in
-at least five of the eight positional bytes: that is the guaranteed minimum. The index therefore posts every distinct
-fingerprint under each of the 56 choices of five (position, byte) terms. Within a posting list the shared positional
-bytes of a pair are tallied, pairs under the minimum go, and the others are verified bit by bit. (Lists of single
-bytes hold 1/256 of all fingerprints each, so tallying over those would grow with the square of the corpus.)
-
-A list's members are distinct and agree in 40 bits, so a list has at most 2**24 of them. Links inside a list are
-kept as a spanning forest: connectivity is whole, and no list emits its pairs.
+at least five of the eight positional bytes: that is the guaranteed minimum. The index posts every distinct
+fingerprint under each of the 70 choices of four (position, byte) terms. Within a posting list the shared positional
+bytes of each pair are tallied; pairs under the minimum, such as those that share the list's four bytes only, go
+uncompared, and the others are verified bit by bit. (Lists of single bytes hold 1/256 of all fingerprints each, so
+tallying over those would grow with the square of the corpus.)
+
+Links inside a list are kept as a spanning forest: connectivity is whole, and no list emits its pairs. A long list is
+searched by flipping bits instead, which is linear in its members and finds the same links.
 """
 
 from __future__ import annotations
@@ -25,9 +26,13 @@ from quillstack.llm.common import batched, materialize, named, partitions, rows
 from quillstack.llm.components import connected_components
 
 BYTES, WIDTH = 8, 64
+#: Positional bytes of an index term, and how many terms a fingerprint has.
+TERM, TERMS = 4, 70
 SEED = 42
-#: A list with more members than this is searched by flipping bits, which is linear in its members.
-FLIP_OVER = 4096
+#: Lists with more members than this are compared one by one, those over the second by flipping bits.
+SHORT, FLIP_OVER = 32, 4096
+#: Postings of a task, about.
+TASK_POSTINGS = 2_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
@@ -65,9 +70,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _terms(fp: Column) -> list[Column]:
-    """The 56 index terms of a fingerprint: five bytes, under the number of the choice of positions."""
+    """The 70 index terms of a fingerprint: four bytes, under the number of the choice of positions."""
     found = []
-    for k, chosen in enumerate(combinations(range(BYTES), 5)):
+    for k, chosen in enumerate(combinations(range(BYTES), TERM)):
         term = F.lit(k).cast("long")
         for p in chosen:
             term = F.shiftleft(term, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("long")))
@@ -93,16 +98,27 @@ def _join(up: dict[int, int], a: int, b: int) -> None:
         up[max(a, b)] = min(a, b)
 
 
-def _labels(run: np.ndarray, radius: int) -> np.ndarray:
+class Tally:
+    """Pairs that met in posting lists, that reached the minimum of shared bytes, and that were verified."""
+
+    met = reached = verified = 0
+
+    def near(self, xor: np.ndarray, radius: int) -> np.ndarray:
+        """Where pairs are within ``radius``: count filter first, then bit by bit."""
+        some = np.flatnonzero(shared_bytes(xor) >= BYTES - radius)
+        found = some[np.bitwise_count(xor[some]) <= radius]
+        self.met, self.reached, self.verified = self.met + len(xor), self.reached + len(some), self.verified + len(found)
+        return found
+
+
+def _labels(run: np.ndarray, radius: int, tally: Tally) -> np.ndarray:
     """For the members of one long list: the index of the first member of each one's component within the list."""
     m = len(run)
     label = np.arange(m)
     if m <= FLIP_OVER:
         for i in range(m - 1):
-            x = run[i + 1 :] ^ run[i]
-            near = np.flatnonzero(np.bitwise_count(x) <= radius) + i + 1
+            near = tally.near(run[i + 1 :] ^ run[i], radius) + i + 1
             if len(near):
-                near = near[shared_bytes(run[near] ^ run[i]) >= BYTES - radius]
                 met = np.unique(np.append(label[near], label[i]))
                 if len(met) > 1:
                     label[np.isin(label, met)] = met[0]
@@ -125,7 +141,7 @@ def _labels(run: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def _links(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterable[pa.RecordBatch], radius: int, tally: Tally | None = None) -> Iterator[pa.RecordBatch]:
     """The spanning forest of the links that the posting lists of one partition hold."""
     read = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not read:
@@ -137,19 +153,19 @@ def _links(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     length = np.diff(np.append(first, len(key)))
     up: dict[int, int] = {}
-    short = np.repeat((length <= 32) & (length > 1), length)
+    tally = tally or Tally()
+    short = np.repeat((length <= SHORT) & (length > 1), length)
     k, f = key[short], fp[short]
-    for d in range(1, 32):  # members d apart in a short list, for all short lists at once
-        if len(k) <= d:
+    for d in range(1, SHORT):  # members d apart in a short list, for all short lists at once
+        pair = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else ()
+        if not len(pair):
             break
-        x = f[d:] ^ f[:-d]
-        pair = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(x) <= radius))
-        pair = pair[shared_bytes(x[pair]) >= BYTES - radius]
+        pair = pair[tally.near(f[pair + d] ^ f[pair], radius)]
         for a, b in np.unique(np.stack([f[:-d][pair], f[d:][pair]], axis=1), axis=0).tolist():
             _join(up, a, b)
-    for at in np.flatnonzero(length > 32):
+    for at in np.flatnonzero(length > SHORT):
         run = fp[first[at] : first[at] + length[at]]
-        for i, j in enumerate(_labels(run, radius).tolist()):
+        for i, j in enumerate(_labels(run, radius, tally).tolist()):
             if i != j:
                 _join(up, int(run[i]), int(run[j]))
     found = np.array([(x, _root(up, x)) for x in list(up)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
@@ -159,14 +175,14 @@ def _links(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (u, v) that connect exactly what pairs of distinct fingerprints within ``radius`` bits connect.
 
-    ``prints`` has a distinct column fp. ``radius`` is 3 at most: the guaranteed minimum is 8 - radius bytes, and
-    the index has the choices of five.
+    ``prints`` has a distinct column fp. ``radius`` is 3 at most: the guaranteed minimum is 8 - radius bytes, and it
+    must be over the four that a list's members share, to tell anything.
     """
-    if not 0 < radius <= 3:
-        raise ValueError("the index holds five of eight bytes: radius must be 1 to 3")
+    if not 0 < radius < BYTES - TERM:
+        raise ValueError("lists share four of eight bytes: radius must be 1 to 3")
     n = prints.count()
     posted = prints.select(F.explode(F.array(*_terms(F.col("fp")))).alias("key"), "fp")
-    spread = posted.repartition(partitions(prints.sparkSession, 56 * n, 4e6), "key")
+    spread = posted.repartition(partitions(prints.sparkSession, TERMS * n, TASK_POSTINGS), "key")
     return spread.mapInArrow(lambda it: _links(it, radius), "u long, v long")
 
 

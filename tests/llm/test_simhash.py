@@ -1,9 +1,12 @@
 """SimHash near-duplicates against brute force."""
 
+import itertools
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -64,9 +67,40 @@ def test_links_connect_what_pairs_connect(spark):
 def test_flipping_bits_finds_what_comparing_finds(monkeypatch, radius):
     rng = random.Random(radius)
     run = np.array(sorted({rng.getrandbits(14) for _ in range(200)}), dtype=np.uint64)
-    compared = simhash._labels(run, radius)
+    compared = simhash._labels(run, radius, simhash.Tally())
     monkeypatch.setattr(simhash, "FLIP_OVER", 1)
-    assert (simhash._labels(run, radius) == compared).all()
+    assert (simhash._labels(run, radius, simhash.Tally()) == compared).all()
+
+
+@pytest.mark.parametrize("short", [1, 32])
+def test_the_count_removes_pairs(monkeypatch, short):
+    """Of the pairs that meet in lists, those that share four bytes only go by the count, and no link goes with them."""
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rng = random.Random(8)
+    prints = set()
+    for _ in range(40):
+        x = rng.getrandbits(64)
+        four = sum(255 << 8 * p for p in rng.sample(range(8), 4))
+        prints |= {x, flipped(x, rng.sample(range(64), 3)), flipped(x, [8 * p + rng.randrange(8) for p in range(4)]), x ^ (rng.getrandbits(64) & four | 0x0101010101010101 & four)}
+    prints = sorted(prints)
+    posted = []
+    for x in prints:
+        for k, chosen in enumerate(itertools.combinations(range(8), 4)):
+            term = k
+            for p in chosen:
+                term = term << 8 | x >> 8 * p & 255
+            posted.append((term, x))
+    tally = simhash.Tally()
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in posted], pa.int64()), pa.array([x - (1 << 64) if x >> 63 else x for _, x in posted], pa.int64())], names=["key", "fp"])
+    (found,) = simhash._links([batch], 3, tally)
+    share = lambda a, b: sum((a ^ b) >> 8 * p & 255 == 0 for p in range(8))
+    meet = [(share(a, b), (a ^ b).bit_count() <= 3) for i, a in enumerate(prints) for b in prints[i + 1 :] if share(a, b) >= 4]
+    assert tally.met == sum(math.comb(n, 4) for n, _ in meet)
+    assert tally.reached == sum(math.comb(n, 4) for n, _ in meet if n >= 5) < tally.met
+    assert tally.verified == sum(math.comb(n, 4) for n, near in meet if near) < tally.reached
+    linked = [(u % (1 << 64), v % (1 << 64)) for u, v in zip(*(c.to_pylist() for c in found.columns), strict=True)]
+    pairs = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 3]
+    assert classes(prints, linked) == classes(prints, pairs)
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, 101)], [(5, 3), (3, 5), (9, 3), (20, 21)]])
