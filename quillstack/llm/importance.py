@@ -26,14 +26,15 @@ class Settings:
     most_labelled: int = 20_000
     #: The target model starts with so many counts a bucket, dealt as the raw model's.
     smoothing: float = 1.0
-    #: Weight of the Gumbel noise against the log importance weight, which is a mean over a text's n-grams.
-    temperature: float = 0.005
+    #: A text's log importance weight is that of so many of its n-grams, in expectation, whatever its length; the
+    #: Gumbel noise has unit scale against it.
+    grams: int = 32
     seed: int = 42
 
 
 def features(text: str | None, buckets: int) -> np.ndarray:
     """Buckets of a text's tokens and pairs of neighbours, repeats included; pairs of equal tokens share a bucket."""
-    found = TOKEN.findall((text or "").encode())
+    found = TOKEN.findall((text or "").encode("utf-8", "replace"))
     if not found:
         return np.zeros(0, dtype=np.int64)
     digest = xxhash.xxh3_64_intdigest
@@ -76,6 +77,12 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float) -> np.ndarr
     return np.log(model) - np.log(base)
 
 
+def gumbel(i: int | None, text: str | None, seed: int) -> float:
+    """Standard Gumbel noise, drawn by a row's id, or by its text where that is null."""
+    noise = xxhash.xxh3_64_intdigest((text or "" if i is None else str(i)).encode("utf-8", "replace"), seed)
+    return float(-np.log(-np.log(((noise >> 12) + 0.5) / 2.0**52)))
+
+
 def _scored(docs: DataFrame, ratio: np.ndarray, settings: Settings) -> DataFrame:
     ratio = docs.sparkSession.sparkContext.broadcast(ratio)
     out = pa.schema([("id", pa.int64()), ("n_features", pa.int64()), ("log_weight", pa.float64()), ("gumbel_key", pa.float64()), ("row", pa.string())])
@@ -85,10 +92,8 @@ def _scored(docs: DataFrame, ratio: np.ndarray, settings: Settings) -> DataFrame
             held = []
             for i, text, row in rows([batch], "id", "text", "row"):
                 own = features(text, settings.buckets)
-                weight = float(ratio.value[own].mean()) if len(own) else float("-inf")
-                noise = xxhash.xxh3_64_intdigest((text or "" if i is None else str(i)).encode(), settings.seed)
-                gumbel = -np.log(-np.log(((noise >> 12) + 0.5) / 2.0**52))
-                held.append((i, len(own), weight, weight + settings.temperature * float(gumbel), row))
+                weight = settings.grams * float(ratio.value[own].mean()) if len(own) else float("-inf")
+                held.append((i, len(own), weight, weight + gumbel(i, text, settings.seed), row))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), out, strict=True)] if held else [pa.array([], f.type) for f in out], schema=out)
 
     return docs.mapInArrow(run, "id long, n_features long, log_weight double, gumbel_key double, row string")
@@ -148,7 +153,7 @@ def _labelled(labels: DataFrame, settings: Settings, id_col: str, label_col: str
 def weigh(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> tuple[DataFrame, int]:  # noqa: B008
     """((id, n_features, log_weight, gumbel_key, row) of every row, rows to keep).
 
-    log_weight is the mean log ratio over a text's n-grams, so that length alone decides nothing.
+    log_weight is the mean log ratio over a text's n-grams times ``grams``, so that length alone decides nothing.
     The raw model counts the n-grams of all rows; the target model those of labelled good rows, of which half fit
     it. The other half, with labelled bad rows, calibrates the threshold whose count of rows is the k to keep.
     """

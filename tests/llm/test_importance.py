@@ -1,10 +1,14 @@
 """Importance resampling: models, thresholds and top-k against brute force, accuracy on held-out labels."""
 
+import math
 import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillstack.llm import importance
@@ -81,6 +85,69 @@ def test_resample(spark):
     assert sorted(map(str, again)) == sorted(map(str, found))
 
 
+def test_gumbel_keys_draw_by_weight():
+    """Of rows with weights w, the one with the greatest key is each with probability exp(w) / sum, and so on down."""
+    log_weights, n = np.array([0.0, 1.0, -1.0, 0.5]), 20_000
+    noise = np.array([[importance.gumbel(i, None, seed) for i in range(4)] for seed in range(n)])
+    order = np.argsort(-(log_weights + noise), axis=1)
+    share = np.exp(log_weights) / np.exp(log_weights).sum()
+    assert np.bincount(order[:, 0], minlength=4) / n == pytest.approx(share, abs=0.015)
+    second = sum(share[j] * share / (1 - share[j]) * (np.arange(4) != j) for j in range(4))
+    assert np.bincount(order[:, 1], minlength=4) / n == pytest.approx(second, abs=0.015)
+
+
+def plain(rows, labels, hashes, settings, k=None):
+    """Ids that are kept, by other code: models, threshold and keys of all rows on one machine."""
+    grams = []
+    for _, text in rows:
+        tokens = re.findall(r"[^\x00-/:-@\[-`{-\x7f]+|[!-/:-@\[-`{-~]+", text or "")
+        one = [xxhash.xxh3_64_intdigest(t.encode()) for t in tokens]
+        two = []
+        for a, b in zip(one, one[1:]):
+            x = ((a ^ a >> 31) * 0x9E3779B97F4A7C15 + (b ^ b >> 29)) % 2**64
+            two.append(1 if a == b else x ^ x >> 32)
+        grams.append([x % settings.buckets for x in one + two])
+    good = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            good[i] = min(good.get(i, 1), int(q > 0))
+    fit = {i for i, q in good.items() if q and hashes[i] % 2 == 0}
+    raw, target = Counter(), Counter()
+    for (i, _), own in zip(rows, grams, strict=True):
+        raw.update(own)
+        if i in fit:
+            target.update(own)
+    floor, n, prior = 0.1 * sum(raw.values()) / settings.buckets, sum(target.values()), settings.smoothing * settings.buckets
+    base = lambda b: (raw[b] + floor) / (sum(raw.values()) + floor * settings.buckets)
+    ratio = lambda b: math.log((target[b] + prior * base(b)) / (n + prior)) - math.log(base(b))
+    weights = [settings.grams * sum(map(ratio, own)) / len(own) if own else -math.inf for own in grams]
+    held = [(w, good[i]) for w, (i, _) in zip(weights, rows, strict=True) if i in good and hashes[i] % 2 == 1]
+    if k is None:
+        value = lambda t: sum(w >= t for w, q in held if q) / sum(q for _, q in held) - sum(w >= t for w, q in held if not q) / sum(not q for _, q in held)
+        best = max(value(w) for w, _ in held)
+        at = max(w for w, _ in held if value(w) == best)
+        below = [w for w, _ in held if w < at]
+        k = sum(w >= ((at + max(below)) / 2 if below and max(below) > -math.inf else at) for w in weights)
+    keys = [w + importance.gumbel(i, t, settings.seed) for w, (i, t) in zip(weights, rows, strict=True)]
+    last = sorted(keys, reverse=True)[:k][-1]
+    return sorted(str(i) for key, (i, _) in zip(keys, rows, strict=True) if key >= last - 1e-6), [w for w in weights]
+
+
+@pytest.mark.parametrize("grams", [32, 1])
+def test_kept_rows_are_the_plain_ones(spark, grams):
+    rows, labels = labelled(spark)
+    rng = random.Random(3)
+    rows += [(1000 + i, " ".join(rng.choices(["the", "cat", "sat", "BUY!!", "NOW!!", "é", "cheap|"], k=30))) for i in range(100)] + [(None, "the cat"), (7, None), (9, rows[9][1])]
+    settings = importance.Settings(buckets=1 << 10, grams=grams)
+    hashes = {r["i"]: r["h"] for r in labels.selectExpr("doc_id as i", "xxhash64(doc_id, 42) as h").collect()}
+    expected, weights = plain(rows, [(r["doc_id"], r["quality"]) for r in labels.collect()], hashes, settings)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(str(r["doc_id"]) for r in importance.resample(table, labels, settings=settings).collect()) == expected
+    if grams == 1:  # the draw decides where weights are close
+        top = sorted(range(len(rows)), key=lambda k: -weights[k])[: len(expected)]
+        assert sorted(str(rows[k][0]) for k in top) != expected
+
+
 def test_without_labels_or_rows(spark):
     rows, labels = labelled(spark)
     table = spark.createDataFrame(rows, "doc_id long, text string")
