@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import named, text_bytes
+from quillstack.llm.common import named, text_bytes, with_rows
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,13 +137,15 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     result.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), named(row_col).alias("row"))
+    thin = with_rows(thin, "place")
     size = text_bytes(thin, "text")
     # by the corpus alone: a row for each batch and part that meet, however many partitions the session has
     parts = max(settings.least, int(settings.order * size / 6 / settings.part_grams) + 1)
     each = min(settings.most_batch_bytes, max(settings.batch_bytes, 6 * settings.cell_grams * parts))
     batches = max(settings.least, size // each + 1)
     tokens = thin.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))).first()[0] or 0
-    dealt = thin.withColumn("batch", F.pmod(F.xxhash64("id", "text", "row"), F.lit(batches)).cast("int"))
+    # by its place: equal rows are dealt as others are
+    dealt = thin.withColumn("batch", F.pmod(F.xxhash64("place"), F.lit(batches)).cast("int")).drop("place")
 
     def grams(group: pd.DataFrame) -> pd.DataFrame:
         batch, found = Batch(group["text"].tolist(), settings.order), []

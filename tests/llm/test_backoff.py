@@ -45,6 +45,24 @@ def test_score(spark, order):
         assert r["mean_log_score"] == (pytest.approx(r["log_score"] / r["n_tokens"]) if r["n_tokens"] else None)
 
 
+def test_equal_rows_are_dealt_to_all_batches(spark, monkeypatch):
+    """Nine of ten rows are equal: no group holds more than its share of them."""
+    rows = [(1, "the same words again and again")] * 1800 + [(i, f"other words {i}") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = []
+    plan = type(table).groupBy
+
+    def grouped(self, *keys):
+        if keys == ("batch",) and "text" in self.columns:
+            dealt.append(max(r["count"] for r in plan(self, "batch").count().collect()))
+        return plan(self, *keys)
+
+    monkeypatch.setattr(type(table), "groupBy", grouped)
+    found = backoff.score(table, backoff.Settings(batch_bytes=2000)).collect()
+    assert dealt and max(dealt) < 200
+    assert len(found) == 2000 and len({round(r["log_score"], 6) for r in found if r["doc_id"] == 1 and r["n_tokens"] == 6}) == 1
+
+
 def test_one_or_no_document(spark):
     kinds = "doc_id long, text string"
     assert backoff.score(spark.createDataFrame([], kinds)).count() == 0
