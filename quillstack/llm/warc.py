@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batched, materialize, new_path, partitions, rows
+from quillstack.llm.common import batched, materialize, new_path, partitions, rows, with_rows
 
 #: Payloads under this many bytes are never revisits.
 LEAST_SHARED = 100
@@ -120,16 +120,16 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     seconds = F.coalesce(page, F.lit(0)) % F.lit(10**9) if time_col is None else F.unix_seconds(F.col(time_col))
     captured = F.date_format(F.timestamp_seconds((F.lit(0) if time_col else F.lit(int(FIRST_CAPTURE.timestamp()))) + seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     whole = pages.select(page.alias("page_id"), F.col(url_col).cast("string").alias("url"), captured.alias("captured"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    whole = whole.withColumn("digest", F.sha2("payload", 256))
-    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest").alias("key")
-    thin = materialize(whole.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "digests")
+    whole = with_rows(whole).withColumn("digest", F.sha2("payload", 256))
+    thin = materialize(whole.select("row", "page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "digests")
     shared = thin.where(F.col("bytes") >= LEAST_SHARED)
     firsts = materialize(shared.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     later = shared.join(firsts, "digest").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    later = materialize(later.select(key, "refers_to").distinct(), "revisits")
+    later = materialize(later.select("row", "refers_to"), "revisits")
     total = thin.agg(F.sum("bytes")).first()[0] or 0
-    dealt = whole.select("*", key).repartition(partitions(pages.sparkSession, total, archive_bytes), "key")
-    return dealt.join(later, "key", "left").withColumn("is_revisit", F.col("refers_to").isNotNull())
+    # by its row: copies are dealt to archives as other pages are
+    dealt = whole.repartition(partitions(pages.sparkSession, total, archive_bytes), "row")
+    return dealt.join(later, "row", "left").withColumn("is_revisit", F.col("refers_to").isNotNull())
 
 
 def write_archives(found: DataFrame, path: str) -> None:

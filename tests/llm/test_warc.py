@@ -104,6 +104,19 @@ def test_hot_url_is_split_among_ranges(spark):
     assert [r["page_id"] for r in ordered] == list(range(300))
 
 
+def test_equal_rows_are_dealt_to_all_archives(spark):
+    """Nine of ten rows are one page, id and all."""
+    pages = [(1, "http://a.b/hot", LONG)] * 900 + [(i, f"http://a.b/{i}", f"text {i} " * 20) for i in range(2, 102)] + [(None, "http://a.b/none", LONG)] * 200
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    found = warc.archive_and_index(table, archive_bytes=16_000).collect()
+    sizes = {}
+    for r in found:
+        sizes[r["archive"]] = sizes.get(r["archive"], 0) + 1
+    assert len(found) == len(pages) and max(sizes.values()) < 300
+    told = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found]
+    assert sorted(told, key=order) == sorted(expected(pages), key=order)
+
+
 def test_changed_payload_is_an_error():
     data = (
         b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: x\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 27\r\n\r\n"
