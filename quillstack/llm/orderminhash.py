@@ -11,19 +11,22 @@ tuple, and so without order. With ``whole`` each sketch selects from all k-mers
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batched, partitions, rows, text_bytes
+from quillstack.llm.common import batched, materialize, partitions, rows, with_rows
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Bits of a k-mer's hash in a sort key; the rest are its place in the text. Longer texts sort by index instead.
 _HASH_BITS, _PLACE_BITS = 44, 20
+#: Ranges of ids, whose first keys the driver holds; in larger corpora ranges are longer.
+MOST_RANGES = 1 << 18
 #: Hashes of k-mers that are held at once, for some sketches.
 _HELD = 1 << 17
 
@@ -159,52 +162,61 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _number(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
-    """The range of each id, later ranges having smaller ids; null ids have the last one to themselves."""
-    known = np.asarray(ids.is_valid())
-    number = len(bounds) - np.searchsorted(bounds, np.asarray(ids.fill_null(0)), side="right")
-    return np.where(known, number, len(bounds) + 1).astype(np.int32)
+def _key(i: int | None, tie: int, row: str) -> tuple:
+    """Sorts as documents follow each other: ids from the greatest, null last; equal ids by a hash of their texts, then by row."""
+    return i is None, -(i or 0), -tie, row
 
 
-def _ranged(docs: DataFrame, parts: int) -> DataFrame:
-    """(range, guest, id, text) from (id, text), in partitions by range, a range's rows in order.
+def _order() -> list[Column]:
+    """The same, for Spark."""
+    return [F.col("id").desc_nulls_last(), F.col("tie").desc(), F.col("row").asc()]
 
-    The first row of a range follows the last one of the range before, and comes there too, as a guest. The bounds of
-    ranges and the first id of each are all that leaves the tables: ``parts`` numbers at most.
-    """
-    steps = [x / parts for x in range(1, parts)]
-    bounds = np.array(sorted(set(docs.agg(F.percentile_approx("id", steps, 10 * parts)).first()[0] or ())) if steps else (), dtype=np.int64)
 
-    def firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_number(b.column(0), bounds)), b.column(0)], names=["range", "id"])
+def _bounds(thin: DataFrame, parts: int) -> list[tuple]:
+    """The key of the first row of each range, of ``parts`` ranges at most; row splits ids that repeat, and null ones."""
+    out = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("row", pa.string())])
+
+    def least(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = min(rows(batches, "id", "tie", "row"), key=lambda r: _key(*r), default=None)
+        if found:
+            yield from batched([found], out)
+
+    each = thin.select("id", "tie", "row").repartitionByRange(parts, *_order()).mapInArrow(least, "id long, tie long, row string")
+    return sorted(_key(*r) for r in each.collect())  # a row for each range
 
-    greatest = docs.select("id").mapInArrow(firsts, "range int, id long").groupBy("range").agg(F.max("id").alias("id"))
-    first = sorted((r["range"], r["id"]) for r in greatest.collect())
-    to = {r: (i, first[k - 1][0]) for k, (r, i) in enumerate(first)}
+
+def _ranged(docs: DataFrame, thin: DataFrame, parts: int) -> DataFrame:
+    """(range, guest, id, text) from (id, tie, row, text), in partitions by range, a range's rows in order.
+
+    The first row of a range follows the last one of the range before, and comes there too, as a guest. The first key
+    of each range is all that leaves the tables.
+    """
+    bounds = docs.sparkSession.sparkContext.broadcast(_bounds(thin, parts))
 
     def visits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = bounds.value
         for b in batches:
-            number = _number(b.column(0), bounds)
-            leads = [k for k, (n, i) in enumerate(zip(number.tolist(), b.column(0).to_pylist(), strict=True)) if to[n][0] == i]
-            for rows_, range_, guest in ((b, number, False), (b.take(pa.array(leads, pa.int64())), np.array([to[n][1] for n in number[leads].tolist()], dtype=np.int32), True)):
-                if rows_.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(range_), pa.array([guest] * rows_.num_rows), *rows_.columns], names=["range", "guest", "id", "text"])
+            keys = [_key(*r) for r in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("id", "tie", "row")), strict=True)]
+            number = [bisect_right(first, k) - 1 for k in keys]
+            leads = [k for k, (n, key) in enumerate(zip(number, keys, strict=True)) if first[n] == key]
+            for some, range_, guest in ((b, number, False), (b.take(pa.array(leads, pa.int64())), [(number[k] - 1) % len(first) for k in leads], True)):
+                if some.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(range_, pa.int32()), pa.array([guest] * some.num_rows), *some.columns], names=["range", "guest", *some.schema.names])
 
-    dealt = docs.mapInArrow(visits, "range int, guest boolean, id long, text string")
-    order = ["range", "guest", F.col("id").desc_nulls_last(), F.xxhash64("text").desc()]
-    return dealt.repartition(max(1, parts // 4), "range").sortWithinPartitions(*order)
+    dealt = docs.select("id", "tie", "row", "text").mapInArrow(visits, "range int, guest boolean, id long, tie long, row string, text string")
+    return dealt.repartition(max(1, parts // 4), "range").sortWithinPartitions("range", "guest", *_order())
 
 
-def fingerprints(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 4 << 20) -> DataFrame:  # noqa: B008
+def fingerprints(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20) -> DataFrame:  # noqa: B008
     """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The next document is the one with the next smaller id, after the last the first; ids that repeat follow each
-    other by a hash of their texts, and null ids come last. A null text is empty; an empty text's fingerprint is all
+    other by a hash of their texts, equal rows by their place, and null ids come last; ranges split either. A null text is empty; an empty text's fingerprint is all
     zeros, and is like another empty one. The only document is its own next. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = 4 * partitions(docs.sparkSession, text_bytes(docs, "text"), 4 * range_bytes)
+    docs = with_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).withColumn("tie", F.xxhash64("text"))
+    thin = materialize(docs.select("id", "tie", "row", F.octet_length("text").cast("long").alias("bytes")), "order")
+    parts = min(MOST_RANGES, 4 * partitions(docs.sparkSession, thin.agg(F.sum("bytes")).first()[0] or 0, 4 * range_bytes))
     out = pa.schema(
         [("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     )
@@ -229,4 +241,4 @@ def fingerprints(docs: DataFrame, settings: Settings = Settings(), id_col: str =
         yield from batched(found(), out)
 
     kinds = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _ranged(docs, parts).mapInArrow(run, kinds).withColumnRenamed("id", id_col)
+    return _ranged(docs, thin, parts).mapInArrow(run, kinds).withColumnRenamed("id", id_col)

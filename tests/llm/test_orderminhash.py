@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quillstack.llm import orderminhash as omh
+from quillstack.llm.common import with_rows
 
 MASK = (1 << 64) - 1
 
@@ -98,6 +99,17 @@ def test_next_documents(spark, data):
     assert sorted((tuple(r) for r in found), key=order) == sorted(expected, key=order)
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_rows_of_one_id_are_split_among_ranges(spark, hot):
+    """Nine of ten rows have one id, or none, and most of these are equal."""
+    data = [(hot, f"hot {i if i % 3 == 0 else 0}") for i in range(450)] + [(100 + i, f"text {i}") for i in range(50)]
+    docs = spark.createDataFrame(data, "id long, text string").repartition(3).selectExpr("id", "xxhash64(text) tie", "text")
+    docs = with_rows(docs)
+    found = omh._ranged(docs, docs.select("id", "tie", "row"), 20).groupBy("range").count().collect()
+    assert len(found) > 10 and max(r["count"] for r in found) < 120
+    test_next_documents(spark, data)
+
+
 def test_whole_texts_of_any_length_have_order():
     """Every sketch has a tuple, so that blocks that change places show in short texts as in long ones."""
     whole, rng = omh.Settings(whole=True), random.Random(5)
