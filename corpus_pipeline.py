@@ -13,26 +13,38 @@ from quillstack.llm import importance, mixing, packing, simhash
 from quillstack.llm.common import new_path, with_rows
 from quillstack.llm.queries import tokenizer_files
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return with_rows(docs).select(*COLUMNS, "row")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart, under a name that it does not have yet."""
+    name = "row"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return with_rows(docs, name), name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling towards the labelled good ones keeps; the others go."""
-    docs = _numbered(docs)
-    kept = importance.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col="row")
-    return docs.join(kept.select("row"), "row", "left_semi").select(*COLUMNS)
+    """Documents that importance resampling towards the labelled good ones keeps; the others go.
+
+    Texts without a token (null, empty, blank) go; repeated rows stay or go together, as do ties with the last row
+    kept; a null id can stay. Texts of any length are weighed whole. Without labels all weights are equal, and what
+    has a text stays. An empty table stays one. Columns stay as they are, whatever their names.
+    """
+    named, row = _numbered(docs)
+    kept = importance.resample(named, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
+    return named.join(kept.select(F.col("row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: the one with the smallest id, nulls last."""
-    docs = _numbered(docs)
-    placed = simhash.near_duplicates(docs, row_col="row")
+    """One document of each group of SimHash near-duplicates: the one with the smallest id, nulls last.
+
+    Of rows that share the smallest id one stays, by its place. Texts without a word (null, empty, blank) are one
+    group. Texts of any length have a whole fingerprint. An empty table stays one. Columns stay as they are.
+    """
+    named, row = _numbered(docs)
+    placed = simhash.near_duplicates(named, row_col=row)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    return docs.join(placed.groupBy("component_root").agg(first).select("first.row"), "row", "left_semi").select(*COLUMNS)
+    kept = placed.groupBy("component_root").agg(first).select(F.col("first.row").alias(row))
+    return named.join(kept, row, "left_semi").select(*docs.columns)
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -56,16 +68,26 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that Sainte-Laguë mixing takes: a row for each time that words of a document are taken."""
-    docs = _numbered(docs)
-    taken = mixing.mix(docs, row_col="row").where(F.size("spans") > 0).select("row", "spans")
-    parts = docs.join(taken, "row")
-    text = parts.select("doc_id", F.explode(_cut("text", "spans")).alias("text"), "lang", "source")
-    return text.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    """The words that Sainte-Laguë mixing takes: a row for each time that words of a document are taken.
+
+    A document that is taken whole keeps its text; of one that is cut, the taken spans are lines. n_chars, if there,
+    is the new text's. Texts without a word (null, empty, blank) have nothing to take and go; null ids and sources
+    stay null; repeated rows are taken each. An empty table stays one. Other columns stay as they are.
+    """
+    named, row = _numbered(docs)
+    taken = mixing.mix(named, row_col=row).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(f"{row}spans"))
+    parts = named.join(taken, row).withColumn("text", F.explode(_cut("text", f"{row}spans")))
+    if "n_chars" in docs.columns:
+        parts = parts.withColumn("n_chars", F.char_length("text").cast("long"))
+    return parts.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of 1024 tokens."""
+    """Where each piece of each document goes in sequences of 1024 tokens.
+
+    A null text is an empty one, the end token alone; repeated rows and ids are packed each, a null id stays null; a
+    text of any length is cut into full pieces, the first of which may be shorter. An empty table gives no rows.
+    """
     return packing.pack(docs, **tokenizer_files())
 
 
