@@ -99,6 +99,21 @@ def test_mix_stage(spark):
     assert sorted(map(key, rows)) == sorted(map(key, corpus_pipeline.mix(spark, docs.coalesce(1), DATA).collect()))
 
 
+def test_stages_keep_columns_and_long_texts(spark):
+    """Other columns than those of documents, with names that the operators use, and a text of a million characters."""
+    rows = [(i, f"row{i}", f"A good text with the number {i} about cats and dogs and birds. " * (9 if i else 16_000), {"a": i}, 7.5) for i in range(12)]
+    docs = spark.createDataFrame([(i, n, t, "s", m, x, "k") for i, n, t, m, x in rows], "doc_id long, row string, text string, source string, spans map<string,long>, id double, ROW_ string")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_dedup, corpus_pipeline.mix):
+        found = stage(spark, docs, DATA)
+        assert found.columns == docs.columns
+        kept = found.collect()
+        assert kept and all(r["row"] == f"row{r['doc_id']}" and r["spans"] == {"a": r["doc_id"]} and r["id"] == 7.5 for r in kept)
+    packed = corpus_pipeline.pack(spark, docs, DATA).collect()
+    assert {r["doc_id"] for r in packed} == set(range(12))
+    lengths = {i: sum(r["length"] for r in packed if r["doc_id"] == i) for i in range(12)}
+    assert lengths[0] > 1700 * lengths[1] and all(r["length"] == 1024 for r in packed if r["doc_id"] == 0 and r["piece"] > 0)
+
+
 def test_pipeline(spark):
     assert [n.split(" (")[1] for n, _ in corpus_pipeline.STAGES] == ["7)", "5)", "9)", "10)"]
     found = corpus_pipeline.run(spark, DATA)
