@@ -115,6 +115,11 @@ def decode_postings(data: pd.Series) -> pd.Series:
     return data.map(lambda b: [{"doc_id": d, "tf": t, "positions": p} for d, t, p in postings_of(decode_low_first(b))], na_action="ignore")
 
 
+def decode_postings_at(data: Column, offset: Column, length: Column) -> Column:
+    """The list that a longer string of bytes holds at an offset."""
+    return decode_postings(F.substring(data, offset.cast("int") + 1, length.cast("int")))
+
+
 def vbyte_size(number: Column) -> Column:
     """Bytes that a number takes, without encoding it."""
     return F.lit(1) + sum((number >= F.lit(1 << 7 * k)).cast("int") for k in range(1, 9))

@@ -7,11 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstack.functions.codec import encode_postings, vbyte_size
+from quillstack.functions.codec import vbyte_encode as encode
+from quillstack.functions.codec import vbyte_size
 from quillstack.operators import order
+from quillstack.sources.shared import written
 
 BARRELS = 10
 SKIP_INTERVAL = 128
+#: Documents of a block.
+BLOCK_DOCS = 10_000
 
 
 def barrel_of(term: Column, barrels: int = BARRELS) -> Column:
@@ -40,36 +44,56 @@ def with_word_ids(rows: DataFrame) -> DataFrame:
     return order.numbered(rows, "term", order.by_term(), "word_id")
 
 
-def posting_lists(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(term, postings), postings by document."""
+def posting_lists(found: DataFrame, id_col: str = "doc_id", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(term, block, postings), postings by document: a list for each term and block of documents.
+
+    A block has ``block_docs`` ids, so that the list of the most frequent term is no longer than others can be.
+    """
     one = F.struct(F.col(id_col).cast("int").alias("doc_id"), "tf", "positions")
-    return found.groupBy("term").agg(F.array_sort(F.collect_list(one)).alias("postings"))
+    block = F.floor(F.col(id_col).cast("long") / block_docs).alias("block")
+    return found.groupBy("term", block).agg(F.array_sort(F.collect_list(one)).alias("postings"))
 
 
-def posting_bytes(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def posting_bytes(tokens: DataFrame, id_col: str = "doc_id", bits: int = 20) -> DataFrame:
     """(term, doc_freq, term_freq, bytes): how long each term's encoded list is, as sums of the sizes of its gaps.
 
-    No list is built for it: sizes of position gaps add up by document, those of document gaps by term.
+    No list is encoded for it, and each row of tokens is read once: sizes of position gaps add up by document, those
+    of document gaps by term and range of 2**bits ids, and the gap into a range comes from the ranges before.
     """
-    within = Window.partitionBy("term", id_col).orderBy("pos")
-    gap = F.col("pos") - F.lag("pos", 1, 0).over(within)
-    own = tokens.select("term", id_col, vbyte_size(gap).cast("long").alias("_b")).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sum("_b").alias("_b"))
-    sized = gaps(own, id_col).withColumn("_b", F.col("_b") + vbyte_size(F.col("tf")) + vbyte_size(F.col("doc_gap")))
-    sums = sized.groupBy("term").agg(F.count("*").cast("int").alias("doc_freq"), F.sum("tf").cast("long").alias("term_freq"), F.sum("_b").alias("bytes"))
+    add = lambda a, b: a + b
+    sizes = lambda a: F.aggregate(F.transform(position_gaps(a), lambda x: vbyte_size(x).cast("long")), F.lit(0).cast("long"), add)
+    own = tokens.groupBy("term", id_col).agg(F.sort_array(F.collect_list("pos")).alias("_at"))
+    own = own.select("term", F.col(id_col).cast("long").alias("_doc"), F.size("_at").cast("long").alias("tf"), (sizes(F.col("_at")) + vbyte_size(F.size("_at"))).alias("_b"))
+    ranged = own.groupBy("term", F.shiftright("_doc", bits).alias("_range")).agg(F.sort_array(F.collect_list("_doc")).alias("_docs"), F.sum("tf").alias("tf"), F.sum("_b").alias("_b"))
+    first, last = F.get("_docs", F.lit(0)), F.element_at("_docs", -1)
+    inner = sizes(F.col("_docs")) - vbyte_size(first)
+    ranged = ranged.select("term", "_range", F.size("_docs").alias("n"), "tf", (F.col("_b") + inner).alias("_b"), first.alias("_first"), last.alias("_last"))
+    into = F.col("_first") - F.lag("_last", 1, 0).over(Window.partitionBy("term").orderBy("_range"))
+    sums = ranged.withColumn("_b", F.col("_b") + vbyte_size(into)).groupBy("term").agg(F.sum("n").cast("int").alias("doc_freq"), F.sum("tf").cast("long").alias("term_freq"), F.sum("_b").alias("bytes"))
     return sums.withColumn("bytes", F.col("bytes") + vbyte_size(F.col("doc_freq")))
 
 
 def lexicon_with_offsets(tokens: DataFrame, id_col: str = "doc_id", skip_interval: int = SKIP_INTERVAL) -> DataFrame:
     """The whole lexicon: ids, frequencies, where a term's encoded list begins, how long it is, and its barrel."""
-    placed = order.running(posting_bytes(tokens, id_col), "term", order.by_term(), {"offset": "bytes"}, number="word_id")
+    placed = order.running(written(posting_bytes(tokens, id_col), "terms"), "term", order.by_term(), {"offset": "bytes"}, number="word_id")
     skip = F.to_json(F.struct(F.col("doc_freq").alias("df"), F.lit(skip_interval).alias("skip_interval")))
     return placed.select("word_id", "term", "doc_freq", "term_freq", "offset", "bytes", skip.alias("skip_meta"), barrel_of(F.col("term")).alias("barrel_id"))
 
 
-def encoded(found: DataFrame, words: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(word_id, offset, content): the bytes of each posting list."""
-    lists = posting_lists(found, id_col).select("term", encode_postings("postings").alias("content"))
-    return words.select("term", "word_id", "offset").join(lists, "term").select("word_id", "offset", "content")
+def encoded(found: DataFrame, words: DataFrame, id_col: str = "doc_id", bits: int = 20) -> DataFrame:
+    """(word_id, offset, content): the bytes of each posting list, in pieces of one range of ids each.
+
+    Pieces by offset are the list: gaps go on over ranges, and the first piece begins with the number of documents.
+    """
+    each = F.concat(F.array(F.col("doc_gap").cast("long"), F.size("positions").cast("long")), position_gaps(F.col("positions")).cast("array<long>"))
+    coded = gaps(found, id_col, bits).select("term", "block", F.struct(F.col(id_col).cast("long"), each.alias("numbers")).alias("p"))
+    lists = coded.groupBy("term", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["numbers"])).alias("numbers"))
+    head = F.row_number().over(Window.partitionBy("term").orderBy("block")) == 1
+    lists = lists.withColumn("head", head).join(words.select("term", "word_id", "doc_freq", "offset"), "term")
+    numbers = F.when(F.col("head"), F.concat(F.array(F.col("doc_freq").cast("long")), "numbers")).otherwise(F.col("numbers"))
+    pieces = lists.select("word_id", "block", "offset", encode(numbers).alias("content"))
+    before = Window.partitionBy("word_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.select("word_id", (F.col("offset") + F.coalesce(F.sum(F.octet_length("content")).over(before), F.lit(0))).alias("offset"), "content")
 
 
 def document_map(rows: DataFrame, orig_col: str, seen_col: str) -> DataFrame:
@@ -115,11 +139,11 @@ def forward(found: DataFrame, words: DataFrame, id_col: str = "doc_id") -> DataF
 
 def missing_terms(found: DataFrame, words: DataFrame) -> DataFrame:
     """Terms of postings that a lexicon does not have."""
-    return found.join(words.select("term"), "term", "left_anti").select("term").distinct()
+    return found.select("term").distinct().join(words.select("term"), "term", "left_anti")
 
 
 def gaps(found: DataFrame, id_col: str = "doc_id", bits: int = 20) -> DataFrame:
-    """doc_gap: from a term's document before; the first one's is its id.
+    """block and doc_gap: from a term's document before; the first one's is its id. ``ungapped`` is the way back.
 
     A window holds a term's documents of one range of ids, of 2**bits ids, so that the most frequent term is not one
     task's; where a range begins, the last document of the ranges before comes from a table of one row for each.
@@ -128,7 +152,19 @@ def gaps(found: DataFrame, id_col: str = "doc_id", bits: int = 20) -> DataFrame:
     last = ranged.groupBy("term", "_range").agg(F.max(id_col).alias("_last"))
     ahead = last.select("term", "_range", F.lag("_last", 1, 0).over(Window.partitionBy("term").orderBy("_range")).alias("_ahead"))
     before = F.lag(id_col).over(Window.partitionBy("term", "_range").orderBy(id_col))
-    return ranged.join(ahead, ["term", "_range"]).withColumn("doc_gap", F.col(id_col) - F.coalesce(before, "_ahead")).drop("_range", "_ahead")
+    return ranged.join(ahead, ["term", "_range"]).withColumn("doc_gap", F.col(id_col) - F.coalesce(before, "_ahead")).withColumnRenamed("_range", "block").drop("_ahead")
+
+
+def ungapped(coded: DataFrame, by: str, name: str = "doc_id") -> DataFrame:
+    """``name``: the documents of gaps that are in the order of ``by`` within their term and block.
+
+    Blocks add up first: a window holds the gaps of one block, or a row for each of a term's blocks.
+    """
+    before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = coded.groupBy("term", "block").agg(F.sum("doc_gap").alias("_sum"))
+    ahead = sums.select("term", "block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
+    upto = Window.partitionBy("term", "block").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return coded.join(ahead, ["term", "block"]).withColumn("_to", F.sum("doc_gap").over(upto)).withColumn(name, F.col("_ahead") + F.col("_to")).drop("_ahead", "_to")
 
 
 def position_gaps(positions: Column) -> Column:
@@ -137,12 +173,17 @@ def position_gaps(positions: Column) -> Column:
 
 @dataclass
 class Index:
-    """Tables of one corpus. ``write`` deals postings and lexicon to barrels; a term's barrel prunes the scan."""
+    """Tables of one corpus. ``write`` deals postings and lexicon to barrels; a term's barrel prunes the scan.
+
+    ``derived`` says that lexicon and lengths follow from the postings: then ``write`` takes them from the postings
+    that it has written, and the texts are cut into terms once.
+    """
 
     docs: DataFrame
     postings: DataFrame
     lexicon: DataFrame
     doc_stats: DataFrame
+    derived: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -154,14 +195,22 @@ class Index:
         return corpus_stats(self.docs, self.doc_stats).crossJoin(F.broadcast(terms))
 
     def write(self, path: str) -> None:
-        for name in ("postings", "lexicon"):
-            table = getattr(self, name)
-            table = table if "barrel_id" in table.columns else table.withColumn("barrel_id", barrel_of(F.col("term")))
-            # a range of terms in each file: statistics of row groups then prune lookups and prefixes
-            dealt = table.repartitionByRange(F.col("barrel_id"), F.col("term")).sortWithinPartitions("barrel_id", "term")
-            dealt.write.mode("overwrite").partitionBy("barrel_id").parquet(f"{path}/{name}")
+        self._deal(self.postings, f"{path}/postings", "doc_id")
+        words, sizes = self.lexicon, self.doc_stats
+        if self.derived:
+            found = self.spark.read.parquet(f"{path}/postings")
+            words, sizes = lexicon(found), lengths(found)
+        self._deal(words, f"{path}/lexicon")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        sizes.write.mode("overwrite").parquet(f"{path}/doc_stats")
+
+    @staticmethod
+    def _deal(table: DataFrame, path: str, *more: str) -> None:
+        """A range of terms in each file, so that statistics of row groups prune lookups and prefixes; with ``more``,
+        a very frequent term is split among files."""
+        table = table if "barrel_id" in table.columns else table.withColumn("barrel_id", barrel_of(F.col("term")))
+        keys = ("barrel_id", "term", *more)
+        table.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("barrel_id").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
@@ -173,4 +222,4 @@ def build(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", positions:
     renamed = tokens.withColumnRenamed(id_col, "doc_id")
     found = postings(renamed) if positions else counts(renamed)
     counted = counts(renamed)
-    return Index(docs, found, lexicon(counted), lengths(counted))
+    return Index(docs, found, lexicon(counted), lengths(counted), derived=True)

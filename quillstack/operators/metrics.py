@@ -16,28 +16,37 @@ from quillstack import schemas
 SLOW_MS = 100.0
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at floor(p n / 100) of an aggregate's sorted values, the last one at most."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.least(F.floor(F.lit(p) * F.size(ordered) / F.lit(100.0)).cast("int"), F.size(ordered) - 1))
-
-
 def percentiles(rows: DataFrame, value: str, by: Sequence[str], ps: Sequence[float]) -> DataFrame:
-    """The same for large groups: ranks within a group, then one row for each percentile; no group is an array."""
+    """p<p>: the value at floor(p n / 100) of a group's sorted values, the last one at most; of all rows without ``by``.
+
+    Equal values combine first. Values of a group are dealt to buckets of their logarithms, whose counts tell where
+    each begins; a window holds one bucket's different values, or a row for each bucket of a group.
+    """
     key = list(by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy(value)) - 1)
-    sized = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
-    at = lambda p: F.least(F.floor(F.lit(p) * F.col("_n") / F.lit(100.0)), F.col("_n") - 1)
-    return sized.groupBy(*key).agg(*(F.max(F.when(F.col("_at") == at(p), F.col(value))).alias(f"p{p:g}") for p in ps))
+    v = F.col("_v")
+    each = rows.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    each = each.withColumn("_bucket", F.when(F.isnan(v), F.lit(1 << 62)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(1024))))
+    sums = each.groupBy(*key, "_bucket").agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("_n").over(Window.partitionBy(*key))
+    ahead = sums.select(*key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"), whole.alias("_of"))
+    upto = F.sum("_n").over(Window.partitionBy(*key, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "_bucket")]
+    condition = same[0]
+    for other in same[1:]:
+        condition = condition & other
+    both = each.withColumn("_upto", upto).alias("a").join(ahead.alias("b"), condition)
+    both = both.select(*(F.col(f"a.{c}").alias(c) for c in key), "_v", (F.col("_ahead") + F.col("_upto")).alias("_to"), "_n", "_of")
+    at = lambda p: F.least(F.floor(F.lit(p) * F.col("_of") / F.lit(100.0)), F.col("_of") - 1)
+    return both.groupBy(*key).agg(*(F.max(F.when((F.col("_to") > at(p)) & (F.col("_to") - F.col("_n") <= at(p)), v)).alias(f"p{p:g}") for p in ps))
 
 
 def query_stats(rows: DataFrame, value: str = "time_ms") -> DataFrame:
     """One row: count, sum, mean, least and greatest, and percentiles by nearest rank."""
     v = F.col(value)
-    return rows.agg(
-        F.count(v).alias("query_count"), F.sum(v).alias("total_ms"), F.avg(v).alias("avg_time_ms"), F.min(v).alias("min_time_ms"), F.max(v).alias("max_time_ms"),
-        *(nearest_rank(v, p).alias(f"p{p}_time_ms") for p in (50, 95, 99)),
-    )
+    sums = rows.agg(F.count(v).alias("query_count"), F.sum(v).alias("total_ms"), F.avg(v).alias("avg_time_ms"), F.min(v).alias("min_time_ms"), F.max(v).alias("max_time_ms"))
+    ranks = percentiles(rows, value, (), (50, 95, 99)).select(*(F.col(f"p{p}").alias(f"p{p}_time_ms") for p in (50, 95, 99)))
+    return sums.crossJoin(ranks)  # one row each
 
 
 def memory_stats(rows: DataFrame, value: str = "mem_kb", at: str = "query_id") -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack import schemas
 from quillstack.functions import codec
 from quillstack.functions import text as T
-from quillstack.functions.stem import porter_stem, stem_terms
+from quillstack.functions.stem import STEP_2, STEP_3, STEP_4, porter_stem, stem_terms
 from quillstack.operators import analyze, barrels, extract, index, metrics, order, search, suggest
 from quillstack.sources.spread import spread
 
@@ -58,7 +58,7 @@ def whole_index(spark: SparkSession, sf_dir: str) -> index.Index:
     docs = documents(spark, sf_dir)
     sized = docs.select("doc_id", F.size(T.tokens_v1(F.col("text"))).cast("long").alias("dl"))
     found = index.counts(token_rows(docs))
-    return index.Index(docs.select("doc_id", F.col("doc_id").cast("string").alias("orig_id")), found, index.lexicon(found), sized)
+    return index.Index(docs.select("doc_id", F.col("doc_id").cast("string").alias("orig_id")), found, index.lexicon(found), sized, derived=True)
 
 
 def _tok(text: str, lower: bool = True) -> str:
@@ -127,11 +127,6 @@ for _mark, _code in (("''", 57344), ("’", 57345)) * 2:
 _V2 = f"list_transform(regexp_extract_all({_V2}, '[\\p{{L}}\\p{{N}}' || chr(57344) || chr(57345) || ']+'), lambda z: replace(replace(z, chr(57344), ''''), chr(57345), '’'))"
 
 
-@query(f"SELECT id, array_to_string({_V2}, ' ') AS originals, lower(array_to_string({_V2}, ' ')) AS tokens FROM {SAMPLES_SQL}")
-def tokenize_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", F.array_join(T.originals_v2(F.col("s")), " ").alias("originals"), F.array_join(T.tokens_v2(F.col("s")), " ").alias("tokens"))
-
-
 #: All documents, and the samples under negative ids.
 BOTH_SQL = f"(SELECT doc_id AS id, text AS s FROM documents UNION ALL SELECT -id, s FROM {SAMPLES_SQL}) w"
 
@@ -141,7 +136,7 @@ def documents_and_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT id, array_to_string({_V2}, ' ') AS originals, lower(array_to_string({_V2}, ' ')) AS tokens FROM {BOTH_SQL}")
-def tokenize_v2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenize_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = documents_and_samples(spark, sf_dir)
     return both.select("id", F.array_join(T.originals_v2(F.col("s")), " ").alias("originals"), F.array_join(T.tokens_v2(F.col("s")), " ").alias("tokens"))
 
@@ -151,13 +146,8 @@ def tokenize_v2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(T.tokens_v2(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query(f"SELECT id, array_to_string(regexp_extract_all(lower(s), '[a-z0-9'']+'), ' ') AS tokens FROM {SAMPLES_SQL}")
-def query_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark).select("id", F.array_join(T.query_tokens(F.col("s")), " ").alias("tokens"))
-
-
 @query(f"SELECT id, array_to_string(regexp_extract_all(lower(s), '[a-z0-9'']+'), ' ') AS tokens FROM {BOTH_SQL}")
-def query_tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_and_samples(spark, sf_dir).select("id", F.array_join(T.query_tokens(F.col("s")), " ").alias("tokens"))
 
 
@@ -180,29 +170,12 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONTROLS = "regexp_replace({0}, '[\\x00-\\x1F]', '', 'g')"
 
 
-@query(
-    f"SELECT id, trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS trimmed, {_CONTROLS.format('replace(s, chr(10), chr(32))')} AS tabs_deleted, "
-    f"{_CONTROLS.format('translate(s, chr(10) || chr(9), chr(32) || chr(32))')} AS tabs_blank, regexp_replace(s, '-[\\r\\n]+', '', 'g') AS joined, "
-    f"translate(s, chr(10) || chr(13) || chr(9), '   ') AS one_line FROM {SAMPLES_SQL}"
-)
-def control_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("s")
-    return samples(spark).select(
-        "id",
-        T.trim_edges(s).alias("trimmed"),
-        T.controls_out(s, tabs_as_blanks=False).alias("tabs_deleted"),
-        T.controls_out(s).alias("tabs_blank"),
-        T.dehyphenate(s).alias("joined"),
-        T.line_ends_as_blanks(s).alias("one_line"),
-    )
-
-
 @query(
     f"SELECT id, trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS trimmed, {_CONTROLS.format('replace(s, chr(10), chr(32))')} AS tabs_deleted, "
     f"{_CONTROLS.format('translate(s, chr(10) || chr(9), chr(32) || chr(32))')} AS tabs_blank, regexp_replace(s, '-[\\r\\n]+', '', 'g') AS joined, "
     f"translate(s, chr(10) || chr(13) || chr(9), '   ') AS one_line FROM {BOTH_SQL}"
 )
-def control_characters_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def control_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     return documents_and_samples(spark, sf_dir).select(
         "id",
@@ -254,12 +227,12 @@ def field_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", T.section_name(F.col("s")).alias("name"), T.section_text(F.col("s")).alias("section"))
 
 
-@query(f"SELECT doc_id, count(*) AS parts FROM {_PART} GROUP BY doc_id")
+@query("SELECT doc_id, array_to_string(" + _PART.removeprefix("(SELECT doc_id, unnest(").replace(") AS s FROM documents)", "") + ", '||') AS parts FROM documents")
 def split_and_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.size(T.split_and_trim(F.concat("lang", F.lit(": "), "text"))).cast("long").alias("parts"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.split_and_trim(F.concat("lang", F.lit(": "), "text")), "||").alias("parts"))
 
 
-_FIELD_SQL = f"WITH f AS (SELECT doc_id, 0 AS field_idx, 'title' AS field, split_part(text, chr(10), 1) AS s FROM documents UNION ALL SELECT doc_id, 1, 'body', text FROM documents), l AS (SELECT doc_id, field_idx, field, {_tok('s')} AS l FROM f), t AS (SELECT doc_id, field_idx, field, unnest(l) AS term, generate_subscripts(l, 1)::INT AS pos FROM l)"
+_FIELD_SQL = f"WITH f AS (SELECT doc_id, 0 AS field_idx, 'title' AS field, split_part(text, chr(10), 1) AS s FROM documents UNION ALL SELECT doc_id, 1, CASE WHEN strpos(text, ':') BETWEEN 1 AND 50 THEN substr(text, 1, strpos(text, ':') - 1) ELSE 'body' END, CASE WHEN strpos(text, ':') BETWEEN 1 AND 50 THEN substr(text, strpos(text, ':') + 1) ELSE text END FROM documents), l AS (SELECT doc_id, field_idx, field, {_tok('s')} AS l FROM f), t AS (SELECT doc_id, field_idx, field, unnest(l) AS term, generate_subscripts(l, 1)::INT AS pos FROM l)"
 
 
 def fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,16 +242,12 @@ def fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FIELD_SQL} SELECT doc_id, field_idx, field, pos, term FROM t WHERE term NOT IN ({STOP_SQL})")
 def field_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fielded(spark, sf_dir)
-    texts = F.array(F.struct(F.lit("title").alias("name"), F.col("title").alias("text")), F.struct(F.lit("body").alias("name"), F.col("body").alias("text")))
-    return analyze.explode_tokens(rows, "doc_id", texts).drop("orig")
+    return analyze.clean(fielded(spark, sf_dir), analyze.CleanOptions(fields=("title", "body")), "doc_id").drop("orig")
 
 
 @query(f"{_FIELD_SQL} SELECT term, doc_id, count(*)::INT AS tf, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM t GROUP BY term, doc_id")
 def field_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fielded(spark, sf_dir)
-    texts = F.array(F.struct(F.lit("title").alias("name"), F.col("title").alias("text")), F.struct(F.lit("body").alias("name"), F.col("body").alias("text")))
-    found = index.postings(analyze.explode_tokens(rows, "doc_id", texts, analyze.CleanOptions(stopwords=None)))
+    found = index.postings(analyze.clean(fielded(spark, sf_dir), analyze.CleanOptions(fields=("title", "body"), stopwords=None), "doc_id"))
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
@@ -308,15 +277,68 @@ def porter_stem_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(w,) for w in STEMS], "term string").select("term", porter_stem("term").alias("stem"))
 
 
-@query()
+def _shape_sql(x: str) -> str:
+    """C and V for consonants and vowels; a y is a vowel after a consonant. Runs of up to six y."""
+    found = f"regexp_replace(regexp_replace({x}, '[aeiou]', 'V', 'g'), '[^Vy]', 'C', 'g')"
+    found = f"regexp_replace({found}, '^y', 'C')"
+    for _ in range(3):
+        found = f"replace(replace({found}, 'Cy', 'CV'), 'Vy', 'VC')"
+    return found
+
+
+def _measure_sql(x: str) -> str:
+    return f"len(regexp_extract_all({_shape_sql(x)}, 'V+C+'))"
+
+
+def _cut_sql(n: int, x: str = "w") -> str:
+    return f"left({x}, length({x}) - {n})"
+
+
+def _strip_sql(rules: Iterable[tuple[str, str]], least: int) -> str:
+    """The first suffix that a word ends with decides."""
+    cases = []
+    for suffix, instead in rules:
+        fits = f"{_measure_sql(_cut_sql(len(suffix)))} > {least}"
+        fits += f" AND regexp_matches({_cut_sql(3)}, '[st]$')" if suffix == "ion" else ""
+        cases.append(f"WHEN suffix(w, '{suffix}') THEN CASE WHEN {fits} THEN {_cut_sql(len(suffix))} || '{instead}' ELSE w END")
+    return f"CASE WHEN strlen(term) <= 2 THEN w {' '.join(cases)} ELSE w END"
+
+
+#: Ends in consonant, vowel, consonant of one byte each, the last none of w, x and y.
+_SHORT_SQL = "({shape} LIKE '%CVC' AND regexp_matches({x}, '[\x00-\x7F]$') AND NOT regexp_matches({x}, '[wxy]$'))"
+
+
+def stems_sql(terms: str) -> str:
+    """CTEs up to ``stems`` (term, w): the published steps as SQL, of (term) rows."""
+    short = lambda x: _SHORT_SQL.format(shape=_shape_sql(x), x=x)
+    double = f"(length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND right({_shape_sql('w')}, 1) = 'C' AND NOT regexp_matches(w, '[lsz]$'))"
+    whole = "strlen(term) <= 2"
+    return (
+        f"k0 AS (SELECT term, CASE WHEN {whole} THEN term WHEN suffix(term, 'sses') OR suffix(term, 'ies') THEN {_cut_sql(2, 'term')} WHEN suffix(term, 's') AND NOT suffix(term, 'ss') THEN {_cut_sql(1, 'term')} ELSE term END AS w FROM {terms}), "
+        f"k1 AS (SELECT term, w, CASE WHEN {whole} OR suffix(w, 'eed') THEN 0 WHEN suffix(w, 'ed') AND contains({_shape_sql(_cut_sql(2))}, 'V') THEN 2 WHEN suffix(w, 'ing') AND contains({_shape_sql(_cut_sql(3))}, 'V') THEN 3 ELSE 0 END AS cut FROM k0), "
+        f"k2 AS (SELECT term, cut, CASE WHEN {whole} THEN w WHEN suffix(w, 'eed') THEN CASE WHEN {_measure_sql(_cut_sql(3))} > 0 THEN {_cut_sql(1)} ELSE w END ELSE left(w, length(w) - cut) END AS w FROM k1), "
+        f"k3 AS (SELECT term, CASE WHEN cut = 0 THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN {double} THEN {_cut_sql(1)} WHEN {_measure_sql('w')} = 1 AND {short('w')} THEN w || 'e' ELSE w END AS w FROM k2), "
+        f"k4 AS (SELECT term, CASE WHEN NOT {whole} AND suffix(w, 'y') AND contains({_shape_sql(_cut_sql(1))}, 'V') THEN {_cut_sql(1)} || 'i' ELSE w END AS w FROM k3), "
+        f"k5 AS (SELECT term, {_strip_sql(STEP_2, 0)} AS w FROM k4), k6 AS (SELECT term, {_strip_sql(STEP_3, 0)} AS w FROM k5), k7 AS (SELECT term, {_strip_sql([(x, '') for x in STEP_4], 1)} AS w FROM k6), "
+        f"k8 AS (SELECT term, CASE WHEN NOT {whole} AND suffix(w, 'e') AND ({_measure_sql(_cut_sql(1))} > 1 OR ({_measure_sql(_cut_sql(1))} = 1 AND NOT {short(_cut_sql(1))})) THEN {_cut_sql(1)} ELSE w END AS w FROM k7), "
+        f"stems AS (SELECT term, CASE WHEN NOT {whole} AND suffix(w, 'll') AND {_measure_sql('w')} > 1 THEN {_cut_sql(1)} ELSE w END AS w FROM k8)"
+    )
+
+
+#: All terms of the documents, and the published words, whose rules the documents may have no case of.
+_STEMMED = "(SELECT DISTINCT term FROM t UNION SELECT * FROM (VALUES " + ", ".join("('{}')".format(w.replace("'", "''")) for w in STEMS) + ") v(term))"
+
+
+@query(f"WITH {TOKENS}, {stems_sql(_STEMMED)} SELECT term, w AS stem FROM stems")
 def porter_stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = token_rows(documents(spark, sf_dir)).select("term").distinct()
+    listed = spark.createDataFrame([(w,) for w in STEMS], "term string")
+    terms = token_rows(documents(spark, sf_dir)).select("term").union(listed).distinct()
     return terms.select("term", porter_stem("term").alias("stem"))
 
 
-@query(f"WITH {TOKENS} SELECT count(*) AS tokens FROM t")
+@query(f"WITH {TOKENS}, {stems_sql('(SELECT DISTINCT term FROM t)')} SELECT doc_id, pos::INT AS pos, w AS term FROM t JOIN stems USING (term)")
 def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stem_terms(token_rows(documents(spark, sf_dir))).where(F.col("term").isNotNull()).agg(F.count("*").alias("tokens"))
+    return stem_terms(token_rows(documents(spark, sf_dir)))
 
 
 # -- extraction -------------------------------------------------------------------------------------------------------
@@ -394,10 +416,11 @@ def extract_dates_and_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(spark, sf_dir).select("doc_id", "pub_date", "doi_or_id")
 
 
-@query("SELECT doc_id, CASE WHEN starts_with(source, 'src1') THEN 'first' ELSE 'other' END AS class, coalesce(nullif(lang, 'en'), source) AS fallback FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'pmc' ELSE 'pdf' END AS class, coalesce(nullif(replace(lang, 'en', ''), ''), source, '') AS fallback FROM documents")
 def source_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", F.when(F.col("source").startswith("src1"), "first").otherwise("other").alias("class"), F.coalesce(F.nullif(F.col("lang"), F.lit("en")), "source").alias("fallback"))
+    named = F.concat(F.replace("lang", F.lit("en"), F.lit("PMC")), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", extract.source(named).alias("class"), T.first_non_empty(F.replace("lang", F.lit("en"), F.lit("")), F.col("source")).alias("fallback"))
 
 
 # -- index ------------------------------------------------------------------------------------------------------------
@@ -454,17 +477,8 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lengths(counted(spark, sf_dir))
 
 
-@query(f"WITH {COUNTS} SELECT doc_id AS internal_id, sum(tf)::BIGINT AS dl FROM p WHERE doc_id % 3 > 0 GROUP BY doc_id")
-def forward_doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths from a forward index by original ids, of the documents that an id map has."""
-    found = counted(spark, sf_dir).withColumn("positions", F.array().cast("array<int>"))
-    rows = index.forward(found, index.with_word_ids(index.lexicon(found))).withColumn("docid", F.concat(F.lit("d"), "docid"))
-    docs = documents(spark, sf_dir).where("doc_id % 3 > 0").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("orig_id"))
-    return index.lengths_of_forward(rows, docs).withColumnRenamed("doc_id", "internal_id")
-
-
 @query(f"WITH {COUNTS} SELECT doc_id AS internal_id, sum(tf)::BIGINT AS dl FROM p GROUP BY doc_id")
-def forward_doc_lengths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forward_doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths from a forward index by original ids, of all documents."""
     found = counted(spark, sf_dir).withColumn("positions", F.array().cast("array<int>"))
     rows = index.forward(found, index.with_word_ids(index.lexicon(found))).withColumn("docid", F.concat(F.lit("d"), "docid"))
@@ -497,9 +511,8 @@ def gap_encode_docids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COUNTS} SELECT term, doc_id FROM p")
 def gap_decode_docids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = index.gaps(counted(spark, sf_dir))
-    upto = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return coded.select("term", F.sum("doc_gap").over(upto).alias("doc_id"))
+    coded = index.gaps(counted(spark, sf_dir), bits=8).withColumnRenamed("doc_id", "nth")
+    return index.ungapped(coded, "nth").select("term", "doc_id")
 
 
 @query(
@@ -677,12 +690,11 @@ def barrel_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {LEXICON}, y AS (SELECT term, term_freq, {BARREL_SQL} AS barrel_id FROM x) "
-    "SELECT barrel_id, min(term) AS start_term, max(term) AS end_term, count(*)::INT AS term_count, sum(term_freq)::BIGINT AS size FROM y GROUP BY barrel_id"
+    f"WITH o AS ({SQL['posting_offsets']}), y AS (SELECT *, {BARREL_SQL} AS barrel_id FROM o) "
+    "SELECT barrel_id, min(term) AS start_term, max(term) AS end_term, min(\"offset\") AS \"offset\", sum(bytes)::BIGINT AS size, count(*)::INT AS term_count FROM y GROUP BY barrel_id"
 )
 def barrel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = barrels.assign(lexicon(spark, sf_dir)).withColumns({"bytes": F.col("term_freq"), "offset": F.lit(0)})
-    return barrels.metadata(words).drop("offset")
+    return barrels.metadata(index.lexicon_with_offsets(token_rows(documents(spark, sf_dir))))
 
 
 @query(f"SELECT DISTINCT {BARREL_SQL} AS barrel_id FROM (VALUES ('virus'), ('cell'), ('the'), ('of')) v(term)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstack.operators import analyze, barrels, extract, index
 from quillstack.sources import readers, writers
+from quillstack.sources.shared import written
 
 
 def extract_papers(spark: SparkSession, paths: str | Sequence[str], tsv: str | None = None, jsonl: str | None = None) -> DataFrame:
@@ -32,10 +33,10 @@ def index_cleaned(spark: SparkSession, source: str, out: str, skip_interval: int
 
     Ids count documents by their first line; lines that share a docid are one document.
     """
-    rows = readers.cleaned_jsonl(spark, source)
+    rows = written(readers.cleaned_jsonl(spark, source), "cleaned")  # lines are parsed once
     docs = index.document_map(rows.where(F.col("docid").isNotNull()), "docid", "line_no")
     named = docs.withColumnRenamed("orig_id", "paper_id")
-    tokens = analyze.tokens_of_cleaned(rows).join(named, "paper_id").select("doc_id", "pos", "term")
+    tokens = written(analyze.tokens_of_cleaned(rows).join(named, "paper_id").select("doc_id", "pos", "term"), "tokens")
     found = index.Index(docs, index.postings(tokens), index.lexicon_with_offsets(tokens, skip_interval=skip_interval), index.lengths(index.counts(tokens)))
     found.write(out)
     return index.Index.load(spark, out)

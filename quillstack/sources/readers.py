@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillstack import schemas
+from quillstack.functions import text as T
 
 CORRUPT = "_corrupt_record"
 
@@ -17,12 +18,12 @@ def _with_corrupt(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField(CORRUPT, StringType())])
 
 
-def papers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def papers(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.json") -> DataFrame:
     """Paper objects of the .json files of folders (not below them), or of listed files, with their file's name.
 
     A file that is no JSON object is a row with its text in _corrupt_record; ``sound`` leaves those out.
     """
-    found = spark.read.schema(_with_corrupt(schemas.PAPER)).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json")
+    found = spark.read.schema(_with_corrupt(schemas.PAPER)).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", pattern)
     rows = found.json([paths] if isinstance(paths, str) else list(paths))
     return rows.select("*", F.col("_metadata.file_name").alias("orig_file"))
 
@@ -43,15 +44,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """
     numbered = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
     split = numbered.withColumn("part", F.shiftright("at", 33))
-    sizes = split.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = {r["part"]: r["n"] for r in sizes.collect()}  # a row for each input split
-    starts, total = [], 0
-    for part in sorted(ahead):
-        starts.append((part, total))
-        total += ahead[part]
-    first = spark.createDataFrame(starts, "part long, ahead long")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each input split meets in one task
+    first = split.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return split.join(F.broadcast(first), "part").select("line", (F.col("ahead") + within + 1).alias("line_no")).where(F.length("line") > 0)
+    return split.join(first, "part").select("line", (F.col("ahead") + within + 1).alias("line_no")).where(F.length("line") > 0)
 
 
 def tsv_fields(line, names: Sequence[str] = schemas.EXTRACTED_FIELDS):  # noqa: ANN001, ANN201
@@ -82,7 +79,7 @@ def cleaned_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stopwords(spark: SparkSession, path: str) -> DataFrame:
-    """(term) in lower case; blank lines and comments out. A path that is not there gives none, as a warning would."""
+    """(term) with A-Z in lower case; blank lines and comments out. A path that is not there gives none, as a warning would."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -90,7 +87,7 @@ def stopwords(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException:
         return spark.createDataFrame([], "term string")
     term = F.btrim("value", F.lit(" \t\r\n"))
-    return rows.select(F.lower(term).alias("term")).where((F.col("term") != "") & ~F.col("term").startswith("#")).distinct()
+    return rows.select(T.lower(term, True).alias("term")).where((F.col("term") != "") & ~F.col("term").startswith("#")).distinct()
 
 
 def _tabbed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -116,8 +113,10 @@ def forward_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def terms_list(spark: SparkSession, path: str) -> DataFrame:
-    """(term, word_id), the greatest id of a term that repeats."""
-    return _tabbed(spark, path, schemas.TERMS).groupBy("term").agg(F.max("word_id").alias("word_id"))
+    """(term, word_id) of a file; of a term that repeats, the last line's."""
+    parts = F.split("line", "\t")
+    rows = lines(spark, path).select(F.get(parts, 0).alias("term"), F.get(parts, 1).try_cast("int").alias("word_id"), "line_no")
+    return rows.where(F.col("word_id").isNotNull()).groupBy("term").agg(F.max_by("word_id", "line_no").alias("word_id"))
 
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -138,3 +137,9 @@ def barrel_blobs(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "barrel_*.bin").load(path)
     number = F.regexp_extract("path", r"barrel_(\d+)\.bin$", 1).try_cast("int")
     return rows.select(number.alias("barrel_id"), "content").where(F.col("barrel_id").isNotNull())
+
+
+def posting_slices(blobs: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, content): each term's encoded list, cut from its barrel's blob by the lexicon's offset and bytes."""
+    own = F.substring("content", F.col("offset").cast("int") + 1, F.col("bytes").cast("int"))
+    return words.select("term", "barrel_id", "offset", "bytes").join(blobs, "barrel_id").select("term", own.alias("content"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Bytes a core; an input with more has enough splits of its own.
-SMALL = 32 << 20
+#: Bytes of files; an input with more has enough splits of its own, on however many cores.
+SMALL = 256 << 20
 
 
 def spread(rows: DataFrame, *keys: str, small: int = SMALL) -> DataFrame:
@@ -13,10 +13,10 @@ def spread(rows: DataFrame, *keys: str, small: int = SMALL) -> DataFrame:
 
     With ``keys``, by those: what is then grouped by a document and more, as its terms are, is not shuffled again.
 
-    The size is the optimizer's estimate, from the files' lengths; an input over ``small`` bytes a core is left as it
-    is, so that nothing large is shuffled for it.
+    The size is the optimizer's estimate, from the files' lengths; an input over ``small`` bytes is left as it is, so
+    that nothing large is shuffled for it.
     """
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores, *keys) if 1 < cores and size <= cores * small else rows
+    return rows.repartition(cores, *keys) if 1 < cores and size <= small else rows

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack import schemas
@@ -33,7 +36,7 @@ def cleaned_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def inverted_block(postings: DataFrame, path: str) -> None:
-    """A line for each term, of (term, postings)."""
+    """A line for each row of (term, postings): a term is on a line for each block that it is in."""
     one = lambda p: F.concat(p["doc_id"].cast("string"), F.lit(":"), F.array_join(F.transform(p["positions"], lambda x: x.cast("string")), ","))
     _lines(F.concat("term", F.lit("\t"), F.array_join(F.transform("postings", one), ";")), postings, path)
 
@@ -63,7 +66,41 @@ def docid_map(rows: DataFrame, path: str) -> None:
 
 def postings_bytes(rows: DataFrame, path: str) -> None:
     """(word_id, offset, content) as Parquet; the bytes of all lists by offset are the single-file form."""
-    rows.select("word_id", "offset", "content").repartitionByRange("word_id").sortWithinPartitions("word_id").write.mode("overwrite").parquet(path)
+    rows.select("word_id", "offset", "content").repartitionByRange("offset").sortWithinPartitions("offset").write.mode("overwrite").parquet(path)
+
+
+def _byte_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(barrel_id, n, line) of each barrel's bytes, cut at line ends, which a text writer puts back."""
+    for b in batches:
+        held: list[tuple[int, int, bytes]] = []
+        for barrel, at, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, line in enumerate(content.split(b"\n")):
+                held.append((barrel, at + k, line))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary())], names=["barrel_id", "n", "line"])
+
+
+def barrel_blobs(rows: DataFrame, path: str) -> DataFrame:
+    """Byte files barrel_<id>.bin from (term, barrel_id, offset, content), lists by their offsets; gives back
+    (term, barrel_id, offset, bytes), the offset within the barrel's file.
+
+    Each list is followed by one line end, as the text writer that writes the bytes ends its rows; offsets count it.
+    """
+    ahead = Window.partitionBy("barrel_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("bytes", F.octet_length("content").cast("long"))
+    placed = placed.withColumn("at", F.coalesce(F.sum(F.col("bytes") + 1).over(ahead), F.lit(0)))
+    lines = placed.select("barrel_id", "at", "content").mapInArrow(_byte_lines, "barrel_id int, n long, line binary")
+    lines = lines.repartition("barrel_id").sortWithinPartitions("barrel_id", "n")
+    lines.select("barrel_id", F.col("line").cast("string").alias("value")).write.mode("overwrite").partitionBy("barrel_id").text(path)
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in store.listStatus(at):  # one for each barrel
+        name = folder.getPath().getName()
+        if name.startswith("barrel_id="):
+            (file,) = [f.getPath() for f in store.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            store.rename(file, at.suffix(f"/barrel_{name[10:]}.bin"))
+            store.delete(folder.getPath(), True)
+    return placed.select("term", "barrel_id", F.col("at").alias("offset"), "bytes")
 
 
 def barrel_metadata(rows: DataFrame, path: str) -> None:

@@ -48,8 +48,8 @@ def test_search_reads_two_columns(spark):
 
 
 def test_no_document_is_left_out(spark):
-    """Queries over samples or a part of the documents have one over all of them."""
+    """Queries over texts that documents have no case of are over all documents too."""
     ids = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
-    for name in ("tokenize_v2_documents", "query_tokenize_documents", "control_characters_documents"):
+    for name in ("tokenize_v2", "query_tokenize", "control_characters"):
         assert {r["id"] for r in catalog.QUERIES[name](spark, DATA).select("id").collect()} == ids | {-i for i, _ in catalog.SAMPLES}
-    assert {r["internal_id"] for r in catalog.QUERIES["forward_doc_lengths_all"](spark, DATA).collect()} == ids
+    assert {r["internal_id"] for r in catalog.QUERIES["forward_doc_lengths"](spark, DATA).collect()} == ids
