@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,25 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quillstack-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet; what is written there goes when the session ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+from quillstack.sources.shared import new_path, remove
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -50,13 +29,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes tables that ``materialize`` gave and that nothing will read again."""
     for table in tables:
-        _remove(table.sparkSession, table.written_at)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _written[:] = [x for x in _written if x[1] != path]
+        remove(table.sparkSession, table.written_at)
 
 
 def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
@@ -78,19 +51,6 @@ def named(column: str | None) -> Column:
     return (F.lit(None) if column is None else F.col(column)).cast("string")
 
 
-def release() -> None:
-    """Removes every table that ``materialize`` has written in this process."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone; its folder goes with it
-            return
-
-
-atexit.register(release)
-
-
 def partitions(spark: SparkSession, amount: float, each: float) -> int:
     """Partitions for ``amount`` at about ``each`` apiece, the session's shuffle partitions at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(amount // each) + 1)

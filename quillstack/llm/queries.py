@@ -31,8 +31,8 @@ URL_RULES = (
 
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archive_and_index(_read(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.ranked(warc.archive_and_index(_read(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "position")
 
 
 def op2_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +90,17 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: models and Gumbel keys (7), seeded choices (9), tokenizers (10).
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index_merge": """
-        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
-        f AS (SELECT digest, min(page_id) AS first FROM p WHERE bytes >= 100 GROUP BY digest)
-        SELECT page_id, bytes AS payload_bytes, p.digest AS payload_digest,
-            CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
-        FROM p LEFT JOIN f ON p.digest = f.digest AND bytes >= 100""",
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest, trim(split_part(coalesce(url, ''), '#', 1)) AS u FROM pages),
+        f AS (SELECT digest, min(page_id) AS first FROM p WHERE bytes >= 100 GROUP BY digest),
+        r AS (SELECT *, CASE WHEN strpos(u, '://') > 0 AND NOT suffix(u, '://') THEN substr(u, strpos(u, '://') + 3) ELSE u END AS r FROM p),
+        h AS (SELECT *, regexp_extract(r, '^[^/?]*') AS h, regexp_replace(r, '^[^/?]*', '') AS path FROM r),
+        k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(h, '^.*@', '')), ':80$', ''), ':443$', ''), '^www[.]', '') AS host FROM h),
+        n AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || coalesce(nullif(lower(path), ''), '/') AS urlkey,
+            strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0) % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS "timestamp" FROM k)
+        SELECT page_id, bytes AS payload_bytes, n.digest AS payload_digest,
+            CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to,
+            urlkey, "timestamp", row_number() OVER (ORDER BY urlkey, "timestamp", page_id NULLS LAST) AS position
+        FROM n LEFT JOIN f ON n.digest = f.digest AND bytes >= 100""",
     "op6_stupid_backoff": f"""
         WITH l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
         t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM l),

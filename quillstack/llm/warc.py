@@ -15,7 +15,7 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import batched, materialize, new_path, partitions, rows, with_rows
@@ -221,6 +221,15 @@ def merge_runs(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
     return runs.repartitionByRange(n, *bounds).mapInArrow(merged, f"{INDEX}, range_id int, range_pos long")
 
 
+def ranked(index: DataFrame) -> DataFrame:
+    """A merged index with ``position``, from 1, in the order of all captures; a row for each range meets in one task."""
+    index = materialize(index, "index")
+    before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = index.groupBy("range_id").agg(F.count("*").alias("n"))
+    ahead = sizes.select("range_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return index.join(ahead, "range_id").withColumn("position", F.col("ahead") + F.col("range_pos") + 1).drop("ahead")
+
+
 def archive_and_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record per row at ``path`` (the shared folder, if none), reads it back, and gives the merged index.
 
