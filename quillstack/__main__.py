@@ -1,16 +1,18 @@
-"""python -m quillstack extract|clean|index|export|search|suggest|stats"""
+"""python -m quillstack extract|clean|index|export|search|suggest|contains|barrels|stats"""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstack.operators import search, suggest
+from quillstack.operators import barrels, metrics, search, suggest
 from quillstack.operators.analyze import CleanOptions
 from quillstack.operators.index import SKIP_INTERVAL, Index
 from quillstack.plans import jobs
 from quillstack.sources import readers
+from quillstack.sources.shared import written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,6 +33,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--keep-original", action="store_true")
     c.add_argument("--remove-numbers", action="store_true")
     c.add_argument("--nfc", action="store_true")
+    c.add_argument("--tokenizer", choices=("v1", "v2"), default="v1")
+    c.add_argument("--dehyphenate", action="store_true", help="join words that a hyphen splits at a line's end")
+    c.add_argument("--ascii-lower", action="store_true", help="lower case of A-Z alone")
+    c.add_argument("--delete-tabs", action="store_true", help="tabs inside a text vanish, instead of being blanks")
     c.add_argument("--fields", default="title,abstract,sections")
     c = commands.add_parser("index", help="tokens to an index")
     c.add_argument("-i", dest="source", required=True)
@@ -47,6 +53,15 @@ def parser() -> argparse.ArgumentParser:
         if name == "search":
             c.add_argument("--single", action="store_true", help="by the first word alone")
             c.add_argument("--actual-tf", action="store_true")
+            c.add_argument("--stem", action="store_true", help="stem the words, for an index of stems")
+            c.add_argument("--synonyms", help="a file of term, synonym and rank, with tabs between: search with these too")
+            c.add_argument("--any", action="store_true", help="any of words and synonyms, not all")
+            c.add_argument("--metrics", help="write the search's time and memory there")
+    c = commands.add_parser("contains", help="whether the index has a term")
+    c.add_argument("index")
+    c.add_argument("term")
+    c = commands.add_parser("barrels", help="what each barrel holds")
+    c.add_argument("index")
     commands.add_parser("stats").add_argument("index")
     return top
 
@@ -57,7 +72,7 @@ def run(spark: SparkSession, args: argparse.Namespace):  # noqa: ANN201
         jobs.extract_papers(spark, [*args.paths, *([args.folder] if args.folder else [])], args.out, args.jsonl)
     elif args.command == "clean":
         stop = None if args.no_stopwords else readers.stopwords(spark, args.stopwords) if args.stopwords else CleanOptions().stopwords
-        options = CleanOptions(args.fields.split(","), stop, args.stem, args.keep_original, args.remove_numbers, nfc=args.nfc)
+        options = CleanOptions(args.fields.split(","), stop, args.stem, args.keep_original, args.remove_numbers, args.tokenizer, args.ascii_lower, args.dehyphenate, not args.delete_tabs, args.nfc)
         jobs.clean_rows(spark, args.source, args.kind, args.out, options)
     elif args.command == "index":
         return jobs.index_cleaned(spark, args.source, args.out, args.skip_interval).stats()
@@ -69,12 +84,34 @@ def run(spark: SparkSession, args: argparse.Namespace):  # noqa: ANN201
             return found.stats()
         elif args.command == "suggest":
             return suggest.suggest_with_freq(found.lexicon, args.query, args.top_k)
+        elif args.command == "contains":
+            return suggest.contains(found.lexicon, args.term)
+        elif args.command == "barrels":
+            return barrels.metadata(found.lexicon).orderBy("barrel_id")
         else:
-            one = search.search_single if args.single else search.search_multi
-            return search.results(found, one(found, args.query, args.top_k, "actual" if args.actual_tf else "binary"))
+            return searched(spark, found, args)
     return None
 
 
+def searched(spark: SparkSession, found: Index, args: argparse.Namespace) -> DataFrame:
+    """The results of one search; with metrics, computed here and timed."""
+    tf_mode = "actual" if args.actual_tf else "binary"
+    if args.synonyms or args.any:
+        listed = spark.read.schema("term string, synonym string, rank int").option("sep", "\t").option("quote", "").csv(args.synonyms) if args.synonyms else None
+        scored = search.search_semantic(found, args.query, listed, args.top_k, "or" if args.any else "and", tf_mode)
+    elif args.single:
+        scored = search.search_single(found, args.query, args.top_k, tf_mode)
+    else:
+        scored = search.search_multi(found, args.query, args.top_k, tf_mode, args.stem)
+    results = search.results(found, scored)
+    if args.metrics:
+        monitor = metrics.PerformanceMonitor()
+        with monitor.query():
+            results = written(results, "results").orderBy(F.desc("score"), "doc_id")
+        monitor.save(spark, args.metrics)
+    return results
+
+
 def main() -> None:
     args = parser().parse_args()
     spark = SparkSession.builder.appName("quillstack").getOrCreate()

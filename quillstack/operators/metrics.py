@@ -25,7 +25,7 @@ def percentiles(rows: DataFrame, value: str, by: Sequence[str], ps: Sequence[flo
     key = list(by)
     v = F.col("_v")
     each = rows.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    each = each.withColumn("_bucket", F.when(F.isnan(v), F.lit(1 << 62)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(1024))))
+    each = each.withColumn("_bucket", F.when(F.isnan(v), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(1024))))
     sums = each.groupBy(*key, "_bucket").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.sum("_n").over(Window.partitionBy(*key))

@@ -1,4 +1,4 @@
-"""New papers to an index's postings as they arrive: a file stream, analysed in micro-batches and appended."""
+"""New papers to an index as they arrive: a file stream, analysed in micro-batches and appended, searched as blocks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillstack import schemas
 from quillstack.operators.analyze import CleanOptions, clean
-from quillstack.operators.index import barrel_of, postings
+from quillstack.operators.index import Index, barrel_of, lengths, lexicon, postings
+from quillstack.operators.order import numbered
+from quillstack.sources.shared import written
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,13 +19,14 @@ def stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_postings(rows: DataFrame, path: str, checkpoint: str, options: CleanOptions = CleanOptions(), available_now: bool = True) -> StreamingQuery:  # noqa: B008
-    """Appends each micro-batch's postings, as a block by batch id; a batch that is run again overwrites its block.
+    """Appends each micro-batch's postings and papers, as a block by batch id; a batch that is run again overwrites it.
 
-    Blocks of a term merge where they are read, by ``merged``.
+    Blocks of a term merge where they are read, by ``merged``; ``load`` gives an index of all blocks so far.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         found = postings(clean(batch, options), "paper_id").withColumn("barrel_id", barrel_of(F.col("term")))
+        batch.select("paper_id").distinct().write.mode("overwrite").parquet(f"{path}/_docs/block={batch_id}")
         found.write.mode("overwrite").parquet(f"{path}/block={batch_id}")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -34,3 +37,17 @@ def merged(blocks: DataFrame, id_col: str = "paper_id") -> DataFrame:
     """One posting for each term and document: positions of all blocks, in order."""
     per = blocks.groupBy("term", id_col).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return per.select("term", id_col, F.size("positions").alias("tf"), "positions")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index of the blocks so far, to be searched, or written as an index that is dealt to barrels.
+
+    Ids count papers by the block in which they come first, then by their own ids: those of older blocks stay. A paper
+    that comes again adds its positions to what is there. Lexicon and lengths follow from the merged postings.
+    """
+    seen = spark.read.parquet(f"{path}/_docs").groupBy("paper_id").agg(F.min("block").cast("long").alias("block")).where(F.col("paper_id").isNotNull())
+    ids = numbered(seen.withColumn("place", F.struct("block", "paper_id")), "place", F.col("block"), "doc_id").select("doc_id", F.col("paper_id").alias("orig_id"))
+    docs = written(ids.withColumn("doc_id", F.col("doc_id").cast("long")), "docs")
+    found = merged(spark.read.parquet(path)).join(docs.withColumnRenamed("orig_id", "paper_id"), "paper_id").drop("paper_id")
+    found = written(found.withColumn("barrel_id", barrel_of(F.col("term"))), "postings")
+    return Index(docs, found, lexicon(found), lengths(found), derived=True)

@@ -29,6 +29,18 @@ def test_from_papers_to_answers(spark, tmp_path):
     assert {r["doc_id"] for r in go("search", tmp_path / "index", "cell x", "--single", "--actual-tf").collect()} == {"A", "PMC1"}
     assert [r["term"] for r in go("suggest", tmp_path / "index", "c").collect()] == ["cell", "café"]
     assert go("stats", tmp_path / "index").first()["n"] == 2
+    assert [r[0] for w in ("cell", "virus") for r in go("contains", tmp_path / "index", w).collect()] == [True, False]
+    held = go("barrels", tmp_path / "index").collect()
+    assert sum(r["term_count"] for r in held) == 5 and [r["barrel_id"] for r in held] == sorted(r["barrel_id"] for r in held)
+    (tmp_path / "synonyms").write_text("walls\twall\t1\nvirus\tviru\t1\nvirus\tx\t3\n")
+    ids = lambda *more: [r["doc_id"] for r in go("search", tmp_path / "index", *more).collect()]
+    assert ids("virus", "--synonyms", tmp_path / "synonyms") == ["A"] and ids("virus walls") == [] and ids("viruses", "--stem") == []
+    assert set(ids("virus walls", "--synonyms", tmp_path / "synonyms", "--any")) == {"A", "PMC1"}
+    assert ids("walls", "--stem", "--metrics", tmp_path / "metrics") == ["PMC1"]
+    assert {r["key"] for r in spark.read.option("header", True).csv(str(tmp_path / "metrics")).collect()} == {"query_count", "avg_time_ms", "p95_time_ms", "peak_memory_mb"}
+    (tmp_path / "one.tsv").write_text("P\tCAF\u00c9 don\u2019t\t\t\t\t\t\t\n")
+    go("clean", "-i", tmp_path / "one.tsv", "-o", tmp_path / "clean_v2", "--tokenizer", "v2", "--ascii-lower", "--dehyphenate", "--delete-tabs", "--no-stopwords")
+    assert [t["term"] for t in readers.cleaned_jsonl(spark, f"{tmp_path}/clean_v2").first()["fields"][0]["tokens"]] == ["caf\u00e9", "don\u2019t"]
     go("export", tmp_path / "index", "-o", tmp_path / "out")
     words = {r["term"]: r for r in readers.lexicon(spark, f"{tmp_path}/out/lexicon").collect()}
     assert words["cell"]["doc_freq"] == 2

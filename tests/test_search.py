@@ -140,3 +140,59 @@ def test_stream_appends_blocks(spark, tmp_path):
         ingest.append_postings(ingest.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "at")).awaitTermination()
     found = ingest.merged(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert {(r["term"], r["paper_id"], r["tf"]) for r in found} == {("virus", "p0", 1), ("cell", "p0", 1), ("cell", "p1", 1), ("wall", "p1", 1)}
+    whole = ingest.load(spark, str(tmp_path / "out"))
+    rows = search.results(whole, search.search_multi(whole, "cell")).collect()
+    assert {r["doc_id"] for r in rows} == {"p0", "p1"} and {r["orig_id"]: r["doc_id"] for r in whole.docs.collect()} == {"p0": 1, "p1": 2}
+    assert whole.stats().first().asDict() == {"n": 2, "total_len": 4, "avgdl": 2.0, "terms": 3}
+    whole.write(str(tmp_path / "index"))
+    again = index.Index.load(spark, str(tmp_path / "index"))
+    assert {tuple(r) for r in search.score(again, ["cell", "wall"]).select("doc_id", "score").collect()} == {tuple(r) for r in search.score(whole, ["cell", "wall"]).select("doc_id", "score").collect()}
+
+
+@pytest.mark.parametrize("values", [[1.0] * 900 + list(range(100)), [-5.5, 0.0, 1e300, -1e300, 0.25, float("inf"), float("nan")], [3.0], [10.0**k for k in range(-20, 20)]])
+def test_percentiles_are_nearest_ranks(spark, values):
+    from quillstack.operators import metrics
+
+    table = spark.createDataFrame([(float(v), "a" if k % 3 else None) for k, v in enumerate(values)] + [(None, "a")], "v double, g string").repartition(5)
+    ordered = lambda own: sorted(own, key=lambda x: (math.isnan(x), x))
+    groups = {"a": [v for k, v in enumerate(values) if k % 3], None: [v for k, v in enumerate(values) if not k % 3]}
+    ps = (0, 37.5, 50, 95, 99, 100)
+    told = lambda own: [str(float(ordered(own)[min(int(p * len(own) / 100), len(own) - 1)])) for p in ps]
+    found = {r["g"]: [str(x) for x in r[1:]] for r in metrics.percentiles(table, "v", ["g"], ps).collect()}
+    assert found == {g: told(own) for g, own in groups.items() if own}
+    assert [str(x) for x in metrics.percentiles(table, "v", (), ps).first()] == told(values)
+
+
+def test_a_frequent_term_is_split(spark, tmp_path):
+    """Of postings nine in ten are one term's: files and lists hold no more than their share, and bytes come back."""
+    from quillstack.functions import codec
+
+    rows = [("the", i, 2, [i % 7 + 1, 200 + i]) for i in range(0, 90_000, 100)] + [(f"t{i % 100}", i, 1, [5]) for i in range(100)]
+    found = spark.createDataFrame(rows, "term string, doc_id long, tf int, positions array<int>").repartition(4)
+    sizes = [r["count"] for r in index.posting_lists(found).where("term = 'the'").selectExpr("size(postings) as count").collect()]
+    assert len(sizes) == 9 and max(sizes) == 100
+    tokens = found.selectExpr("term", "doc_id", "explode(positions) as pos")
+    words = index.lexicon_with_offsets(tokens)
+    pieces = index.encoded(found, words, bits=12).collect()
+    by_word = {}
+    for r in sorted(pieces, key=lambda r: r["offset"]):
+        by_word.setdefault(r["word_id"], []).append(r)
+    assert len(by_word[words.where("term = 'the'").first()["word_id"]]) == 22
+    told = {}
+    for t, d, _, at in rows:
+        told.setdefault(t, []).append((d, at))
+    for w in words.collect():
+        data = b"".join(bytes(r["content"]) for r in by_word[w["word_id"]])
+        assert by_word[w["word_id"]][0]["offset"] == w["offset"] and len(data) == w["bytes"]
+        assert data == codec.encode_low_first(codec.posting_numbers(sorted(told[w["term"]])))
+    docs = spark.range(0, 90_000, 100).selectExpr("id as doc_id", "cast(id as string) as orig_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one partition
+    index.Index(docs, found, index.lexicon(found), index.lengths(found), derived=True).write(str(tmp_path / "index"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {}
+    for r in spark.read.parquet(f"{tmp_path}/index/postings").where("term = 'the'").selectExpr("_metadata.file_name as f").collect():
+        files[r["f"]] = files.get(r["f"], 0) + 1
+    assert len(files) > 1
+    loaded = index.Index.load(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, loaded.lexicon.select("term", "doc_freq", "term_freq").collect())) == sorted((t, len(own), sum(len(at) for _, at in own)) for t, own in told.items())
+    assert loaded.doc_stats.agg({"dl": "sum"}).first()[0] == 1900
