@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, partitions, with_rows
+from quillstack.llm.common import batched, lowest, materialize, partitions, with_rows
 
 LEVELS = (1, 4, 16)
 #: Rows of a block of queries, and of a tile of candidates that is bounded as a whole.
 QUERY_BLOCK, TILE = 1024, 512
+#: Cells that vectors are dealt to, at most; larger ones are groups of parts.
+MOST_CELLS = 1024
 #: Bytes of a group's queries and of its candidates, about.
 QUERY_BYTES, GROUP_BYTES = 8 << 20, 64 << 20
 #: Where at least this share of a tile survives, one matrix product is cheaper than a product for each query.
@@ -38,8 +40,11 @@ def quantized(values: np.ndarray, scale: float) -> np.ndarray:
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, row, dim, q) of the rows that take part; row tells apart those that share an id."""
-    out = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("dim", pa.int32()), ("q", pa.list_(pa.int64()))])
+    """(id, row, dim, q, stats) of the rows that take part; row tells apart those that share an id.
+
+    stats are the finest level's means, then its deviations.
+    """
+    out = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("dim", pa.int32()), ("q", pa.list_(pa.int64())), ("stats", pa.list_(pa.float64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,10 +57,17 @@ def vectors(table: DataFrame, id_col: str, vector_col: str, scale: float) -> Dat
                     ids.append(i)
                     names.append(name)
                     qs.append(quantized(x, scale))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array([len(q) for q in qs], pa.int32()), pa.array(qs, pa.list_(pa.int64()))], schema=out)
+            stats: list[np.ndarray] = [np.zeros(0)] * len(qs)
+            for dim in {len(q) for q in qs} - {0}:
+                own = [k for k, q in enumerate(qs) if len(q) == dim]
+                _, mean, deviation = _segments(np.stack([qs[k] for k in own]).astype(np.float64), min(LEVELS[-1], dim))
+                for k, x in zip(own, np.hstack([mean, deviation]), strict=True):
+                    stats[k] = x
+            columns = [pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array([len(q) for q in qs], pa.int32()), pa.array(qs, pa.list_(pa.int64())), pa.array(stats, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     thin = with_rows(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")))
-    return thin.select("id", F.xxhash64("row").alias("row"), "v").mapInArrow(run, "id long, row long, dim int, q array<long>")
+    return thin.select("id", F.xxhash64("row").alias("row"), "v").mapInArrow(run, "id long, row long, dim int, q array<long>, stats array<double>")
 
 
 def _segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,14 +109,15 @@ def _tiles(stats: np.ndarray) -> list[np.ndarray]:
 class Search:
     """The best candidates of a block of queries, over tiles of candidates in any order."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int, bar: np.ndarray | None = None) -> None:
+        """bar: scores that a candidate must reach, from candidates met before."""
         self.ids, self.names, self.q, self.k = ids, rows, q, k
         self.levels = sorted({min(n, q.shape[1]) for n in LEVELS}) if q.shape[1] else []
         self.f = q.astype(np.float64)
         self.longest = (self.f * self.f).sum(1).max(initial=0)
         self.stats = [_segments(self.f, n) for n in self.levels]
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, object), np.zeros(0, np.int64))] * len(ids)
-        self.bar = np.full(len(ids), -np.inf)  # the k-th best score so far
+        self.bar = np.full(len(ids), -np.inf) if bar is None else bar.copy()  # the k-th best score so far
         #: pairs that are left by tiles' bounds, by each level, and for exact scores; of all
         self.survived, self.met = [0] * (len(self.levels) + 2), 0
 
@@ -181,6 +194,81 @@ class Search:
         return pd.DataFrame(found, columns=["query_id", "query_row", "vec_id", "score"]).astype("int64")
 
 
+def _cells(found: DataFrame, pivots: int) -> DataFrame:
+    """``found`` with cell: by which of ``pivots`` vectors of its dimension, those with the least rows' hashes, is nearest.
+
+    Only the pivots' statistics leave the table.
+    """
+    known: dict[int, list[tuple[int, list[float]]]] = {}
+    for r in lowest(found.select("row", "dim", "stats"), "row", pivots).collect():  # MOST_CELLS rows at most
+        known.setdefault(r["dim"], []).append((r["row"], r["stats"]))
+    near = found.sparkSession.sparkContext.broadcast({d: np.array([x for _, x in sorted(own)]) for d, own in known.items()})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, cell = b.column(2).to_numpy(), np.zeros(b.num_rows, np.int32)
+            for dim in np.unique(dims).tolist():
+                own, at = np.flatnonzero(dims == dim), near.value.get(dim)
+                if at is not None and at.shape[1]:
+                    x = np.stack(b.column(4).take(pa.array(own)).to_numpy(zero_copy_only=False))
+                    cell[own] = (x @ at.T - 0.5 * (at * at).sum(1)).argmax(1)
+            yield b.append_column("cell", pa.array(cell))
+
+    return found.mapInArrow(run, "id long, row long, dim int, q array<long>, stats array<double>, cell int")
+
+
+def _extents(found: DataFrame) -> DataFrame:
+    """(dim, cell, n, low, high, away): each cell's rows, least and greatest means and greatest deviations by segment."""
+    names = ("low", "high", "away")
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(own["stats"].to_numpy()) if len(own["stats"].iloc[0]) else np.zeros((len(own), 0))
+        n = x.shape[1] // 2
+        return pd.DataFrame({"dim": [own["dim"].iloc[0]], "cell": [own["cell"].iloc[0]], "n": [len(own)], "low": [x[:, :n].min(0)], "high": [x[:, :n].max(0)], "away": [x[:, n:].max(0)]})
+
+    def some(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield from (one(own) for _, own in part.groupby(["dim", "cell"]))
+
+    def whole(own: pd.DataFrame) -> pd.DataFrame:
+        low, high, away = (np.stack(own[c].to_numpy()) if len(own[c].iloc[0]) else np.zeros((len(own), 0)) for c in names)
+        return pd.DataFrame({"dim": [own["dim"].iloc[0]], "cell": [own["cell"].iloc[0]], "n": [own["n"].sum()], "low": [low.min(0)], "high": [high.max(0)], "away": [away.max(0)]})
+
+    kinds = "dim int, cell int, n long, low array<double>, high array<double>, away array<double>"
+    return found.select("dim", "cell", "stats").mapInPandas(some, kinds).groupBy("dim", "cell").applyInPandas(whole, kinds)
+
+
+def _reach(queries: DataFrame, extents: DataFrame) -> DataFrame:
+    """(dim, block, cell): the other cells of which some query of a block may still get a better candidate.
+
+    A cell's extent bounds its candidates as a whole. Cells are MOST_CELLS and one for each dimension at most.
+    """
+    of: dict[int, list] = {}
+    for r in extents.collect():
+        of.setdefault(r["dim"], []).append(r)
+    known = {d: (np.array([r["cell"] for r in own]), *(np.array([r[c] for r in own], float).reshape(len(own), -1) for c in ("low", "high", "away"))) for d, own in of.items() if len(own) > 1}
+    near = queries.sparkSession.sparkContext.broadcast(known)
+    out = pa.schema([("dim", pa.int32()), ("block", pa.string()), ("cell", pa.int32())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = set()
+        for b in batches:
+            for dim, block, own, stats, bar in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if dim not in near.value:
+                    continue
+                cells, low, high, away = near.value[dim]
+                n = low.shape[1]
+                cuts = np.arange(n) * dim // n
+                length = np.diff(np.append(cuts, dim))
+                mean, deviation = np.array(stats[:n]) * length, np.array(stats[n:])
+                bound = np.maximum(mean, 0) @ high.T + np.minimum(mean, 0) @ low.T + deviation @ away.T
+                slack = 1e-9 * np.abs(bound) + 1e-6
+                found.update((dim, block, c) for c in cells[(bound >= (-np.inf if bar is None else bar) - slack) & (cells != own)].tolist())
+        yield from batched(sorted(found), out)
+
+    return queries.select("dim", "block", "cell", "stats", "bar").mapInArrow(run, "dim int, block string, cell int").distinct()
+
+
 def search(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates by integer inner product, ties to smaller ids.
 
@@ -189,32 +277,48 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     dimension only; a query alone in its dimension has no row. Scores stop at the ends of a long. Rows that repeat an
     id are queries and candidates of their own. An empty table gives an empty result.
 
-    Queries and candidates are dealt to blocks by a hash of their rows. A group is a block of queries and candidates
-    of GROUP_BYTES, about, of any dimension; what leaves a group is k rows a query at most.
+    Vectors are dealt to cells of alike ones. Queries first meet the candidates of their own cell, in groups of
+    GROUP_BYTES, about, of any dimension; then, in blocks, those cells alone whose extents let some query of the block
+    reach its k-th best score so far. What leaves a group is k rows a query at most.
     """
     spark = table.sparkSession
     found = materialize(vectors(table, id_col, vector_col, scale), "vectors")
-    query = F.col("id") % every == 0
-    sizes = found.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(query, 1)).alias("queries"))
     width = 8 * F.greatest("dim", F.lit(1)).cast("long")
-    most = sizes.agg(F.max(F.col("n") * width).alias("bytes"), F.max(F.col("queries") * width).alias("query_bytes"), F.max("n").alias("n"), F.max("queries").alias("queries")).first()
-    query_blocks = max(1, -(-(most["queries"] or 0) // QUERY_BLOCK), -(-(most["query_bytes"] or 0) // QUERY_BYTES))
-    groups = max(1, -(-(most["bytes"] or 0) // GROUP_BYTES), min(-(-(most["n"] or 0) // (8 * TILE)), partitions(spark, 0, 1) // query_blocks))
+    most = found.groupBy("dim").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * width).alias("bytes"), F.sum("n").alias("n")).first()
+    groups = max(-(-(most["bytes"] or 0) // GROUP_BYTES), min(-(-(most["n"] or 0) // (8 * TILE)), partitions(spark, 0, 1)))
+    found = materialize(_cells(found, min(MOST_CELLS, groups)), "cells")
+    extents = materialize(_extents(found), "extents")
+    query = F.col("id") % every == 0
+    per = found.where(query).groupBy("dim", "cell").agg(F.count("*").alias("queries"))
+    every_cell = extents.select("dim", "cell", F.ceil(F.col("n") * width / GROUP_BYTES).cast("int").alias("parts"))
+    block_rows = F.greatest(F.lit(1), F.least(F.lit(QUERY_BLOCK), F.floor(F.lit(QUERY_BYTES) / width)))
+    blocks = per.select("dim", "cell", F.ceil(F.col("queries") / block_rows).alias("blocks"))
     h = F.pmod(F.xxhash64("row"), F.lit(2**31))
-    queries = found.where(query).select("dim", (h % query_blocks).cast("int").alias("block"), "id", "row", "q")
-    queries = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    others = found.select("dim", (h % groups).cast("int").alias("group"), "id", "row", "q")
-    others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    queries = found.where(query).join(blocks, ["dim", "cell"]).withColumn("block", F.concat_ws("/", "cell", h % F.col("blocks"))).drop("blocks")
+    others = found.join(every_cell, ["dim", "cell"]).withColumn("part", (h % F.col("parts")).cast("int")).drop("parts", "stats")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "query_row", "vec_id", "score")})
         matrix = lambda part: np.stack(part["q"].to_numpy()).reshape(len(part), -1)
-        own = Search(left["id"].to_numpy(), left["row"].to_numpy(), matrix(left), k)
+        own = Search(left["id"].to_numpy(), left["row"].to_numpy(), matrix(left), k, left["bar"].to_numpy(float, na_value=-np.inf))
         own.meet(right["id"].to_numpy(), right["row"].to_numpy(), matrix(right))
         return own.rows()
 
-    key = ["dim", "block", "group"]
-    near = queries.groupBy(*key).cogroup(others.groupBy(*key)).applyInPandas(run, "query_id long, query_row long, vec_id long, score long")
+    def met(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        """The best of candidates of cells for the blocks that they are paired with."""
+        key = ["dim", "block", "cell", "part"]
+        parts = pairs.join(every_cell, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        left = asked.select("dim", "block", "id", "row", "q", "bar").join(parts, ["dim", "block"])
+        right = others.join(pairs, ["dim", "cell"]).select(*(F.col(c).alias(c) for c in (*key, "id", "row", "q")))  # columns of its own
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "query_id long, query_row long, vec_id long, score long")
+
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    home = queries.select("dim", "block", "cell").distinct()
+    first = materialize(top(met(home, queries.withColumn("bar", F.lit(None).cast("double")))), "near")
+    # the score that a query's k-th best has; integers that a double can't hold are rounded down
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("query_row").alias("row"), (F.col("score").cast("double") - F.when(F.abs("score") >= F.lit(EXACT), F.lit(2048.0)).otherwise(F.lit(0.0))).alias("bar"))
+    asked = queries.join(kth, ["id", "row"], "left")
+    pairs = materialize(_reach(asked, extents), "pairs")
+    return top(first.drop("rank").unionByName(met(pairs, asked))).select("query_id", "rank", "vec_id", "score")

@@ -51,6 +51,27 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     assert search(spark, hot, k=3) == plain(hot, 3, 20)
 
 
+def test_far_cells_are_not_met(spark, monkeypatch):
+    """Of vectors in clusters, blocks of queries meet few cells but their own, and lose no candidate."""
+    monkeypatch.setattr(topk, "GROUP_BYTES", 6000)
+    rng = np.random.default_rng(6)
+    centers = np.eye(32)[:16] * 9
+    rows = [(i, (centers[i % 16] + rng.normal(size=32) * 0.1).round(3).tolist()) for i in range(900)] + [(1000 + i, centers[3].tolist()) for i in range(300)]
+    counted = {}
+    real = topk.materialize
+
+    def seen(df, label):
+        counted[label] = real(df, label)
+        return counted[label]
+
+    monkeypatch.setattr(topk, "materialize", seen)
+    assert search(spark, rows, k=2) == plain(rows, 2, 20)
+    cells = counted["extents"].count()
+    blocks = counted["cells"].where("id % 20 = 0").select("cell").distinct().count()
+    assert cells > 20 and counted["pairs"].count() < 0.3 * blocks * cells
+    assert counted["extents"].agg({"n": "sum"}).first()[0] == 1200
+
+
 @pytest.mark.parametrize("dense", [0.0, 0.3, 1.0])
 def test_ways_to_the_exact_scores_agree(monkeypatch, dense):
     monkeypatch.setattr(topk, "DENSE", dense)
