@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from quillstack.llm import importance, mixing, packing, simhash
 from quillstack.llm.common import new_path, with_rows
 from quillstack.llm.queries import tokenizer_files
 
+_WORD = re.compile(mixing.WORD)
+
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a column that tells its rows apart, under a name that it does not have yet."""
-    name = "row"
-    while name.lower() in map(str.lower, docs.columns):
+    """``docs`` with a column that tells its rows apart, under a name that it does not have yet, nor with spans after it."""
+    name, taken = "row", {c.lower() for c in docs.columns}
+    while {name, f"{name}spans"} & taken:
         name += "_"
     return with_rows(docs, name), name
 
@@ -47,24 +49,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.join(kept, row, "left_semi").select(*docs.columns)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+def _cut(text: str, spans: list[dict]) -> list[str]:
     """For each time that words of a text are taken, the text of those words; breaks between spans are new lines."""
-    import re
+    at = [m.span() for m in _WORD.finditer(text)]
+    if len(spans) == 1 and (spans[0]["from"], spans[0]["to"]) == (0, len(at)):
+        return [text] * spans[0]["times"]
+    return ["\n".join(text[at[s["from"]][0] : at[s["to"] - 1][1]] for s in spans if s["times"] > k) for k in range(max(s["times"] for s in spans))]
+
 
-    word = re.compile(mixing.WORD)
+def _taken(names: list[str], spans: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with a column of spans to a row for each time that words are taken, a few rows at a time."""
 
-    def cut(text: str | None, own) -> list[str]:  # noqa: ANN001
-        own = [] if own is None else [(s["from"], s["to"], s["times"]) for s in own]
-        if not own:
-            return []
-        if len(own) == 1 and own[0][0] == 0 and text is not None and own[0][1] == mixing_words(text):
-            return [text] * own[0][2]
-        at = [(m.start(), m.end()) for m in word.finditer(text)]
-        return ["\n".join(text[at[a][0] : at[b - 1][1]] for a, b, n in own if n > k) for k in range(max(n for *_, n in own))]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                texts = [_cut(t, s) for t, s in zip(part.column("text").to_pylist(), part.column(spans).to_pylist(), strict=True)]
+                rest = part.select([n for n in names if n != "text"]).take(pa.array([k for k, own in enumerate(texts) for _ in own], pa.int64()))
+                text = pa.array([t for own in texts for t in own], part.column("text").type)
+                yield pa.RecordBatch.from_arrays([text if n == "text" else rest.column(n) for n in names], names=names)
 
-    mixing_words = lambda text: len(word.findall(text))
-    return pd.Series([cut(t, s) for t, s in zip(texts, spans, strict=True)])
+    return run
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     named, row = _numbered(docs)
     taken = mixing.mix(named, row_col=row).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(f"{row}spans"))
-    parts = named.join(taken, row).withColumn("text", F.explode(_cut("text", f"{row}spans")))
+    parts = named.join(taken, row).select(*docs.columns, f"{row}spans").mapInArrow(_taken(docs.columns, f"{row}spans"), docs.schema)
     if "n_chars" in docs.columns:
         parts = parts.withColumn("n_chars", F.char_length("text").cast("long"))
     return parts.select(*docs.columns)
