@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batched, lowest, materialize, partitions, with_rows
+from quillstack.llm.common import batched, lowest, materialize, with_rows
 
 LEVELS = (1, 4, 16)
 #: Rows of a block of queries, and of a tile of candidates that is bounded as a whole.
 QUERY_BLOCK, TILE = 1024, 512
 #: Cells that vectors are dealt to, at most; larger ones are groups of parts.
 MOST_CELLS = 1024
+#: Rows of a table of cells that is broadcast, at most.
+MOST_BROADCAST = 1 << 16
 #: Bytes of a group's queries and of its candidates, about.
 QUERY_BYTES, GROUP_BYTES = 8 << 20, 64 << 20
 #: Where at least this share of a tile survives, one matrix product is cheaper than a product for each query.
@@ -281,18 +283,20 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     GROUP_BYTES, about, of any dimension; then, in blocks, those cells alone whose extents let some query of the block
     reach its k-th best score so far. What leaves a group is k rows a query at most.
     """
-    spark = table.sparkSession
     found = materialize(vectors(table, id_col, vector_col, scale), "vectors")
     width = 8 * F.greatest("dim", F.lit(1)).cast("long")
     most = found.groupBy("dim").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * width).alias("bytes"), F.sum("n").alias("n")).first()
-    groups = max(-(-(most["bytes"] or 0) // GROUP_BYTES), min(-(-(most["n"] or 0) // (8 * TILE)), partitions(spark, 0, 1)))
-    found = materialize(_cells(found, min(MOST_CELLS, groups)), "cells")
+    # cells whose candidates fill a group, or whose queries fill a block
+    pivots = max(1, -(-(most["bytes"] or 0) // GROUP_BYTES), (most["n"] or 0) // (QUERY_BLOCK * every))
+    found = materialize(_cells(found, min(MOST_CELLS, pivots)), "cells")
     extents = materialize(_extents(found), "extents")
     query = F.col("id") % every == 0
     per = found.where(query).groupBy("dim", "cell").agg(F.count("*").alias("queries"))
-    every_cell = extents.select("dim", "cell", F.ceil(F.col("n") * width / GROUP_BYTES).cast("int").alias("parts"))
+    # a row for each cell: next to the vectors, whose largest cell a shuffle by cell would bring together
+    few = (lambda rows: F.broadcast(rows)) if extents.count() <= MOST_BROADCAST else (lambda rows: rows)
+    every_cell = few(extents.select("dim", "cell", F.ceil(F.col("n") * width / GROUP_BYTES).cast("int").alias("parts")))
     block_rows = F.greatest(F.lit(1), F.least(F.lit(QUERY_BLOCK), F.floor(F.lit(QUERY_BYTES) / width)))
-    blocks = per.select("dim", "cell", F.ceil(F.col("queries") / block_rows).alias("blocks"))
+    blocks = few(per.select("dim", "cell", F.ceil(F.col("queries") / block_rows).alias("blocks")))
     h = F.pmod(F.xxhash64("row"), F.lit(2**31))
     queries = found.where(query).join(blocks, ["dim", "cell"]).withColumn("block", F.concat_ws("/", "cell", h % F.col("blocks"))).drop("blocks")
     others = found.join(every_cell, ["dim", "cell"]).withColumn("part", (h % F.col("parts")).cast("int")).drop("parts", "stats")
@@ -310,7 +314,7 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
         key = ["dim", "block", "cell", "part"]
         parts = pairs.join(every_cell, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         left = asked.select("dim", "block", "id", "row", "q", "bar").join(parts, ["dim", "block"])
-        right = others.join(pairs, ["dim", "cell"]).select(*(F.col(c).alias(c) for c in (*key, "id", "row", "q")))  # columns of its own
+        right = others.join(parts, ["dim", "cell", "part"]).select(*(F.col(c).alias(c) for c in (*key, "id", "row", "q")))  # columns of its own
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "query_id long, query_row long, vec_id long, score long")
 
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
