@@ -9,21 +9,23 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import batched, materialize, named, rows, with_rows
-from quillstack.operators.order import numbered
+from quillstack.operators.order import numbered, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a shard at most on average, and shards of a source at most. A shard's thin rows are one task's group.
 SHARD_WORDS, MOST_SHARDS = 1 << 20, 4096
 #: Blocks of a target at least: of a small one they have fewer words, down to one.
 LEAST_BLOCKS = 100
-#: Sources that the driver plans for together; of more, each has the whole number of blocks nearest to its target.
+#: Sources that the driver plans for; of more, executors make the same plan.
 MOST_SOURCES = 100_000
-#: Rows of one id and size over this many are dealt to shards by their place, others by what they are.
+#: Rows of one source, id and size that one task counts, about. It changes no result.
 MOST_EQUAL = 4096
+#: Ranges of quotients in which seats are counted, and sources that one task counts. They change no result.
+QUOTIENT_RANGES, TIED_SOURCES_BITS = 1 << 16, 12
 
 
 def words(text: Column) -> Column:
@@ -138,8 +140,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, most_
 
     A null text has size 0 and takes nothing; an empty string source is a source of its own; repeated rows count
     each; null ids stay null; a corpus without words has targets 0; an empty table gives an empty result. Rows are
-    dealt to shards by id and size, so that a rerun on another copy of the table gives the same, but for those of
-    which there are over MOST_EQUAL, which are dealt by their place in the files.
+    dealt to shards by id, size and how many rows of that source, id and size are before them, so that a rerun on
+    another copy of the table gives the same, however many rows or sources there are.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), named(row_col).alias("row"))
     thin = materialize(with_rows(thin, "place"), "sizes")
@@ -148,10 +150,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, most_
     block_words = max(1, min(most_block_words, total // max(1, blocks_a_source * sources)))
     known = materialize((_planned if sources <= MOST_SOURCES else _levelled)(sums, weights, cap, block_words), "targets")
 
-    many = thin.groupBy("id", "size").count().where(F.col("count") > MOST_EQUAL).select(F.col("id").alias("many_id"), F.col("size").alias("many_size"), F.lit(True).alias("many"))
-    dealt = thin.join(many, F.col("id").eqNullSafe(F.col("many_id")) & (F.col("size") == F.col("many_size")), "left")
-    order = F.when(F.col("many"), F.xxhash64(F.lit(seed), "id", "size", "place")).otherwise(F.xxhash64(F.lit(seed), "id", "size"))
-    dealt = dealt.select("id", "source", "size", "row", order.alias("order")).join(known.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
+    order = F.xxhash64(F.lit(seed), "id", "size", "nth")
+    dealt = _counted(thin).select("id", "source", "size", "row", order.alias("order")).join(known.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
     shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS)))
     dealt = dealt.withColumn("shard", F.pmod("order", shards).cast("int"))
     dealt = materialize(dealt.select("id", "size", "row", "order", "number", "shard", "source_size", "target", "quota", "block_words"), "dealt")
@@ -169,6 +169,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, most_
     return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "spans", "row")
 
 
+def _counted(thin: DataFrame) -> DataFrame:
+    """``thin`` with ``nth``: from 0 up for the rows of one source, id and size, in parts of MOST_EQUAL rows or so."""
+    same = ["source", "id", "size"]
+    like = lambda table: [F.col(c).eqNullSafe(table[f"_{c}"]) for c in same]
+    repeated = thin.groupBy(*(F.col(c).alias(f"_{c}") for c in same)).agg(F.count("*").alias("copies")).where("copies > 1")
+    marked = thin.join(repeated, like(repeated), "left").withColumn("part", F.pmod(F.xxhash64("place"), F.ceil(F.col("copies") / MOST_EQUAL)))
+    marked = materialize(marked.select(*thin.columns, "part"), "marked")
+    own = marked.where("part is not null")
+    parts = own.groupBy(*(F.col(c).alias(f"_{c}") for c in same), F.col("part").alias("_part")).count()
+    before = Window.partitionBy(*(f"_{c}" for c in same)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*same, "part").orderBy("place"))
+    own = own.withColumn("within", within).join(parts, [*like(parts), F.col("part") == F.col("_part")])
+    alone = marked.where("part is null").select(*thin.columns, F.lit(0).cast("long").alias("nth"))
+    return alone.union(own.select(*thin.columns, (F.col("ahead") + F.col("within") - 1).cast("long")))
+
+
 def _quota(size: int, target: Fraction, block_words: int) -> tuple[int, int]:
     """(blocks nearest to a target, words of a block, fewer than ``block_words`` where the target is small)."""
     own = max(1, min(block_words, int(min(size, target)) // LEAST_BLOCKS))
@@ -193,7 +210,7 @@ def _planned(sums: DataFrame, weights: Sequence[int], cap: int, block_words: int
 
 
 def _levelled(sums: DataFrame, weights: Sequence[int], cap: int, block_words: int) -> DataFrame:
-    """The same of any number of sources, of which only sums reach the driver: the same targets, and quotas nearest to them."""
+    """The same of any number of sources, of which only sums reach the driver."""
     numbered_ = numbered(sums.withColumn("key", F.struct(F.col("source").isNull(), "source")), "key", F.struct(F.col("source").isNull(), F.substring("source", 1, 2)), "number")
     rows_ = numbered_.select("source", "source_size", (F.col("number") - 1).cast("long").alias("number"))
     rows_ = materialize(rows_.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")).cast("long")), "weights")
@@ -207,14 +224,62 @@ def _levelled(sums: DataFrame, weights: Sequence[int], cap: int, block_words: in
         if (total - cap * stopped, all_weight - gone) == (rest, weight):
             break
         rest, weight = total - cap * stopped, all_weight - gone
-    schema = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("number", pa.int64()), ("target", pa.float64()), ("quota", pa.int64()), ("block_words", pa.int32())])
+    scale = weight or 1
+    schema = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("number", pa.int64()), ("target", pa.float64()), ("quota", pa.int64()), ("block_words", pa.int32()), ("units", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for source, size, number, own in rows(batches, "source", "source_size", "number", "weight"):
                 target = Fraction(0) if not size else Fraction(cap * size) if not weight or rest * own > cap * size * weight else Fraction(rest * own, weight)
-                yield source, size, number, float(target), *_quota(size, target, block_words)
+                yield source, size, number, float(target), *_quota(size, target, block_words), str(int(target * scale))
+
+        yield from batched(each(), schema)
+
+    plan = materialize(rows_.mapInArrow(run, f"{_PLAN}, units string"), "levelled")
+    large = plan.where((F.col("block_words") == block_words) & (F.col("units") != "0")).select("number", "units")
+    units = large.agg(F.sum(F.col("units").cast(whole))).first()[0]
+    if not units:
+        return plan.drop("units")
+    seats = _seats(large, int(units), round(Fraction(int(units), scale * block_words)))
+    found = plan.join(seats.withColumnRenamed("number", "_number"), F.col("number") == F.col("_number"), "left")
+    return found.withColumn("quota", F.coalesce("seats", "quota")).select("source", "source_size", "number", "target", "quota", "block_words")
+
+
+def _seats(shares: DataFrame, total: int, seats: int) -> DataFrame:
+    """(number, seats): ``sainte_lague`` of shares (number, units over 0), whose sum is ``total``, ties to the lesser number.
+
+    Of n shares, quotients of at least total / (2 seats - n) belong to no more seats than there are, those of at least
+    total / (2 seats + n) to enough; in between lie 2 n at most, of which the highest have the seats that are left.
+    """
+    n = shares.count()
+    least, most = max(0, 2 * seats - n), 2 * seats + n
+    given = lambda units, m: (units * m + total) // (2 * total)
+    sure_schema = pa.schema([("number", pa.int64()), ("seats", pa.int64())])
+    schema = pa.schema([("number", pa.int64()), ("range", pa.int64()), ("key", pa.binary())])
+
+    def sure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(((number, given(int(units), least)) for number, units in rows(batches, "number", "units")), sure_schema)
+
+    def open_(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for number, units in rows(batches, "number", "units"):
+                x = int(units)
+                for odd in range(2 * given(x, least) + 1, 2 * given(x, most), 2):
+                    # quotients of divisors under 2**63 differ by over 2**-126; the higher comes first
+                    key = (1 << 256) - 1 - (x << 128) // odd
+                    yield number, (odd * total - least * x) * QUOTIENT_RANGES // (x * (most - least)), key.to_bytes(32, "big")
 
         yield from batched(each(), schema)
 
-    return rows_.mapInArrow(run, _PLAN)
+    sure_ = materialize(shares.mapInArrow(sure, "number long, seats long"), "seats_sure")
+    left = seats - sure_.agg(F.sum("seats")).first()[0]
+    if not left:
+        return sure_
+    open_seats = materialize(shares.mapInArrow(open_, "number long, range long, key binary"), "seats_open")
+    upto = running(open_seats.groupBy("range", "key").agg(F.count("*").alias("n")), "key", F.col("range"), {"before": "n"})
+    last = upto.where(F.col("before") < left).agg(F.max(F.struct("key", "before"))).first()[0]
+    key = F.lit(bytearray(last["key"]))
+    ties = running(open_seats.where(F.col("key") == key).select("number", F.lit(1).cast("long").alias("one")), "number", F.shiftright("number", TIED_SOURCES_BITS), {"before": "one"})
+    number = ties.where(F.col("before") < left - last["before"]).agg(F.max("number")).first()[0]
+    more = open_seats.where((F.col("key") < key) | ((F.col("key") == key) & (F.col("number") <= number))).select("number", F.lit(1).cast("long"))
+    return sure_.union(more).groupBy("number").agg(F.sum("seats").alias("seats"))

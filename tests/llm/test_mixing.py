@@ -126,3 +126,39 @@ def test_null_and_empty(spark):
     assert mixing.mix(spark.createDataFrame([], kinds)).count() == 0
     row = mixing.mix(spark.createDataFrame([(1, None, None), (2, " ", "a")], kinds)).orderBy("doc_id").collect()
     assert [(r["size"], r["source_size"], r["target"], r["taken"]) for r in row] == [(0, 0, 0.0, 0)] * 2
+
+
+@pytest.mark.parametrize(("seed", "cap", "block_words"), [(1, 3, 1), (2, 3, 5), (3, 1, 7), (4, 3, 64), (5, 2, 3), (6, 3, 2)])
+def test_any_number_of_sources_has_one_plan(spark, seed, cap, block_words):
+    """The plan on the executors is the driver's, quotas and ties too: many equal sources, or some beside large ones."""
+    rng = random.Random(seed)
+    kinds = [[1000], [999, 1000, 1001], [0, 1, 10, 300, 10**7], [7000, 13, 10**9], [rng.randrange(1, 90_000) for _ in range(50)], [350, 450, 100 * block_words]][seed - 1]
+    sizes = {f"s{i:03}": rng.choice(kinds) for i in range(rng.choice([60, 157]))} | {None: 4321, "": 0}
+    sums = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    planned, levelled = (sorted(map(tuple, f(sums, (1, 2, 3), cap, block_words).collect()), key=lambda r: r[2]) for f in (mixing._planned, mixing._levelled))
+    assert planned == levelled
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_seats_one_by_one(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "QUOTIENT_RANGES", 8)
+    monkeypatch.setattr(mixing, "TIED_SOURCES_BITS", 2)
+    rng = random.Random(seed)
+    kinds = [1, 3, 5, 15, 10**20] if seed == 5 else [[1], [2, 6, 10], list(range(1, 50)), [1, 4000], [7, 21, 35, 10**6]][seed]
+    shares = [rng.choice(kinds) for _ in range(40)]
+    table = spark.createDataFrame([(i, str(x)) for i, x in enumerate(shares)], "number long, units string")
+    for seats in (1, 13, 40, rng.randrange(50, 400)):
+        found = dict(mixing._seats(table, sum(shares), seats).collect())
+        assert [found.get(i, 0) for i in range(40)] == one_by_one(shares, seats, [seats] * 40)
+
+
+def test_no_switch_changes_the_mix(spark, monkeypatch):
+    """More sources than the driver plans for, and more equal rows than one task counts, in files of any layout."""
+    data = rows() + [(i, "w " * 90, f"s{i % 31}") for i in range(1000, 1400)] + [(7, "w " * 10, "a")] * 300 + [(7, "v " * 10, None)] * 200
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    shown = lambda df: sorted((str(r["doc_id"]), r["size"], r["source_size"], r["target"], r["taken"], str(r["spans"])) for r in df.collect())
+    before = shown(mixing.mix(table))
+    for name, value in (("MOST_EQUAL", 16), ("MOST_SOURCES", 2)):
+        monkeypatch.setattr(mixing, name, value)
+        assert shown(mixing.mix(table.repartition(5))) == before
