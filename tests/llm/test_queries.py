@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_exact_top_k": ["query_id", "rank", "vec_id", "score"],
     "op9_sainte_lague_mix": ["doc_id", "size", "source_size", "target", "taken"],
     "op10_minimum_bin_slack": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op11_pre_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 TABLE = {"op1": "pages", "op2": "pages", "op4": "pages"}
 
@@ -31,7 +34,7 @@ TABLE = {"op1": "pages", "op2": "pages", "op4": "pages"}
 def test_query(spark, name):
     found = QUERIES[name](spark, DATA).cache()
     assert found.columns[: len(COLUMNS[name])] == COLUMNS[name]
-    if name.partition("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op9"):
+    if name.partition("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op9", "op11", "op12"):
         assert found.count() == spark.read.parquet(f"{DATA}/{TABLE.get(name.partition('_')[0], 'documents')}.parquet").count()
     if name in ORACLE_SQL:
         db = duckdb.connect()
