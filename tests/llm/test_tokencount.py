@@ -29,11 +29,13 @@ def test_pre_tokens_are_whole_texts(library, texts):
     for t in texts:
         found = own.pre_tokens(t or "")
         assert "".join(found) == (f" {t}" if t else "")
-        assert sum(map(own.count, found)) == len(library.encode(t or ""))
+        assert sum(own.count(found)) == len(library.encode(t or ""))
 
 
 @pytest.mark.parametrize("batch_bytes", [1, 3000, 8 << 20])
-def test_counts(spark, library, texts, batch_bytes):
+def test_counts(spark, library, texts, batch_bytes, monkeypatch):
+    monkeypatch.setattr(tokencount, "RANGE_BYTES", 300 if batch_bytes > 1 else 8 << 20)
+    monkeypatch.setattr(tokencount, "TABLE_ROW", 5 if batch_bytes > 1 else 8192)
     docs = spark.createDataFrame([(None if k == 3 else k // 2, t, "x", k) for k, t in enumerate(texts)], "doc_id long, text string, word string, n_bytes int").repartition(3)
     found = tokencount.count(docs, MODEL, limit=100, batch_bytes=batch_bytes)
     assert found.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
@@ -41,14 +43,25 @@ def test_counts(spark, library, texts, batch_bytes):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, told))
 
 
+def test_numbers_come_back():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for lengths in ([0], [], [3, 0, 5], rng.integers(0, 40, 100).tolist()):
+        ends = np.cumsum(np.array(lengths, np.int64))
+        numbers = rng.integers(0, 1 << rng.integers(1, 40), int(sum(lengths)))
+        found, to = tokencount.unpacked(pa.array(tokencount.packed(numbers, ends), pa.binary()))
+        assert found.tolist() == numbers.tolist() and to.tolist() == ends.tolist()
+
+
 def test_a_word_of_all_documents_is_a_row_a_batch(spark):
     """Of 2000 documents with the same words, each batch has one table of them."""
     from pyspark.sql import functions as F
 
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("the same words in all of them").alias("text")).repartition(2)
-    kinds = "batch string, id long, n_bytes long, which array<int>, times array<int>, first int, words array<string>"
     thin = docs.select(F.col("doc_id").alias("id"), "text")
-    split = thin.mapInArrow(lambda b: tokencount._split(b, 8 << 20), kinds)
+    split = thin.mapInArrow(lambda b: tokencount._split(b, MODEL, 8 << 20), tokencount._SPLIT_KINDS)
     assert split.where("words IS NOT NULL").count() == 2
 
 
