@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstack.sources.shared import written
 
-def numbered(rows: DataFrame, by: str, bucket: Column, name: str) -> DataFrame:
+
+def numbered(rows: DataFrame, by: str, bucket: Column | None, name: str) -> DataFrame:
     """``name``: 1 for the row with the least ``by``, and so on. ``bucket`` must order rows as ``by`` does, if less finely."""
     return running(rows, by, bucket, {}, number=name)
 
 
-def running(rows: DataFrame, by: str, bucket: Column, sums: dict[str, str], number: str | None = None) -> DataFrame:
+def ranged(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with ``_bucket``: the number of the range of ``by`` that a row is in, of ranges about equal in rows.
+
+    They are written, as another reading may draw other ranges.
+    """
+    return written(rows.repartitionByRange(*by).withColumn("_bucket", F.spark_partition_id()), "ranged")
+
+
+def running(rows: DataFrame, by: str, bucket: Column | None, sums: dict[str, str], number: str | None = None) -> DataFrame:
     """Sums over the rows before in the order of ``by``, of the columns that ``sums`` names by what it adds; and
     ``number``, which counts the rows up to this one.
 
-    Only one row for each bucket meets in a single task.
+    Only one row for each bucket meets in a single task. Without ``bucket``, buckets are ranges that the rows themselves
+    give, so that none is longer for what the values have in common; ``by`` then tells rows apart.
     """
-    rows = rows.withColumn("_bucket", bucket)
+    rows = ranged(rows, by) if bucket is None else rows.withColumn("_bucket", bucket)
     wanted = {name: F.col(value) for name, value in sums.items()} | ({number: F.lit(1).cast("long")} if number else {})
     upto = {name: 0 if name == number else -1 for name in wanted}
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
