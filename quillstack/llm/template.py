@@ -4,10 +4,11 @@ Tokens are the block elements of a page, each at its path. Over the pages of a h
 occurrence vectors: how often each stands on each page. A vector is not kept but summed as a hash over pages, so that
 a host with any number of pages adds up in the map-side combine. Classes whose spans nest make the host's template;
 what is between its tokens are slots. One element of the template holds the article: from the root down, it is the
-one with most of the text that differs between pages, wherever its class or its place in the page. Texts outside it
-go, whatever they say. Within it go the slots of elements that are no article by tag or role, and those template
-elements whose name says so and which hold the lesser part of the text; and the template's own texts, which stand in
-nearly all different articles of the host. The other slots are the page's main text.
+one with most of the text that differs between pages, wherever its place in the page. Texts outside it go, whatever
+they say. Within it go the slots of elements that are no article by tag, role or name, on however many pages they
+stand and however long they are; and the template's own texts, which stand in nearly all different articles of the
+host. The other slots are the page's main text. A name says nothing where it is the article's own: where the only
+titles are inside elements so named, or all text that differs.
 
 Hosts with too few different pages have no template: there the page's own elements are all there is to go by.
 """
@@ -46,7 +47,7 @@ INLINE = frozenset(
 #: Elements that are not the article, by tag or role.
 ASIDE = frozenset("nav footer aside form button dialog menu fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: What an element of the template may be called that is not the article. A name alone decides nothing.
+#: What an element may be called that is not the article, unless the host's pages or the title tell otherwise.
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter "
     "notice notices notification pager pagination paywall popup promo promotion promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
@@ -67,7 +68,7 @@ class Settings:
     share: float = 0.5
     #: Pages that make a template, at least.
     least: int = 3
-    #: Share of a host's pages from which a named element counts as one of the template.
+    #: Share of a host's pages from which a named element has a say in where its articles are.
     named_share: float = 0.01
     #: Share of the different articles of a host that hold a text of the template, and how many these are at least.
     text_share: float = 0.9
@@ -231,12 +232,12 @@ def parse(source: str | None) -> Page:
     return page
 
 
-#: Bits of an element: aside, named, able to hold an article, a heading, article or main.
-_ASIDE, _NAMED, _HOLDS, _HEADING, _MAIN = 1, 2, 4, 8, 16
+#: Bits of an element: aside, named, able to hold an article, a heading, article or main, a title.
+_ASIDE, _NAMED, _HOLDS, _HEADING, _MAIN, _TITLE = 1, 2, 4, 8, 16, 32
 
 
 def _kind(e: Element) -> int:
-    return _ASIDE * e.aside | _NAMED * e.named | _HOLDS * (e.tag not in PARTS) | _HEADING * (e.tag in HEADINGS) | _MAIN * (e.tag in MAIN)
+    return _ASIDE * e.aside | _NAMED * e.named | _HOLDS * (e.tag not in PARTS) | _HEADING * (e.tag in HEADINGS) | _MAIN * (e.tag in MAIN) | _TITLE * (e.tag == "h1")
 
 
 def tokens(page: Page) -> dict[int, list[int]]:
@@ -321,11 +322,13 @@ def nested(group: pd.DataFrame) -> set[int]:
 
 
 def article(group: pd.DataFrame, settings: Settings = Settings()) -> tuple[int | None, list[int]]:  # noqa: B008
-    """(the element of a host's template that holds its articles, named elements of the template that go).
+    """(the element of a host's template that holds its articles, named elements in it that are the article's own).
 
     From the root, a child is entered while it stands once on a page, holds half of the text that differs between
     pages, and leaves no heading that differs and hardly a paragraph behind. An element counts nothing where its texts
     are the same on all pages, unless nearly all of the host is: then its pages are copies, and none is its template.
+    Elements named as asides count nothing either, but for those that hold all titles that differ; if nothing that
+    differs is left, names tell nothing on the host.
     """
     of = int(group["pages"].max())
     if of < settings.least:
@@ -340,36 +343,56 @@ def article(group: pd.DataFrame, settings: Settings = Settings()) -> tuple[int |
     order = [0] if 0 in rows_ else []
     for t in order:  # parents before what is in them
         order += below.get(t, ())
-    differs: dict[int, int] = {}
-    headed: set[int] = set()  # with a heading that differs, or being one
-    for t in reversed(order):
-        own = [c for c in below.get(t, ()) if not rows_[c].kind & _ASIDE]
-        differs[t] = 0 if t in same else int(rows_[t].chars) - sum(int(rows_[c].chars) - differs[c] for c in own)
-        if differs[t] > 0 and (rows_[t].kind & _HEADING or any(c in headed for c in own)):
-            headed.add(t)
+    if 0 not in template:
+        return None, []
 
-    at = 0
-    if 0 not in template or not rows_[0].chars or differs[0] < 0.1 * rows_[0].chars:
+    def told(asides: set[int]) -> tuple[dict[int, int], dict[int, int], set[int], set[int]]:
+        """(characters, those that differ) of elements without asides; those with a heading, a title that differs."""
+        chars: dict[int, int] = {}
+        differs: dict[int, int] = {}
+        headed: set[int] = set()
+        titled: set[int] = set()
+        for t in reversed(order):
+            own = [c for c in below.get(t, ()) if not rows_[c].kind & _ASIDE]
+            gone = sum(int(rows_[c].chars) - chars[c] for c in own)
+            alike = sum(chars[c] - differs[c] for c in own)
+            chars[t] = 0 if t in asides else int(rows_[t].chars) - gone
+            differs[t] = 0 if t in asides or t in same else chars[t] - alike
+            if differs[t] > 0 and (rows_[t].kind & _HEADING or any(c in headed for c in own)):
+                headed.add(t)
+            if differs[t] > 0 and (rows_[t].kind & _TITLE or any(c in titled for c in own)):
+                titled.add(t)
+        return chars, differs, headed, titled
+
+    named = {t for t in order if rows_[t].kind & _NAMED and not rows_[t].kind & _ASIDE}
+    titled = told(set())[3]
+    asides = named if 0 in told(named)[3] else named - titled
+    chars, differs, headed, _ = told(asides)
+    if not differs[0]:
+        asides = set()
+        chars, differs, headed, _ = told(asides)
+    if not chars[0] or differs[0] < 0.1 * chars[0]:
         return None, []
+    at = 0
     while True:
-        inner = [c for c in below.get(at, ()) if rows_[c].kind & _HOLDS and not rows_[c].kind & _ASIDE]
+        near = [c for c in below.get(at, ()) if not rows_[c].kind & _ASIDE and c not in asides]
+        inner = [c for c in near if rows_[c].kind & _HOLDS]
         whole = differs[at]
         into = max((c for c in inner if c in template and rows_[c].occurs <= 1.1 * rows_[c].pages), key=lambda c: (differs[c], -rows_[c].first), default=None)
         if into is None or differs[into] < 0.5 * whole or whole - sum(differs[c] for c in inner) > 0.05 * whole:
             break
-        if any(c in headed and c != into and not rows_[c].kind & _ASIDE for c in below.get(at, ())):
+        if any(c in headed and c != into for c in near):
             break
         at = into
     inside, todo = [], [at]
     while todo:
         todo += (own := below.get(todo.pop(), ()))
         inside += own
-    named = [t for t in inside if rows_[t].kind & _NAMED and rows_[t].pages >= settings.least and 2 * rows_[t].chars <= rows_[at].chars]
-    return at, sorted(named)
+    return at, sorted(set(inside) & named - asides)
 
 
 def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """(host, article, gone) from (host, id, html): see ``article``. Hosts without a template have no row.
+    """(host, article, kept) from (host, id, html): see ``article``. Hosts without a template have no row.
 
     A host's group holds the tokens on ``share`` of its pages, 1 / share times as many as a page has at most, and the
     named ones on ``named_share`` of them.
@@ -380,36 +403,51 @@ def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     frequent = found.join(sizes, "host").where(F.col("pages") >= share * F.col("of")).drop("of")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        at, gone = article(group, settings)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "article": [at], "gone": [gone]}).astype({"article": "Int64"})
+        at, kept = article(group, settings)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "article": [at], "kept": [kept]}).astype({"article": "Int64"})
 
-    return frequent.groupBy("host").applyInPandas(one, "host string, article long, gone array<long>").where("article IS NOT NULL")
+    return frequent.groupBy("host").applyInPandas(one, "host string, article long, kept array<long>").where("article IS NOT NULL")
 
 
-def slots(page: Page, holder: int | None = None, gone: Iterable[int] = ()) -> list[tuple[str, int]]:
-    """(text, path) of the slots that may be the article's: of the holder's elements, without asides.
+def slots(page: Page, holder: int | None = None, kept: Iterable[int] = ()) -> list[tuple[str, int]]:
+    """(text, path) of the slots that may be the article's: of the holder's elements, without asides by tag, role or name.
 
-    Without a holder, or on a page that does not have it: of the article, or else of main, or else of all, without
-    elements named as asides.
+    ``kept`` are named elements in the holder that are the article's own on its host; others are where the holder has
+    no title but in elements so named. Without a holder, or on a page that does not have it: of the article, or else of
+    main, or else of all.
     """
-    gone = set(gone)
+    kept = set(kept)
     n = len(page.elements)
-    out, inside = [False] * n, [""] * n
+    out, inside, named = [False] * n, [""] * n, [False] * n
     known = holder is not None and any(e.path == holder and not e.aside for e in page.elements)
-    for k, e in enumerate(page.elements):
-        if k:
-            out[k], inside[k] = out[e.parent], inside[e.parent]
-        if known:
-            out[k] = out[k] or e.aside or e.path in gone
+    if known:
+        for k, e in enumerate(page.elements):
+            if k:
+                out[k], inside[k], named[k] = out[e.parent] or e.aside, inside[e.parent], named[e.parent]
+            named[k] = named[k] or (inside[k] == "holder" and e.named and e.path not in kept)
             inside[k] = inside[k] or ("holder" if e.path == holder else "")
-        elif e.tag in MAIN:
-            out[k] = e.aside  # a wrapper's name does not make an article an advert
-            inside[k] = e.tag if inside[k] != "article" else inside[k]
-        else:
-            out[k] = out[k] or e.aside or e.named
-    kept = [(text, k) for text, k in page.blocks if not out[k]]
-    kind = next((w for w in ("holder", *MAIN) if any(inside[k] == w for _, k in kept)), "")
-    return [(text, page.elements[k].path) for text, k in kept if not kind or inside[k] == kind]
+        titles = [k for k, e in enumerate(page.elements) if e.tag == "h1" and inside[k] and not out[k]]
+        own: set[int] = set()
+        if titles and all(named[k] for k in titles):  # names of what the first title is in are the article's
+            at = titles[0]
+            while at:
+                own.add(at)
+                at = page.elements[at].parent
+        for k, e in enumerate(page.elements):
+            if k:
+                out[k] = out[k] or out[e.parent] or (inside[e.parent] == "holder" and e.named and e.path not in kept and k not in own)
+    else:
+        for k, e in enumerate(page.elements):
+            if k:
+                out[k], inside[k] = out[e.parent], inside[e.parent]
+            if e.tag in MAIN:
+                out[k] = e.aside  # a wrapper's name does not make an article an advert
+                inside[k] = e.tag if inside[k] != "article" else inside[k]
+            else:
+                out[k] = out[k] or e.aside or e.named
+    found = [(text, k) for text, k in page.blocks if not out[k]]
+    kind = next((w for w in ("holder", *MAIN) if any(inside[k] == w for _, k in found)), "holder" if known else "")
+    return [(text, page.elements[k].path) for text, k in found if not kind or inside[k] == kind]
 
 
 def host(url: Column) -> Column:
@@ -447,8 +485,8 @@ def extract(pages: DataFrame, settings: Settings = Settings(), id_col: str = "pa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for i, url, host_, source, holder, gone in rows(batches, "id", "url", "host", "html", "article", "gone"):
-                own = slots(parse(source), holder, gone or ())
+            for i, url, host_, source, holder, kept in rows(batches, "id", "url", "host", "html", "article", "kept"):
+                own = slots(parse(source), holder, kept or ())
                 texts = [t for t, _ in own]
                 hashes = [xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), path) >> 1 for t, path in own]
                 yield i, url, host_, texts, hashes, xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "replace")) >> 1
@@ -456,7 +494,7 @@ def extract(pages: DataFrame, settings: Settings = Settings(), id_col: str = "pa
         yield from batched(found(), out, 256)
 
     kinds = "id long, url string, host string, texts array<string>, hashes array<long>, digest long"
-    cut = thin.join(known, "host", "left").select("id", "url", "host", "html", "article", "gone").mapInArrow(run, kinds)
+    cut = thin.join(known, "host", "left").select("id", "url", "host", "html", "article", "kept").mapInArrow(run, kinds)
     cut = materialize(cut, "slots")
     own = materialize(own_texts(cut.select("host", "digest", "hashes"), settings), "texts")
     slot = F.transform(F.arrays_zip("texts", "hashes"), lambda x: F.when(F.array_contains("template", x["hashes"]), F.lit(None)).otherwise(x["texts"]))

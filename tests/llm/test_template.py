@@ -129,11 +129,45 @@ def test_the_slot_with_the_text_that_differs_is_the_article(spark):
     assert "story" not in text(pages[0][2])
 
 
-def test_named_elements_go_if_the_template_has_them(spark):
+def test_named_elements_go_on_however_many_pages(spark):
     page = "<div class=x><h1>T {0}</h1><p>a long story with the number {0}</p>{1}</div><p>bottom</p>"
-    extra = lambda k: "<div class=comments><p>reader {0}</p></div>".format(k) if k % 2 else "<div class=notice>kept {0}</div>".format(k) if k == 4 else ""
+    extra = lambda k: "<div class=comments><p>reader {0}</p></div>".format(k) if k % 2 else "<div class=notice>gone {0}</div>".format(k) if k == 4 else ""
     pages = [(k, "http://one.example/", page.format(k, extra(k))) for k in range(10)]
-    assert extracted(spark, pages) == {k: f"T {k} a long story with the number {k}" + " kept 4" * (k == 4) for k in range(10)}
+    assert extracted(spark, pages) == {k: f"T {k} a long story with the number {k}" for k in range(10)}
+
+
+@pytest.mark.parametrize("tag", ["div class=x", "article"])
+@pytest.mark.parametrize("title", ["<h1>T {0}</h1>", ""])
+@pytest.mark.parametrize(("times", "on"), [(1, {3}), (1, {3, 7}), (40, {3}), (40, set(range(12))), (400, set(range(12)))])
+def test_rare_and_long_asides_go(spark, tag, title, times, on):
+    """Comments and adverts on one page of twelve, on all of them, or many times as long as the article; with a heading of their own."""
+    page = f"<body><div class=menu-like><p>Home</p></div><{tag}>{title}<p>the story of {{0}} is told here</p>{{1}}<p>and ends {{0}}</p></{tag.split()[0]}></body>"
+    aside = lambda k: f"<section class=comments><h2>{k} comments</h2>" + "".join(f"<div class=c><p>reader {k} {n} says</p></div>" for n in range(times)) + f"</section><div class=advert>buy {k}</div>"
+    pages = [(k, f"http://one.example/{k}", page.format(k, aside(k) if k in on else "")) for k in range(12)]
+    told = lambda k: (f"T {k} " if title else "") + f"the story of {k} is told here and ends {k}"
+    assert extracted(spark, pages) == {k: told(k) for k in range(12)}
+    assert extracted(spark, pages[:2]) == {k: ("" if "article" in tag else "Home ") + told(k) for k in range(2)}  # too few for a template
+
+
+def test_comments_beside_the_article_go(spark):
+    """Ten times as long, and not inside the article's element."""
+    page = "<div class=top><p>Site</p></div><div class=story><h1>T {0}</h1><p>the story of {0}</p></div><div id=comments>{1}</div>"
+    pages = [(k, f"http://one.example/{k}", page.format(k, "".join(f"<p>reader {k} {n} writes at length</p>" for n in range(30)))) for k in range(8)]
+    assert extracted(spark, pages) == {k: f"T {k} the story of {k}" for k in range(8)}
+
+
+def test_names_that_mislead(spark):
+    """All that differs is in elements named as asides, with a title or without one; and a title that one page alone has in one."""
+    board = "<div class=top><p>Town hall</p></div><div class=x>{0}</div>"
+    notices = lambda k: "".join(f"<div class=notice><p>decision {k} of {n}</p></div>" for n in range(3))
+    pages = [(k, f"http://one.example/{k}", board.format(notices(k))) for k in range(6)]
+    assert extracted(spark, pages) == {k: " ".join(f"decision {k} of {n}" for n in range(3)) for k in range(6)}
+    page = "<div class=x><div class=banner><h1>T {0}</h1><p>the story of {0}</p></div><div class=share>share {0}</div><p>more of {0}</p></div>"
+    pages = [(k, f"http://two.example/{k}", page.format(k)) for k in range(6)]
+    assert extracted(spark, pages) == {k: f"T {k} the story of {k} more of {k}" for k in range(6)}
+    plain = "<div class=x><h1>T {0}</h1><p>the story of {0}</p></div>"
+    pages = [(k, f"http://three.example/{k}", plain.format(k)) for k in range(150)] + [(150, "http://three.example/150", "<div class=x><div class=banner><h1>T 150</h1></div><p>the story of 150</p><div class=share>tell</div></div>")]
+    assert extracted(spark, pages)[150] == "T 150 the story of 150"
 
 
 def test_copies_of_one_page_are_no_template(spark):
