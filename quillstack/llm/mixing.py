@@ -16,9 +16,9 @@ from quillstack.llm.common import batched, materialize, named, rows, with_rows
 from quillstack.operators.order import numbered, running
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a shard at most on average, and shards of a source at most. A shard's thin rows are one task's group.
-SHARD_WORDS, MOST_SHARDS = 1 << 20, 4096
-#: Blocks of a target at least: of a small one they have fewer words, down to one.
+#: Words and rows of a shard, about, whose thin rows are one task's group; and shards whose quotas one task gives.
+SHARD_WORDS, SHARD_ROWS, SHARDS = 1 << 20, 1 << 17, 4096
+#: Blocks of a target, about, at least: of a small one they have half the words, a quarter and so on, down to one.
 LEAST_BLOCKS = 100
 #: Sources that the driver plans for; of more, executors make the same plan.
 MOST_SOURCES = 100_000
@@ -133,10 +133,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, most_
 
     Sources in code point order, null last, weigh ``weights``, repeated, and share all words; a target stops at
     ``cap`` times its source's size. Blocks have ``most_block_words`` words, or fewer in a small corpus, so that a
-    source has about ``blocks_a_source`` of them. Sainte-Laguë gives each source, then each of its shards, an integer
-    quota of blocks; a source whose target is under LEAST_BLOCKS of them has smaller blocks of its own, and as many as
-    come nearest to its target. A seeded choice takes the quota's blocks of the shard's words, each of which is taken ``cap``
-    times at most. spans are the taken word ranges of a row with the times they are taken.
+    source has about ``blocks_a_source`` of them; sources whose target has few of those have blocks of half the words,
+    of a quarter and so on. Among the sources of each size of block, Sainte-Laguë gives its blocks by highest
+    quotients, then each source's to its shards (by way of groups of shards, where there are over SHARDS). A seeded
+    choice takes the quota's blocks of the shard's words, each of which is taken ``cap`` times at most. spans are the
+    taken word ranges of a row with the times they are taken.
 
     A null text has size 0 and takes nothing; an empty string source is a source of its own; repeated rows count
     each; null ids stay null; a corpus without words has targets 0; an empty table gives an empty result. Rows are
@@ -145,30 +146,45 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, most_
     """
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), named(row_col).alias("row"))
     thin = materialize(with_rows(thin, "place"), "sizes")
-    sums = materialize(thin.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    sums = materialize(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sources")
     total, sources = sums.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     block_words = max(1, min(most_block_words, total // max(1, blocks_a_source * sources)))
     known = materialize((_planned if sources <= MOST_SOURCES else _levelled)(sums, weights, cap, block_words), "targets")
 
     order = F.xxhash64(F.lit(seed), "id", "size", "nth")
     dealt = _counted(thin).select("id", "source", "size", "row", order.alias("order")).join(known.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
-    shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS)))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("source_rows") / SHARD_ROWS))
     dealt = dealt.withColumn("shard", F.pmod("order", shards).cast("int"))
-    dealt = materialize(dealt.select("id", "size", "row", "order", "number", "shard", "source_size", "target", "quota", "block_words"), "dealt")
-
-    def shares(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard")
-        sizes, own = group["size"].tolist(), int(group["block_words"].iloc[0])
-        most = [cap * count_blocks(s, own) for s in sizes]
-        return group[["number", "shard"]].assign(given=sainte_lague(sizes, int(group["quota"].iloc[0]), most))
-
-    parts = dealt.groupBy("number", "shard", "quota", "block_words").agg(F.sum("size").alias("size"))
-    plan = materialize(parts.groupBy("number").applyInPandas(shares, "number long, shard int, given long"), "quotas")  # MOST_SHARDS rows a source at most
+    dealt = materialize(dealt.select("id", "size", "row", "order", "number", "shard", F.ceil(shards / SHARDS).cast("int").alias("groups"), "source_size", "target", "quota", "block_words"), "dealt")
+    plan = materialize(_quotas(dealt, cap), "quotas")
     kinds = "id long, size long, source_size long, target double, taken long, spans array<struct<from: int, to: int, times: int>>, row string"
     taken = dealt.join(plan, ["number", "shard"]).groupBy("number", "shard").applyInPandas(_shard_rows(seed), kinds)
     return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "spans", "row")
 
 
+def _quotas(dealt: DataFrame, cap: int) -> DataFrame:
+    """(number, shard, given): each source's quota of blocks, shared among groups of its shards, then among their shards.
+
+    A source has as many groups as SHARDS of its shards make, one in most corpora; none gets over ``cap`` times its blocks.
+    """
+
+    def shares(key: str):  # noqa: ANN202
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(key)
+            return group[[*(c for c in ("number", "group", "shard") if c in group)]].assign(given=sainte_lague(group["size"].tolist(), int(group["quota"].iloc[0]), group["most"].tolist()))
+
+        return run
+
+    parts = dealt.groupBy("number", (F.col("shard") % F.col("groups")).alias("group"), "shard", "quota", "block_words").agg(F.sum("size").alias("size"))
+    blocks = F.when(F.col("size") > 0, F.greatest(F.lit(1.0), F.rint(F.col("size") / F.col("block_words")))).otherwise(0.0)  # count_blocks
+    parts = materialize(parts.withColumn("most", (cap * blocks).cast("long")), "shards")
+    wide = parts.groupBy("number", "group", "quota").agg(F.sum("size").alias("size"), F.sum("most").alias("most"))
+    given = wide.groupBy("number").applyInPandas(shares("group"), "number long, group int, given long")
+    given = given.select(F.col("number").alias("of"), F.col("group").alias("_group"), "given")
+    inner = parts.drop("quota").join(given, (F.col("number") == F.col("of")) & (F.col("group") == F.col("_group"))).withColumnRenamed("given", "quota")
+    return inner.select("number", "group", "shard", "quota", "size", "most").groupBy("number", "group").applyInPandas(shares("shard"), "number long, group int, shard int, given long").drop("group")
+
+
 def _counted(thin: DataFrame) -> DataFrame:
     """``thin`` with ``nth``: from 0 up for the rows of one source, id and size, in parts of MOST_EQUAL rows or so."""
     same = ["source", "id", "size"]
@@ -186,33 +202,39 @@ def _counted(thin: DataFrame) -> DataFrame:
     return alone.union(own.select(*thin.columns, (F.col("ahead") + F.col("within") - 1).cast("long")))
 
 
-def _quota(size: int, target: Fraction, block_words: int) -> tuple[int, int]:
-    """(blocks nearest to a target, words of a block, fewer than ``block_words`` where the target is small)."""
-    own = max(1, min(block_words, int(min(size, target)) // LEAST_BLOCKS))
-    return round(target * count_blocks(size, own) / size) if size else 0, own
+def _own_words(size: int, target: Fraction, block_words: int) -> int:
+    """Words of a source's blocks: ``block_words``, or half of it, a quarter and so on, where the target is small."""
+    own = block_words
+    while own > 1 and own * LEAST_BLOCKS > min(size, target):
+        own //= 2
+    return own
 
 
-_PLAN = "source string, source_size long, number long, target double, quota long, block_words int"
+_PLAN = "source string, source_size long, source_rows long, number long, target double, quota long, block_words int"
 
 
 def _planned(sums: DataFrame, weights: Sequence[int], cap: int, block_words: int) -> DataFrame:
-    """(source, source_size, number, target, quota, block_words) of every source: quotas by Sainte-Laguë."""
-    found = sorted(((r["source"], r["source_size"]) for r in sums.collect()), key=lambda x: (x[0] is None, x[0] or ""))  # MOST_SOURCES rows at most
-    sizes = [s for _, s in found]
+    """(source, source_size, source_rows, number, target, quota, block_words) of every source: quotas by Sainte-Laguë.
+
+    Sources of one size of block share as many blocks as their targets together have.
+    """
+    found = sorted(((r["source"], r["source_size"], r["source_rows"]) for r in sums.collect()), key=lambda x: (x[0] is None, x[0] or ""))  # MOST_SOURCES rows at most
+    sizes = [s for _, s, _ in found]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], cap)
-    each = [_quota(s, t, block_words) for s, t in zip(sizes, targets, strict=True)]
-    large = [i for i, (_, own) in enumerate(each) if own == block_words]
-    quotas = [q for q, _ in each]
-    for i, quota in zip(large, sainte_lague([targets[i] for i in large], round(sum(targets[i] for i in large) / block_words)), strict=True):
-        quotas[i] = quota
-    plan = [(n, s, k, float(t), q, own) for k, ((n, s), t, q, (_, own)) in enumerate(zip(found, targets, quotas, each, strict=True))]
+    each = [_own_words(s, t, block_words) for s, t in zip(sizes, targets, strict=True)]
+    quotas = [0] * len(found)
+    for own in set(each):
+        level = [i for i, x in enumerate(each) if x == own]
+        for i, quota in zip(level, sainte_lague([targets[i] for i in level], round(sum(targets[i] for i in level) / own)), strict=True):
+            quotas[i] = quota
+    plan = [(n, s, r, k, float(t), q, own) for k, ((n, s, r), t, q, own) in enumerate(zip(found, targets, quotas, each, strict=True))]
     return sums.sparkSession.createDataFrame(plan, _PLAN)
 
 
 def _levelled(sums: DataFrame, weights: Sequence[int], cap: int, block_words: int) -> DataFrame:
     """The same of any number of sources, of which only sums reach the driver."""
-    numbered_ = numbered(sums.withColumn("key", F.struct(F.col("source").isNull(), "source")), "key", F.struct(F.col("source").isNull(), F.substring("source", 1, 2)), "number")
-    rows_ = numbered_.select("source", "source_size", (F.col("number") - 1).cast("long").alias("number"))
+    numbered_ = numbered(sums.withColumn("key", F.struct(F.col("source").isNull(), "source")), "key", None, "number")
+    rows_ = numbered_.select("source", "source_size", "source_rows", (F.col("number") - 1).cast("long").alias("number"))
     rows_ = materialize(rows_.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")).cast("long")), "weights")
     whole = "decimal(38,0)"
     open_ = rows_.where("source_size > 0")
@@ -225,24 +247,25 @@ def _levelled(sums: DataFrame, weights: Sequence[int], cap: int, block_words: in
             break
         rest, weight = total - cap * stopped, all_weight - gone
     scale = weight or 1
-    schema = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("number", pa.int64()), ("target", pa.float64()), ("quota", pa.int64()), ("block_words", pa.int32()), ("units", pa.string())])
+    schema = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("source_rows", pa.int64()), ("number", pa.int64()), ("target", pa.float64()), ("quota", pa.int64()), ("block_words", pa.int32()), ("units", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
-            for source, size, number, own in rows(batches, "source", "source_size", "number", "weight"):
+            for source, size, n, number, own in rows(batches, "source", "source_size", "source_rows", "number", "weight"):
                 target = Fraction(0) if not size else Fraction(cap * size) if not weight or rest * own > cap * size * weight else Fraction(rest * own, weight)
-                yield source, size, number, float(target), *_quota(size, target, block_words), str(int(target * scale))
+                yield source, size, n, number, float(target), 0, _own_words(size, target, block_words), str(int(target * scale))
 
         yield from batched(each(), schema)
 
     plan = materialize(rows_.mapInArrow(run, f"{_PLAN}, units string"), "levelled")
-    large = plan.where((F.col("block_words") == block_words) & (F.col("units") != "0")).select("number", "units")
-    units = large.agg(F.sum(F.col("units").cast(whole))).first()[0]
-    if not units:
+    seats = None
+    for own, units in plan.where("units <> '0'").groupBy("block_words").agg(F.sum(F.col("units").cast(whole))).collect():  # a row for each size of block
+        level = _seats(plan.where((F.col("block_words") == own) & (F.col("units") != "0")).select("number", "units"), int(units), round(Fraction(int(units), scale * own)))
+        seats = level if seats is None else seats.union(level)
+    if seats is None:
         return plan.drop("units")
-    seats = _seats(large, int(units), round(Fraction(int(units), scale * block_words)))
     found = plan.join(seats.withColumnRenamed("number", "_number"), F.col("number") == F.col("_number"), "left")
-    return found.withColumn("quota", F.coalesce("seats", "quota")).select("source", "source_size", "number", "target", "quota", "block_words")
+    return found.withColumn("quota", F.coalesce("seats", "quota")).select("source", "source_size", "source_rows", "number", "target", "quota", "block_words")
 
 
 def _seats(shares: DataFrame, total: int, seats: int) -> DataFrame:

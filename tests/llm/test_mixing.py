@@ -72,7 +72,7 @@ def test_targets_of_any_number_of_sources(spark, cap):
     """The plan that only sums reach the driver for has the driver's targets, and quotas nearest to them."""
     rng = random.Random(cap)
     sizes = {"": 5, None: 700, "aé": 0, "Z": 1} | {f"s{i}": rng.choice([1, 10, 300, 10**7]) for i in range(40)} | {"hot": 10**9, "é": 3}
-    sums = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    sums = spark.createDataFrame([(n, s, 1) for n, s in sizes.items()], "source string, source_size long, source_rows long")
     key = lambda r: (r["source"] is None, r["source"] or "")
     planned, levelled = (sorted(f(sums, (1, 2, 3), cap, 64).collect(), key=key) for f in (mixing._planned, mixing._levelled))
     same = lambda r: (r["source"], r["source_size"], r["number"], r["target"], r["block_words"])
@@ -121,6 +121,64 @@ def test_small_sources_beside_a_hot_one(spark):
         assert abs(r["taken"] - r["target"]) <= 0.01 * r["target"]
 
 
+def test_every_source_has_its_seats_one_by_one(spark):
+    """Tiny sources and huge ones: of each size of block, quotas are those of giving out one block after another."""
+    rng = random.Random(8)
+    sizes = {f"s{i:02}": rng.choice([0, 1, 2, 7, 10, 99, 150, 230, 450, 900, 5000, 20_000, 90_000]) for i in range(60)}
+    sums = spark.createDataFrame([(n, s, 1) for n, s in sizes.items()], "source string, source_size long, source_rows long")
+    targets = mixing.capped_targets(list(sizes.values()), [(1, 2, 3)[k % 3] for k in range(60)], 3)
+    for plan in (mixing._planned, mixing._levelled):
+        found = sorted(plan(sums, (1, 2, 3), 3, 64).collect(), key=lambda r: r["number"])
+        assert len({r["block_words"] for r in found}) > 4
+        for own in {r["block_words"] for r in found}:
+            level = [k for k, r in enumerate(found) if r["block_words"] == own]
+            seats = round(sum(targets[k] for k in level) / own)
+            assert [found[k]["quota"] for k in level] == one_by_one([targets[k] for k in level], seats, [seats] * len(level))
+
+
+def test_sources_with_one_prefix_are_many_tasks(spark, monkeypatch):
+    """5000 sources whose names begin alike: ranges of them are even."""
+    from quillstack.operators import order
+
+    held = []
+    real = order.ranged
+
+    def seen(rows_, *by):
+        found = real(rows_.repartition(4), *by)
+        held.extend(r["count"] for r in found.groupBy("_bucket").count().collect())
+        return found
+
+    monkeypatch.setattr(order, "ranged", seen)
+    sums = spark.createDataFrame([(f"https://site.example/{i:05}", i % 90, 1) for i in range(5000)], "source string, source_size long, source_rows long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one partition
+    found = mixing._levelled(sums, (1, 2, 3), 3, 64).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["number"] for r in sorted(found, key=lambda r: r["source"])] == list(range(5000))
+    assert len(held) == 4 and max(held) < 2000
+
+
+def test_shards_have_few_rows_and_groups(spark, monkeypatch):
+    """Rows without a word make shards too; of over SHARDS shards a source's quota is shared among groups first."""
+    for name, value in (("SHARD_ROWS", 50), ("SHARD_WORDS", 400), ("SHARDS", 3)):
+        monkeypatch.setattr(mixing, name, value)
+    held = []
+    real = mixing.materialize
+
+    def seen(df, label):
+        found = real(df, label)
+        if label == "dealt":
+            held.extend(r["count"] for r in found.groupBy("number", "shard").count().collect())
+            held.append(-max(r["groups"] for r in found.select("groups").distinct().collect()))
+        return found
+
+    monkeypatch.setattr(mixing, "materialize", seen)
+    data = [(i, "", "empty") for i in range(1000)] + [(i, "w " * 20, "ab"[i % 2]) for i in range(600)]
+    found = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    assert len(found) == 1600 and max(held) < 120 and min(held) <= -5
+    for target in {r["target"] for r in found}:
+        assert abs(sum(r["taken"] for r in found if r["target"] == target) - target) <= 0.01 * target + 16
+
+
 def test_null_and_empty(spark):
     kinds = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], kinds)).count() == 0
@@ -134,7 +192,7 @@ def test_any_number_of_sources_has_one_plan(spark, seed, cap, block_words):
     rng = random.Random(seed)
     kinds = [[1000], [999, 1000, 1001], [0, 1, 10, 300, 10**7], [7000, 13, 10**9], [rng.randrange(1, 90_000) for _ in range(50)], [350, 450, 100 * block_words]][seed - 1]
     sizes = {f"s{i:03}": rng.choice(kinds) for i in range(rng.choice([60, 157]))} | {None: 4321, "": 0}
-    sums = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    sums = spark.createDataFrame([(n, s, 1) for n, s in sizes.items()], "source string, source_size long, source_rows long")
     planned, levelled = (sorted(map(tuple, f(sums, (1, 2, 3), cap, block_words).collect()), key=lambda r: r[2]) for f in (mixing._planned, mixing._levelled))
     assert planned == levelled
 
