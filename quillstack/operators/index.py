@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.codec import vbyte_encode as encode
 from quillstack.functions.codec import vbyte_size
-from quillstack.operators import order
-from quillstack.sources.shared import written
+from quillstack.operators import order, suggest
+from quillstack.sources.shared import exists
 
 BARRELS = 10
 SKIP_INTERVAL = 128
 #: Documents of a block.
 BLOCK_DOCS = 10_000
+#: A range of ids whose greatest scores are kept has 2 to this power of them.
+RANGE_BITS = 10
+#: BM25.
+K1, B = 1.5, 0.75
 
 
 def barrel_of(term: Column, barrels: int = BARRELS) -> Column:
@@ -25,13 +29,15 @@ def barrel_of(term: Column, barrels: int = BARRELS) -> Column:
 
 def postings(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(term, doc_id, tf, positions): all fields of a document merged, positions in order, repeats kept."""
-    per = tokens.groupBy("term", id_col).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return per.select("term", id_col, F.size("positions").alias("tf"), "positions")
+    length = [F.max("dl").alias("dl")] if "dl" in tokens.columns else []
+    per = tokens.groupBy("term", id_col).agg(F.sort_array(F.collect_list("pos")).alias("positions"), *length)
+    return per.select("term", id_col, F.size("positions").alias("tf"), "positions", *["dl"] * len(length))
 
 
 def counts(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(term, doc_id, tf), where positions are not asked for: all of it combines before the shuffle."""
-    return tokens.groupBy("term", id_col).agg(F.count("*").cast("int").alias("tf"))
+    """(term, doc_id, tf), where positions are not asked for: all of it combines before the shuffle. dl stays, if there."""
+    length = [F.max("dl").alias("dl")] if "dl" in tokens.columns else []
+    return tokens.groupBy("term", id_col).agg(F.count("*").cast("int").alias("tf"), *length)
 
 
 def lexicon(counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -41,7 +47,7 @@ def lexicon(counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def with_word_ids(rows: DataFrame) -> DataFrame:
     """word_id: 1 and up in the order of terms."""
-    return order.numbered(rows, "term", order.by_term(), "word_id")
+    return order.numbered(rows, "term", None, "word_id")
 
 
 def posting_lists(found: DataFrame, id_col: str = "doc_id", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -75,7 +81,7 @@ def posting_bytes(tokens: DataFrame, id_col: str = "doc_id", bits: int = 20) ->
 
 def lexicon_with_offsets(tokens: DataFrame, id_col: str = "doc_id", skip_interval: int = SKIP_INTERVAL) -> DataFrame:
     """The whole lexicon: ids, frequencies, where a term's encoded list begins, how long it is, and its barrel."""
-    placed = order.running(written(posting_bytes(tokens, id_col), "terms"), "term", order.by_term(), {"offset": "bytes"}, number="word_id")
+    placed = order.running(posting_bytes(tokens, id_col), "term", None, {"offset": "bytes"}, number="word_id")
     skip = F.to_json(F.struct(F.col("doc_freq").alias("df"), F.lit(skip_interval).alias("skip_interval")))
     return placed.select("word_id", "term", "doc_freq", "term_freq", "offset", "bytes", skip.alias("skip_meta"), barrel_of(F.col("term")).alias("barrel_id"))
 
@@ -130,6 +136,45 @@ def corpus_stats(docs: DataFrame, doc_stats: DataFrame) -> DataFrame:
     return both.withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(F.lit(0.0)))
 
 
+def with_lengths(found: DataFrame, doc_stats: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Postings with dl, the length of their document, null where it has none; from the postings themselves without ``doc_stats``."""
+    if "dl" in found.columns:
+        return found
+    if doc_stats is None:
+        return found.withColumn("dl", F.sum("tf").over(Window.partitionBy(id_col)).cast("long"))
+    return found.join(doc_stats.select(id_col, F.col("dl").cast("long").alias("dl")), id_col, "left")
+
+
+def length_norm(dl: Column, avgdl: Column) -> Column:
+    """A document's length against the mean, which stands in for one that is not known; 1 in a corpus without lengths."""
+    return F.when(avgdl > 0, F.coalesce(dl, F.floor(avgdl)).cast("double") / avgdl).otherwise(F.lit(1.0))
+
+
+def saturation(tf: Column, norm: Column, k1: float = K1, b: float = B) -> Column:
+    """What a term's frequency makes of its weight in BM25."""
+    return F.lit(k1 + 1) * tf / (F.lit(k1) * (F.lit(1 - b) + F.lit(b) * norm) + tf)
+
+
+def posting_blocks(found: DataFrame, corpus: DataFrame, bits: int = RANGE_BITS, id_col: str = "doc_id") -> DataFrame:
+    """(term, block, docs, first_id, last_id, max_tf, top_binary, top_actual, avgdl): what a term's postings can give in
+    each range of 2**bits ids, by the saturation of its frequencies, of once a document and of as often as it is there.
+
+    Postings have dl; ``corpus`` is one row with avgdl, which the figures hold for. All of it combines before the shuffle.
+    """
+    both = found.crossJoin(F.broadcast(corpus.select("avgdl")))  # one row
+    norm = length_norm(F.col("dl"), F.col("avgdl"))
+    block = F.shiftright(F.col(id_col).cast("long"), bits).alias("block")
+    return both.groupBy("term", block).agg(
+        F.count("*").cast("int").alias("docs"),
+        F.min(id_col).cast("long").alias("first_id"),
+        F.max(id_col).cast("long").alias("last_id"),
+        F.max("tf").alias("max_tf"),
+        F.max(saturation(F.lit(1.0), norm)).alias("top_binary"),
+        F.max(saturation(F.col("tf").cast("double"), norm)).alias("top_actual"),
+        F.max("avgdl").alias("avgdl"),
+    )
+
+
 def forward(found: DataFrame, words: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(docid, postings): each document's words by their ids."""
     one = F.struct(F.col("word_id").alias("wordid"), F.col("tf").alias("freq"), "positions")
@@ -176,7 +221,9 @@ class Index:
     """Tables of one corpus. ``write`` deals postings and lexicon to barrels; a term's barrel prunes the scan.
 
     ``derived`` says that lexicon and lengths follow from the postings: then ``write`` takes them from the postings
-    that it has written, and the texts are cut into terms once.
+    that it has written, and the texts are cut into terms once. What is written has more than what is built: postings
+    have their documents' lengths, so that a search joins no table of documents; corpus is its one row of statistics;
+    blocks are the postings' ranges of ids with their greatest scores, and completions the best terms of each prefix.
     """
 
     docs: DataFrame
@@ -184,6 +231,9 @@ class Index:
     lexicon: DataFrame
     doc_stats: DataFrame
     derived: bool = False
+    corpus: DataFrame | None = None
+    blocks: DataFrame | None = None
+    completions: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -195,14 +245,22 @@ class Index:
         return corpus_stats(self.docs, self.doc_stats).crossJoin(F.broadcast(terms))
 
     def write(self, path: str) -> None:
-        self._deal(self.postings, f"{path}/postings", "doc_id")
-        words, sizes = self.lexicon, self.doc_stats
-        if self.derived:
-            found = self.spark.read.parquet(f"{path}/postings")
-            words, sizes = lexicon(found), lengths(found)
+        found = with_lengths(self.postings, None if self.derived else self.doc_stats)
+        self._deal(found.withColumn("block", F.shiftright(F.col("doc_id").cast("long"), RANGE_BITS)), f"{path}/postings", "doc_id")
+        found = self.spark.read.parquet(f"{path}/postings")
+        words, sizes = (lexicon(found), lengths(found)) if self.derived else (self.lexicon, self.doc_stats)
         self._deal(words, f"{path}/lexicon")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         sizes.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        self._written_corpus(path).write.mode("overwrite").parquet(f"{path}/corpus")
+        corpus = self.spark.read.parquet(f"{path}/corpus")
+        self._deal(posting_blocks(found, corpus).withColumn("barrel_id", barrel_of(F.col("term"))), f"{path}/blocks", "block")
+        words = self.spark.read.parquet(f"{path}/lexicon")
+        suggest.write_completions(words, f"{path}/completions", words.count())
+
+    def _written_corpus(self, path: str) -> DataFrame:
+        read = self.spark.read.parquet
+        return corpus_stats(read(f"{path}/docs"), read(f"{path}/doc_stats"))
 
     @staticmethod
     def _deal(table: DataFrame, path: str, *more: str) -> None:
@@ -214,7 +272,10 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("docs", "postings", "lexicon", "doc_stats")))
+        """A written index; one of old, without the tables that only served searches read, is searched without them."""
+        tables = [spark.read.parquet(f"{path}/{n}") for n in ("docs", "postings", "lexicon", "doc_stats")]
+        more = [spark.read.parquet(f"{path}/{n}") if exists(spark, f"{path}/{n}") else None for n in ("corpus", "blocks", "completions")]
+        return cls(*tables, False, *more)
 
 
 def build(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", positions: bool = True) -> Index:

@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.operators.index import Index, barrel_of, corpus_stats
+from quillstack.operators.index import K1, RANGE_BITS, B, Index, barrel_of, corpus_stats, length_norm, saturation
+from quillstack.sources.shared import written
 
-K1, B = 1.5, 0.75
 TOP = 10
+#: Ranges of ids that a bounded search reads first, and that a scan is given as a list at most.
+FIRST_BLOCKS, MOST_LISTED = 8, 1024
 RESULT = "doc_id string, score double, title string, snippet string, term_frequencies map<string,int>"
 
 
@@ -26,9 +29,8 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
-    """Doubles throughout, so that no count wraps; a corpus without lengths has norm 1."""
-    norm = F.when(avgdl > 0, dl / avgdl).otherwise(F.lit(1.0))
-    return idf(n.cast("double"), df.cast("double")) * F.lit(k1 + 1) * tf / (F.lit(k1) * (F.lit(1 - b) + F.lit(b) * norm) + tf)
+    """Doubles throughout, so that no count wraps; a document without a length has the mean, a corpus without lengths norm 1."""
+    return idf(n.cast("double"), df.cast("double")) * saturation(tf, length_norm(dl, avgdl), k1, b)
 
 
 def _lookup(table: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -52,20 +54,21 @@ def score(index: Index, terms: Sequence[str], mode: str = "and", tf_mode: str =
     if not times:
         return index.spark.createDataFrame([], "doc_id long, score double, term_frequencies map<string,int>")
     known = _lookup(index.lexicon, list(times)).select("term", "doc_freq")  # a row for each of the query's terms at most
-    stats = corpus_stats(index.docs, index.doc_stats).crossJoin(F.broadcast(known.agg(F.count("*").alias("known"))))  # one row each
-    found = _lookup(index.postings, list(times)).select("doc_id", "term", "tf").join(F.broadcast(known), "term")
-    # a row for each document, and those that lack a term gone, before lengths are joined
-    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "doc_freq"))).alias("parts"))
+    stats = _corpus(index).crossJoin(F.broadcast(known.agg(F.count("*").alias("known"))))  # one row each
+    length = ["dl"] if "dl" in index.postings.columns else []
+    found = _lookup(index.postings, list(times)).select("doc_id", "term", "tf", *length).join(F.broadcast(known), "term")
+    # a row for each document, and those that lack a term gone, before lengths are joined; a written index has them
+    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "doc_freq"))).alias("parts"), *(F.max(c).alias(c) for c in length))
     per = per.crossJoin(F.broadcast(stats))  # one row
     if mode == "and":
         per = per.where(F.size("parts") == F.col("known"))
-    per = per.join(index.doc_stats, "doc_id", "left")
-    length = F.coalesce(F.col("dl"), F.floor("avgdl")).cast("double")
+    if not length:
+        per = per.join(index.doc_stats, "doc_id", "left")
 
     def part(x: Column) -> Column:
         weight = F.coalesce(*(F.when(x["term"] == t, F.lit(n)) for t, n in times.items()))
         tf = F.lit(1.0) if tf_mode == "binary" else x["tf"].cast("double")
-        return weight * bm25(F.col("n"), x["doc_freq"], tf, length, F.col("avgdl"))
+        return weight * bm25(F.col("n"), x["doc_freq"], tf, F.col("dl"), F.col("avgdl"))
 
     total = F.aggregate(F.transform("parts", part), F.lit(0.0), lambda a, b: a + b)
     frequencies = F.map_from_entries(F.transform("parts", lambda x: F.struct(x["term"], x["tf"])))
@@ -74,6 +77,66 @@ def score(index: Index, terms: Sequence[str], mode: str = "and", tf_mode: str =
     return best if k is None else best.limit(k)
 
 
+def _corpus(index: Index) -> DataFrame:
+    return corpus_stats(index.docs, index.doc_stats) if index.corpus is None else index.corpus
+
+
+def bounded(index: Index, terms: Sequence[str], mode: str = "and", tf_mode: str = "binary", k: int = TOP, bits: int = RANGE_BITS, report: dict[str, int] | None = None) -> DataFrame:
+    """What ``score`` gives, without reading the postings of ranges of ids that cannot have one of the k best.
+
+    The index has blocks, of ranges of 2**bits ids. A range's terms bound the score of its documents. A few ranges with
+    the highest bounds are scored first; the k-th best score there rules out the ranges whose bound is under it, and
+    goes on to do so, over eight times as many each time, until none is left or a third reading takes all that are.
+    Ranges go to the scan as a list, so that files, row groups and pages without one are not read; where over
+    MOST_LISTED are left they are joined. ``report`` gets how many ranges the terms have, and how many were read.
+    """
+    times = Counter(terms)
+    known = {r["term"]: r["doc_freq"] for r in _lookup(index.lexicon, list(times)).select("term", "doc_freq").collect()} if times else {}  # the query's terms at most
+    if not known or index.blocks is None:
+        return score(index, terms, mode, tf_mode, k)
+    stats = _corpus(index).first()
+    n, avgdl = F.lit(float(stats["n"])), F.lit(float(stats["avgdl"]))
+    weight = F.coalesce(*(F.when(F.col("term") == t, F.lit(times[t]) * F.greatest(F.lit(0.0), idf(n, F.lit(float(df))))) for t, df in known.items()))
+    # of another mean length than the blocks were written with, what no length can exceed
+    least = saturation(F.lit(1.0) if tf_mode == "binary" else F.col("max_tf").cast("double"), F.lit(0.0))
+    top = F.when(F.col("avgdl") == avgdl, F.col("top_binary" if tf_mode == "binary" else "top_actual")).otherwise(least)
+    own = _lookup(index.blocks, list(known)).select("block", (weight * top).alias("bound"))
+    ranges = own.groupBy("block").agg(F.sum("bound").alias("bound"), F.count("*").alias("has"))
+    if mode == "and":
+        ranges = ranges.where(F.col("has") == len(known))
+    ranges = written(ranges.select("block", "bound"), "ranges")
+    block = F.col("block") if "block" in index.postings.columns else F.shiftright(F.col("doc_id").cast("long"), bits)
+    left, found, bar, take = ranges, None, None, FIRST_BLOCKS
+    total, read = ranges.count(), 0
+    for last in (False, False, True):
+        some = [r["block"] for r in left.orderBy(F.desc("bound"), "block").limit(MOST_LISTED + 1 if last else take).collect()]
+        if not some:
+            break
+        if not last or len(some) <= MOST_LISTED:
+            postings = index.postings.where(block.isin(some))
+            read += len(some)
+        else:
+            chosen = left.select(F.col("block").alias("_block"))
+            postings = index.postings.join(chosen, block == F.col("_block"), "left_semi")
+            read += left.count()
+        best = score(replace(index, postings=postings), terms, mode, tf_mode, k)
+        best = best if found is None else found.unionByName(best).orderBy(F.desc("score"), "doc_id").limit(k)
+        if last:
+            found = best
+            break
+        found = written(best, "best")  # k rows
+        bar = found.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        left = left.where(~F.col("block").isin(some))
+        if bar["n"] >= k:  # equal scores are told apart by ids: they stay
+            left = left.where(F.col("bound") * (1 + 1e-9) >= F.lit(bar["least"]))
+        take *= 8
+    if report is not None:
+        report.update(ranges=total, read=read)
+    if found is None:
+        return score(index, terms, mode, tf_mode, k).limit(0)
+    return found.orderBy(F.desc("score"), "doc_id").limit(k)
+
+
 def results(index: Index, scored: DataFrame) -> DataFrame:
     """With the ids that documents came with; empty where there is none. Titles and snippets stay empty."""
     docs = index.docs.select("doc_id", F.col("orig_id").cast("string").alias("orig_id"))

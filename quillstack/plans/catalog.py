@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from quillstack.functions import codec
 from quillstack.functions import text as T
 from quillstack.functions.stem import STEP_2, STEP_3, STEP_4, porter_stem, stem_terms
 from quillstack.operators import analyze, barrels, extract, index, metrics, order, search, suggest
+from quillstack.sources.shared import written
 from quillstack.sources.spread import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,13 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, F.posexplode(T.tokens_v1(F.col(text_col))).alias("at", "term")).select(id_col, (F.col("at") + 1).alias("pos"), "term")
 
 
+def sized_token_rows(docs: DataFrame) -> DataFrame:
+    """The same, with dl: how many there are in the document."""
+    cut = docs.select("doc_id", T.tokens_v1(F.col("text")).alias("l"))
+    found = cut.select("doc_id", F.size("l").cast("long").alias("dl"), F.posexplode("l").alias("at", "term"))
+    return found.select("doc_id", (F.col("at") + 1).alias("pos"), "term", "dl")
+
+
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.counts(token_rows(documents(spark, sf_dir)))
 
@@ -57,7 +66,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_index(spark: SparkSession, sf_dir: str) -> index.Index:
     docs = documents(spark, sf_dir)
     sized = docs.select("doc_id", F.size(T.tokens_v1(F.col("text"))).cast("long").alias("dl"))
-    found = index.counts(token_rows(docs))
+    found = index.counts(sized_token_rows(docs))
     return index.Index(docs.select("doc_id", F.col("doc_id").cast("string").alias("orig_id")), found, index.lexicon(found), sized, derived=True)
 
 
@@ -650,6 +659,38 @@ def posting_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.intersect(whole_index(spark, sf_dir), ["the", "of", "and"])
 
 
+#: Ranges of so few ids that small tables have many of them.
+_BITS = 3
+_SATURATION = "2.5::DOUBLE * {tf} / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / avgdl) + {tf})"
+
+
+def _bounded_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    found = whole_index(spark, sf_dir)
+    corpus = index.corpus_stats(found.docs, found.doc_stats)
+    held = written(found.postings, "postings")
+    return replace(found, postings=held, corpus=corpus, blocks=index.posting_blocks(held, corpus, _BITS))
+
+
+@query(
+    f"WITH {COUNTS}, {LENGTHS} SELECT term, p.doc_id >> {_BITS} AS block, count(*)::INT AS docs, min(p.doc_id) AS first_id, max(p.doc_id) AS last_id, max(tf)::INT AS max_tf, "
+    f"round(max({_SATURATION.format(tf='1.0')}), 6) AS top_binary, round(max({_SATURATION.format(tf='tf')}), 6) AS top_actual FROM p JOIN dl USING (doc_id) CROSS JOIN c GROUP BY term, p.doc_id >> {_BITS}"
+)
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a bounded search reads instead of postings: each term's greatest scores by range of ids."""
+    found = _bounded_index(spark, sf_dir).blocks
+    return found.drop("avgdl").withColumns({c: F.round(c, 6) for c in ("top_binary", "top_actual")})
+
+
+@query(_search_sql(["the", "of"]))
+def search_bounded_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(search.bounded(_bounded_index(spark, sf_dir), ["the", "of"], bits=_BITS))
+
+
+@query(_search_sql(["the", "of", "der", "le", "de"], every=False, binary=False))
+def search_bounded_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(search.bounded(_bounded_index(spark, sf_dir), ["the", "of", "der", "le", "de"], "or", "actual", bits=_BITS))
+
+
 # -- suggestions and barrels ------------------------------------------------------------------------------------------
 
 
@@ -663,6 +704,17 @@ def suggest_with_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.suggest_with_freq(lexicon(spark, sf_dir), "th")
 
 
+@query(
+    f"WITH {LEXICON}, e AS (SELECT term, term_freq, unnest(range(1, length(term) + 1)) AS k FROM x), f AS (SELECT left(term, k) AS prefix, term, term_freq FROM e), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY term_freq DESC, term) AS n FROM f) "
+    "SELECT prefix, string_agg(term || '=' || term_freq, ' ' ORDER BY n) AS suggestions FROM r WHERE n <= 10 GROUP BY prefix"
+)
+def suggest_all_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that suggestions are served from: every prefix of every term, with its ten best."""
+    pairs = F.transform("suggestions", lambda x: F.concat(x["term"], F.lit("="), x["term_freq"].cast("string")))
+    return suggest.completions(lexicon(spark, sf_dir)).select("prefix", F.array_join(pairs, " ").alias("suggestions"))
+
+
 @query(f"WITH {LEXICON} SELECT term FROM x WHERE false")
 def suggest_empty_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.suggest(lexicon(spark, sf_dir), "")

@@ -254,7 +254,7 @@ def search_results_without_lengths(spark: SparkSession, sf_dir: str) -> DataFram
     """Only labelled documents have a length and an original id: others have the mean length, and an empty id."""
     found = whole_index(spark, sf_dir)
     some = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    part = index.Index(found.docs.join(some, "doc_id", "left_semi"), found.postings, found.lexicon, found.doc_stats.join(some, "doc_id", "left_semi"))
+    part = index.Index(found.docs.join(some, "doc_id", "left_semi"), found.postings.drop("dl"), found.lexicon, found.doc_stats.join(some, "doc_id", "left_semi"))
     return _shown(search.results(part, search.search_multi(part, "the of", 200, "actual")))
 
 
