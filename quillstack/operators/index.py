@@ -246,7 +246,7 @@ class Index:
 
     def write(self, path: str) -> None:
         found = with_lengths(self.postings, None if self.derived else self.doc_stats)
-        self._deal(found.withColumn("block", F.shiftright(F.col("doc_id").cast("long"), RANGE_BITS)), f"{path}/postings", "doc_id")
+        self._deal(found.withColumn("id_range", F.shiftright(F.col("doc_id").cast("long"), RANGE_BITS)), f"{path}/postings", "doc_id")
         found = self.spark.read.parquet(f"{path}/postings")
         words, sizes = (lexicon(found), lengths(found)) if self.derived else (self.lexicon, self.doc_stats)
         self._deal(words, f"{path}/lexicon")

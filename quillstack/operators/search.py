@@ -105,7 +105,7 @@ def bounded(index: Index, terms: Sequence[str], mode: str = "and", tf_mode: str
     if mode == "and":
         ranges = ranges.where(F.col("has") == len(known))
     ranges = written(ranges.select("block", "bound"), "ranges")
-    block = F.col("block") if "block" in index.postings.columns else F.shiftright(F.col("doc_id").cast("long"), bits)
+    block = F.col("id_range") if "id_range" in index.postings.columns else F.shiftright(F.col("doc_id").cast("long"), bits)
     left, found, bar, take = ranges, None, None, FIRST_BLOCKS
     total, read = ranges.count(), 0
     for last in (False, False, True):

@@ -72,8 +72,8 @@ def test_written_index_needs_no_table_of_documents(loaded):
     assert "doc_stats" not in found
     score = plan(search.score(loaded, ["the", "cell"]))
     assert "doc_stats" not in score and "docs" not in score and "positions" not in score[score.index("== Physical Plan ==") :]
-    blocks = plan(search.score(index.Index(loaded.docs, loaded.postings.where(F.col("block").isin([4])), loaded.lexicon, loaded.doc_stats, corpus=loaded.corpus), ["the"]))
-    assert "block" in blocks[blocks.index("PushedFilters") :]
+    blocks = plan(search.score(index.Index(loaded.docs, loaded.postings.where(F.col("id_range").isin([4])), loaded.lexicon, loaded.doc_stats, corpus=loaded.corpus), ["the"]))
+    assert "id_range" in blocks[blocks.index("PushedFilters") :]
 
 
 def test_old_indexes_load(spark, corpus, tmp_path):
