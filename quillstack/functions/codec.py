@@ -6,6 +6,7 @@ on all but the last. Queries use arrays; bytes are for files that other programs
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,14 +82,58 @@ def postings_of(numbers: list[int]) -> list[tuple[int, int, list[int]]]:
     return found
 
 
+def encode_all(lists: list) -> list[bytes]:
+    """``encode_low_first`` of many lists, all their numbers at once."""
+    lengths = np.array([len(x) for x in lists], np.int64)
+    numbers = np.concatenate([np.asarray(x, np.int64) for x in lists]).astype(np.uint64) if len(lists) else np.zeros(0, np.uint64)
+    width = np.ones(len(numbers), np.int64)
+    for k in range(1, 10):
+        width += numbers >> np.uint64(7 * k) > 0
+    ends = np.cumsum(width)
+    out = np.zeros(int(width.sum()), np.uint8)
+    for k in range(int(width.max(initial=0))):
+        own = np.flatnonzero(width > k)
+        last = np.where(width[own] == k + 1, 128, 0).astype(np.uint64)
+        out[ends[own] - width[own] + k] = numbers[own] >> np.uint64(7 * k) & np.uint64(127) | last
+    data = out.tobytes()
+    cuts = np.append(0, ends)[np.append(0, np.cumsum(lengths))].tolist()
+    return [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def decode_all(parts: list[bytes]) -> list[list[int]]:
+    """``decode_low_first`` of many strings of bytes, all at once; of numbers under 2**63. A number without an end is none."""
+    held = np.frombuffer(b"".join(parts), np.uint8)
+    bounds = np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64))
+    final = held >= 128
+    to = np.flatnonzero(final)
+    of = np.searchsorted(bounds, to, side="right") - 1
+    since = np.maximum(np.append(0, to[:-1] + 1)[: len(to)], bounds[of])
+    numbers = np.zeros(len(to), np.int64)
+    for k in range(int((to - since).max(initial=-1)) + 1):
+        own = np.flatnonzero(since + k <= to)
+        numbers[own] |= (held[since[own] + k] & 127).astype(np.int64) << 7 * k
+    cuts = np.append(0, np.cumsum(final))[bounds].tolist()
+    whole = numbers.tolist()
+    return [whole[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _each(column: pd.Series, run) -> pd.Series:  # noqa: ANN001
+    """A function of lists on a column's values, nulls kept."""
+    there = column.notna()
+    found = pd.Series([None] * len(column), index=column.index, dtype=object)
+    if there.any():
+        found[there] = pd.Series(run(column[there].tolist()), index=column.index[there], dtype=object)
+    return found
+
+
 @F.pandas_udf(BinaryType())
 def vbyte_encode(numbers: pd.Series) -> pd.Series:
-    return numbers.map(encode_low_first, na_action="ignore")
+    return _each(numbers, encode_all)
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def vbyte_decode(data: pd.Series) -> pd.Series:
-    return data.map(decode_low_first, na_action="ignore")
+    return _each(data, decode_all)
 
 
 @F.pandas_udf(BinaryType())
@@ -104,7 +149,7 @@ def vb_decode_be(data: pd.Series) -> pd.Series:
 @F.pandas_udf(BinaryType())
 def encode_postings(postings: pd.Series) -> pd.Series:
     """From array<struct<doc_id, positions>>, by document."""
-    return postings.map(lambda own: encode_low_first(posting_numbers([(p["doc_id"], p["positions"]) for p in own])), na_action="ignore")
+    return _each(postings, lambda lists: encode_all([posting_numbers([(p["doc_id"], p["positions"]) for p in own]) for own in lists]))
 
 
 POSTINGS = ArrayType(StructType([StructField("doc_id", IntegerType()), StructField("tf", IntegerType()), StructField("positions", ArrayType(IntegerType()))]))
@@ -112,7 +157,7 @@ POSTINGS = ArrayType(StructType([StructField("doc_id", IntegerType()), StructFie
 
 @F.pandas_udf(POSTINGS)
 def decode_postings(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: [{"doc_id": d, "tf": t, "positions": p} for d, t, p in postings_of(decode_low_first(b))], na_action="ignore")
+    return _each(data, lambda parts: [[{"doc_id": d, "tf": t, "positions": p} for d, t, p in postings_of(numbers)] for numbers in decode_all(parts)])
 
 
 def decode_postings_at(data: Column, offset: Column, length: Column) -> Column:

@@ -119,9 +119,11 @@ def terms_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("word_id").isNotNull()).groupBy("term").agg(F.max_by("word_id", "line_no").alias("word_id"))
 
 
-def lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with all of the first six columns; skip_meta and barrel_id where they are."""
-    return _tabbed(spark, path, schemas.LEXICON).dropna(subset=["word_id", "term", "doc_freq", "term_freq", "offset", "bytes"])
+def lexicon(spark: SparkSession, path: str, columns: int = 6) -> DataFrame:
+    """Rows with all of the first six columns, or of the first four, which suggestions need; others where they are."""
+    parts = F.split("value", "\t")
+    fields = [F.nullif(F.get(parts, k), F.lit("")).try_cast(f.dataType).alias(f.name) for k, f in enumerate(schemas.LEXICON.fields)]
+    return spark.read.text(path).select(*fields).dropna(subset=schemas.LEXICON.fieldNames()[:columns])
 
 
 def docid_map(spark: SparkSession, path: str) -> DataFrame:
@@ -132,14 +134,65 @@ def barrel_metadata(spark: SparkSession, path: str) -> DataFrame:
     return _tabbed(spark, path, schemas.BARREL_METADATA).dropna()
 
 
-def barrel_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """(barrel_id, content) of barrel_<id>.bin files."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "barrel_*.bin").load(path)
-    number = F.regexp_extract("path", r"barrel_(\d+)\.bin$", 1).try_cast("int")
-    return rows.select(number.alias("barrel_id"), "content").where(F.col("barrel_id").isNotNull())
+#: Bytes of a chunk of a byte file.
+CHUNK = 1 << 16
 
 
-def posting_slices(blobs: DataFrame, words: DataFrame) -> DataFrame:
-    """(term, content): each term's encoded list, cut from its barrel's blob by the lexicon's offset and bytes."""
-    own = F.substring("content", F.col("offset").cast("int") + 1, F.col("bytes").cast("int"))
-    return words.select("term", "barrel_id", "offset", "bytes").join(blobs, "barrel_id").select("term", own.alias("content"))
+def _byte_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(barrel_id, at, content): the bytes of barrels between line feeds, those included, and where they are in the barrel.
+
+    A barrel is a file barrel_<id>.bin, or the files of a folder barrel_id=<id>, by their names. Spark's text reader
+    cuts a file of any size into splits, at line feeds; a split's place in its barrel is the sum of those before.
+    """
+    rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    file, size, begin = (F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_block_start"))
+    barrel = F.regexp_extract(file, r"/barrel_(?:(\d+)\.bin|id=(\d+)/[^/]*)$", 0)
+    rows = rows.select(F.regexp_extract(barrel, r"barrel_(?:id=)?(\d+)", 1).try_cast("int").alias("barrel_id"), file.alias("file"), size.alias("size"), begin.alias("begin"), F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("line"))
+    rows = rows.where(F.col("barrel_id").isNotNull()).withColumn("n", F.octet_length("line").cast("long") + 1)
+    # a row for each split of a barrel's files
+    splits = rows.groupBy("barrel_id", "file", "size", "begin").agg(F.sum("n").alias("n"))
+    files = splits.groupBy("barrel_id", "file", "size").agg(F.sum("n").alias("n"))
+    before = lambda *by: Window.partitionBy("barrel_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    # the reader leaves out a mark of byte order at a file's start, and the last line may have no end
+    mark = F.when(F.col("size") - F.col("n") >= 2, F.lit(3)).otherwise(F.lit(0))
+    files = files.select("barrel_id", "file", F.coalesce(F.sum("size").over(before("file")), F.lit(0)).alias("base"), mark.alias("mark"))
+    splits = splits.select("barrel_id", "file", "begin", F.coalesce(F.sum("n").over(before("file", "begin")), F.lit(0)).alias("ahead"))
+    own = F.coalesce(F.sum("n").over(before("file", "begin", "nth")), F.lit(0))
+    lines_ = rows.withColumn("own", own).join(splits, ["barrel_id", "file", "begin"]).join(files, ["barrel_id", "file"])
+    place = F.col("ahead") + F.col("own")
+    first = (F.col("mark") > 0) & (place == 0)
+    content = F.concat(F.when(first, F.lit(bytearray(b"\xef\xbb\xbf"))).otherwise(F.lit(bytearray())), "line", F.lit(bytearray(b"\n")))
+    within = F.when(first, F.lit(0)).otherwise(F.col("mark") + place)
+    content = F.substring(content, F.lit(1), F.least(F.octet_length(content).cast("long"), F.col("size") - within).cast("int"))
+    return lines_.select("barrel_id", (F.col("base") + within).alias("at"), content.alias("content")).where(F.octet_length("content") > 0)
+
+
+def barrel_blobs(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(barrel_id, chunk, content): the bytes of barrels in chunks of one size, by their number; the last may be shorter.
+
+    Files are read by as many tasks as they have splits, and no task or row holds more than it has a use for.
+    """
+    lines_ = _byte_lines(spark, path)
+    end = F.col("at") + F.octet_length("content")
+    numbers = F.sequence(F.floor(F.col("at") / chunk), F.floor((end - 1) / chunk))
+    each = lines_.select("barrel_id", "at", "content", end.alias("end"), F.explode(numbers).alias("chunk"))
+    start = F.greatest("at", F.col("chunk") * chunk)
+    part = F.substring("content", (start - F.col("at") + 1).cast("int"), (F.least("end", (F.col("chunk") + 1) * chunk) - start).cast("int"))
+    pieces = each.select("barrel_id", "chunk", F.struct(start.alias("at"), part.cast("string").alias("part")).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
+    return pieces.groupBy("barrel_id", "chunk").agg(whole.cast("binary").alias("content"))
+
+
+def posting_slices(blobs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(term, content): each term's encoded list, cut from its barrel's chunks by the lexicon's offset and bytes.
+
+    A list meets the chunks that it lies in, and those alone.
+    """
+    end = F.col("offset") + F.col("bytes")
+    own = words.where("bytes > 0").select("term", F.col("barrel_id").alias("of"), "offset", "bytes", F.explode(F.sequence(F.floor(F.col("offset") / chunk), F.floor((end - 1) / chunk))).alias("number"))
+    both = own.join(blobs, (F.col("of") == F.col("barrel_id")) & (F.col("number") == F.col("chunk")))
+    start = F.greatest("offset", F.col("chunk") * chunk)
+    part = F.substring("content", (start - F.col("chunk") * chunk + 1).cast("int"), (F.least(end, (F.col("chunk") + 1) * chunk) - start).cast("int"))
+    pieces = both.select("term", "of", "offset", F.struct("chunk", part.cast("string").alias("part")).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
+    return pieces.groupBy("term", "of", "offset").agg(whole.cast("binary").alias("content")).select("term", "content")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack import schemas
+from quillstack.operators import order
 
 
 def _lines(value: Column, rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -80,26 +81,20 @@ def _byte_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def barrel_blobs(rows: DataFrame, path: str) -> DataFrame:
-    """Byte files barrel_<id>.bin from (term, barrel_id, offset, content), lists by their offsets; gives back
-    (term, barrel_id, offset, bytes), the offset within the barrel's file.
+    """Byte files of barrels from (term, barrel_id, offset, content), lists by their offsets, which tell them apart; gives
+    back (term, barrel_id, offset, bytes), the offset within the barrel.
 
-    Each list is followed by one line end, as the text writer that writes the bytes ends its rows; offsets count it.
+    A barrel is a folder barrel_id=<id>; its files, by name, are one after another the barrel's bytes, each written by
+    a task of its own. Each list is followed by one line end, as the text writer that writes the bytes ends its rows;
+    offsets count it.
     """
-    ahead = Window.partitionBy("barrel_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("bytes", F.octet_length("content").cast("long"))
-    placed = placed.withColumn("at", F.coalesce(F.sum(F.col("bytes") + 1).over(ahead), F.lit(0)))
+    placed = rows.withColumns({"bytes": F.octet_length("content").cast("long"), "key": F.struct("barrel_id", "offset")})
+    placed = order.running(placed.withColumn("size", F.col("bytes") + 1), "key", None, {"at": "size"})
+    first = placed.groupBy(F.col("barrel_id").alias("of")).agg(F.min("at").alias("first"))  # a row for each barrel
+    placed = placed.join(F.broadcast(first), F.col("barrel_id") == F.col("of")).withColumn("at", F.col("at") - F.col("first"))
     lines = placed.select("barrel_id", "at", "content").mapInArrow(_byte_lines, "barrel_id int, n long, line binary")
-    lines = lines.repartition("barrel_id").sortWithinPartitions("barrel_id", "n")
+    lines = lines.repartitionByRange("barrel_id", "n").sortWithinPartitions("barrel_id", "n")
     lines.select("barrel_id", F.col("line").cast("string").alias("value")).write.mode("overwrite").partitionBy("barrel_id").text(path)
-    spark = rows.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in store.listStatus(at):  # one for each barrel
-        name = folder.getPath().getName()
-        if name.startswith("barrel_id="):
-            (file,) = [f.getPath() for f in store.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
-            store.rename(file, at.suffix(f"/barrel_{name[10:]}.bin"))
-            store.delete(folder.getPath(), True)
     return placed.select("term", "barrel_id", F.col("at").alias("offset"), "bytes")
 
 
