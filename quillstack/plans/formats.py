@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import codec
 from quillstack.functions import text as T
-from quillstack.operators import analyze, barrels, index, search
+from quillstack.operators import analyze, barrels, index, search, segments
 from quillstack.plans.catalog import (
     BARREL_SQL,
     LENGTHS,
@@ -26,6 +26,7 @@ from quillstack.plans.catalog import (
 )
 from quillstack.sources import readers, writers
 from quillstack.sources.shared import new_path, written
+from quillstack.streaming import ingest
 
 # -- papers and extracted rows ----------------------------------------------------------------------------------------
 
@@ -265,3 +266,65 @@ def search_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = index.Index(found.docs, _byte_index(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("long")), found.lexicon, found.doc_stats)
     return _shown(search.results(coded, search.search_multi(coded, "the of", 25, "actual")))
 
+
+# -- indexes that grow ------------------------------------------------------------------------------------------------
+
+
+def _part(docs: DataFrame) -> index.Index:
+    """An index of some documents."""
+    return index.build(token_rows(docs), docs.select("doc_id", F.col("doc_id").cast("string").alias("orig_id")))
+
+
+def _postings(found: DataFrame) -> DataFrame:
+    return found.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(SQL["postings_positions"])
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as six segments that are merged by tiers, three at a time."""
+    docs = documents(spark, sf_dir)
+    own = segments.Segments(spark, new_path(spark, "segments"))
+    for k in range(6):
+        own.add(_part(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(6)) == k)))
+        own.merge(3)
+    own.vacuum()
+    return _postings(own.index().postings)
+
+
+_CHANGED = "documents_changed AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'first version ' || text END AS text FROM documents WHERE doc_id % 5 > 0)"
+
+
+@query("WITH " + _CHANGED + SQL["postings_positions"].replace("WITH ", ", ", 1).replace("FROM documents)", "FROM documents_changed)", 1))
+def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a first version; then half of them in a second one, and a fifth deleted; merged."""
+    docs = documents(spark, sf_dir)
+    own = segments.Segments(spark, new_path(spark, "segments"))
+    own.add(_part(docs.withColumn("text", F.concat(F.lit("first version "), "text"))))
+    own.add(_part(docs.where("doc_id % 2 = 0")))
+    own.add(_part(docs.where("false")), docs.where("doc_id % 5 = 0"))
+    own.merge(3)
+    return _postings(own.index().postings)
+
+
+@query("SELECT doc_id, count(*) OVER () AS \"of\", row_number() OVER (ORDER BY n_chars < 1000, n_chars, doc_id::VARCHAR) AS number FROM documents")
+def lasting_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long documents first, all of them then, and the first batch once more, as after a lost job: ids stay."""
+    docs = documents(spark, sf_dir)
+    at = new_path(spark, "ids")
+    some = docs.where("n_chars >= 1000")
+    before = written(segments.assign_ids(spark, at, 0, some, "doc_id", F.col("n_chars")), "ids")
+    segments.assign_ids(spark, at, 0, some, "doc_id", F.col("n_chars"))
+    found = segments.assign_ids(spark, at, 1, docs, "doc_id", F.col("n_chars"))
+    both = found.join(before.withColumnRenamed("doc_id", "first"), "orig_id", "left").where("first IS NULL OR first = doc_id")  # one whose id changed has no row
+    return both.select(F.col("orig_id").cast("long").alias("doc_id"), F.lit(docs.count()).cast("long").alias("of"), F.col("doc_id").alias("number"))
+
+
+@query(SQL["lexicon_terms"])
+def streamed_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a stream of files, each of them twice, in several micro-batches, kept up by term."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 1000).alias("at"))
+    folder, out = new_path(spark, "stream"), new_path(spark, "updates")
+    docs.union(docs).repartition(4, F.rand(3)).write.parquet(folder)
+    rows = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    ingest.keep_updates(ingest.term_counts(rows, T.tokens_v1(F.col("text")), "doc_id", "at"), out, new_path(spark, "checkpoint")).awaitTermination()
+    return ingest.latest(spark, out, "term")

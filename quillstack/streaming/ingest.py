@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,3 +51,33 @@ def load(spark: SparkSession, path: str) -> Index:
     found = merged(spark.read.parquet(path)).join(docs.withColumnRenamed("orig_id", "paper_id"), "paper_id").drop("paper_id")
     found = written(found.withColumn("barrel_id", barrel_of(F.col("term"))), "postings")
     return Index(docs, found, lexicon(found), lengths(found), derived=True)
+
+
+def term_counts(rows: DataFrame, terms: Column, id_col: str, at: str, delay: str = "1 hour") -> DataFrame:
+    """(term, doc_freq, term_freq) of a stream of documents, kept up as they arrive: state is a row for each term.
+
+    A document that comes again within ``delay`` of the latest time ``at`` counts once; one that is later than that by
+    the stream's watermark counts no more, as its id may have been forgotten.
+    """
+    once = rows.withWatermark(at, delay).dropDuplicatesWithinWatermark([id_col])
+    own = once.select(F.array_sort(terms).alias("l"))
+    each = own.select(F.explode(F.transform("l", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("l", i - 1) != x)).alias("first")))).alias("t"))
+    return each.groupBy("t.term").agg(F.sum(F.col("t.first").cast("int")).cast("int").alias("doc_freq"), F.count("*").alias("term_freq"))
+
+
+def keep_updates(counts: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Writes the rows of a streaming aggregate that each micro-batch changed; a batch that is run again overwrites its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The latest row of each key of what ``keep_updates`` wrote."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
