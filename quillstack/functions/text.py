@@ -87,11 +87,20 @@ def tokens_v1(text: Column, ascii_lower: bool = False) -> Column:
 
 def originals_v2(text: Column) -> Column:
     """Runs of letters and digits in their own case; straight and curly apostrophes between letters are kept."""
-    marked = text
-    for _ in range(2):
-        marked = lit_regexp_replace(lit_regexp_replace(marked, r"(\p{L})'(\p{L})", f"$1{STRAIGHT}$2"), r"(\p{L})’(\p{L})", f"$1{CURLY}$2")
     some = F.contains(text, F.lit("'")) | F.contains(text, F.lit("’"))
-    return F.when(some, _words(marked, STRAIGHT + CURLY, "'’")).otherwise(_runs(text))
+    return F.when(some, _words(_marked_v2(text), STRAIGHT + CURLY, "'’")).otherwise(_runs(text))
+
+
+def _marked_v2(text: Column) -> Column:
+    """Apostrophes between letters as their stand-ins, which are as long."""
+    for _ in range(2):
+        text = lit_regexp_replace(lit_regexp_replace(text, r"(\p{L})'(\p{L})", f"$1{STRAIGHT}$2"), r"(\p{L})’(\p{L})", f"$1{CURLY}$2")
+    return text
+
+
+def gaps_v2(text: Column) -> Column:
+    """What stands before each token of ``originals_v2``, and after the last."""
+    return F.split(_marked_v2(text), rf"[\p{{L}}\p{{N}}{STRAIGHT}{CURLY}]+", -1)
 
 
 def tokens_v2(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.operators.index import BARRELS, barrel_of
+from quillstack.sources.shared import written
 
 
 def assign(terms: DataFrame, barrels: int = BARRELS) -> DataFrame:
@@ -21,6 +22,24 @@ def metadata(lexicon: DataFrame) -> DataFrame:
     )
 
 
+def metadata_of_sizes(sizes: DataFrame, barrels: int = BARRELS) -> DataFrame:
+    """The same of (term, bytes) alone, where offsets are not known yet: a barrel begins where the lists of all lesser
+    terms end, which is one more sum over the sizes, for each of the few barrels."""
+    sizes = written(assign(sizes.select("term", F.col("bytes").cast("long").alias("bytes")), barrels), "sizes")
+    own = sizes.groupBy("barrel_id").agg(F.min("term").alias("start_term"), F.max("term").alias("end_term"), F.sum("bytes").alias("size"), F.count("*").cast("int").alias("term_count"))
+    starts = {r["barrel_id"]: r["start_term"] for r in own.collect()}  # a row for each barrel
+    if not starts:
+        return own.select("barrel_id", "start_term", "end_term", F.lit(0).cast("long").alias("offset"), "size", "term_count")
+    before = sizes.agg(F.array(*(F.struct(F.lit(b).alias("of"), F.coalesce(F.sum(F.when(F.col("term") < t, F.col("bytes"))), F.lit(0)).alias("offset")) for b, t in starts.items())).alias("o"))
+    before = before.select(F.inline("o"))
+    return own.join(F.broadcast(before), F.col("barrel_id") == F.col("of")).select("barrel_id", "start_term", "end_term", "offset", "size", "term_count")
+
+
+def needed_by(tokens: DataFrame, id_col: str, barrels: int = BARRELS) -> DataFrame:
+    """(id_col, barrel_id): the barrels that the terms of each text are in, to be loaded before they are looked up."""
+    return assign(tokens.select(id_col, "term"), barrels).select(id_col, "barrel_id").distinct()
+
+
 def needed(terms: DataFrame, barrels: int = BARRELS) -> DataFrame:
     """The barrels that some terms are in."""
     return assign(terms, barrels).select("barrel_id").distinct()

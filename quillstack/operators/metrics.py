@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack import schemas
@@ -107,12 +107,24 @@ class PerformanceMonitor:
 
 @dataclass
 class IndexingMonitor:
+    """How fast documents are indexed. A job counts them as it reads them, by ``watch``; ``record`` is for others."""
+
     began: float = field(default_factory=time.perf_counter)
     docs: int = 0
+    seen: Observation | None = None
 
     def record(self, n: int = 1) -> None:
         self.docs += n
 
+    def watch(self, rows: DataFrame, **counts: Column) -> DataFrame:
+        """``rows``, which are counted while a job reads them: no further pass is made for it. ``counts`` are more
+        aggregates of them."""
+        self.seen = Observation()
+        return rows.observe(self.seen, F.count("*").alias("docs"), *(c.alias(n) for n, c in counts.items()))
+
     def summary(self) -> dict[str, float]:
+        """Once a job has read what is watched: it waits for that."""
         seconds = time.perf_counter() - self.began
-        return {"docs": self.docs, "seconds": seconds, "docs_per_second": self.docs / (int(seconds) + 0.01)}
+        seen = self.seen.get if self.seen else {}
+        docs = self.docs + seen.get("docs", 0)
+        return {**seen, "docs": docs, "seconds": seconds, "docs_per_second": docs / (int(seconds) + 0.01)}

@@ -10,6 +10,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.operators import snippets
 from quillstack.operators.index import K1, RANGE_BITS, B, Index, barrel_of, corpus_stats, length_norm, saturation
 from quillstack.sources.shared import written
 
@@ -137,11 +138,18 @@ def bounded(index: Index, terms: Sequence[str], mode: str = "and", tf_mode: str
     return found.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def results(index: Index, scored: DataFrame) -> DataFrame:
-    """With the ids that documents came with; empty where there is none. Titles and snippets stay empty."""
+def results(index: Index, scored: DataFrame, texts: DataFrame | None = None, words: Sequence[str] = ()) -> DataFrame:
+    """With the ids that documents came with; empty where there is none. Titles and snippets stay empty without ``texts``,
+    rows of (doc_id, title, text): with them, the snippet is the passage of the text that has most of the words.
+    """
     docs = index.docs.select("doc_id", F.col("orig_id").cast("string").alias("orig_id"))
     named = scored.join(docs, "doc_id", "left")
-    return named.select(F.coalesce("orig_id", F.lit("")).alias("doc_id"), "score", F.lit("").alias("title"), F.lit("").alias("snippet"), "term_frequencies").orderBy(F.desc("score"), "doc_id")
+    title, snippet = F.lit(""), F.lit("")
+    if texts is not None:
+        own = texts.join(scored.select("doc_id"), "doc_id", "left_semi")
+        named = named.join(own.select("doc_id", "title"), "doc_id", "left").join(snippets.snippets(own, words).select("doc_id", "snippet"), "doc_id", "left")
+        title, snippet = F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))
+    return named.select(F.coalesce("orig_id", F.lit("")).alias("doc_id"), "score", title.alias("title"), snippet.alias("snippet"), "term_frequencies").orderBy(F.desc("score"), "doc_id")
 
 
 def search_single(index: Index, query: str, k: int = TOP, tf_mode: str = "binary") -> DataFrame:

@@ -467,7 +467,7 @@ def docid_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, count(*) AS words, sum(tf)::BIGINT AS freq, string_agg(word_id || ':' || tf, ' ' ORDER BY word_id) AS forward FROM p JOIN w USING (term) GROUP BY doc_id"
 )
 def forward_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = counted(spark, sf_dir)
+    found = written(counted(spark, sf_dir), "counts")  # texts are cut into terms once, for lexicon and lists
     words = index.with_word_ids(index.lexicon(found))
     rows = index.forward(found.withColumn("positions", F.array().cast("array<int>")), words)
     pair = F.transform("postings", lambda p: F.concat(p["wordid"].cast("string"), F.lit(":"), p["freq"].cast("string")))
@@ -489,7 +489,7 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {COUNTS} SELECT doc_id AS internal_id, sum(tf)::BIGINT AS dl FROM p GROUP BY doc_id")
 def forward_doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths from a forward index by original ids, of all documents."""
-    found = counted(spark, sf_dir).withColumn("positions", F.array().cast("array<int>"))
+    found = written(counted(spark, sf_dir), "counts").withColumn("positions", F.array().cast("array<int>"))
     rows = index.forward(found, index.with_word_ids(index.lexicon(found))).withColumn("docid", F.concat(F.lit("d"), "docid"))
     docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), "doc_id").alias("orig_id"))
     return index.lengths_of_forward(rows, docs).withColumnRenamed("doc_id", "internal_id")
@@ -746,7 +746,7 @@ def barrel_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT barrel_id, min(term) AS start_term, max(term) AS end_term, min(\"offset\") AS \"offset\", sum(bytes)::BIGINT AS size, count(*)::INT AS term_count FROM y GROUP BY barrel_id"
 )
 def barrel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return barrels.metadata(index.lexicon_with_offsets(token_rows(documents(spark, sf_dir))))
+    return barrels.metadata_of_sizes(index.posting_bytes(token_rows(documents(spark, sf_dir))))
 
 
 @query(f"SELECT DISTINCT {BARREL_SQL} AS barrel_id FROM (VALUES ('virus'), ('cell'), ('the'), ('of')) v(term)")

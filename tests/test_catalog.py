@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillstack.plans import catalog, formats  # noqa: F401
+from quillstack.plans import catalog, formats, records, served  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
