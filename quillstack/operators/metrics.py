@@ -8,10 +8,11 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack import schemas
+from quillstack.operators import order
 
 SLOW_MS = 100.0
 
@@ -19,26 +20,18 @@ SLOW_MS = 100.0
 def percentiles(rows: DataFrame, value: str, by: Sequence[str], ps: Sequence[float]) -> DataFrame:
     """p<p>: the value at floor(p n / 100) of a group's sorted values, the last one at most; of all rows without ``by``.
 
-    Equal values combine first. Values of a group are dealt to buckets of their logarithms, whose counts tell where
-    each begins; a window holds one bucket's different values, or a row for each bucket of a group.
+    Equal values combine first. How many are before a value comes from sums over ranges of (group, value) that are
+    about equal, so that neither a large group nor values close together are one task's.
     """
     key = list(by)
-    v = F.col("_v")
     each = rows.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    each = each.withColumn("_bucket", F.when(F.isnan(v), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(1024))))
-    sums = each.groupBy(*key, "_bucket").agg(F.sum("_n").alias("_n"))
-    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.sum("_n").over(Window.partitionBy(*key))
-    ahead = sums.select(*key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"), whole.alias("_of"))
-    upto = F.sum("_n").over(Window.partitionBy(*key, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "_bucket")]
-    condition = same[0]
-    for other in same[1:]:
-        condition = condition & other
-    both = each.withColumn("_upto", upto).alias("a").join(ahead.alias("b"), condition)
-    both = both.select(*(F.col(f"a.{c}").alias(c) for c in key), "_v", (F.col("_ahead") + F.col("_upto")).alias("_to"), "_n", "_of")
-    at = lambda p: F.least(F.floor(F.lit(p) * F.col("_of") / F.lit(100.0)), F.col("_of") - 1)
-    return both.groupBy(*key).agg(*(F.max(F.when((F.col("_to") > at(p)) & (F.col("_to") - F.col("_n") <= at(p)), v)).alias(f"p{p:g}") for p in ps))
+    placed = order.running(each.withColumn("_key", F.struct(*key, "_v")), "_key", None, {"_before": "_n"})
+    group = [F.col(c).alias(f"_of_{k}") for k, c in enumerate(key)]
+    groups = placed.groupBy(*group).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_of"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{k}")) for k, c in enumerate(key)]
+    both = placed.join(groups, same) if key else placed.crossJoin(F.broadcast(groups))  # one row
+    before, at = F.col("_before") - F.col("_first"), lambda p: F.least(F.floor(F.lit(p) * F.col("_of") / F.lit(100.0)), F.col("_of") - 1)
+    return both.groupBy(*key).agg(*(F.max(F.when((before <= at(p)) & (before + F.col("_n") > at(p)), F.col("_v"))).alias(f"p{p:g}") for p in ps))
 
 
 def query_stats(rows: DataFrame, value: str = "time_ms") -> DataFrame:

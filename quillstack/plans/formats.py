@@ -75,8 +75,8 @@ def extracted_jsonl_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     line = F.to_json(F.struct(F.when(F.contains("text", F.lit(",")), F.concat(F.lit("I"), "item_id")).alias("docid"), F.col("text").alias("title")))
     path = new_path(spark, "jsonl")
-    # lines have an order in one file only; these are the items of a benchmark, a small table
-    items.select("item_id", F.when(F.contains("text", F.lit(";")), F.lit("{no JSON")).otherwise(line).alias("value")).coalesce(1).sortWithinPartitions("item_id").select("value").write.text(path)
+    items = items.select("item_id", F.when(F.contains("text", F.lit(";")), F.lit("{no JSON")).otherwise(line).alias("value"))
+    items.repartitionByRange(3, "item_id").sortWithinPartitions("item_id").select("value").write.text(path)  # files in the order of items
     return readers.extracted_jsonl(spark, path).select("paper_id", F.char_length("title").cast("long").alias("chars"))
 
 
@@ -171,7 +171,7 @@ def terms_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", F.col("source").alias("term"), (F.lit(1_000_000) - F.col("doc_id")).alias("word_id")).union(docs.select("doc_id", F.concat(F.lit("d"), "doc_id"), "doc_id"))
     path = new_path(spark, "terms")
-    writers.terms_list(rows.repartition(1).sortWithinPartitions("doc_id"), path)  # thin rows in one file, as lines have an order in one only
+    writers.terms_list(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), path)  # files in the order of documents
     return readers.terms_list(spark, path)
 
 

@@ -38,17 +38,18 @@ def bad(rows: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, line_no) of a text file's lines that are not empty; line_no counts from 1, empty ones included.
+    """(line, line_no) of the lines of a text file that are not empty, or of a folder's files one after another by their
+    names; line_no counts from 1, empty ones included.
 
-    Numbers hold for one file of any size: they come from the place of a line in the file, by two prefix sums.
+    Files may be of any size and number: a line's number comes from its place in its split, and those of splits from
+    the splits before, of which each is one row.
     """
-    numbered = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    split = numbered.withColumn("part", F.shiftright("at", 33))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each input split meets in one task
-    first = split.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return split.join(first, "part").select("line", (F.col("ahead") + within + 1).alias("line_no")).where(F.length("line") > 0)
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
+    split = rows.groupBy("file", "begin").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1)
+    first = split.select("file", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("file", "begin").orderBy("at"))
+    return rows.withColumn("within", within).join(first, ["file", "begin"]).select("line", (F.col("ahead") + F.col("within")).alias("line_no")).where(F.length("line") > 0)
 
 
 def tsv_fields(line, names: Sequence[str] = schemas.EXTRACTED_FIELDS):  # noqa: ANN001, ANN201

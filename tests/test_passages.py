@@ -1,0 +1,145 @@
+"""Spans, passages, words of alike use, and counts within a job."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstack.functions import text as T
+from quillstack.operators import barrels, index, metrics, search, snippets, synonyms
+
+TEXTS = [
+    "The virus' cell; a cell-wall, and the VIRUS!",
+    "",
+    None,
+    "don't rock'n'roll O’Neill’s ''quoted'' x'",
+    "  leading and trailing  ",
+    "no word of interest",
+    "𝒳 astral virus 𝒳𝒴 cell Ünïcode İstanbul virus",
+]
+
+
+def test_spans_are_where_tokens_stand(spark):
+    rng = random.Random(3)
+    texts = TEXTS + ["".join(rng.choice(["virus ", "cell", "'", "’", "é", " ", "\n", "-", "Don't", "𝒳", "9"]) for _ in range(60)) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {}
+    for r in snippets.spans(rows).orderBy("doc_id", "pos").collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    tokens = {r["doc_id"]: r["l"] for r in rows.select("doc_id", T.originals_v2(F.coalesce("text", F.lit(""))).alias("l")).collect()}
+    for k, t in enumerate(texts):
+        own = found.get(k, [])
+        assert [t[r["start"] : r["end"]] for r in own] == tokens[k] and [r["pos"] for r in own] == list(range(1, len(own) + 1))
+        assert [r["term"] for r in own] == [x.lower() for x in tokens[k]]
+
+
+def plain_passage(terms, words):
+    """The shortest run of tokens with as many of the words as any has, from its first to its last one."""
+    best = None
+    for i, t in enumerate(terms):
+        if t not in words:
+            continue
+        rest = terms[i:]
+        last = {w: rest.index(w) for w in words if w in rest}
+        own = (-len(last), max(last.values()), i)
+        best = own if best is None else min(best, own)
+    return best and (best[2] + 1, best[2] + 1 + best[1], -best[0])
+
+
+def test_passages(spark):
+    rng = random.Random(5)
+    texts = {i: [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))] for i in range(80)}
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id int, text string")
+    at = snippets.spans(rows)
+    for words in (["a"], ["a", "b"], ["A", "b", "c", "b"], ["z", "a"], ["z"]):
+        own = {w.lower() for w in words}
+        told = {i: p for i, t in texts.items() if (p := plain_passage(t, own))}
+        assert {r["doc_id"]: (r["first"], r["last"], r["words"]) for r in snippets.passages(at, words).collect()} == told
+
+
+def test_results_show_passages(spark):
+    texts = {1: "A long beginning of the text, then one virus here. Far from it the Virus, in a cell: close together at last, and more words follow after that.", 2: "cell virus", 3: "nothing"}
+    rows = spark.createDataFrame([(d, f"Title {d}", t) for d, t in texts.items()], "doc_id long, title string, text string")
+    tokens = spark.createDataFrame([(d, k + 1, w) for d, t in texts.items() for k, w in enumerate(re.findall(r"\w+", t.lower()))], "doc_id long, pos int, term string")
+    found = index.build(tokens, spark.createDataFrame([(d, f"doc{d}") for d in texts], "doc_id long, orig_id string"))
+    words = ["virus", "cell"]
+    shown = {r["doc_id"]: (r["title"], r["snippet"]) for r in search.results(found, search.search_multi(found, "virus cell"), rows, words).collect()}
+    assert shown == {"doc1": ("Title 1", "here. Far from it the Virus, in a cell: close together at last, and"), "doc2": ("Title 2", "cell virus")}
+    bare = search.results(found, search.search_multi(found, "virus cell")).collect()
+    assert {(r["title"], r["snippet"]) for r in bare} == {("", "")}
+
+
+def test_synonyms(spark):
+    """Words in alike company, against counts of all pairs."""
+    rng = random.Random(9)
+    docs = []
+    for i in range(120):
+        words = []
+        for _ in range(12):
+            words += [rng.choice(["big", "large"]), rng.choice(["house", "garden"]), rng.choice(["fast", "quick"]), rng.choice(["car", "train"]), rng.choice("uvwxyz")]
+        docs.append((i, words))
+    tokens = spark.createDataFrame([(i, k + 1, w) for i, words in docs for k, w in enumerate(words)], "doc_id int, pos int, term string").repartition(3)
+    n = Counter()
+    for _, words in docs:
+        for k, w in enumerate(words):
+            for x in words[k + 1 : k + 3]:
+                n[w, x] += 1
+                n[x, w] += 1
+    assert {(r["term"], r["context"]): r["n"] for r in synonyms.pairs(tokens).collect()} == n
+    of, total = Counter(), sum(n.values())
+    for (w, _), c in n.items():
+        of[w] += c
+    vectors = {}
+    for (w, x), c in n.items():
+        if c >= 2 and (v := math.floor(math.log(c * total / (of[w] * of[x])) * 1e6 + 0.5)) > 0:
+            vectors.setdefault(w, {})[x] = v
+    told = {}
+    for w, a in vectors.items():
+        a = dict(sorted(a.items(), key=lambda e: (-e[1], e[0]))[:20])
+        scored = []
+        for u, b in vectors.items():
+            b = dict(sorted(b.items(), key=lambda e: (-e[1], e[0]))[:20])
+            dot = sum(a[c] * b.get(c, 0) for c in a)
+            if u != w and dot:
+                scored.append((-round(dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) * 1e6), u))
+        told[w] = [u for _, u in sorted(scored)[:2]]
+    found = {}
+    for r in synonyms.synonyms(tokens).orderBy("term", "rank").collect():
+        found.setdefault(r["term"], []).append(r["synonym"])
+    assert found == {w: s for w, s in told.items() if s}
+    assert found["big"][0] == "large" and found["train"][0] == "car"
+    assert search.expand(["big"], synonyms.synonyms(tokens), 1) == ["big", "large"]
+
+
+def test_contexts_of_all_terms_make_no_pairs(spark):
+    """A context that every term has brings none together; 400 terms would be 160000 pairs."""
+    weighed = spark.createDataFrame([(f"t{k}", "all", 5) for k in range(400)] + [("t1", "few", 3), ("t2", "few", 3)], "term string, context string, weight long")
+    assert [tuple(r)[:2] for r in synonyms.nearest(weighed, most_terms=300).orderBy("term").collect()] == [("t1", "t2"), ("t2", "t1")]
+
+
+def test_barrel_offsets_of_sizes(spark):
+    rng = random.Random(6)
+    rows = sorted((f"t{k:03}", rng.randrange(1, 99)) for k in range(120))
+    words = spark.createDataFrame(rows, "term string, bytes long")
+    at, offsets = 0, {}
+    for t, b in rows:
+        offsets[t] = at
+        at += b
+    placed = barrels.assign(words).collect()
+    told = {}
+    for r in placed:
+        told.setdefault(r["barrel_id"], []).append((r["term"], r["bytes"]))
+    found = {r["barrel_id"]: (r["start_term"], r["end_term"], r["offset"], r["size"], r["term_count"]) for r in barrels.metadata_of_sizes(words).collect()}
+    assert found == {b: (min(own)[0], max(own)[0], offsets[min(own)[0]], sum(n for _, n in own), len(own)) for b, own in told.items()}
+    assert barrels.metadata_of_sizes(words.limit(0)).count() == 0
+
+
+def test_documents_are_counted_as_they_are_read(spark, tmp_path):
+    monitor = metrics.IndexingMonitor()
+    docs = monitor.watch(spark.range(500).repartition(3), most=F.max("id"))
+    docs.where("id % 2 = 0").write.parquet(str(tmp_path / "x"))
+    found = monitor.summary()
+    assert found["docs"] == 500 and found["most"] == 499 and found["docs_per_second"] == pytest.approx(500 / (int(found["seconds"]) + 0.01))
