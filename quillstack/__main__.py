@@ -1,4 +1,4 @@
-"""python -m quillstack extract|clean|index|export|search|suggest|contains|barrels|stats"""
+"""python -m quillstack extract|clean|index|add|export|search|suggest|contains|barrels|stats"""
 
 from __future__ import annotations
 
@@ -42,6 +42,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-i", dest="source", required=True)
     c.add_argument("-o", dest="out", required=True)
     c.add_argument("--skip-interval", type=int, default=SKIP_INTERVAL)
+    c = commands.add_parser("add", help="tokens to an index that grows")
+    c.add_argument("-i", dest="source", required=True)
+    c.add_argument("-o", dest="out", required=True)
     c = commands.add_parser("export", help="an index to files of other programs")
     c.add_argument("index")
     c.add_argument("-o", dest="out", required=True)
@@ -76,14 +79,18 @@ def run(spark: SparkSession, args: argparse.Namespace):  # noqa: ANN201
         jobs.clean_rows(spark, args.source, args.kind, args.out, options)
     elif args.command == "index":
         return jobs.index_cleaned(spark, args.source, args.out, args.skip_interval).stats()
+    elif args.command == "add":
+        return jobs.add_cleaned(spark, args.source, args.out).index().stats()
     else:
-        found = Index.load(spark, args.index)
+        found = jobs.load(spark, args.index)
         if args.command == "export":
             jobs.export(found, args.out)
         elif args.command == "stats":
             return found.stats()
         elif args.command == "suggest":
-            return suggest.suggest_with_freq(found.lexicon, args.query, args.top_k)
+            if found.completions is None:
+                return suggest.suggest_with_freq(found.lexicon, args.query, args.top_k)
+            return suggest.complete(found.completions, found.lexicon, args.query, args.top_k)
         elif args.command == "contains":
             return suggest.contains(found.lexicon, args.term)
         elif args.command == "barrels":
@@ -102,7 +109,12 @@ def searched(spark: SparkSession, found: Index, args: argparse.Namespace) -> Dat
     elif args.single:
         scored = search.search_single(found, args.query, args.top_k, tf_mode)
     else:
-        scored = search.search_multi(found, args.query, args.top_k, tf_mode, args.stem)
+        words = search.tokenize(args.query)
+        if args.stem:
+            from quillstack.functions.stem import stem
+
+            words = [stem(w) for w in words]
+        scored = search.bounded(found, words, "and", tf_mode, args.top_k)
     results = search.results(found, scored)
     if args.metrics:
         monitor = metrics.PerformanceMonitor()

@@ -63,10 +63,10 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lexicon(counted(spark, sf_dir))
 
 
-def whole_index(spark: SparkSession, sf_dir: str) -> index.Index:
+def whole_index(spark: SparkSession, sf_dir: str, positions: bool = False) -> index.Index:
     docs = documents(spark, sf_dir)
     sized = docs.select("doc_id", F.size(T.tokens_v1(F.col("text"))).cast("long").alias("dl"))
-    found = index.counts(sized_token_rows(docs))
+    found = (index.postings if positions else index.counts)(sized_token_rows(docs))
     return index.Index(docs.select("doc_id", F.col("doc_id").cast("string").alias("orig_id")), found, index.lexicon(found), sized, derived=True)
 
 

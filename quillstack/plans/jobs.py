@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.operators import analyze, barrels, extract, index
+from quillstack.operators import analyze, barrels, extract, index, metrics, segments
 from quillstack.sources import readers, writers
 from quillstack.sources.shared import written
 
@@ -28,12 +28,16 @@ def clean_rows(spark: SparkSession, source: str, kind: str, out: str, options: a
     writers.cleaned_jsonl(analyze.cleaned(rows, analyze.clean(rows, options)), out)
 
 
-def index_cleaned(spark: SparkSession, source: str, out: str, skip_interval: int = index.SKIP_INTERVAL) -> index.Index:
+def index_cleaned(spark: SparkSession, source: str, out: str, skip_interval: int = index.SKIP_INTERVAL, monitor: metrics.IndexingMonitor | None = None) -> index.Index:
     """An index of cleaned JSON lines, written to and loaded from a folder.
 
-    Ids count documents by their first line; lines that share a docid are one document.
+    Ids count documents by their first line; lines that share a docid are one document. ``monitor`` counts the lines
+    as they are read, and their tokens.
     """
-    rows = written(readers.cleaned_jsonl(spark, source), "cleaned")  # lines are parsed once
+    lines = readers.cleaned_jsonl(spark, source)
+    if monitor:
+        lines = monitor.watch(lines, tokens=F.sum(F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["tokens"]))))
+    rows = written(lines, "cleaned")  # lines are parsed once
     docs = index.document_map(rows.where(F.col("docid").isNotNull()), "docid", "line_no")
     named = docs.withColumnRenamed("orig_id", "paper_id")
     tokens = written(analyze.tokens_of_cleaned(rows).join(named, "paper_id").select("doc_id", "pos", "term"), "tokens")
@@ -42,6 +46,33 @@ def index_cleaned(spark: SparkSession, source: str, out: str, skip_interval: int
     return index.Index.load(spark, out)
 
 
+def add_cleaned(spark: SparkSession, source: str, out: str, batch: int | None = None, deleted: DataFrame | None = None) -> segments.Segments:
+    """Adds cleaned JSON lines to an index that grows, and merges its segments by tiers.
+
+    Documents that it has are replaced, new ones get ids that go on from its last; ``deleted`` are docids that go. A
+    batch that is lost is run again under its number, which is the segments' otherwise.
+    """
+    own = segments.Segments(spark, out)
+    rows = written(readers.cleaned_jsonl(spark, source), "cleaned")
+    batch = own.version() + 1 if batch is None else batch
+    docs = written(segments.assign_ids(spark, f"{out}/ids", batch, rows, "docid", F.col("line_no")), "ids")
+    tokens = analyze.tokens_of_cleaned(rows).join(docs.withColumnRenamed("orig_id", "paper_id"), "paper_id").select("doc_id", "pos", "term")
+    gone = None
+    if deleted is not None:
+        known = spark.read.parquet(f"{out}/ids").select("orig_id", "doc_id")
+        gone = deleted.toDF("orig_id").join(known, "orig_id").select("doc_id").join(docs.select("doc_id"), "doc_id", "left_anti")
+    own.add(index.build(tokens, docs), gone)
+    while own.merge():
+        pass
+    return own
+
+
+def load(spark: SparkSession, path: str) -> index.Index:
+    """A written index, or one that grows, as it is now."""
+    growing = segments.Segments(spark, path)
+    return growing.index() if growing.segments() else index.Index.load(spark, path)
+
+
 def export(found: index.Index, out: str) -> None:
     """The text and byte files of an index, for other programs."""
     lists = index.posting_lists(found.postings)

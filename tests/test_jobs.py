@@ -50,3 +50,28 @@ def test_from_papers_to_answers(spark, tmp_path):
     assert {r["docid"] for r in readers.forward_block(spark, f"{tmp_path}/out/block.fwd").collect()} == {"A", "PMC1"}
     assert readers.docid_map(spark, f"{tmp_path}/out/docid_map").count() == 2
     assert readers.barrel_metadata(spark, f"{tmp_path}/out/barrel_metadata").count() >= 1
+
+
+def test_an_index_that_grows(spark, tmp_path):
+    """Papers come in batches, one of them again in another version; ids and other papers stay."""
+    from quillstack.plans import jobs
+
+    def add(batch, papers):
+        rows = [{"docid": d, "fields": [{"name": "title", "tokens": [{"term": t, "pos": k + 1} for k, t in enumerate(s.split())]}], "meta": {}} for d, s in papers.items()]
+        (tmp_path / batch).write_text("".join(json.dumps(r) + "\n" for r in rows))
+        return run(spark, parser().parse_args(["add", "-i", str(tmp_path / batch), "-o", str(tmp_path / "growing")]))
+
+    assert add("one", {"A": "virus cell", "B": "cell wall"}).first()["n"] == 2
+    ids = {r["orig_id"]: r["doc_id"] for r in jobs.load(spark, str(tmp_path / "growing")).docs.collect()}
+    assert add("two", {"C": "virus", "A": "wall wall"}).first()["n"] == 3
+    found = lambda *words: [r["doc_id"] for r in run(spark, parser().parse_args(["search", str(tmp_path / "growing"), *words])).collect()]
+    assert found("virus") == ["C"] and found("cell") == ["B"] and set(found("wall")) == {"A", "B"}
+    now = {r["orig_id"]: r["doc_id"] for r in jobs.load(spark, str(tmp_path / "growing")).docs.collect()}
+    assert {d: now[d] for d in ids} == ids and now["C"] == 3
+    assert [r["term"] for r in run(spark, parser().parse_args(["suggest", str(tmp_path / "growing"), "w"])).collect()] == ["wall"]
+    for k in range(3):
+        add(f"more{k}", {f"M{k}": "cell"})
+    gone = spark.createDataFrame([("B",)], "docid string")
+    own = jobs.add_cleaned(spark, str(tmp_path / "two"), str(tmp_path / "growing"), deleted=gone)
+    assert len(own.segments()) < 6 and "B" not in {r["orig_id"] for r in own.index().docs.collect()}
+    assert set(found("cell")) == {"M0", "M1", "M2"}
