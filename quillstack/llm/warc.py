@@ -133,14 +133,8 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
 
 
 def write_archives(found: DataFrame, path: str) -> None:
-    """Writes captures as gzipped WARC files at ``path``, one for each partition."""
+    """Writes captures as gzipped WARC files at ``path``, one for each partition, under the names that Spark gives them."""
     records(found).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
-    spark = found.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for k, status in enumerate(sorted((s.getPath().getName() for s in store.listStatus(at)))):
-        if status.endswith(".txt.gz"):
-            store.rename(at.suffix(f"/{status}"), at.suffix(f"/capture-{k:06d}.warc.gz"))
 
 
 def parse(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -194,7 +188,7 @@ def index_runs(spark, path: str) -> DataFrame:  # noqa: ANN001
                 name = b.column(0)[k].as_py().rpartition("/")[2]
                 yield from batched(entries(name, gzip.decompress(b.column(1)[k].as_buffer())), _INDEX)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("path", "content").mapInArrow(run, INDEX)
 
 

@@ -45,6 +45,16 @@ def test_score(spark, order):
         assert r["mean_log_score"] == (pytest.approx(r["log_score"] / r["n_tokens"]) if r["n_tokens"] else None)
 
 
+def test_very_long_texts(spark):
+    """A text of hundreds of thousands of words, and one of a single word of a million characters, are scored whole."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=250_000)), "x" * 1_000_000, "w1 w2 w3", "w1 w2 " * 40, "x" * 1_000_000 + " w1"]
+    found = backoff.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), backoff.Settings(batch_bytes=100_000)).collect()
+    told = plain(texts, 2, 0.4)
+    assert {r["doc_id"]: r["n_tokens"] for r in found} == {i: n for i, (n, _) in enumerate(told)}
+    assert all(r["log_score"] == pytest.approx(told[r["doc_id"]][1], abs=1e-6, rel=1e-9) for r in found)
+
+
 def test_equal_rows_are_dealt_to_all_batches(spark, monkeypatch):
     """Nine of ten rows are equal: no group holds more than its share of them."""
     rows = [(1, "the same words again and again")] * 1800 + [(i, f"other words {i}") for i in range(200)]

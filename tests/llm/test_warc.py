@@ -83,7 +83,7 @@ def test_archive_and_index(spark, tmp_path):
     ordered = sorted(found, key=lambda r: (r["range_id"], r["range_pos"]))
     keys = [warc.order(tuple(r)) for r in ordered]
     assert keys == sorted(keys)
-    archives = {p.name: gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.warc.gz")}
+    archives = {p.name: gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")}
     assert len(archives) > 1
     texts = {}
     for r in found:
@@ -139,3 +139,13 @@ def test_many_runs(spark):
     found = warc.merge_runs(spark.createDataFrame(rows, warc.INDEX), range_rows=60).orderBy("range_id", "range_pos").collect()
     keys = [warc.order(tuple(r)) for r in found]
     assert keys == sorted(keys) and len(keys) == 500
+
+
+def test_very_long_pages(spark):
+    """Of millions of characters, copies among them, beside short ones: whole payloads, sizes and digests."""
+    long = "".join(f"<p>paragraph {k} é</p>\r\n\r\n" for k in range(120_000))
+    pages = [(1, "http://a.b/1", long), (2, "http://a.b/2", long), (3, "http://a.b/3", long + "x"), (4, "http://a.b/" + "p" * 100_000, "short"), (5, None, "y" * 2_000_000)]
+    table = spark.createDataFrame([(i, u, t) for i, u, t in pages], "page_id long, url string, html string")
+    found = warc.archive_and_index(table).collect()
+    told = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found]
+    assert sorted(told, key=order) == sorted(expected(pages), key=order)
