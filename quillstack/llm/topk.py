@@ -18,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batched, lowest, materialize, with_rows
+from quillstack.llm.common import batched, lowest, materialize, packed, partitions, unpacked, with_rows
 
 LEVELS = (1, 4, 16)
-#: Rows of a block of queries, and of a tile of candidates that is bounded as a whole.
-QUERY_BLOCK, TILE = 1024, 512
+#: Rows of a block of queries at most, and of a tile of candidates that is bounded as a whole.
+QUERY_BLOCK, TILE = 16_384, 512
+#: Queries of a cell, about, where there are many.
+CELL_QUERIES = 1024
 #: Cells that vectors are dealt to, at most; larger ones are groups of parts.
 MOST_CELLS = 1024
 #: Rows of a table of cells that is broadcast, at most.
 MOST_BROADCAST = 1 << 16
-#: Bytes of a group's queries and of its candidates, about.
-QUERY_BYTES, GROUP_BYTES = 8 << 20, 64 << 20
+#: Bytes of a group's queries and of its candidates, about, and of candidates that are worth a group where cores are idle.
+QUERY_BYTES, GROUP_BYTES, LEAST_BYTES = 8 << 20, 64 << 20, 16 << 20
 #: Where at least this share of a tile survives, one matrix product is cheaper than a product for each query.
 DENSE = 0.05
 #: Integers under this many are exact in float64.
@@ -42,11 +44,11 @@ def quantized(values: np.ndarray, scale: float) -> np.ndarray:
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, row, dim, q, stats) of the rows that take part; row tells apart those that share an id.
+    """(id, row, dim, q, stats) of the rows that take part; row tells apart those that share an id, q are packed integers.
 
     stats are the finest level's means, then its deviations.
     """
-    out = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("dim", pa.int32()), ("q", pa.list_(pa.int64())), ("stats", pa.list_(pa.float64()))])
+    out = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("dim", pa.int32()), ("q", pa.binary()), ("stats", pa.list_(pa.float64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,11 +67,11 @@ def vectors(table: DataFrame, id_col: str, vector_col: str, scale: float) -> Dat
                 _, mean, deviation = _segments(np.stack([qs[k] for k in own]).astype(np.float64), min(LEVELS[-1], dim))
                 for k, x in zip(own, np.hstack([mean, deviation]), strict=True):
                     stats[k] = x
-            columns = [pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array([len(q) for q in qs], pa.int32()), pa.array(qs, pa.list_(pa.int64())), pa.array(stats, pa.list_(pa.float64()))]
+            columns = [pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array([len(q) for q in qs], pa.int32()), pa.array([packed(q) for q in qs], pa.binary()), pa.array(stats, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     thin = with_rows(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")))
-    return thin.select("id", F.xxhash64("row").alias("row"), "v").mapInArrow(run, "id long, row long, dim int, q array<long>, stats array<double>")
+    return thin.select("id", F.xxhash64("row").alias("row"), "v").mapInArrow(run, "id long, row long, dim int, q binary, stats array<double>")
 
 
 def _segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +218,7 @@ def _cells(found: DataFrame, pivots: int) -> DataFrame:
                     cell[own] = (x @ at.T - 0.5 * (at * at).sum(1)).argmax(1)
             yield b.append_column("cell", pa.array(cell))
 
-    return found.mapInArrow(run, "id long, row long, dim int, q array<long>, stats array<double>, cell int")
+    return found.mapInArrow(run, "id long, row long, dim int, q binary, stats array<double>, cell int")
 
 
 def _extents(found: DataFrame) -> DataFrame:
@@ -281,20 +283,24 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
 
     Vectors are dealt to cells of alike ones. Queries first meet the candidates of their own cell, in groups of
     GROUP_BYTES, about, of any dimension; then, in blocks, those cells alone whose extents let some query of the block
-    reach its k-th best score so far. What leaves a group is k rows a query at most.
+    reach its k-th best score so far. A group is a block of up to QUERY_BLOCK queries and a part of a cell: a vector is
+    sent once for each block that reaches its cell, packed. What leaves a group is k rows a query at most.
     """
     found = materialize(vectors(table, id_col, vector_col, scale), "vectors")
     width = 8 * F.greatest("dim", F.lit(1)).cast("long")
     most = found.groupBy("dim").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * width).alias("bytes"), F.sum("n").alias("n")).first()
-    # cells whose candidates fill a group, or whose queries fill a block
-    pivots = max(1, -(-(most["bytes"] or 0) // GROUP_BYTES), (most["n"] or 0) // (QUERY_BLOCK * every))
+    # cells whose candidates fill a group, or that have CELL_QUERIES
+    pivots = max(1, -(-(most["bytes"] or 0) // GROUP_BYTES), (most["n"] or 0) // (CELL_QUERIES * every))
     found = materialize(_cells(found, min(MOST_CELLS, pivots)), "cells")
     extents = materialize(_extents(found), "extents")
     query = F.col("id") % every == 0
     per = found.where(query).groupBy("dim", "cell").agg(F.count("*").alias("queries"))
     # a row for each cell: next to the vectors, whose largest cell a shuffle by cell would bring together
     few = (lambda rows: F.broadcast(rows)) if extents.count() <= MOST_BROADCAST else (lambda rows: rows)
-    every_cell = few(extents.select("dim", "cell", F.ceil(F.col("n") * width / GROUP_BYTES).cast("int").alias("parts")))
+    # groups of GROUP_BYTES at most, and enough of them for all cores where there are fewer
+    spread = F.ceil(F.col("n") * F.lit(partitions(table.sparkSession, 0, 1)) / F.lit(most["n"] or 1))
+    parts_of = F.greatest(F.ceil(F.col("n") * width / GROUP_BYTES), F.least(spread, F.ceil(F.col("n") * width / LEAST_BYTES)))
+    every_cell = few(extents.select("dim", "cell", parts_of.cast("int").alias("parts")))
     block_rows = F.greatest(F.lit(1), F.least(F.lit(QUERY_BLOCK), F.floor(F.lit(QUERY_BYTES) / width)))
     blocks = few(per.select("dim", "cell", F.ceil(F.col("queries") / block_rows).alias("blocks")))
     h = F.pmod(F.xxhash64("row"), F.lit(2**31))
@@ -304,7 +310,7 @@ def search(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "query_row", "vec_id", "score")})
-        matrix = lambda part: np.stack(part["q"].to_numpy()).reshape(len(part), -1)
+        matrix = lambda part: unpacked(part["q"].tolist(), int(left["dim"].iloc[0]))
         own = Search(left["id"].to_numpy(), left["row"].to_numpy(), matrix(left), k, left["bar"].to_numpy(float, na_value=-np.inf))
         own.meet(right["id"].to_numpy(), right["row"].to_numpy(), matrix(right))
         return own.rows()
