@@ -7,6 +7,7 @@ import pytest
 
 from quillstack.llm import urlmodel
 from quillstack.llm.queries import URL_RULES
+from tests.llm import plain_urls
 
 
 @pytest.mark.parametrize(
@@ -48,10 +49,10 @@ def test_rules(url, rule):
 
 
 def test_probabilities_add_up():
-    model = urlmodel.Markov(["abab", "abba", "b", ""], 3)
+    model = plain_urls.Markov(["abab", "abba", "b", ""], 3)
     for context in ("", "a", "ab", "\x02\x02\x02", "zzz", "bab"):
         seen = sum(math.exp(model._of(c, context)) for c in "ab\x03")
-        rest = math.exp(model._of("q", context)) * (model.SYMBOLS - 3)
+        rest = math.exp(model._of("q", context)) * (urlmodel.SYMBOLS - 3)
         assert seen + rest == pytest.approx(1)
     assert model.mean("abab") > model.mean("baab") > model.mean("zqzq")
 
@@ -63,7 +64,7 @@ def test_threshold_is_the_best():
         good, bad = [s for s, ok in scores if ok], [s for s, ok in scores if not ok]
         if good and bad:
             value = lambda t: sum(s >= t for s in good) / len(good) - sum(s >= t for s in bad) / len(bad)
-            assert value(urlmodel.threshold(scores)) == pytest.approx(max(value(t) for t, _ in scores))
+            assert value(plain_urls.threshold(scores)) == pytest.approx(max(value(t) for t, _ in scores))
 
 
 def table(spark):
@@ -88,9 +89,9 @@ def test_matches_the_models_one_by_one(spark):
     """Every row against models fitted here on the same sample."""
     settings = urlmodel.Settings(order=3, most_sampled=40)
     rows = table(spark)
-    sample = urlmodel._sample(rows.select("url"), urlmodel.rules_by_host(URL_RULES), settings)
+    sample = plain_urls.sample(rows.select("url"), urlmodel.rules_by_host(URL_RULES), settings)
     assert {len(s) for s in sample.values()} == {40}
-    models = [urlmodel.Markov(sample[v][::2], 3) for v in ("allow", "block")]
+    models = [plain_urls.Markov(sample[v][::2], 3) for v in ("allow", "block")]
     for r in urlmodel.judge(rows, URL_RULES, settings).collect():
         if r["url"]:
             seen = urlmodel._normal(r["url"])
@@ -102,13 +103,13 @@ def test_long_urls_leave_the_sample_whole(spark):
     rows = table(spark).select("page_id", "url")
     settings = urlmodel.Settings(order=3, most_chars=2600, most_url_chars=2000)
     by_host = urlmodel.rules_by_host(URL_RULES)
-    before = urlmodel._sample(rows, by_host, settings)
+    before = plain_urls.sample(rows, by_host, settings)
     long = spark.range(40).selectExpr("10000 + id as page_id", "concat('http://x.net/', repeat('z', int(2500 + id))) as url")
-    assert urlmodel._sample(rows.union(long), by_host, settings) == before
+    assert plain_urls.sample(rows.union(long), by_host, settings) == before
     assert all(2500 < sum(len(u) + 7 for u in own) <= 2600 for own in before.values())
     # one that no longer fits leaves room for shorter ones
     middle = spark.range(40).selectExpr("10000 + id as page_id", "concat('http://x.net/', repeat('z', int(1400 + id))) as url")
-    after = urlmodel._sample(rows.union(middle), by_host, settings)["block"]
+    after = plain_urls.sample(rows.union(middle), by_host, settings)["block"]
     assert sum(len(u) > 1000 for u in after) == 1 and sum(len(u) < 1000 for u in after) > 20
     found = {r["page_id"]: r["verdict"] for r in urlmodel.judge(rows.union(long), URL_RULES, settings).collect()}
     assert found[1001] == "block" and found[1000] == "allow" and found[10000] == "block"
@@ -153,7 +154,7 @@ def test_every_row_against_a_plain_model(spark):
     for r in found:
         if r["rule"] is None and r["url"]:
             assert r["score"] == pytest.approx(score(r["url"].split("://")[-1].lower()))
-    cut = urlmodel.threshold(held)
+    cut = plain_urls.threshold(held)
     assert right(cut) == best
     assert all((s >= cut) == (v == "allow") for s, v in scores)
 
@@ -179,9 +180,9 @@ def test_every_ruled_url_has_a_part(spark, monkeypatch):
     frame = table(spark).select("page_id", "url").union(many).union(long).union(other)
     own = {v: [urlmodel._normal(u) for u in ruled_of(frame, v)] for v in ("allow", "block")}
     assert len(own["block"]) > 16_000 and sum(len(u) > 2000 for u in own["allow"]) == 9
-    models = [urlmodel.Markov(own[v][::2], 2) for v in ("allow", "block")]
+    models = [plain_urls.Markov(own[v][::2], 2) for v in ("allow", "block")]
     score = lambda u: models[0].mean(u) - models[1].mean(u)
-    at = urlmodel.threshold([(score(u), v == "allow") for v in own for u in own[v][1::2]])
+    at = plain_urls.threshold([(score(u), v == "allow") for v in own for u in own[v][1::2]])
     found = urlmodel.judge(frame, URL_RULES, urlmodel.Settings(order=2)).collect()
     assert len(found) == frame.count()
     for r in found:
@@ -199,4 +200,4 @@ def test_threshold_of_a_table(spark, monkeypatch, seed):
     scores = [(rng.choice([rng.gauss(0, 1), 0.0, 0.5, -0.0]), rng.choice([1, -1])) for _ in range(60)] + [(9.0, 1), (-9.0, -1)]
     held = spark.createDataFrame(scores, "score double, held int")
     good = sum(h > 0 for _, h in scores)
-    assert urlmodel._threshold(held, good, len(scores) - good) == urlmodel.threshold([(s, h > 0) for s, h in scores])
+    assert urlmodel._threshold(held, good, len(scores) - good) == plain_urls.threshold([(s, h > 0) for s, h in scores])
