@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import materialize, partitions, with_rows
+from quillstack.llm.common import materialize, packed, partitions, unpacked, with_rows
 from quillstack.llm.topk import EXACT, quantized
 
 #: Shares of the leading components after which pairs are discarded.
@@ -30,28 +30,12 @@ ANCHOR_TILE, TILE = 1024, 4096
 #: Dimensions, the most frequent ones, that are rotated, and components of such vectors, at most: rotations are
 #: broadcast. Others are compared in the components that they have.
 MOST_ROTATED, MOST_COMPONENTS = 8, 1024
+#: One of so many parts is met first, and tells which scores a negative needs in the others. It changes no result.
+EARLY = 16
 #: Survivors that wait to be ranked.
 PENDING = 1 << 20
 
 
-def packed(q: np.ndarray) -> bytes:
-    """Integers in as few bytes each as all of them fit in: two, four or eight."""
-    low, high = (int(q.min()), int(q.max())) if len(q) else (0, 0)
-    kind = next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
-    return q.astype(kind).tobytes()
-
-
-def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
-    """The integers of rows of one dimension."""
-    found = np.zeros((len(rows), dim), np.int64)
-    if dim:
-        width = np.array([len(r) // dim for r in rows])
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero(width == w)
-            found[at] = np.frombuffer(b"".join(rows[k] for k in at.tolist()), f"<i{w}").reshape(-1, dim)
-    return found
-
-
 def vectors(table: DataFrame, scale: float, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(id, row, label, dim, q) of the rows that take part; q are the packed integers floor(scale * x), x as double."""
     out = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("q", pa.binary())])
@@ -260,11 +244,10 @@ def mine(
 
     def dealt(keys: list[str]) -> tuple[DataFrame, DataFrame]:
         """(anchors with block, for each part; rows with part), by keys whose rows meet."""
-        sizes = found.groupBy(*keys, "dim").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("id") % every == 0, 1).otherwise(0)).alias("asked"))
-        sizes = sizes.groupBy(*keys).agg(F.sum(F.col("rows") * width).alias("bytes"), F.sum("rows").alias("rows"), F.sum(F.col("asked") * width).alias("asked")).where("asked > 0")
+        sizes = found.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.when(F.col("id") % every == 0, 1).otherwise(0)).alias("asked")).where("asked > 0")
         # groups of GROUP_BYTES at most, and enough of them for all cores where there are fewer
-        parts = F.greatest(F.ceil(F.col("bytes") / GROUP_BYTES), F.ceil(F.col("rows") * F.lit(least) / F.lit(max(n, 1)))).cast("int")
-        sizes = materialize(sizes.select(*keys, parts.alias("part"), F.ceil(F.col("asked") / ANCHOR_BYTES).cast("int").alias("block")), "sizes")
+        parts = F.greatest(F.ceil(F.col("rows") * width / GROUP_BYTES), F.ceil(F.col("rows") * F.lit(least) / F.lit(max(n, 1)))).cast("int")
+        sizes = materialize(sizes.select(*keys, parts.alias("part"), F.ceil(F.col("asked") * width / ANCHOR_BYTES).cast("int").alias("block")), "sizes")
         own = _blocks(anchors, sizes.select(*keys, "block"), keys, "block")
         own = own.join(sizes.select(*keys, F.col("part").alias("_parts")), keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
         rows_ = _blocks(found, sizes.select(*keys, "part"), keys, "part")
@@ -323,7 +306,7 @@ def mine(
         scores = left["scores"].tolist()
         at = np.repeat(np.arange(len(left)), [len(s) for s in scores]), np.concatenate([np.arange(len(s)) for s in scores])
         highs[at] = np.concatenate([np.asarray(s, np.int64) for s in scores])
-        lows[at] = _lowest(highs[at], share)
+        lows[at] = np.maximum(_lowest(highs[at], share), np.stack(left["bars"].to_numpy())[at])
         found = [pd.DataFrame({"row": left["row"].to_numpy()[who], "nth": i + 1, "negative_id": ids, "negative_score": score}) for i, who, ids, score in meet(left, right, lows, highs, False, k).rows()]
         return pd.concat(found).astype(kinds)
 
@@ -331,10 +314,20 @@ def mine(
     own, others = dealt(["dim"])
     own = own.join(asked, F.col("row") == F.col("anchor_row")).drop("anchor_row")
     key = ["dim", "block", "part"]
-    left, right = sides(own, others, key, ["dim", "row", "label", "q", "scores"], ["id", "row", "label", "q"])
-    negatives = left.groupBy(*(f"l_{c}" for c in key)).cogroup(right.groupBy(*(f"r_{c}" for c in key))).applyInPandas(hard, "row long, nth int, negative_id long, negative_score long")
+    none = F.array_repeat(F.lit(-(2**63)).cast("long"), positives)
     best = Window.partitionBy("row", "nth").orderBy(F.desc("negative_score"), "negative_id")
-    negatives = negatives.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def met(own: DataFrame, rows_: DataFrame) -> DataFrame:
+        left, right = sides(own, rows_, key, ["dim", "row", "label", "q", "scores", "bars"], ["id", "row", "label", "q"])
+        return left.groupBy(*(f"l_{c}" for c in key)).cogroup(right.groupBy(*(f"r_{c}" for c in key))).applyInPandas(hard, "row long, nth int, negative_id long, negative_score long")
+
+    early = F.col("part") % EARLY == 0
+    first = materialize(top(met(own.where(early).withColumn("bars", none), others.where(early))), "early")
+    kth = first.where(F.col("rank") == k).groupBy(F.col("row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("nth", "negative_score"))).alias("_kth"))
+    bars = F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda n: F.coalesce(F.try_element_at("_kth", n), F.lit(-(2**63)).cast("long")))
+    later = own.where(~early).join(kth, F.col("row") == F.col("_row"), "left").withColumn("bars", F.when(F.col("_kth").isNull(), none).otherwise(bars)).drop("_row", "_kth")
+    negatives = top(first.drop("rank").unionByName(met(later, others.where(~early))))
     ids = anchors.select(F.col("id").alias("anchor_id"), F.col("row").alias("_row"))
     named = near.join(ids, F.col("anchor_row") == F.col("_row")).select("anchor_id", "anchor_row", F.col("nth").alias("_nth"), "positive_id", "positive_score")
     both = negatives.join(named, (F.col("row") == F.col("anchor_row")) & (F.col("nth") == F.col("_nth")))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quillstack.llm import negatives
+from quillstack.llm.common import packed as as_bytes
 
 COLUMNS = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
 
@@ -76,11 +77,30 @@ def test_many_groups_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == plain(rows)
 
 
+def test_first_parts_tell_the_others(spark, monkeypatch):
+    """What leaves a group is near what is asked for, not k rows for each anchor, positive and part."""
+    rows = [(i, v, i % 3) for i, v in enumerate(vectors(3000, 12, 5))]
+    monkeypatch.setattr(negatives, "GROUP_BYTES", 12 * 8 * 30)
+    monkeypatch.setattr(negatives, "EARLY", 8)
+    left = []
+    real = negatives.materialize
+
+    def seen(df, label):
+        found = real(df, label)
+        if label == "early":
+            left.append(found.count())
+        return found
+
+    monkeypatch.setattr(negatives, "materialize", seen)
+    found = negatives.mine(table(spark, rows), every=100)
+    assert sorted(map(tuple, found.collect())) == plain(rows, every=100) and len(left) == 1 and left[0] <= 30 * 25
+
+
 def test_pairs_go_early():
     """Of clustered vectors, most pairs are gone before the last level, and none that belongs."""
     x = np.array(vectors(3000, 32, 7, 6))
     q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
-    packed = [negatives.packed(r) for r in q]
+    packed = [as_bytes(r) for r in q]
     axes = np.linalg.eigh(q.T.astype(float) @ q)[1][:, ::-1]
     a, b = negatives.Rotated(packed[:100], 32, axes), negatives.Rotated(packed, 32, axes)
     scores = q[:100] @ q.T
