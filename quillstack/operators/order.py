@@ -41,11 +41,6 @@ def running(rows: DataFrame, by: str, bucket: Column | None, sums: dict[str, str
     return found.drop("_bucket", *(f"_{k}" for k in wanted))
 
 
-def by_term(term: str = "term") -> Column:
-    """Terms by their first two characters: their order is that of terms."""
-    return F.substring(term, 1, 2)
-
-
 def by_number(column: str, bits: int = 16) -> Column:
     """Numbers by all but their low bits."""
     return F.shiftright(column, bits)

@@ -5,7 +5,6 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from quillstack.functions import codec
 from quillstack.sources import readers, writers
