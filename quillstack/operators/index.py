@@ -176,9 +176,9 @@ def posting_blocks(found: DataFrame, corpus: DataFrame, bits: int = RANGE_BITS,
 
 
 def forward(found: DataFrame, words: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(docid, postings): each document's words by their ids."""
+    """(docid, postings): each document's words by their ids; those of a written index have them, and join nothing."""
     one = F.struct(F.col("word_id").alias("wordid"), F.col("tf").alias("freq"), "positions")
-    joined = found.join(words.select("term", "word_id"), "term")
+    joined = found if "word_id" in found.columns else found.join(words.select("term", "word_id"), "term")
     return joined.groupBy(F.col(id_col).alias("docid")).agg(F.array_sort(F.collect_list(one)).alias("postings"))
 
 
@@ -222,7 +222,8 @@ class Index:
 
     ``derived`` says that lexicon and lengths follow from the postings: then ``write`` takes them from the postings
     that it has written, and the texts are cut into terms once. What is written has more than what is built: postings
-    have their documents' lengths, so that a search joins no table of documents; corpus is its one row of statistics;
+    have their documents' lengths, so that a search joins no table of documents, and their words' ids, if the lexicon
+    has them, so that a forward index joins none of terms; corpus is its one row of statistics;
     blocks are the postings' ranges of ids with their greatest scores, and completions the best terms of each prefix.
     """
 
@@ -246,6 +247,8 @@ class Index:
 
     def write(self, path: str) -> None:
         found = with_lengths(self.postings, None if self.derived else self.doc_stats)
+        if not self.derived and "word_id" in self.lexicon.columns and "word_id" not in found.columns:
+            found = found.join(self.lexicon.select("term", "word_id"), "term")  # once, and never to read them
         self._deal(found.withColumn("id_range", F.shiftright(F.col("doc_id").cast("long"), RANGE_BITS)), f"{path}/postings", "doc_id")
         found = self.spark.read.parquet(f"{path}/postings")
         words, sizes = (lexicon(found), lengths(found)) if self.derived else (self.lexicon, self.doc_stats)

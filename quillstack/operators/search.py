@@ -109,7 +109,7 @@ def bounded(index: Index, terms: Sequence[str], mode: str = "and", tf_mode: str
     block = F.col("id_range") if "id_range" in index.postings.columns else F.shiftright(F.col("doc_id").cast("long"), bits)
     left, found, bar, take = ranges, None, None, FIRST_BLOCKS
     total, read = ranges.count(), 0
-    for last in (False, False, True):
+    for last in (False, False, True) if total > 2 * FIRST_BLOCKS else (True,):  # few ranges are read at once
         some = [r["block"] for r in left.orderBy(F.desc("bound"), "block").limit(MOST_LISTED + 1 if last else take).collect()]
         if not some:
             break

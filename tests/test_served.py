@@ -76,6 +76,19 @@ def test_written_index_needs_no_table_of_documents(loaded):
     assert "id_range" in blocks[blocks.index("PushedFilters") :]
 
 
+def test_forward_index_joins_no_terms(spark, corpus, tmp_path):
+    """Of a written index with word ids: one exchange, by document."""
+    words = index.with_word_ids(corpus.lexicon)
+    index.Index(corpus.docs, corpus.postings, words, corpus.doc_stats).write(str(tmp_path / "ids"))
+    own = index.Index.load(spark, str(tmp_path / "ids"))
+    found = index.forward(own.postings, own.lexicon)
+    physical = plan(found)[plan(found).index("== Physical Plan ==") :]
+    assert physical.count("Exchange") == 1 and "Join" not in physical and "lexicon" not in physical
+    told = index.forward(corpus.postings, words)
+    shown = lambda rows: {r["docid"]: [(p["wordid"], p["freq"], p["positions"]) for p in r["postings"]] for r in rows.where("docid % 97 = 0").collect()}
+    assert shown(found) == shown(told)
+
+
 def test_old_indexes_load(spark, corpus, tmp_path):
     import shutil
 
