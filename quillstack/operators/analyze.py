@@ -71,6 +71,11 @@ def fields(rows: DataFrame, options: CleanOptions = CleanOptions()) -> Column:
     return F.concat(*found)
 
 
+def all_tokens(rows: DataFrame, options: CleanOptions = CleanOptions()) -> Column:  # noqa: B008
+    """array<struct<term, pos>> of all chosen fields, before any filter; positions restart in each field."""
+    return F.flatten(F.transform(fields(rows, options), lambda f: T.numbered(terms(f["text"], options))))
+
+
 def keep(tokens: DataFrame, options: CleanOptions = CleanOptions()) -> DataFrame:  # noqa: B008
     """Tokens without numbers and stopwords, which are compared before stemming; then stemmed."""
     if options.remove_numbers:
