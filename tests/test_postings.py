@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as T
-from quillstack.operators import index
+from quillstack.operators import index, synonyms
 from quillstack.plans import catalog
 from quillstack.sources import spread
 
@@ -47,3 +47,33 @@ def test_sizes_of_lists_gather_no_list(spark):
     rows = {r["term"]: (r["doc_freq"], r["term_freq"], r["bytes"]) for r in found.collect()}
     assert {t: r[:2] for t, r in rows.items()} == {t: (n, tf[t]) for t, n in df.items()}
     assert rows["a"][2] == 1 + (1 + 1 + 1) + (1 + 1 + 3) + (3 + 1 + 1)  # documents; gap, number and position gaps of each
+
+
+def test_greatest_scores_move_no_posting(spark, monkeypatch):
+    """Texts are dealt by range of ids, and nothing is dealt again by term."""
+    monkeypatch.setitem(spread.spread.__kwdefaults__, "small", 0)
+    monkeypatch.setattr(catalog, "pieces", lambda rows: 4)
+    plan = catalog.QUERIES["posting_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(shiftright" in plan and "hashpartitioning(term" not in plan
+
+
+def test_parts_of_an_input_do_not_grow(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert spread.pieces(rows, 1 << 16) > spread.pieces(rows, 1 << 20) >= 1
+    assert spread.pieces(rows.union(rows), 1 << 16) >= 2 * spread.pieces(rows, 1 << 16) - 1
+
+
+def test_pairs_in_their_row(spark):
+    """Pairs of lists are those of rows of tokens, those of one term with itself too."""
+    lists = [(1, "a b a a c".split()), (2, []), (3, ["b"]), (4, "b a d d".split()), (5, "x x".split())]
+    table = spark.createDataFrame(lists, "doc_id long, l array<string>")
+    tokens = table.select("doc_id", F.posexplode("l").alias("pos", "term"))
+    n = {(r["term"], r["context"]): r["n"] for r in synonyms.pairs(tokens).collect()}
+    assert {(r["a"], r["b"]): r["n"] for r in synonyms.unordered(table, least=2).collect()} == {k: v for k, v in n.items() if v >= 2 and k[0] <= k[1]}
+    of = Counter()
+    for (a, _), v in n.items():
+        of[a] += v
+    assert {r["term"]: r["of"] for r in synonyms.neighbours(table).collect()} == of
+    plan = synonyms.unordered(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    assert sorted(synonyms.synonyms_of(table).collect()) == sorted(synonyms.synonyms(tokens).collect())
