@@ -151,9 +151,9 @@ def forward_block_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL["forward_index"].replace("SELECT doc_id, count(*) AS words", "SELECT doc_id::VARCHAR AS docid, count(*) AS words"))
 def forward_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = posted(documents(spark, sf_dir))
+    found, _ = index.numbered_documents(documents(spark, sf_dir), T.numbered(T.tokens_v1(F.col("text"))))
     path = new_path(spark, "forward")
-    writers.forward_index(index.forward(found, index.with_word_ids(index.lexicon(found))).withColumn("docid", F.col("docid").cast("string")), path)
+    writers.forward_index(index.forward_of(found).withColumn("docid", F.col("docid").cast("string")), path, "gzip")
     rows = readers.forward_index(spark, path)
     pair = F.transform("postings", lambda p: F.concat(p["wordid"].cast("string"), F.lit(":"), p["freq"].cast("string")))
     total = F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + F.size(p["positions"]))

@@ -42,12 +42,13 @@ def inverted_block(postings: DataFrame, path: str) -> None:
     _lines(F.concat("term", F.lit("\t"), F.array_join(F.transform("postings", one), ";")), postings, path)
 
 
-def forward_block(rows: DataFrame, path: str) -> None:
-    rows.select("docid", "postings").write.mode("overwrite").json(path)
+def forward_block(rows: DataFrame, path: str, compression: str = "none") -> None:
+    """Objects, one a line; ``compression`` is the codec of the files, such as gzip, which their names tell readers."""
+    rows.select("docid", "postings").write.mode("overwrite").json(path, compression=compression)
 
 
-def forward_index(rows: DataFrame, path: str) -> None:
-    rows.select("docid", "postings").write.mode("overwrite").json(path)
+def forward_index(rows: DataFrame, path: str, compression: str = "none") -> None:
+    rows.select("docid", "postings").write.mode("overwrite").json(path, compression=compression)
 
 
 def lexicon(rows: DataFrame, path: str) -> None:

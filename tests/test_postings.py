@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import text as T
 from quillstack.operators import index, synonyms
-from quillstack.plans import catalog
+from quillstack.plans import catalog, formats
 from quillstack.sources import spread
 
 DOCS = [(1, "b a b c"), (2, ""), (3, None), (4, "a a a"), (5, "é z"), (None, "q"), (1 << 21, "a b")]
@@ -77,3 +77,32 @@ def test_pairs_in_their_row(spark):
     plan = synonyms.unordered(table)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange") == 1
     assert sorted(synonyms.synonyms_of(table).collect()) == sorted(synonyms.synonyms(tokens).collect())
+
+
+@pytest.mark.parametrize("more", [[], [(1, "a x b"), (5, "q r")]])
+def test_word_ids_come_to_documents(spark, more):
+    """A document's words by their ids, without a join or an exchange of postings; ids on several rows are one document."""
+    docs = spark.createDataFrame(DOCS + more, "doc_id long, text string")
+    tokens = T.numbered(T.tokens_v1(F.col("text")))
+    found, words = index.numbered_documents(docs, tokens, parts=3)
+    known = {r["word_id"]: (r["term"], r["doc_freq"], r["term_freq"]) for r in words.collect()}
+    here = told(DOCS + more)
+    df, tf = Counter(t for t, _ in here), Counter()
+    for (t, _), at in here.items():
+        tf[t] += len(at)
+    assert [known[k + 1] for k in range(len(known))] == [(t, df[t], tf[t]) for t in sorted(df, key=str.encode)]
+    shown = {r["docid"]: [(known[p["wordid"]][0], p["positions"], p["freq"]) for p in r["postings"]] for r in index.forward_of(found).collect()}
+    assert {(t, i): at for i, own in shown.items() for t, at, _ in own} == here
+    assert all(own == sorted(own, key=lambda p: p[0].encode()) and all(n == len(at) for _, at, n in own) for own in shown.values())
+    assert found.where("dl IS NULL").isEmpty() and index.numbered_documents(docs.where("false"), tokens)[0].isEmpty()
+
+
+def test_forward_index_file_shuffles_no_posting(spark, monkeypatch):
+    """Texts and a part's different terms are dealt: a document's row has no join and no sort by document."""
+    monkeypatch.setitem(spread.spread.__kwdefaults__, "small", 0)
+    seen = []
+    monkeypatch.setattr(formats.writers, "forward_index", lambda rows, path, *more: (seen.append(rows), rows.write.json(path))[1])
+    assert formats.forward_index_file(spark, "/root/testdata/sf0.001").count() == 200
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "hashpartitioning(doc_id" not in plan
+    assert "positions" not in plan[plan.index("SortMergeJoin" if "SortMergeJoin" in plan else "HashJoin") :]
