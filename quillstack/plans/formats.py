@@ -141,10 +141,9 @@ def inverted_block_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL["posting_list_decode"].replace("doc_id::INT AS doc_id, count(*)::INT AS tf", "'d' || doc_id AS docid"))
 def forward_block_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = posted(documents(spark, sf_dir))
-    rows = found.groupBy(F.concat(F.lit("d"), "doc_id").alias("docid")).agg(F.array_sort(F.collect_list(F.struct("term", "positions"))).alias("postings"))
+    own = index.by_document(documents(spark, sf_dir), T.numbered(T.tokens_v1(F.col("text")))).where(F.size("tokens") > 0)
     path = new_path(spark, "forward-block")
-    writers.forward_block(rows, path)
+    writers.forward_block(own.select(F.concat(F.lit("d"), "doc_id").alias("docid"), index.grouped(F.col("tokens")).alias("postings")), path, "gzip")
     each = readers.forward_block(spark, path).select("docid", F.explode("postings").alias("p"))
     return each.select("p.term", "docid", F.array_join(F.col("p.positions").cast("array<string>"), ",").alias("positions"))
 

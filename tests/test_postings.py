@@ -106,3 +106,11 @@ def test_forward_index_file_shuffles_no_posting(spark, monkeypatch):
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "hashpartitioning(doc_id" not in plan
     assert "positions" not in plan[plan.index("SortMergeJoin" if "SortMergeJoin" in plan else "HashJoin") :]
+
+
+def test_forward_block_file_shuffles_nothing(spark, monkeypatch):
+    monkeypatch.setitem(spread.spread.__kwdefaults__, "small", 0)
+    seen = []
+    monkeypatch.setattr(formats.writers, "forward_block", lambda rows, path, *more: (seen.append(rows), rows.write.json(path))[1])
+    found = formats.forward_block_file(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString() and found.count() == 50243
