@@ -111,6 +111,21 @@ def cleaned(rows: DataFrame, tokens: DataFrame, id_col: str = "paper_id") -> Dat
     return rows.select(id_col, meta).join(nested, id_col, "left").select(F.col(id_col).alias("docid"), F.coalesce("fields", none).alias("fields"), "meta")
 
 
+def cleaned_rows(rows: DataFrame, options: CleanOptions = CleanOptions(), id_col: str = "paper_id") -> DataFrame:  # noqa: B008
+    """``cleaned`` of ``clean``, each row's fields in the row, so that no token is shuffled; rows that share an id keep
+    their own. Stemming and a table of stopwords need tokens as rows: for those it is ``cleaned``."""
+    if options.stem or isinstance(options.stopwords, DataFrame):
+        return cleaned(rows, clean(rows, options, id_col), id_col)
+    wanted = lambda t: F.lit(True)
+    if options.stopwords or options.remove_numbers:
+        out = list(options.stopwords or [])
+        wanted = lambda t: ~t["term"].isin(out) & (~T.is_number(t["term"]) if options.remove_numbers else F.lit(True))
+    kept = lambda f: F.transform(F.filter(numbered(f["text"], options), wanted), lambda t: F.struct(t["term"], t["orig"], t["pos"]))
+    each = F.transform(fields(rows, options), lambda f: F.struct(f["name"].alias("name"), kept(f).alias("tokens")))
+    found = F.filter(each, lambda f: F.size(f["tokens"]) > 0)  # fields that a filter leaves without a token have none
+    return rows.select(F.col(id_col).alias("docid"), found.alias("fields"), F.struct("authors", "pub_date", "source").alias("meta"))
+
+
 def tokens_of_cleaned(rows: DataFrame) -> DataFrame:
     """Tokens of nested rows, as ``clean`` gives them; a position that is no integer is 0."""
     each = rows.select(F.col("docid").alias("paper_id"), F.posexplode("fields").alias("field_idx", "f"))

@@ -89,9 +89,9 @@ def extracted_jsonl_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens to nested lines and back. Fields that a filter leaves without a token have none in either form."""
     rows = fielded(spark, sf_dir).withColumns({"paper_id": F.col("doc_id").cast("string"), "authors": F.lit(""), "pub_date": F.lit(""), "source": F.lit("")})
-    nested = analyze.cleaned(rows, analyze.clean(rows, analyze.CleanOptions(fields=("title", "body"))))
+    nested = analyze.cleaned_rows(rows, analyze.CleanOptions(fields=("title", "body")))
     path = new_path(spark, "cleaned")
-    writers.cleaned_jsonl(nested, path)
+    writers.cleaned_jsonl(nested, path, "gzip")
     back = readers.cleaned_jsonl(spark, path)
     # a name is a field's place here, as title and body are the only ones and come in this order
     found = analyze.tokens_of_cleaned(back).drop("orig")
@@ -102,7 +102,7 @@ def cleaned_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes with a document's tokens; a document that has none, here for an unknown field, has its row."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("paper_id"), F.concat_ws("; ", "source", "lang").alias("authors"), F.col("n_chars").cast("string").alias("pub_date"), F.lit("pdf").alias("source"), "text")
-    nested = analyze.cleaned(docs, analyze.clean(docs, analyze.CleanOptions(fields=("unknown",))))
+    nested = analyze.cleaned_rows(docs, analyze.CleanOptions(fields=("unknown",)))
     path = new_path(spark, "cleaned")
     writers.cleaned_jsonl(nested, path)
     return readers.cleaned_jsonl(spark, path).select("docid", "meta.authors", "meta.pub_date", "meta.source", F.size("fields").alias("fields"))

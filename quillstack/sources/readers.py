@@ -42,14 +42,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     names; line_no counts from 1, empty ones included.
 
     Files may be of any size and number: a line's number comes from its place in its split, and those of splits from
-    the splits before, of which each is one row.
+    the splits before, of which each is one row. No line is shuffled: those of a split follow each other in one task.
     """
     rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
-    split = rows.groupBy("file", "begin").agg(F.count("*").alias("n"))
+    split = rows.groupBy("file", "begin").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = Window.orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1)
-    first = split.select("file", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = F.row_number().over(Window.partitionBy("file", "begin").orderBy("at"))
-    return rows.withColumn("within", within).join(first, ["file", "begin"]).select("line", (F.col("ahead") + F.col("within")).alias("line_no")).where(F.length("line") > 0)
+    ahead = split.select("file", "begin", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return rows.join(F.broadcast(ahead), ["file", "begin"]).select("line", (F.col("ahead") + F.col("at") - F.col("first") + 1).alias("line_no")).where(F.length("line") > 0)
 
 
 def tsv_fields(line, names: Sequence[str] = schemas.EXTRACTED_FIELDS):  # noqa: ANN001, ANN201

@@ -12,8 +12,8 @@ from quillstack import schemas
 from quillstack.operators import order
 
 
-def _lines(value: Column, rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rows.select(value.alias("value")).write.mode(mode).text(path)
+def _lines(value: Column, rows: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
+    rows.select(value.alias("value")).write.mode(mode).text(path, compression=compression)
 
 
 def _tabs(*columns: str | Column) -> Column:
@@ -31,9 +31,9 @@ def extracted_jsonl(rows: DataFrame, path: str) -> None:
     rows.select(*schemas.EXTRACTED.fieldNames()).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def cleaned_jsonl(rows: DataFrame, path: str) -> None:
+def cleaned_jsonl(rows: DataFrame, path: str, compression: str = "none") -> None:
     """(docid, fields, meta); a token's orig only where it is kept."""
-    _lines(F.to_json(F.struct("docid", "fields", "meta")), rows, path)
+    _lines(F.to_json(F.struct("docid", "fields", "meta")), rows, path, compression=compression)
 
 
 def inverted_block(postings: DataFrame, path: str) -> None:

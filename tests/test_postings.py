@@ -114,3 +114,40 @@ def test_forward_block_file_shuffles_nothing(spark, monkeypatch):
     monkeypatch.setattr(formats.writers, "forward_block", lambda rows, path, *more: (seen.append(rows), rows.write.json(path))[1])
     found = formats.forward_block_file(spark, "/root/testdata/sf0.001")
     assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString() and found.count() == 50243
+
+
+def test_cleaned_rows_are_in_their_row(spark):
+    """The same fields as tokens that are gathered give, for all options that need no rows of tokens."""
+    from quillstack.operators import analyze
+
+    told_ = [("p1", "The 12 cells", "A: don't | B: 7 | the of", "x"), ("p2", None, None, "y"), ("p3", "of the", "Q: Virus Virus", None), ("p4", "", "", "")]
+    rows = spark.createDataFrame(told_, "paper_id string, title string, sections string, authors string").withColumns({"pub_date": F.lit("d"), "source": F.lit(None).cast("string")})
+    for options in (
+        analyze.CleanOptions(),
+        analyze.CleanOptions(fields=("sections", "title", "title"), stopwords=None, keep_original=True),
+        analyze.CleanOptions(remove_numbers=True, tokenizer="v2"),
+        analyze.CleanOptions(stopwords=None, remove_numbers=True),
+        analyze.CleanOptions(stem=True),
+    ):
+        found = analyze.cleaned_rows(rows, options)
+        assert sorted(found.collect(), key=lambda r: r["docid"]) == sorted(analyze.cleaned(rows, analyze.clean(rows, options)).collect(), key=lambda r: r["docid"])
+        assert ("Exchange" in found._jdf.queryExecution().executedPlan().toString()) == options.stem
+    twice = analyze.cleaned_rows(rows.union(rows.where("paper_id = 'p3'").withColumn("title", F.lit("more"))))
+    assert sorted(sum(len(f["tokens"]) for f in r["fields"]) for r in twice.where("docid = 'p3'").collect()) == [2, 3]
+
+
+def test_lines_are_numbered_without_moving_them(spark, tmp_path):
+    """Line numbers over many splits and files of one task; empty lines count, and have no row."""
+    from quillstack.sources import readers
+
+    texts = {"a": [f"a{k}" if k % 3 else "" for k in range(500)], "b": ["b"], "c": [], "d": [f"d{k}" for k in range(300)]}
+    for name, own in texts.items():
+        (tmp_path / f"{name}.txt").write_text("".join(f"{x}\n" for x in own))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    found = readers.lines(spark, str(tmp_path))
+    assert sorted((r["line_no"], r["line"]) for r in found.collect()) == [(k + 1, x) for k, x in enumerate(x for own in texts.values() for x in own) if x]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
