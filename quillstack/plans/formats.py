@@ -19,6 +19,7 @@ from quillstack.plans.catalog import (
     documents,
     extracted,
     fielded,
+    listed,
     posted,
     query,
     table,
@@ -162,7 +163,7 @@ def forward_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT *, {BARREL_SQL} AS barrel_id FROM ({SQL['posting_offsets']})")
 def lexicon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "lexicon")
-    writers.lexicon(index.with_offsets(index.list_bytes(posted(documents(spark, sf_dir)))), path)
+    writers.lexicon(index.with_offsets(listed(spark, sf_dir)), path)
     return readers.lexicon(spark, path)
 
 
@@ -187,7 +188,7 @@ def docid_map_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL["barrel_stats"])
 def barrel_metadata_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "barrels")
-    writers.barrel_metadata(barrels.metadata(index.with_offsets(index.list_bytes(posted(documents(spark, sf_dir))))), path)
+    writers.barrel_metadata(barrels.metadata_of_sizes(listed(spark, sf_dir)), path)
     return readers.barrel_metadata(spark, path)
 
 
@@ -195,7 +196,7 @@ def barrel_metadata_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posting_bytes_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of all lists, in pieces of 256 ids: each list lies where the lexicon says, and is as long."""
     found = posted(documents(spark, sf_dir))
-    words = written(index.with_offsets(index.list_bytes(found)), "words")  # read three times
+    words = written(index.with_offsets(listed(spark, sf_dir)), "words")  # read three times
     path = new_path(spark, "postings")
     writers.postings_bytes(index.encoded(found, words, bits=8), path)
     pieces = spark.read.parquet(path).groupBy("word_id").agg(F.min("offset").alias("at"), F.max(F.col("offset") + F.octet_length("content")).alias("to"), F.sum(F.octet_length("content")).alias("n"))

@@ -151,3 +151,13 @@ def test_lines_are_numbered_without_moving_them(spark, tmp_path):
     spark.conf.unset("spark.sql.files.openCostInBytes")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_sizes_of_lists_move_no_posting(spark, monkeypatch):
+    """Texts are dealt by range of ids: windows over a term's documents of a range need no exchange of their own."""
+    monkeypatch.setitem(spread.spread.__kwdefaults__, "small", 0)
+    plan = catalog.listed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(shiftright" in plan and "hashpartitioning(term" in plan and not any("hashpartitioning(term" in x and "_range" in x for x in plan.splitlines())
+    docs = spark.createDataFrame([d for d in DOCS if d[0]], "doc_id long, text string")
+    tokens = T.numbered(T.tokens_v1(F.col("text")))
+    assert sorted(index.list_bytes_of_documents(docs, tokens, bits=1).collect()) == sorted(index.list_bytes(index.document_postings(docs, tokens)).collect())
