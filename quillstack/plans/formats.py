@@ -21,6 +21,7 @@ from quillstack.plans.catalog import (
     fielded,
     listed,
     posted,
+    posting_lists,
     query,
     table,
     token_rows,
@@ -136,7 +137,7 @@ def stopword_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL["posting_list_decode"].replace(", count(*)::INT AS tf", ""))
 def inverted_block_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "block")
-    writers.inverted_block(index.posting_lists(posted(documents(spark, sf_dir))), path)
+    writers.inverted_block(posting_lists(spark, sf_dir), path)
     return readers.inverted_block(spark, path).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
@@ -206,7 +207,7 @@ def posting_bytes_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, doc_id, tf, positions) of postings that went through byte files, one a barrel."""
-    lists = index.posting_lists(posted(documents(spark, sf_dir)))
+    lists = posting_lists(spark, sf_dir)
     coded = barrels.assign(lists.select(F.concat_ws("#", "term", "block").alias("key"), "term", codec.encode_postings("postings").alias("content"))).drop("term")
     path = new_path(spark, "blobs")
     placed = writers.barrel_blobs(coded.withColumnRenamed("key", "term").withColumn("offset", F.xxhash64("term")), path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -138,30 +140,55 @@ def barrel_metadata(spark: SparkSession, path: str) -> DataFrame:
 CHUNK = 1 << 16
 
 
+_PIECES = "barrel_id int, file string, size long, begin long, own long, content binary"
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of splits, which follow each other, as longer pieces, each with its place in its split."""
+    at, ahead = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        file, begin = b.column("file").dictionary_encode().indices.to_numpy(), b.column("begin").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(file) != 0) | (np.diff(begin) != 0)) + 1).tolist(), b.num_rows]
+        rows = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            head = b.slice(x, 1).select(["barrel_id", "file", "size", "begin"]).to_pylist()[0]
+            content = b"\n".join([*b.column("line").slice(x, y - x).to_pylist(), b""])
+            if (head["file"], head["begin"]) != at:
+                at, ahead = (head["file"], head["begin"]), 0
+            rows.append(head | {"own": ahead, "content": content})
+            ahead += len(content)
+        types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = [x.split()[0] for x in _PIECES.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+
+
 def _byte_lines(spark: SparkSession, path: str) -> DataFrame:
     """(barrel_id, at, content): the bytes of barrels between line feeds, those included, and where they are in the barrel.
 
     A barrel is a file barrel_<id>.bin, or the files of a folder barrel_id=<id>, by their names. Spark's text reader
-    cuts a file of any size into splits, at line feeds; a split's place in its barrel is the sum of those before.
+    cuts a file of any size into splits, at line feeds; a split's place in its barrel is the sum of those before. Lines
+    of a split follow each other in one task, where they are joined to longer pieces; only rows for splits are sent.
     """
     rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
     file, size, begin = (F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_block_start"))
     barrel = F.regexp_extract(file, r"/barrel_(?:(\d+)\.bin|id=(\d+)/[^/]*)$", 0)
-    rows = rows.select(F.regexp_extract(barrel, r"barrel_(?:id=)?(\d+)", 1).try_cast("int").alias("barrel_id"), file.alias("file"), size.alias("size"), begin.alias("begin"), F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("line"))
-    rows = rows.where(F.col("barrel_id").isNotNull()).withColumn("n", F.octet_length("line").cast("long") + 1)
+    rows = rows.select(F.regexp_extract(barrel, r"barrel_(?:id=)?(\d+)", 1).try_cast("int").alias("barrel_id"), file.alias("file"), size.alias("size"), begin.alias("begin"), F.col("value").cast("binary").alias("line"))
+    rows = rows.where(F.col("barrel_id").isNotNull())
     # a row for each split of a barrel's files
-    splits = rows.groupBy("barrel_id", "file", "size", "begin").agg(F.sum("n").alias("n"))
+    splits = rows.groupBy("barrel_id", "file", "size", "begin").agg(F.sum(F.octet_length("line").cast("long") + 1).alias("n"))
     files = splits.groupBy("barrel_id", "file", "size").agg(F.sum("n").alias("n"))
     before = lambda *by: Window.partitionBy("barrel_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     # the reader leaves out a mark of byte order at a file's start, and the last line may have no end
     mark = F.when(F.col("size") - F.col("n") >= 2, F.lit(3)).otherwise(F.lit(0))
     files = files.select("barrel_id", "file", F.coalesce(F.sum("size").over(before("file")), F.lit(0)).alias("base"), mark.alias("mark"))
     splits = splits.select("barrel_id", "file", "begin", F.coalesce(F.sum("n").over(before("file", "begin")), F.lit(0)).alias("ahead"))
-    own = F.coalesce(F.sum("n").over(before("file", "begin", "nth")), F.lit(0))
-    lines_ = rows.withColumn("own", own).join(splits, ["barrel_id", "file", "begin"]).join(files, ["barrel_id", "file"])
+    joined = rows.mapInArrow(_joined, _PIECES)
+    lines_ = joined.join(F.broadcast(splits), ["barrel_id", "file", "begin"]).join(F.broadcast(files), ["barrel_id", "file"])
     place = F.col("ahead") + F.col("own")
     first = (F.col("mark") > 0) & (place == 0)
-    content = F.concat(F.when(first, F.lit(bytearray(b"\xef\xbb\xbf"))).otherwise(F.lit(bytearray())), "line", F.lit(bytearray(b"\n")))
+    content = F.concat(F.when(first, F.lit(bytearray(b"\xef\xbb\xbf"))).otherwise(F.lit(bytearray())), "content")
     within = F.when(first, F.lit(0)).otherwise(F.col("mark") + place)
     content = F.substring(content, F.lit(1), F.least(F.octet_length(content).cast("long"), F.col("size") - within).cast("int"))
     return lines_.select("barrel_id", (F.col("base") + within).alias("at"), content.alias("content")).where(F.octet_length("content") > 0)
@@ -189,10 +216,12 @@ def posting_slices(blobs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> Da
     A list meets the chunks that it lies in, and those alone.
     """
     end = F.col("offset") + F.col("bytes")
-    own = words.where("bytes > 0").select("term", F.col("barrel_id").alias("of"), "offset", "bytes", F.explode(F.sequence(F.floor(F.col("offset") / chunk), F.floor((end - 1) / chunk))).alias("number"))
+    least, last = F.floor(F.col("offset") / chunk), F.floor((end - 1) / chunk)
+    own = words.where("bytes > 0").select("term", F.col("barrel_id").alias("of"), "offset", "bytes", (last > least).alias("cut"), F.explode(F.sequence(least, last)).alias("number"))
     both = own.join(blobs, (F.col("of") == F.col("barrel_id")) & (F.col("number") == F.col("chunk")))
     start = F.greatest("offset", F.col("chunk") * chunk)
     part = F.substring("content", (start - F.col("chunk") * chunk + 1).cast("int"), (F.least(end, (F.col("chunk") + 1) * chunk) - start).cast("int"))
-    pieces = both.select("term", "of", "offset", F.struct("chunk", part.cast("string").alias("part")).alias("p"))
+    pieces = both.where("cut").select("term", "of", "offset", F.struct("chunk", part.cast("string").alias("part")).alias("p"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
-    return pieces.groupBy("term", "of", "offset").agg(whole.cast("binary").alias("content")).select("term", "content")
+    some = pieces.groupBy("term", "of", "offset").agg(whole.cast("binary").alias("content")).select("term", "content")
+    return both.where("NOT cut").select("term", part.alias("content")).unionAll(some)  # lists in one chunk are whole

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstack import schemas
 from quillstack.operators import order
+from quillstack.sources.shared import written
 
 
 def _lines(value: Column, rows: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
@@ -72,13 +73,14 @@ def postings_bytes(rows: DataFrame, path: str) -> None:
 
 
 def _byte_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(barrel_id, n, line) of each barrel's bytes, cut at line ends, which a text writer puts back."""
+    """(barrel_id, offset, n, line) of each list's bytes, cut at line ends, which a text writer puts back."""
     for b in batches:
-        held: list[tuple[int, int, bytes]] = []
-        for barrel, at, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        held: list[tuple[int, int, int, bytes]] = []
+        for barrel, offset, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for k, line in enumerate(content.split(b"\n")):
-                held.append((barrel, at + k, line))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary())], names=["barrel_id", "n", "line"])
+                held.append((barrel, offset, k, line))
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in enumerate(types)], names=["barrel_id", "offset", "n", "line"])
 
 
 def barrel_blobs(rows: DataFrame, path: str) -> DataFrame:
@@ -87,14 +89,15 @@ def barrel_blobs(rows: DataFrame, path: str) -> DataFrame:
 
     A barrel is a folder barrel_id=<id>; its files, by name, are one after another the barrel's bytes, each written by
     a task of its own. Each list is followed by one line end, as the text writer that writes the bytes ends its rows;
-    offsets count it.
+    offsets count it. Bytes are dealt once, to their files; the sums that offsets are of move sizes alone.
     """
-    placed = rows.withColumns({"bytes": F.octet_length("content").cast("long"), "key": F.struct("barrel_id", "offset")})
-    placed = order.running(placed.withColumn("size", F.col("bytes") + 1), "key", None, {"at": "size"})
+    rows = written(rows.select("term", "barrel_id", "offset", "content"), "lists")  # encoded once, read for sizes and for bytes
+    sizes = rows.select("term", "barrel_id", F.struct("barrel_id", "offset").alias("key"), F.octet_length("content").cast("long").alias("bytes"))
+    placed = order.running(sizes.withColumn("size", F.col("bytes") + 1), "key", None, {"at": "size"})
     first = placed.groupBy(F.col("barrel_id").alias("of")).agg(F.min("at").alias("first"))  # a row for each barrel
     placed = placed.join(F.broadcast(first), F.col("barrel_id") == F.col("of")).withColumn("at", F.col("at") - F.col("first"))
-    lines = placed.select("barrel_id", "at", "content").mapInArrow(_byte_lines, "barrel_id int, n long, line binary")
-    lines = lines.repartitionByRange("barrel_id", "n").sortWithinPartitions("barrel_id", "n")
+    lines = rows.select("barrel_id", F.col("offset").cast("long"), "content").mapInArrow(_byte_lines, "barrel_id int, offset long, n int, line binary")
+    lines = lines.repartitionByRange("barrel_id", "offset", "n").sortWithinPartitions("barrel_id", "offset", "n")
     lines.select("barrel_id", F.col("line").cast("string").alias("value")).write.mode("overwrite").partitionBy("barrel_id").text(path)
     return placed.select("term", "barrel_id", F.col("at").alias("offset"), "bytes")
 

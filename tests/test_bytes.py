@@ -77,3 +77,15 @@ def test_lexicon_of_four_columns(spark, tmp_path):
     (tmp_path / "lexicon").write_text("1\tcell\t3\t5\n2\tvirus\t2\t2\t0\t14\t{}\t3\n3\tbad\tx\t1\n")
     assert [(r["word_id"], r["term"], r["term_freq"]) for r in readers.lexicon(spark, str(tmp_path / "lexicon"), 4).collect()] == [(1, "cell", 5), (2, "virus", 2)]
     assert [r["term"] for r in readers.lexicon(spark, str(tmp_path / "lexicon")).collect()] == ["virus"]
+
+
+def test_bytes_move_to_their_files_and_chunks_alone(spark, tmp_path):
+    """Neither offsets nor places of lines send bytes through a window; a list in one chunk is not gathered."""
+    shown = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(f"t{k}", k % 2, k, bytearray(b"ab\ncd")) for k in range(50)], "term string, barrel_id int, offset long, content binary")
+    words = writers.barrel_blobs(rows, str(tmp_path / "b"))
+    assert "content" not in shown(words)
+    found = readers._byte_lines(spark, str(tmp_path / "b"))
+    assert "SortMergeJoin" not in shown(found) and found.count() <= 2 * 4  # a row for each file, not for each line
+    slices = readers.posting_slices(readers.barrel_blobs(spark, str(tmp_path / "b")), words)
+    assert "Union" in shown(slices) and {bytes(r["content"]) for r in slices.collect()} == {b"ab\ncd"}

@@ -161,3 +161,12 @@ def test_sizes_of_lists_move_no_posting(spark, monkeypatch):
     docs = spark.createDataFrame([d for d in DOCS if d[0]], "doc_id long, text string")
     tokens = T.numbered(T.tokens_v1(F.col("text")))
     assert sorted(index.list_bytes_of_documents(docs, tokens, bits=1).collect()) == sorted(index.list_bytes(index.document_postings(docs, tokens)).collect())
+
+
+def test_lists_by_block_move_no_posting(spark, monkeypatch):
+    monkeypatch.setitem(spread.spread.__kwdefaults__, "small", 0)
+    plan = catalog.posting_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(term" not in plan
+    docs = spark.createDataFrame([d for d in DOCS if d[0]] + [(1, "a x b")], "doc_id long, text string")
+    tokens = T.numbered(T.tokens_v1(F.col("text")))
+    assert sorted(index.lists_of_documents(docs, tokens, block_docs=2).collect()) == sorted(index.posting_lists(index.document_postings(docs, tokens), block_docs=2).collect())
