@@ -135,3 +135,21 @@ def test_a_prefix_of_all_terms_is_cut_before_the_shuffle(spark):
     words = spark.range(5000).select(F.format_string("a%05d", "id").alias("term"), F.col("id").alias("term_freq"))
     assert "WindowGroupLimit [prefix" in plan(suggest.completions(words))
     assert plan(suggest.completions(words)).count("Partial") >= 1
+
+
+def test_documents_are_written_with_their_forward_index(spark, corpus, tmp_path):
+    """The same index as of rows of tokens, and its forward index, which is read without an exchange."""
+    from quillstack.functions import text as T
+
+    docs = spark.createDataFrame([(1, "b a b c"), (2, ""), (3, None), (4, "a a a"), (1 << 21, "a b")], "doc_id long, text string")
+    index.write_documents(docs, T.numbered(T.tokens_v1(F.col("text"))), str(tmp_path / "own"))
+    own = index.Index.load(spark, str(tmp_path / "own"))
+    tokens = docs.select("doc_id", F.posexplode(T.tokens_v1(F.col("text"))).alias("at", "term")).select("doc_id", (F.col("at") + 1).alias("pos"), "term")
+    plain = index.build(tokens, docs.select("doc_id", F.col("doc_id").cast("string").alias("orig_id")))
+    assert sorted(own.postings.select("term", "doc_id", "tf", "positions").collect()) == sorted(plain.postings.collect())
+    assert sorted(own.lexicon.select("term", "doc_freq", "term_freq").collect()) == sorted(plain.lexicon.collect())
+    assert {r["doc_id"]: r["dl"] for r in own.doc_stats.collect()} == {1: 4, 2: 0, 3: 0, 4: 3, 1 << 21: 2}
+    found = index.forward_of(own.forward)
+    told = index.forward(own.postings, own.lexicon)
+    assert "Exchange" not in plan(found) and sorted(found.collect()) == sorted(told.collect())
+    assert sorted((r["term"], r["block"], r["docs"]) for r in own.blocks.collect()) == [("a", 0, 2), ("a", 2048, 1), ("b", 0, 1), ("b", 2048, 1), ("c", 0, 1)]
