@@ -20,7 +20,6 @@ from quillstack.plans.catalog import (
     extracted,
     fielded,
     listed,
-    posted,
     posting_lists,
     query,
     table,
@@ -196,10 +195,10 @@ def barrel_metadata_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH o AS ({SQL['posting_offsets']}) SELECT term, \"offset\", bytes, bytes AS found FROM o")
 def posting_bytes_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of all lists, in pieces of 256 ids: each list lies where the lexicon says, and is as long."""
-    found = posted(documents(spark, sf_dir))
     words = written(index.with_offsets(listed(spark, sf_dir)), "words")  # read three times
     path = new_path(spark, "postings")
-    writers.postings_bytes(index.encoded(found, words, bits=8), path)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    writers.postings_bytes(index.encoded_documents(docs, T.numbered(T.tokens_v1(F.col("text"))), words, bits=8), path)
     pieces = spark.read.parquet(path).groupBy("word_id").agg(F.min("offset").alias("at"), F.max(F.col("offset") + F.octet_length("content")).alias("to"), F.sum(F.octet_length("content")).alias("n"))
     sound = F.when((F.col("at") == F.col("offset")) & (F.col("to") - F.col("at") == F.col("n")), F.col("n"))
     return words.join(pieces, "word_id", "left").select("term", "offset", "bytes", sound.alias("found"))
