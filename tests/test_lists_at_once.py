@@ -37,3 +37,16 @@ def test_terms_are_grouped_at_once(lists, skip):
     rows = pa.array([own if own is None else [{"term": t, "pos": p} for t, p in own] for own in lists], _TOKENS).slice(skip)
     told = [[{"term": t, "positions": sorted(p for s, p in own if s == t)} for t in sorted({t for t, _ in own}, key=str.encode)] for own in (x or [] for x in lists[skip:])]
     assert index._runs(rows).to_pylist() == told
+
+
+def test_parts_group_their_own_tokens(spark, monkeypatch):
+    """A document's tokens come to its part as they are, and terms are grouped there with all of the part's."""
+    from pyspark.sql import functions as F
+
+    from quillstack.functions import text as T
+
+    docs = spark.createDataFrame([(1, "b a b"), (2, "a")], "doc_id long, text string")
+    found, words = index.numbered_documents(docs, T.numbered(T.tokens_v1(F.col("text"))), parts=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "array_sort" not in plan and "sort_array" not in plan
+    assert sorted((r["doc_id"], [(p["term"], p["positions"]) for p in r["postings"]]) for r in found.collect()) == [(1, [("a", [2]), ("b", [1, 3])]), (2, [("a", [1])])]
